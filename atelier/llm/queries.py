@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import decontaminate, packing, token_files, url_filter
 from .common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,15 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The rules that the query is asked for.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select(F.col("page_id").cast("long").alias("page_id"), "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.p_block")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "token-files")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), uri, tokenizer("byte_bpe_50k.json"), end=0)
@@ -36,9 +46,39 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2).drop("ids")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.transform("found.items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "found.contaminated")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
     "op6_packing": op6_packing,
+    "op7_decontaminate": op7_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7_SQL = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS win
+    FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM sized)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+places AS (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS win FROM
+    (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM sized))),
+found AS (SELECT r, p, places.n AS n, item_id FROM places JOIN windows USING (n, win)),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM found) GROUP BY r),
+listed AS (SELECT r, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontaminate": OP7_SQL,
+}
