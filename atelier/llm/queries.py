@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, token_files, url_filter
+from . import decontaminate, language, packing, token_files, url_filter
 from .common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,11 +53,29 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "found.contaminated")
 
 
+def _remainder(n: int) -> Column:
+    """crc32(doc_id as text) mod n; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def language_model(docs: DataFrame) -> dict:
+    """Learns from documents whose crc32 remainder by 3 is not 1."""
+    return language.train(docs.where(_remainder(3) != 1))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language_model(docs))
+    held = F.coalesce(_remainder(3) == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_language": op8_language,
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -32,14 +32,14 @@ SYLLABLES = "th er on an re ed nd ti st es or in ly ou ha en he at ble al is ne
 
 def labelled_urls() -> list[tuple[str, int]]:
     """(url, 1 for block): blocked hosts join a bad word and a tail; good hosts are good words or joined syllables."""
-    out, lead = [], ("", "www.", "m.", "blog.")
+    out, before = [], ("", "www.", "m.", "blog.")
     ends, langs = ("com", "net", "org"), ("en", "de", "fr", "es")
     for i, (bad, tail) in enumerate(product(BAD, BAD_TAIL)):
         host = f"{bad}-{tail}" if i % 2 else f"{tail}-{bad}"
-        out.append((f"http://{lead[i % 4]}{host}.example.{ends[i % 3]}/{langs[i // 3 % 4]}/{i * 37}", 1))
-    goods = GOOD + [a + b for a, b in product(SYLLABLES, SYLLABLES)]
+        out.append((f"http://{before[i % 4]}{host}.example.{ends[i % 3]}/{langs[i // 3 % 4]}/{i * 37}", 1))
+    goods = GOOD * 4 + [lead + a + b for a, b in product(SYLLABLES, SYLLABLES) for lead in ("", "th", "in")]
     for i, word in enumerate(goods):
-        out.append((f"https://{lead[i % 4]}{word}.example.{ends[i % 3]}/{langs[i // 3 % 4]}/{i * 41}{('', '.html', '/')[i % 3]}", 0))
+        out.append((f"https://{before[i % 4]}{word}.example.{ends[i % 3]}/{langs[i // 3 % 4]}/{i * 41}{('', '.html', '/')[i % 3]}", 0))
     return out
 
 
@@ -87,7 +87,7 @@ def _parts(url: str | None) -> tuple[bytes, bytes]:
     return host.encode("utf-8", "replace").lower(), (slash + path).encode("utf-8", "replace")
 
 
-def train(labelled: Sequence[tuple[str, int]], rounds: int = 600, rate: float = 4.0, l2: float = 1e-4) -> np.ndarray:
+def train(labelled: Sequence[tuple[str, int]], rounds: int = 800, rate: float = 8.0, l2: float = 1e-4) -> np.ndarray:
     """Weights by full-batch gradient steps; the same table always gives the same weights."""
     if len(labelled) > MAX_LABELLED:
         raise ValueError(f"the labelled table has over {MAX_LABELLED} rows")
