@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, token_files, url_filter
+from . import decontaminate, language, packing, pii, token_files, url_filter
 from .common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, uri)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.KINDS))
+    n = [F.size(F.filter("pii", lambda s: s["kind"] == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *n, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii")).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2).drop("ids")
 
@@ -73,6 +80,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
+    "op4_pii": op4_pii,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
