@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import Encoder
+from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -30,11 +30,11 @@ def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, id_col:
     """One row a piece; `ids` are its ids as little-endian unsigned 16-bit integers (32-bit for larger vocabularies)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at, part = Encoder(tokenizer, end, keep_spaces=False), 0, TaskContext.get().partitionId()
+        own, at, part = encoder(tokenizer, end, keep_spaces=False), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                cut = batch.slice(lo, 1000)
-                ids = [own(t.as_py()) for t in cut.column(1)]
+            for lo in range(0, batch.num_rows, 200):
+                cut = batch.slice(lo, 200)
+                ids = own.many(cut.column(1).to_pylist())
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // own.dtype.itemsize
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, mounted, partitions
-from .tokens import Encoder
+from .tokens import encoder
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -46,15 +46,15 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end: int = 0, id_col
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(uri)
-        k, encode, lengths, ids = TaskContext.get().partitionId(), Encoder(tokenizer, end, keep_spaces=True), [], []
+        k, encode, lengths, ids = TaskContext.get().partitionId(), encoder(tokenizer, end, keep_spaces=True), [], []
 
         def stream() -> Iterator[bytes]:
             for batch in batches:
                 ids.append(batch.column(0))
-                for text in batch.column(1):
-                    chunk = encode(text.as_py())
-                    lengths.append(len(chunk) // encode.dtype.itemsize)
-                    yield chunk
+                for lo in range(0, batch.num_rows, 200):
+                    chunks = encode.many(batch.column(1).slice(lo, 200).to_pylist())
+                    lengths.extend(len(c) // encode.dtype.itemsize for c in chunks)
+                    yield b"".join(chunks)
 
         _put(fs, folder, f"tokens-{k:05d}.bin", stream())
         nulls = sum(x.null_count for x in ids)

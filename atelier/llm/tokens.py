@@ -1,6 +1,6 @@
 """Ids of public tokenizers, fast: a text is cut at white space into pieces that encode alone, and ids of pieces are kept.
 
-The tokenizers library encodes every piece once per task; a text with odd separators goes to the library whole. The
+The tokenizers library encodes every new piece of a task once, many in one call; a text with odd separators goes to the library whole. The
 ids equal those of the library for the whole text (tests/llm/test_tokens.py compares them).
 """
 
@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import accumulate, chain, islice
+from unicodedata import normalize
 
 import numpy as np
 
@@ -23,7 +25,7 @@ class Encoder:
     of special tokens in a text are ordinary text. At most `bound` pieces are kept.
     """
 
-    def __init__(self, path: str, end: int, keep_spaces: bool, bound: int = 300_000):
+    def __init__(self, path: str, end: int, keep_spaces: bool, bound: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -32,25 +34,73 @@ class Encoder:
         size = max(self.tokenizer.get_vocab_size(), end + 1)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end], self.dtype).tobytes()
+        self.sizes = np.zeros(size, np.int64)  # bytes that an id stands for
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token) - (0 if keep_spaces or not token.endswith("</w>") else 4)
         self.keep_spaces, self.bound, self.known = keep_spaces, bound, {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        if _ODD.search(text):
-            return self._ids(text) + self.end
-        pieces = _PIECES.findall(text) if self.keep_spaces else text.split()
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces]) + self.end
-        except KeyError:
-            pass
-        if len(known) >= self.bound:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        own = dict(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        known.update((p, ids) for p, ids in own.items() if len(p) <= 64)
-        return b"".join([own[p] if p in own else known[p] for p in pieces]) + self.end
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids; the new pieces of all texts are encoded in one call."""
+        cut = _PIECES.findall if self.keep_spaces else str.split
+        whole = [bool(t) and bool(_ODD.search(t)) for t in texts]
+        pieces = [cut(t) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
+        flat = list(chain.from_iterable(pieces))
+        ids = list(map(self.known.get, flat))
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            new = list({flat[i] for i in missing})
+            own = dict(zip(new, self._together(new) or self._apart(new), strict=True))
+            for i in missing:
+                ids[i] = own[flat[i]]
+            if len(self.known) + len(own) > self.bound:  # the newer half stays
+                self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+            self.known.update((p, x) for p, x in own.items() if len(p) <= 64)
+        ends = list(accumulate(map(len, pieces), initial=0))
+        return [(self._ids(t) if w else b"".join(ids[a:b])) + self.end for t, w, a, b in zip(texts, whole, ends, ends[1:], strict=False)]
+
+    def _apart(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes] | None:
+        """The pieces as one text, which is cut again by the bytes that its ids stand for; None if cuts fall within an id."""
+        if self.keep_spaces:
+            blank = [i for i, p in enumerate(pieces) if p.isspace()]
+            parts = [p if p[0] == " " else "\n" + p for p in pieces]
+            for i in blank:
+                parts[i] = ""
+            skip = np.fromiter((q[:1] == "\n" for q in parts), np.int64, len(parts))
+            sizes = np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts))
+        else:
+            blank, skip = [], 0
+            parts = [" " + p for p in pieces]
+            own = pieces if all(map(str.isascii, pieces)) else [p if p.isascii() else normalize("NFC", p).lower() for p in pieces]
+            sizes = np.fromiter(map(len, map(str.encode, own)), np.int64, len(pieces))
+        (whole,) = self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)
+        ids = np.array(whole.ids, np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        stops = np.cumsum(sizes)
+        lo, hi = np.searchsorted(ends, stops - sizes + skip), np.searchsorted(ends, stops)
+        if ends[-1] != (stops[-1] if len(stops) else 0) or (ends[lo] != stops - sizes + skip).any() or (ends[hi] != stops).any():
+            return None
+        raw, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        out = [raw[a:b] for a, b in zip((lo * width).tolist(), (hi * width).tolist(), strict=True)]
+        for i, ids_of in zip(blank, self._apart([pieces[i] for i in blank]), strict=True):
+            out[i] = ids_of
+        return out
+
+
+_KEPT: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end: int, keep_spaces: bool) -> Encoder:
+    """The Encoder of this process: later tasks of a worker know the pieces of earlier ones."""
+    key = (path, end, keep_spaces)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Encoder(path, end, keep_spaces)
+    return _KEPT[key]
