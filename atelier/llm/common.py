@@ -129,7 +129,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down).distinct()
         edges = stored(small.where("a <> b"), "edges")
-        now = edges.agg(F.count("*"), F.sum("a"), F.sum("b"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if now == before:
             break
         before = now

@@ -264,6 +264,20 @@ def _verified_links(least: tuple[int, ...], threshold: float):
     return _grouped(3, work)
 
 
+def verified(found: DataFrame, roots: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Exact links within candidate components. found: root, rep, copies, sig, set of each member; roots: a row a member.
+
+    Returns rows (rep, links, root): in each block pair a member's links, weighted by copies, and its least linked member.
+    """
+    hot = roots.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > VERIFY_BLOCK).select(F.col("root").alias("hot"), F.ceil(F.col("m") / VERIFY_BLOCK).alias("g"))
+    g = F.coalesce("g", F.lit(1).cast("long"))
+    own = F.pmod(F.xxhash64("rep"), g)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda o: F.struct(F.least(o, own).alias("bi"), F.greatest(o, own).alias("bj"), own.alias("block")))
+    cut = found.join(hot, found.root == hot.hot, "left").select("root", "rep", "copies", "sig", "set", F.explode(pair).alias("p")).select("root", "p.bi", "p.bj", "rep", "copies", "sig", "set", "p.block")
+    grouped = cut.repartition(partitions(found.sparkSession), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    return stored(grouped.mapInArrow(_verified_links(fewest(threshold, tolerance), threshold), "rep long, links long, root long"), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, tolerance: float = 1e-5) -> DataFrame:
     """doc_id, id, key (of the shingle set), class_id (least id of the documents joined by links) and n_links.
 
@@ -292,14 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(own, pa.binary())], names=["root", "rep", "copies", "sig", "set"]).filter(kept)
 
     found = texts.join(known, "id").select("root", F.col("id").alias("rep"), "copies", "sig", "text", "key").mapInArrow(sets, "root long, rep long, copies long, sig binary, set binary")
-    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
-    hot = sizes.where(F.col("m") > VERIFY_BLOCK).select(F.col("root").alias("hot"), F.ceil(F.col("m") / VERIFY_BLOCK).alias("g"))
-    g = F.coalesce("g", F.lit(1).cast("long"))
-    own = F.pmod(F.xxhash64("rep"), g)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda o: F.struct(F.least(o, own).alias("bi"), F.greatest(o, own).alias("bj"), own.alias("block")))
-    cut = found.join(hot, found.root == hot.hot, "left").select("root", "rep", "copies", "sig", "set", F.explode(pair).alias("p")).select("root", "p.bi", "p.bj", "rep", "copies", "sig", "set", "p.block")
-    checked = stored(cut.repartition(partitions(spark), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(_verified_links(least, threshold), "rep long, links long, root long"), "links")
-
+    checked = verified(found, members.select("root"), threshold, tolerance)
     final = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     told = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     by_class = classes.select("key", "rep", "copies").join(told, "rep", "left").join(final, F.col("rep") == F.col("node"), "left")
