@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, packing, pii, substring_dedup, token_files, url_filter
+from . import decontaminate, jaccard_join, language, lm_scoring, packing, pii, substring_dedup, token_files, url_filter
 from .common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(n: int) -> Column:
+    """crc32(doc_id as text) mod n; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 #: The rules that the query is asked for.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -54,6 +59,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii")).alias("spans"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scoring.score(docs, lm_scoring.train(docs.where(_remainder(5) != 1)))
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2).drop("ids")
 
@@ -65,11 +76,6 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "found.contaminated")
 
 
-def _remainder(n: int) -> Column:
-    """crc32(doc_id as text) mod n; null for a null id."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
 def language_model(docs: DataFrame) -> dict:
     """Learns from documents whose crc32 remainder by 3 is not 1."""
     return language.train(docs.where(_remainder(3) != 1))
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_pii": op4_pii,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
