@@ -14,7 +14,8 @@ A bucket or component above its block size is cut into blocks, and each pair of
 unbounded and no pair is lost. Buckets miss a pair at the threshold with probability (1 - t^ROWS)^BANDS = 2e-4 at 0.8.
 
 Nulls, empty texts and texts without words have no shingles: each is a class alone. A text of fewer than k words is one
-shingle. A null doc_id takes part under a negative id made from its text. Repeated rows are copies of each other. An empty
+shingle. Rows take part under a hash of doc_id and text, so a null doc_id or one
+doc_id with several texts does no harm. Repeated rows are copies of each other. An empty
 table gives an empty result.
 """
 
@@ -148,12 +149,13 @@ def dealt(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
     return few.union(many)
 
 
-def ident(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), -F.pmod(F.xxhash64(text_col), F.lit(1 << 62)) - 1)
+def row_id(id_col: str, text_col: str) -> Column:
+    """The same for repeated rows, never null; rows with one doc_id and different texts differ."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """doc_id, id (never null), key (of the shingle set), n (its size), bands, sig."""
+    """doc_id, id (row_id), key (of the shingle set), n (its size), bands, sig."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -170,7 +172,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(sigs, pa.binary())], names=["doc_id", "id", "key", "n", "bands", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident(docs, id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(make, "doc_id long, id long, key binary, n long, bands array<long>, sig binary")
 
 
@@ -279,13 +281,14 @@ def verified(found: DataFrame, roots: DataFrame, threshold: float, tolerance: fl
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, tolerance: float = 1e-5) -> DataFrame:
-    """doc_id, id, key (of the shingle set), class_id (least id of the documents joined by links) and n_links.
+    """doc_id, id (row_id), class_id (least doc_id of the documents joined by links), n_links and keeper.
 
-    n_links counts the other documents whose similarity to this one reaches the threshold, copies included.
+    n_links counts the other documents whose similarity to this one reaches the threshold, copies included. keeper is the
+    id of the class's row with the least doc_id (nulls last). A class of null doc_ids alone has a hash as its class_id.
     """
     least, spark = fewest(threshold, tolerance), docs.sparkSession
     feats = stored(features(docs, id_col, text_col, k), "shingles")
-    classes = stored(feats.where("n > 0").groupBy("key", "n", "bands", "sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = stored(feats.where("n > 0").groupBy("key", "n", "bands", "sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "id")).alias("first")), "classes")
 
     in_bands = classes.select(F.explode("bands").alias("band"), "rep", "n", "sig")
     buckets = dealt(in_bands, "band", "rep", BUCKET_BLOCK).select("band", "bi", "bj", "rep", "n", "sig")
@@ -293,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = components(links)
 
     members = stored(near.join(classes, near.node == classes.rep).select("root", "rep", "key", "copies", "sig"), "members")
-    texts = docs.select(ident(docs, id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     known = members.select(F.col("rep").alias("id"), "root", "key", "copies", "sig")
     if members.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
@@ -309,7 +312,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     checked = verified(found, members.select("root"), threshold, tolerance)
     final = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     told = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = classes.select("key", "rep", "copies").join(told, "rep", "left").join(final, F.col("rep") == F.col("node"), "left")
-    by_class = by_class.select("key", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("others"))
+    rooted = classes.select("key", "rep", "copies", "first").join(final, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    by_class = rooted.drop("first").join(told, "rep", "left").join(firsts, "root")
+    by_class = by_class.select("key", F.coalesce("first.doc_id", "root").alias("class"), F.col("first.id").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("others"))
     whole = feats.select("doc_id", "id", "key", "n").join(by_class, "key", "left")
-    return whole.select("doc_id", "id", "key", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("id")).alias("class_id"), F.coalesce(F.when(F.col("n") > 0, F.col("others")), F.lit(0)).cast("long").alias("n_links"))
+    own = lambda c, alone: F.when(F.col("n") > 0, F.col(c)).otherwise(alone)
+    return whole.select("doc_id", "id", own("class", F.coalesce("doc_id", "id")).alias("class_id"), own("others", F.lit(0)).cast("long").alias("n_links"), own("keeper", F.col("id")).alias("keeper"))

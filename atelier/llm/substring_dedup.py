@@ -21,16 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _TO_SPACE, Hashes, components, grams, mix, stored
-from .jaccard_join import BROADCAST_ROWS, ident, minhash, signature, verified
+from .jaccard_join import BROADCAST_ROWS, minhash, signature, verified
 
 K, SIZE, WINDOW, THRESHOLD, ROWS = 5, 18, 33, 0.8, 3
 _MARK = "key long, id long, doc_id long, word int, start int, end int, b0 long, b1 long, b2 long, b3 long"
 
 
+def ident(id_col: str, text_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), -F.pmod(F.xxhash64(text_col), F.lit(1 << 62)) - 1)
+
+
 def tuned(threshold: float, rows: int, recall: float) -> int:
     """The fewest bands of `rows` values that find a pair at the threshold with probability `recall`."""
     bands = 1
@@ -124,7 +128,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-5) -> DataFrame:
     """Every occurrence of a repeated paragraph: doc_id, id, start, end (code points), class_id, kept (the first occurrence)."""
     spark = docs.sparkSession
-    texts = docs.select(ident(docs, id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(ident(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = stored(texts.mapInArrow(_marked, _MARK), "paragraphs")
 
     own = [f"b{i}" for i in range(BANDS)]

@@ -80,6 +80,7 @@ def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, long), (4, long), (4, long), (4, "other words here"), (9, long + " more")], "doc_id long, text string")
     got = jaccard_join.near_duplicates(docs).collect()
     assert sorted((r["n_links"], r["doc_id"] or 0) for r in got) == [(0, 4), (3, 0), (3, 4), (3, 4), (3, 9)]
+    assert {r["class_id"] for r in got if r["n_links"]} == {4} and len({r["keeper"] for r in got}) == 2
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
