@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, lm_scoring, packing, pii, substring_dedup, token_files, url_filter
+from . import decontaminate, jaccard_join, language, lm_scoring, packing, permutation_index, pii, substring_dedup, token_files, url_filter
 from .common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.repeated_passages(docs).drop("id")
@@ -102,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
+    "op9_permutation_index": op9_permutation_index,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
