@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import streaming
 from ..functions import geometry as geo
-from ..operators import binding, curation, graph, islands, matching, metrics, quality
+from ..functions import scalars
+from ..operators import binding, curation, graph, islands, matching, metrics, pixels, quality
 from .derived import sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,3 +519,115 @@ def concat_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").withColumn("v", F.col("l_partkey"))
     return curation.set_difference(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R' and l_quantity > 25"), "v")
+
+
+# --- pixel tables ------------------------------------------------------------------------------------------------------
+
+_DOTS = "(SELECT DISTINCT l_suppkey % 10 AS image, l_partkey % 60 AS x, CAST(l_quantity AS BIGINT) AS y FROM lineitem WHERE l_orderkey % 5 = 0)"
+
+
+def _dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").selectExpr("l_suppkey % 10 AS image", "l_partkey % 60 AS x", "CAST(l_quantity AS BIGINT) AS y").distinct()
+
+
+@query(f"SELECT DISTINCT image, x + dx AS x, y + dy AS y FROM {_DOTS}, (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy)")
+def pixel_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.dilate(_dots(spark, sf_dir))
+
+
+@query(f"SELECT d.image, d.x, d.y FROM {_DOTS} d WHERE (SELECT count(*) FROM {_DOTS} e WHERE e.image = d.image AND abs(e.x - d.x) + abs(e.y - d.y) <= 1) = 5")
+def pixel_erode_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.erode(_dots(spark, sf_dir), cross=True)
+
+
+@query(f"""WITH RECURSIVE d AS MATERIALIZED (SELECT image, x, y, y * 2147483648 + x AS p FROM {_DOTS}), e AS MATERIALIZED (SELECT a.image, a.p, b.p AS q FROM d a JOIN d b ON a.image = b.image AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+  r(image, p, q) AS (SELECT image, p, p FROM d UNION SELECT r.image, r.p, e.q FROM r JOIN e ON e.image = r.image AND e.p = r.q), l AS (SELECT image, p, min(q) AS root FROM r GROUP BY ALL)
+  SELECT l.image, count(*) AS n, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, sum(x) / count(*) AS cx FROM l JOIN d USING (image, p) GROUP BY l.image, root""")
+def pixel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.components(_dots(spark, sf_dir), diagonal=False).drop("root")
+
+
+@query(f"SELECT d.image, d.x, d.y FROM {_DOTS} d WHERE (x BETWEEN 5 AND 20 AND y BETWEEN 5 AND 15) OR (x BETWEEN 15 AND 40 AND y BETWEEN 10 AND 12)")
+def exclusion_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = spark.createDataFrame([(i, *b) for i in range(10) for b in ((5, 5, 20, 15), (15, 10, 40, 12))], "image long, x1 long, y1 long, x2 long, y2 long")
+    return pixels.excluded(_dots(spark, sf_dir), boxes)
+
+
+@query("""WITH s AS (SELECT o_custkey AS image, CASE o_orderkey % 3 WHEN 0 THEN 'wall' WHEN 1 THEN 'door' ELSE 'window' END AS cls, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS k, o_orderkey % 30 AS x1, o_orderkey * 7 % 20 AS y1 FROM orders),
+  p AS (SELECT image, cls, k, x, unnest(range(y1, y1 + 4)) AS y FROM (SELECT *, unnest(range(x1, x1 + 6)) AS x FROM s)) SELECT image, x, y, CASE max(k) WHEN 1 THEN 'wall' WHEN 2 THEN 'door' ELSE 'window' END AS cls FROM p GROUP BY image, x, y""")
+def painted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "CASE o_orderkey % 3 WHEN 0 THEN 'wall' WHEN 1 THEN 'door' ELSE 'window' END AS cls", "o_orderkey % 30 AS x1", "o_orderkey * 7 % 20 AS y1", "o_orderkey % 30 + 5 AS x2", "o_orderkey * 7 % 20 + 3 AS y2")
+    return pixels.painted(o, {"wall": 1, "door": 2, "window": 3})
+
+
+@query(f"SELECT image, x // 3 AS x, y // 2 AS y FROM {_DOTS} WHERE x % 3 = 1 AND y % 2 = 1")
+def nearest_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.resample(_dots(spark, sf_dir).withColumn("v", F.lit(1)), 3, 2, "v").drop("v")
+
+
+# --- scalars, reviews, resumable work ----------------------------------------------------------------------------------
+
+@query("""SELECT event_id, substr(sha256('{"k":' || json_extract_string(props, '$.k') || '}'), 1, 20) AS fingerprint FROM events""")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical JSON of the events' properties (one integer key), and its hash."""
+    return read(spark, sf_dir, "events").select("event_id", scalars.fingerprint(scalars.canonical_json(F.col("props"))).alias("fingerprint"))
+
+
+@query("SELECT o_custkey AS image, o_orderkey % 7 AS id, CASE WHEN arg_max(o_orderpriority, o_orderkey) = '5-LOW' THEN NULL ELSE arg_max(o_orderpriority, o_orderkey) END AS choice, count(*) AS steps FROM orders GROUP BY 1, 2")
+def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as review steps of a customer's seven questions; low priority takes the choice back."""
+    choice = F.when(F.col("o_orderpriority") == "5-LOW", "undo").otherwise(F.col("o_orderpriority"))
+    steps = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image"), (F.col("o_orderkey") % 7).alias("id"), F.col("o_orderkey").alias("step"), choice.alias("choice"))
+    return streaming.review_state(steps)
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.doc_id % 3 = 0 AND sha256(c.text) = sha256(d.text))")
+def not_yet_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose content no third document has: what a resumed audit still has to do."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return streaming.not_yet_done(d, d.where("doc_id % 3 = 0"), ["sha"]).select("doc_id")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN least(c_custkey % 90, c_acctbal) WHEN c_custkey % 3 = 1 THEN c_acctbal ELSE greatest(40.0e0, 1.12 * (c_custkey % 70)) END AS width FROM customer""")
+def door_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    width = scalars.door_width(F.when(k % 3 == 0, (k % 90).cast("double")), F.when(k % 3 != 2, F.col("c_acctbal")), (k % 70).cast("double"))
+    return c.select(k.alias("id"), width.alias("width"))
+
+
+@query(f"""WITH p AS (SELECT o.image, o.id AS opening, s.id AS segment, o.cx - o.length/2 AS lo, o.cx + o.length/2 AS hi, s.x1, s.x2, o.thickness AS t, o.length AS n FROM {sql("openings")} o JOIN {sql("segments")} s USING (image) WHERE s.horizontal AND o.horizontal)
+  SELECT image, opening, segment, greatest(lo, x1) AS low, least(hi, x2) AS high FROM p WHERE NOT (lo >= x1 AND hi <= x2) AND least(hi, x2) - greatest(lo, x1) >= 0.75 * n AND abs((greatest(lo, x1) + least(hi, x2)) / 2 - (lo + hi) / 2) <= t / 2""")
+def fitted_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "openings").where("horizontal").select("image", F.col("id").alias("opening"), "cx", "length", "thickness")
+    s = table(spark, sf_dir, "segments").where("horizontal").select("image", F.col("id").alias("segment"), "x1", "x2")
+    fit = scalars.fit_span(F.col("cx") - F.col("length") / 2, F.col("cx") + F.col("length") / 2, F.col("x1"), F.col("x2"), F.col("thickness"))
+    return o.join(s, "image").withColumn("fit", fit).where("fit is not null").select("image", "opening", "segment", "fit.low", "fit.high")
+
+
+@query("""WITH e AS (SELECT o_orderkey AS element, o_custkey AS wall, o_orderkey % 101 AS position, 10 + o_orderkey % 40 AS width FROM orders WHERE o_custkey % 4 <> 0)
+  SELECT element, (s_suppkey * 10) + (300 + s_suppkey % 50) * position / 100.0e0 - width / 2.0e0 AS low, (s_suppkey * 10) + (300 + s_suppkey % 50) * position / 100.0e0 + width / 2.0e0 AS high FROM e JOIN supplier ON s_suppkey = wall""")
+def element_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements placed on their carrying segment by position in percent and width; those on unknown walls drop out."""
+    e = read(spark, sf_dir, "orders").where("o_custkey % 4 <> 0").selectExpr("o_orderkey AS element", "o_custkey AS wall", "o_orderkey % 101 AS position", "10 + o_orderkey % 40 AS width")
+    s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS wall", "s_suppkey * 10 AS x1", "s_suppkey * 10 + 300 + s_suppkey % 50 AS x2")
+    mid = F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("position") / F.lit(100.0)
+    return e.join(s, "wall").select("element", (mid - F.col("width") / F.lit(2.0)).alias("low"), (mid + F.col("width") / F.lit(2.0)).alias("high"))
+
+
+@query("""SELECT image, region, score, runner_up, coalesce(runner_up > 0.65 * score, false) AS ambiguous FROM (SELECT o_custkey AS image, o_orderkey AS region, o_totalprice AS score, row_number() OVER w AS k, lead(o_totalprice) OVER w AS runner_up FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE k = 1""")
+def best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best region of a plan; it is ambiguous if the next one has over 65 % of its score."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image"), F.col("o_orderkey").alias("region"), F.col("o_totalprice").alias("score"))
+    w = Window.partitionBy("image").orderBy(F.desc("score"), "region")
+    best = o.withColumn("k", F.row_number().over(w)).withColumn("runner_up", F.lead("score").over(w)).where("k = 1")
+    return best.select("image", "region", "score", "runner_up", F.coalesce(F.col("runner_up") > 0.65 * F.col("score"), F.lit(False)).alias("ambiguous"))
+
+
+@query("""WITH RECURSIVE w(doc, depth, cur) AS (SELECT c_custkey, 0, c_custkey FROM customer UNION ALL SELECT doc, depth + 1, cur // 3 FROM w WHERE cur % 3 = 0 AND cur > 0) SELECT doc, max(depth) AS depth, min(cur) AS origin FROM w GROUP BY doc""")
+def previous_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Follows each document's `previous` while it was replaced (ids that 3 divides), up to where the chain ends."""
+    spark_docs = read(spark, sf_dir, "customer").select("c_custkey")
+    step = lambda s: F.when((s["cur"] % 3 == 0) & (s["cur"] > 0), F.struct((s["depth"] + 1).alias("depth"), F.floor(s["cur"] / 3).alias("cur"))).otherwise(s)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0).alias("depth"), F.col("c_custkey").alias("cur")), lambda s, _: step(s))
+    return spark_docs.withColumn("w", walk).select(F.col("c_custkey").alias("doc"), "w.depth", F.col("w.cur").alias("origin"))

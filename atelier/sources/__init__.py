@@ -1 +1,139 @@
+"""Readers and writers of plan data on Spark's own file sources."""
 
+from __future__ import annotations
+
+import io
+import xml.etree.ElementTree as ET
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: The classes that SVG shapes are read as, most important first.
+SHAPE_CLASSES = ("Window", "Door", "Wall")
+
+
+def split_list(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """split, ordinal, sample: one path a line, without blanks and slashes around it; blank lines go."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line"))
+    sample = F.trim(F.trim(F.col("line")), F.lit("/"))
+    return lines.select(F.lit(split).alias("split"), "ordinal", sample.alias("sample")).where("sample <> ''")
+
+
+def json_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A row for each JSON file, strict: a broken file fails the read."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def write_json_once(df: DataFrame, path: str) -> None:
+    """Committed as a whole by Spark's protocol; a path that exists is an error."""
+    df.write.mode("errorifexists").json(path)
+
+
+def append_csv(df: DataFrame, path: str, decimals: int = 6) -> None:
+    """Doubles are written with `decimals` places; each part has the header."""
+    shown = [F.format_string(f"%.{decimals}f", c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    df.select(*shown).write.mode("append").option("header", True).csv(path)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, sha256, content of binary files."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
+
+
+def svg_size(content: Column) -> Column:
+    """(width, height) struct of an SVG text: its attributes, else the viewBox; null unless both are positive."""
+    box = F.split(F.regexp_extract(content, r'<svg[^>]*viewBox="([^"]*)"', 1), r"[\s,]+")
+    side = lambda name, k: F.coalesce(F.regexp_extract(content, rf'<svg[^>]*\s{name}="([0-9.]+)', 1).try_cast("double"), F.get(box, F.lit(k)).try_cast("double"))
+    w, h = side("width", 2), side("height", 3)
+    return F.when((w > 0) & (h > 0), F.struct(w.alias("width"), h.alias("height")))
+
+
+def flatten_svg(content: str) -> list[tuple[str, list[tuple[float, float]]]]:
+    """(class, points) of the polygons and rectangles of an SVG; class tokens are inherited, hidden subtrees dropped."""
+    out: list[tuple[str, list[tuple[float, float]]]] = []
+
+    def walk(node: ET.Element, tokens: frozenset[str]) -> None:
+        style = (node.get("style") or "").replace(" ", "")
+        if node.get("display") == "none" or "display:none" in style or node.get("visibility") == "hidden":
+            return
+        tokens |= frozenset((node.get("class") or "").split())
+        name = next((c for c in SHAPE_CLASSES if c in tokens), None)
+        tag = node.tag.rpartition("}")[2]
+        if name and tag == "polygon":
+            values = [float(v) for v in (node.get("points") or "").replace(",", " ").split()]
+            points = list(zip(values[::2], values[1::2], strict=False))
+        elif name and tag == "rect":
+            x, y, w, h = (float(node.get(k) or 0) for k in ("x", "y", "width", "height"))
+            points = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        else:
+            points = []
+        if len(points) > 2:
+            out.append((name, points))
+        for child in node:
+            walk(child, tokens)
+
+    walk(ET.fromstring(content), frozenset())
+    return out
+
+
+def svg_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """path, ordinal, cls, points (array of (x, y)), error: the shapes of SVG files, or why a file can't be read."""
+    schema = "path string, ordinal int, cls string, points array<struct<x: double, y: double>>, error string"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows: list[tuple] = []
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(p, k, c, [{"x": x, "y": y} for x, y in pts], None) for k, (c, pts) in enumerate(flatten_svg(bytes(content).decode()))]
+                except (ET.ParseError, ValueError) as e:
+                    rows.append((p, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "ordinal", "cls", "points", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def bundle_entries(spark: SparkSession, path: str, most_entries: int = 115, most_bytes: int = 100 << 20) -> DataFrame:
+    """bundle, name, size, sha256 of the entries of ZIP files; error says why a bundle is refused."""
+    schema = "bundle string, name string, size long, content binary, error string"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows: list[tuple] = []
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(p, n, len(c), c, None) for n, c in read_bundle(bytes(content), most_entries, most_bytes).items()]
+                except (ValueError, zipfile.BadZipFile) as e:
+                    rows.append((p, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["bundle", "name", "size", "content", "error"])
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return found.select("bundle", "name", "size", F.sha2("content", 256).alias("sha256"), "error")
+
+
+def read_bundle(content: bytes, most_entries: int, most_bytes: int) -> dict[str, bytes]:
+    """Entries by name; too many or too large ones, unsafe or repeated names raise ValueError."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        infos = z.infolist()
+        names = [i.filename for i in infos]
+        if len(infos) > most_entries:
+            raise ValueError("too many entries")
+        if len(set(names)) != len(names):
+            raise ValueError("repeated entry")
+        if any(n.startswith("/") or ".." in n.split("/") or "\\" in n for n in names):
+            raise ValueError("unsafe name")
+        if any(i.file_size > most_bytes for i in infos) or sum(i.file_size for i in infos) > 3 * most_bytes:
+            raise ValueError("too large")
+        return {n: z.read(n) for n in names}
+
+
+def inventory_differences(entries: DataFrame, expected: DataFrame) -> DataFrame:
+    """bundle, name, problem for entries that are missing, unexpected or changed. expected: bundle, name, sha256."""
+    e = expected.select("bundle", "name", F.col("sha256").alias("want"))
+    both = entries.select("bundle", "name", "sha256").join(e, ["bundle", "name"], "full_outer")
+    problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("sha256") != F.col("want"), "changed")
+    return both.select("bundle", "name", problem.alias("problem")).where("problem is not null")
