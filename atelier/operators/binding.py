@@ -39,8 +39,8 @@ def bind_nearest(openings: DataFrame, segments: DataFrame, most_overhang: float
 
 def unique_carrier(cuts: DataFrame, edges: DataFrame, reach: float = 2.0) -> DataFrame:
     """For each cut the only edge on whose line (within `reach`) and between whose ends it lies, else why there is none."""
-    c, e = _prefixed(cuts.select("image", "id", "horizontal", "at", "low", "high"), "c"), _prefixed(edges.select("image", "id", "horizontal", "at", "low", "high"), "e")
-    carries = (F.col("c_horizontal") == F.col("e_horizontal")) & (F.abs(F.col("c_at") - F.col("e_at")) <= reach) & (F.col("e_low") <= F.col("c_low")) & (F.col("c_high") <= F.col("e_high"))
+    c, e = _prefixed(cuts.select("image", "id", "horizontal", "pos", "low", "high"), "c"), _prefixed(edges.select("image", "id", "horizontal", "pos", "low", "high"), "e")
+    carries = (F.col("c_horizontal") == F.col("e_horizontal")) & (F.abs(F.col("c_pos") - F.col("e_pos")) <= reach) & (F.col("e_low") <= F.col("c_low")) & (F.col("c_high") <= F.col("e_high"))
     found = c.join(e, "image").where(carries).groupBy("image", "c_id").agg(F.count("*").alias("n"), F.min("e_id").alias("edge"))
     n = F.coalesce("n", F.lit(0))
     whole = c.select("image", "c_id").join(found, ["image", "c_id"], "left")
@@ -59,41 +59,41 @@ def strips_in_windows(windows: DataFrame) -> DataFrame:
     Same orientation, thickness at most 40 % and length at most 105 % of the parent's, 90 % of the strip's axis within the
     parent's, centre lines no farther apart than half the parent's thickness and 2.
     """
-    cols = ("id", "horizontal", "at", "low", "high", "thickness")
+    cols = ("id", "horizontal", "pos", "low", "high", "thickness")
     a, b = _prefixed(windows.select("image", *cols), "a"), _prefixed(windows.select("image", *cols), "b")
     size = lambda p: F.col(f"{p}_high") - F.col(f"{p}_low")
     part = (
         (F.col("a_id") != F.col("b_id")) & (F.col("a_horizontal") == F.col("b_horizontal")) & (F.col("a_thickness") <= 0.4 * F.col("b_thickness")) & (size("a") <= 1.05 * size("b"))
-        & (overlap(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high")) >= 0.9 * size("a")) & (F.abs(F.col("a_at") - F.col("b_at")) <= F.col("b_thickness") / 2 + 2)
+        & (overlap(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high")) >= 0.9 * size("a")) & (F.abs(F.col("a_pos") - F.col("b_pos")) <= F.col("b_thickness") / 2 + 2)
     )
     return a.join(b, "image").where(part).groupBy("image", F.col("a_id").alias("strip")).agg(F.min("b_id").alias("parent"))
 
 
 def parallel_windows(windows: DataFrame, gap: float = 20.0) -> DataFrame:
     """window, partner in both orders: parallel windows within `gap` that share 75 % of the shorter one's axis."""
-    cols = ("id", "horizontal", "at", "low", "high")
+    cols = ("id", "horizontal", "pos", "low", "high")
     a, b = _prefixed(windows.select("image", *cols), "a"), _prefixed(windows.select("image", *cols), "b")
     size = lambda p: F.col(f"{p}_high") - F.col(f"{p}_low")
-    near = (F.col("a_id") < F.col("b_id")) & (F.col("a_horizontal") == F.col("b_horizontal")) & (F.abs(F.col("a_at") - F.col("b_at")) <= gap) & (overlap(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high")) >= 0.75 * F.least(size("a"), size("b")))
+    near = (F.col("a_id") < F.col("b_id")) & (F.col("a_horizontal") == F.col("b_horizontal")) & (F.abs(F.col("a_pos") - F.col("b_pos")) <= gap) & (overlap(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high")) >= 0.75 * F.least(size("a"), size("b")))
     both = F.explode(F.array(F.struct(F.col("a_id").alias("window"), F.col("b_id").alias("partner")), F.struct(F.col("b_id").alias("window"), F.col("a_id").alias("partner"))))
     return a.join(b, "image").where(near).select("image", both.alias("p")).select("image", "p.*")
 
 
 def crossing_windows(windows: DataFrame, longer: float = 1.2) -> DataFrame:
     """Windows that a perpendicular one, `longer` times as long at least, crosses; crossed_by is the least such id."""
-    cols = ("id", "horizontal", "at", "low", "high")
+    cols = ("id", "horizontal", "pos", "low", "high")
     a, b = _prefixed(windows.select("image", *cols), "a"), _prefixed(windows.select("image", *cols), "b")
     size = lambda p: F.col(f"{p}_high") - F.col(f"{p}_low")
-    cross = (F.col("a_horizontal") != F.col("b_horizontal")) & F.col("b_at").between(F.col("a_low"), F.col("a_high")) & F.col("a_at").between(F.col("b_low"), F.col("b_high")) & (size("b") >= longer * size("a"))
+    cross = (F.col("a_horizontal") != F.col("b_horizontal")) & F.col("b_pos").between(F.col("a_low"), F.col("a_high")) & F.col("a_pos").between(F.col("b_low"), F.col("b_high")) & (size("b") >= longer * size("a"))
     return a.join(b, "image").where(cross).groupBy("image", F.col("a_id").alias("window")).agg(F.min("b_id").alias("crossed_by"))
 
 
 def door_window_pairs(doors: DataFrame, windows: DataFrame, gap: float = 15.0) -> DataFrame:
     """For each door the collinear window of similar size that is nearest along the axis: least (gap, offset, id)."""
-    cols = ("id", "horizontal", "at", "low", "high")
+    cols = ("id", "horizontal", "pos", "low", "high")
     d, w = _prefixed(doors.select("image", *cols), "d"), _prefixed(windows.select("image", *cols), "w")
     between = F.greatest(F.lit(0.0), F.col("w_low") - F.col("d_high"), F.col("d_low") - F.col("w_high"))
-    offset, size = F.abs(F.col("d_at") - F.col("w_at")), lambda p: F.col(f"{p}_high") - F.col(f"{p}_low")
+    offset, size = F.abs(F.col("d_pos") - F.col("w_pos")), lambda p: F.col(f"{p}_high") - F.col(f"{p}_low")
     fits = (F.col("d_horizontal") == F.col("w_horizontal")) & (offset <= 6) & (between <= gap) & (F.least(size("d"), size("w")) >= 0.5 * F.greatest(size("d"), size("w")))
     best = F.min(F.struct(between.alias("gap"), offset.alias("offset"), F.col("w_id").alias("window"))).alias("b")
     return d.join(w, "image").where(fits).groupBy("image", F.col("d_id").alias("door")).agg(best).select("image", "door", "b.window", "b.gap", "b.offset")

@@ -64,10 +64,10 @@ def dangling_paths(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 def atomic_edges(sides: DataFrame, least: float = 1.0) -> DataFrame:
     """Axis-parallel sides split at all cuts of their line into atomic edges, with their owners.
 
-    Columns: image, horizontal, at, low, high, owner. Cuts are the ends of all sides on the same line (equal `at`); a cut's next
+    Columns: image, horizontal, pos, low, high, owner. Cuts are the ends of all sides on the same line (equal `pos`); a cut's next
     one by `lead` bounds an edge, and a range join with the sides finds the owners. Edges shorter than `least` go.
     """
-    line = ["image", "horizontal", "at"]
+    line = ["image", "horizontal", "pos"]
     cuts = sides.select(*line, F.explode(F.array("low", "high")).alias("low")).distinct()
     edges = cuts.withColumn("high", F.lead("low").over(Window.partitionBy(*line).orderBy("low"))).where(F.col("high") - F.col("low") >= least)
     s = sides.select(*line, F.col("low").alias("s_low"), F.col("high").alias("s_high"), "owner")

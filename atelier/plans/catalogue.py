@@ -125,11 +125,11 @@ def bind_nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _axis(segments: DataFrame) -> DataFrame:
-    return segments.select("image", "id", "horizontal", F.when(F.col("horizontal"), F.col("y1")).otherwise(F.col("x1")).alias("at"), F.when(F.col("horizontal"), F.col("x1")).otherwise(F.col("y1")).alias("low"), F.when(F.col("horizontal"), F.col("x2")).otherwise(F.col("y2")).alias("high"))
+    return segments.select("image", "id", "horizontal", F.when(F.col("horizontal"), F.col("y1")).otherwise(F.col("x1")).alias("pos"), F.when(F.col("horizontal"), F.col("x1")).otherwise(F.col("y1")).alias("low"), F.when(F.col("horizontal"), F.col("x2")).otherwise(F.col("y2")).alias("high"))
 
 
-@query(f"""WITH e AS (SELECT image, id, horizontal, CASE WHEN horizontal THEN y1 ELSE x1 END AS at, CASE WHEN horizontal THEN x1 ELSE y1 END AS low, CASE WHEN horizontal THEN x2 ELSE y2 END AS high FROM {sql("segments")}),
-  hit AS (SELECT w.id, count(*) AS n, min(e.id) AS edge FROM {sql("windows")} w JOIN e ON e.image = w.image AND e.horizontal = w.horizontal AND abs(e.at - w.at) <= 2 AND e.low <= w.low AND w.high <= e.high GROUP BY w.id)
+@query(f"""WITH e AS (SELECT image, id, horizontal, CASE WHEN horizontal THEN y1 ELSE x1 END AS pos, CASE WHEN horizontal THEN x1 ELSE y1 END AS low, CASE WHEN horizontal THEN x2 ELSE y2 END AS high FROM {sql("segments")}),
+  hit AS (SELECT w.id, count(*) AS n, min(e.id) AS edge FROM {sql("windows")} w JOIN e ON e.image = w.image AND e.horizontal = w.horizontal AND abs(e.pos - w.pos) <= 2 AND e.low <= w.low AND w.high <= e.high GROUP BY w.id)
   SELECT w.image, w.id AS cut, CASE WHEN n = 1 THEN edge END AS edge, CASE WHEN n IS NULL THEN 'no_carrier' WHEN n > 1 THEN 'several_carriers' ELSE 'bound' END AS reason FROM {sql("windows")} w LEFT JOIN hit USING (id)""")
 def bind_unique_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.unique_carrier(table(spark, sf_dir, "windows"), _axis(table(spark, sf_dir, "segments")))
@@ -147,23 +147,23 @@ _W = sql("windows")
 
 
 @query(f"""SELECT a.image, a.id AS strip, min(b.id) AS parent FROM {_W} a JOIN {_W} b ON a.image = b.image AND a.id <> b.id AND a.horizontal = b.horizontal WHERE a.thickness <= 0.4 * b.thickness AND a.high - a.low <= 1.05 * (b.high - b.low)
-  AND least(a.high, b.high) - greatest(a.low, b.low) >= 0.9 * (a.high - a.low) AND abs(a.at - b.at) <= b.thickness / 2 + 2 GROUP BY ALL""")
+  AND least(a.high, b.high) - greatest(a.low, b.low) >= 0.9 * (a.high - a.low) AND abs(a.pos - b.pos) <= b.thickness / 2 + 2 GROUP BY ALL""")
 def window_strip_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.strips_in_windows(table(spark, sf_dir, "windows"))
 
 
-@query(f"""SELECT a.image, a.id AS "window", b.id AS partner FROM {_W} a JOIN {_W} b ON a.image = b.image AND a.id <> b.id AND a.horizontal = b.horizontal WHERE abs(a.at - b.at) <= 20 AND greatest(0, least(a.high, b.high) - greatest(a.low, b.low)) >= 0.75 * least(a.high - a.low, b.high - b.low)""")
+@query(f"""SELECT a.image, a.id AS "window", b.id AS partner FROM {_W} a JOIN {_W} b ON a.image = b.image AND a.id <> b.id AND a.horizontal = b.horizontal WHERE abs(a.pos - b.pos) <= 20 AND greatest(0, least(a.high, b.high) - greatest(a.low, b.low)) >= 0.75 * least(a.high - a.low, b.high - b.low)""")
 def parallel_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.parallel_windows(table(spark, sf_dir, "windows"))
 
 
-@query(f"""SELECT a.image, a.id AS "window", min(b.id) AS crossed_by FROM {_W} a JOIN {_W} b ON a.image = b.image AND a.horizontal <> b.horizontal WHERE b.at BETWEEN a.low AND a.high AND a.at BETWEEN b.low AND b.high AND b.high - b.low >= 1.2 * (a.high - a.low) GROUP BY ALL""")
+@query(f"""SELECT a.image, a.id AS "window", min(b.id) AS crossed_by FROM {_W} a JOIN {_W} b ON a.image = b.image AND a.horizontal <> b.horizontal WHERE b.pos BETWEEN a.low AND a.high AND a.pos BETWEEN b.low AND b.high AND b.high - b.low >= 1.2 * (a.high - a.low) GROUP BY ALL""")
 def crossing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.crossing_windows(table(spark, sf_dir, "windows"))
 
 
-@query(f"""WITH c AS (SELECT d.image, d.id AS door, w.id AS "window", greatest(0, w.low - d.high, d.low - w.high) AS gap, abs(d.at - w.at) AS "offset" FROM {_W} d JOIN {_W} w ON d.image = w.image AND d.horizontal = w.horizontal
-    WHERE d.id % 3 = 0 AND w.id % 3 <> 0 AND abs(d.at - w.at) <= 6 AND least(d.high - d.low, w.high - w.low) >= 0.5 * greatest(d.high - d.low, w.high - w.low))
+@query(f"""WITH c AS (SELECT d.image, d.id AS door, w.id AS "window", greatest(0, w.low - d.high, d.low - w.high) AS gap, abs(d.pos - w.pos) AS "offset" FROM {_W} d JOIN {_W} w ON d.image = w.image AND d.horizontal = w.horizontal
+    WHERE d.id % 3 = 0 AND w.id % 3 <> 0 AND abs(d.pos - w.pos) <= 6 AND least(d.high - d.low, w.high - w.low) >= 0.5 * greatest(d.high - d.low, w.high - w.low))
   SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY door ORDER BY gap, "offset", "window") AS k FROM c WHERE gap <= 15) WHERE k = 1""")
 def door_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "windows")
@@ -172,12 +172,12 @@ def door_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY thickness, id) AS k FROM {_W}),
   walk(image, k, kept) AS (SELECT DISTINCT image, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM s UNION ALL
-    SELECT s.image, s.k, CASE WHEN EXISTS (SELECT 1 FROM s o WHERE o.image = s.image AND list_contains(kept, o.id) AND o.horizontal = s.horizontal AND abs(o.at - s.at) <= 8 AND least(o.high, s.high) - greatest(o.low, s.low) >= 0.5 * (s.high - s.low)) THEN kept ELSE list_append(kept, s.id) END
+    SELECT s.image, s.k, CASE WHEN EXISTS (SELECT 1 FROM s o WHERE o.image = s.image AND list_contains(kept, o.id) AND o.horizontal = s.horizontal AND abs(o.pos - s.pos) <= 8 AND least(o.high, s.high) - greatest(o.low, s.low) >= 0.5 * (s.high - s.low)) THEN kept ELSE list_append(kept, s.id) END
     FROM walk w JOIN s ON s.image = w.image AND s.k = w.k + 1)
   SELECT image, unnest(kept) AS id FROM (SELECT image, kept, row_number() OVER (PARTITION BY image ORDER BY k DESC) AS n FROM walk) WHERE n = 1""")
 def priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers in order of thickness; a kept one removes later ones on nearly the same line that it covers by half."""
-    same = (F.col("a_horizontal") == F.col("b_horizontal")) & (F.abs(F.col("a_at") - F.col("b_at")) <= 8) & (F.least("a_high", "b_high") - F.greatest("a_low", "b_low") >= 0.5 * (F.col("b_high") - F.col("b_low")))
+    same = (F.col("a_horizontal") == F.col("b_horizontal")) & (F.abs(F.col("a_pos") - F.col("b_pos")) <= 8) & (F.least("a_high", "b_high") - F.greatest("a_low", "b_low") >= 0.5 * (F.col("b_high") - F.col("b_low")))
     return binding.priority_dedup(table(spark, sf_dir, "windows"), same, ["thickness", "id"]).select("image", "id")
 
 
@@ -372,9 +372,9 @@ def dangling_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dangling_paths(tree)
 
 
-@query(f"""WITH s AS (SELECT image, horizontal, at, low, high, id FROM {_W}), c AS (SELECT image, horizontal, at, low AS v FROM s UNION SELECT image, horizontal, at, high FROM s),
-  e AS (SELECT image, horizontal, at, v AS low, min(n) AS high FROM (SELECT c.*, d.v AS n FROM c JOIN c d USING (image, horizontal, at) WHERE d.v > c.v) GROUP BY ALL)
-  SELECT e.image, e.horizontal, e.at, e.low, e.high, string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.id) AS owners FROM e JOIN s ON s.image = e.image AND s.horizontal = e.horizontal AND s.at = e.at AND s.low <= e.low AND e.high <= s.high WHERE e.high - e.low >= 1 GROUP BY ALL""")
+@query(f"""WITH s AS (SELECT image, horizontal, pos, low, high, id FROM {_W}), c AS (SELECT image, horizontal, pos, low AS v FROM s UNION SELECT image, horizontal, pos, high FROM s),
+  e AS (SELECT image, horizontal, pos, v AS low, min(n) AS high FROM (SELECT c.*, d.v AS n FROM c JOIN c d USING (image, horizontal, pos) WHERE d.v > c.v) GROUP BY ALL)
+  SELECT e.image, e.horizontal, e.pos, e.low, e.high, string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.id) AS owners FROM e JOIN s ON s.image = e.image AND s.horizontal = e.horizontal AND s.pos = e.pos AND s.low <= e.low AND e.high <= s.high WHERE e.high - e.low >= 1 GROUP BY ALL""")
 def atomic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = table(spark, sf_dir, "windows").withColumnRenamed("id", "owner")
     return graph.atomic_edges(sides).withColumn("owners", F.array_join("owners", ","))

@@ -44,7 +44,7 @@ TABLES: dict[str, tuple[str, str, str]] = {
     ),
     "windows": (
         "orders",
-        "o_custkey AS image, o_orderkey AS id, o_orderkey % 2 = 0 AS horizontal, CAST((o_orderkey * 19) % 40 AS DOUBLE) AS at, CAST((o_orderkey * 37) % 60 AS DOUBLE) AS low, CAST((o_orderkey * 37) % 60 + 10 + (o_orderkey * 13) % 50 AS DOUBLE) AS high, CAST(2 + (o_orderkey * 7) % 14 AS DOUBLE) AS thickness",
+        "o_custkey AS image, o_orderkey AS id, o_orderkey % 2 = 0 AS horizontal, CAST((o_orderkey * 19) % 40 AS DOUBLE) AS pos, CAST((o_orderkey * 37) % 60 AS DOUBLE) AS low, CAST((o_orderkey * 37) % 60 + 10 + (o_orderkey * 13) % 50 AS DOUBLE) AS high, CAST(2 + (o_orderkey * 7) % 14 AS DOUBLE) AS thickness",
         "true",
     ),
     "pixels": ("lineitem", "l_suppkey AS image, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS t0, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS region, CASE WHEN l_tax > 0.075 THEN 255 WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS truth, (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END + CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) % 3 AS pred", "true"),

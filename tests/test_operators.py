@@ -50,8 +50,8 @@ def test_missing_annotation_is_not_empty(spark):
 
 
 def test_priority_dedup_a_removed_row_removes_nothing(spark):
-    rows = spark.createDataFrame([(1, 1, 0.0), (1, 2, 1.0), (1, 3, 2.0), (1, 4, 9.0), (2, 5, 0.0)], "image long, id long, at double")
-    same = F.abs(F.col("a_at") - F.col("b_at")) <= 1
+    rows = spark.createDataFrame([(1, 1, 0.0), (1, 2, 1.0), (1, 3, 2.0), (1, 4, 9.0), (2, 5, 0.0)], "image long, id long, pos double")
+    same = F.abs(F.col("a_pos") - F.col("b_pos")) <= 1
     kept = binding.priority_dedup(rows, same, ["id"]).select("id").collect()
     assert sorted(r["id"] for r in kept) == [1, 3, 4, 5]
 
