@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import geometry as geo
 from ..functions import scalars
-from ..operators import binding, curation, graph, islands, matching, metrics, pixels, quality
+from ..operators import binding, curation, evidence, graph, islands, matching, metrics, pixels, quality
 from .derived import sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -631,3 +631,94 @@ def previous_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda s: F.when((s["cur"] % 3 == 0) & (s["cur"] > 0), F.struct((s["depth"] + 1).alias("depth"), F.floor(s["cur"] / 3).alias("cur"))).otherwise(s)
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0).alias("depth"), F.col("c_custkey").alias("cur")), lambda s, _: step(s))
     return spark_docs.withColumn("w", walk).select(F.col("c_custkey").alias("doc"), "w.depth", F.col("w.cur").alias("origin"))
+
+
+# --- evidence ----------------------------------------------------------------------------------------------------------
+
+@query(f"""SELECT image, edge, thickness FROM (SELECT o.image, o.id AS edge, s.id % 17 AS thickness, row_number() OVER (PARTITION BY o.id ORDER BY round(sqrt((o.cx-s.x1)*(o.cx-s.x1)+(o.cy-s.y1)*(o.cy-s.y1)), 9), s.id) AS k FROM {sql("openings")} o JOIN {sql("segments")} s USING (image)) WHERE k = 1""")
+def nearest_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "segments").select("image", F.col("id").alias("ordinal"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("id") % 17).alias("thickness"))
+    return evidence.nearest_thickness(table(spark, sf_dir, "openings"), s)
+
+
+@query(f"""SELECT image, l AS "left", r AS "right" FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY total, r) AS k FROM (SELECT a.image, a.id AS l, b.id AS r, least(CASE WHEN p <= 20 AND q <= 20 THEN p + q END, CASE WHEN u <= 20 AND v <= 20 THEN u + v END) AS total
+  FROM {sql("segments")} a JOIN {sql("segments")} b ON a.image = b.image AND b.id % 2 = 0, LATERAL (SELECT sqrt((a.x1-b.x1)*(a.x1-b.x1)+(a.y1-b.y1)*(a.y1-b.y1)) AS p, sqrt((a.x2-b.x2)*(a.x2-b.x2)+(a.y2-b.y2)*(a.y2-b.y2)) AS q, sqrt((a.x1-b.x2)*(a.x1-b.x2)+(a.y1-b.y2)*(a.y1-b.y2)) AS u, sqrt((a.x2-b.x1)*(a.x2-b.x1)+(a.y2-b.y1)*(a.y2-b.y1)) AS v)) WHERE total IS NOT NULL) WHERE k = 1""")
+def fuzzy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "segments")
+    return evidence.fuzzy_spans(s, s.where("id % 2 = 0"), 20.0)
+
+
+@query("""WITH m AS (SELECT o_custkey AS image, o_orderkey // 3 * 3 AS opening, o_orderkey % 5 AS wall, 10 + o_orderkey % 4 AS t FROM orders WHERE o_orderkey % 3 < 2), n AS (SELECT image, opening, count(*) AS n, min(wall) AS wall, min(t) AS t FROM m GROUP BY ALL)
+  SELECT o.o_custkey AS image, o.o_orderkey AS opening, CASE WHEN n IS NULL THEN 'no_measurement' WHEN n > 1 THEN 'several_measurements' WHEN n.wall = 4 THEN 'missing_wall' WHEN abs(t - (8 + n.wall)) > 0.25 * (8 + n.wall) THEN 'thickness_mismatch' ELSE 'confirmed' END AS status
+  FROM orders o LEFT JOIN n ON n.image = o_custkey AND opening = o_orderkey""")
+def measurement_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    m = o.where("o_orderkey % 3 < 2").selectExpr("o_custkey AS image", "o_orderkey AS id", "array(o_orderkey div 3 * 3) AS opening_ids", "o_orderkey % 5 AS wall", "10 + o_orderkey % 4 AS thickness")
+    walls = o.select(F.col("o_custkey").alias("image")).distinct().select("image", F.explode(F.array(*(F.lit(k).cast("long") for k in range(4)))).alias("wall")).withColumn("thickness", F.col("wall") + 8)
+    return evidence.measurement_status(o.selectExpr("o_custkey AS image", "o_orderkey AS id"), m, walls)
+
+
+@query("""WITH l AS (SELECT o_custkey AS image, o_orderkey % 6 AS jamb, o_orderkey % 7 AS stub FROM orders) SELECT image, jamb, stub FROM l WHERE (image, jamb) IN (SELECT image, jamb FROM l GROUP BY ALL HAVING count(*) = 1) AND (image, stub) IN (SELECT image, stub FROM l GROUP BY ALL HAVING count(*) = 1)""")
+def one_to_one_jambs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.one_to_one(read(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "o_orderkey % 6 AS jamb", "o_orderkey % 7 AS stub"), "jamb", "stub")
+
+
+@query("""SELECT l_suppkey AS image, l_linenumber AS segment, median(l_quantity) AS width, count(*) AS n, max(l_quantity) <= 1.4 * min(l_quantity) AS consistent FROM lineitem GROUP BY 1, 2""")
+def cross_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.cross_sections(read(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS image", "l_linenumber AS segment", "l_quantity AS width"))
+
+
+@query(f"""SELECT image, id, CASE WHEN thickness < 5 THEN 'interior' WHEN length < 15 AND horizontal THEN 'endcap' WHEN thickness > 12 OR length / thickness < 1.5 THEN 'duplicate' WHEN cx < 20 THEN 'one_sided' ELSE 'kept' END AS route FROM {sql("openings")}""")
+def opening_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings leave at the first rule of a fixed precedence that claims them."""
+    t, n = F.col("thickness"), F.col("length")
+    steps = [(t < 5, "interior"), ((n < 15) & F.col("horizontal"), "endcap"), ((t > 12) | (n / t < 1.5), "duplicate"), (F.col("cx") < 20, "one_sided")]
+    return evidence.routed(table(spark, sf_dir, "openings"), steps).select("image", "id", "route")
+
+
+@query(f"""SELECT image, min(id) AS id FROM {sql("openings")} WHERE length > 30 GROUP BY image HAVING count(*) = 1""")
+def only_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.only_proposal(table(spark, sf_dir, "openings").where("length > 30"), ["image"]).select("image", "id")
+
+
+@query("""WITH n AS (SELECT o_custkey AS image, o_orderkey AS id, CAST(o_orderkey * 53 % 200 AS DOUBLE) AS x, CAST(o_orderkey * 29 % 5 AS DOUBLE) AS y, CASE WHEN o_orderkey % 2 = 0 THEN 1.0e0 ELSE -1.0e0 END AS dx FROM orders)
+  SELECT image, a, b, distance FROM (SELECT a.image, a.id AS a, b.id AS b, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS distance, a.dx * (b.x - a.x) AS ca, -b.dx * (b.x - a.x) AS cb FROM n a JOIN n b ON a.image = b.image AND a.id < b.id)
+  WHERE distance BETWEEN 20 AND 90 AND ca / distance >= 0.98 AND cb / distance >= 0.98""")
+def endpoint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = read(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "o_orderkey AS id", "CAST(o_orderkey * 53 % 200 AS DOUBLE) AS x", "CAST(o_orderkey * 29 % 5 AS DOUBLE) AS y", "CASE WHEN o_orderkey % 2 = 0 THEN 1.0D ELSE -1.0D END AS dx", "0.0D AS dy")
+    return evidence.endpoint_pairs(nodes, 20.0, 90.0)
+
+
+@query(f"""SELECT image, node, count(*) AS degree, CASE count(*) WHEN 1 THEN 'end' WHEN 2 THEN 'line' WHEN 3 THEN 'T' ELSE 'X' END AS kind FROM (SELECT image, a AS node FROM {_EDGES} UNION ALL SELECT image, b FROM {_EDGES}) GROUP BY ALL""")
+def junction_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.node_degrees(_edges(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT c_custkey AS image, [c_custkey % 7, c_custkey % 5, c_custkey % 11, c_custkey % 3] AS v FROM customer), m AS (SELECT image, k, list_sum(list_filter(v, lambda x, i: (k >> (i - 1)) & 1 = 1)) AS total FROM s, range(1, 16) AS r(k))
+  SELECT c_custkey AS image, best FROM customer LEFT JOIN (SELECT image, arg_min(k, CAST(bit_count(k) AS INTEGER) * 100 + k) AS best FROM m WHERE total >= 12 GROUP BY image) ON image = c_custkey""")
+def least_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest subset of four candidates whose sizes add up to twelve, as a bit mask."""
+    v = F.array(*(F.col("c_custkey") % k for k in (7, 5, 11, 3)))
+    enough = lambda chosen: F.aggregate(chosen, F.lit(0).cast("long"), lambda s, x: s + x) >= 12
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image"), evidence.least_subset(v, 4, enough).alias("best"))
+
+
+@query("""SELECT lang, count(*) FILTER (e IS NULL) AS ok, count(*) FILTER (e IS NOT NULL) AS failed, min(e) AS first_error FROM (SELECT lang, CASE WHEN n_chars < 500 THEN 'too_short' WHEN n_chars > 8000 THEN 'too_long' END AS e FROM documents) GROUP BY lang""")
+def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that an audit passed or failed, with the reason, for each language."""
+    error = F.when(F.col("n_chars") < 500, "too_short").when(F.col("n_chars") > 8000, "too_long")
+    return evidence.captured(read(spark, sf_dir, "documents"), ["lang"], error)
+
+
+@query(f"""SELECT image, id FROM (SELECT *, row_number() OVER (PARTITION BY image, least(x1, x2), least(y1, y2), greatest(x1, x2), greatest(y1, y2) ORDER BY id) AS k FROM {sql("segments")}) WHERE k = 1""")
+def first_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of segments with the same ends the first one."""
+    return binding.first_by_ends(table(spark, sf_dir, "segments"), ["id"]).select("image", "id")
+
+
+@query(f"""SELECT image, count(*) AS segments, sum(x2 - x1 + y2 - y1) AS total_length, count(*) FILTER (horizontal) AS horizontal FROM {sql("segments")} GROUP BY image""")
+def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and summed edge lengths of each plan."""
+    s = table(spark, sf_dir, "segments")
+    length = geo.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return s.groupBy("image").agg(F.count("*").alias("segments"), F.sum(length).alias("total_length"), F.count_if("horizontal").alias("horizontal"))
