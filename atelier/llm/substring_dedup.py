@@ -1,14 +1,15 @@
 """Repeated passages across documents, found as near-duplicate paragraphs.
 
-Texts need not agree on line breaks, so paragraphs are anchored in the words themselves: of every WINDOW consecutive
-places where a paragraph could begin, the one whose five-word shingle has the least hash begins a paragraph of SIZE words.
-Two texts that share WINDOW + SIZE - 1 = 50 words share a paragraph for certain, wherever they stand.
+Two kinds of paragraphs cover a text. Natural ones are its lines of LINE words at least. But a passage need not begin or end
+with a line, so others are anchored in the words: of every WINDOW consecutive places where one could begin, the place
+whose five-word shingle has the least hash begins a paragraph of SIZE words. Two texts that share WINDOW + SIZE - 1 = 50 words
+share an anchored paragraph for certain, wherever the passage stands.
 
-Equal paragraphs form a class by their hash, counted with partial sums. Each class has MinHash values in `BANDS` bands of
-ROWS (tuned for a recall of 0.94 at a similarity of 0.8; equal paragraphs never depend on it). Classes that collide in a
-band are linked to the band's least one, so links stay linear; in the components of these links all pairs are verified on
-exact Jaccard in blocks (jaccard_join.verified), and components of verified links cluster the removals: each cluster
-that occurs in two documents at least keeps its first occurrence (least document, then place).
+Equal paragraphs form a class by their hash, counted with partial sums. Natural ones also have MinHash values in BANDS bands of
+ROWS, tuned for a recall of 0.98 at a similarity of 0.8: classes that collide in a band are linked to the band's least one, so
+links stay linear; in the components of these links all pairs are verified on exact Jaccard in blocks
+(jaccard_join.verified), and components of verified links cluster the removals. Each cluster that occurs in two
+documents at least stays in its least document and is removed from the others.
 
 Nulls, empty texts and texts of fewer than SIZE words have no paragraphs. A null doc_id takes part under a negative id
 made from its text. Rows with one id are one document: repeated rows alone don't repeat a passage. Empty tables give
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import _TO_SPACE, Hashes, components, grams, mix, stored
 from .jaccard_join import BROADCAST_ROWS, minhash, signature, verified
 
-K, SIZE, WINDOW, THRESHOLD, ROWS = 5, 18, 33, 0.8, 3
-_MARK = "key long, id long, doc_id long, word int, start int, end int, b0 long, b1 long, b2 long, b3 long"
+K, SIZE, WINDOW, LINE, THRESHOLD, ROWS = 5, 18, 33, 20, 0.8, 4
+_MARK = "key long, id long, doc_id long, word int, start int, end int, bands array<long>"
 
 
 def ident(id_col: str, text_col: str) -> Column:
@@ -43,17 +44,18 @@ def tuned(threshold: float, rows: int, recall: float) -> int:
     return bands
 
 
-BANDS = tuned(THRESHOLD, ROWS, 0.94)
+BANDS = tuned(THRESHOLD, ROWS, 0.98)
 _ODD = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def placed_words(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words and their begins and ends in code points."""
-    raw = text.encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE)
+def placed_words(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their begins and ends in code points, and the line that each is in."""
+    raw = text.encode("utf-8", "surrogatepass")
     a = np.frombuffer(raw, np.uint8)
-    edges = np.flatnonzero(np.diff(a == 32, prepend=True, append=True))
+    low = raw.lower().translate(_TO_SPACE)
+    edges = np.flatnonzero(np.diff(np.frombuffer(low, np.uint8) == 32, prepend=True, append=True))
     points = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
-    return raw.split(), points[edges[::2]], points[edges[1::2]]
+    return low.split(), points[edges[::2]], points[edges[1::2]], np.searchsorted(np.flatnonzero(a == 10), edges[::2])
 
 
 def _slide(x: np.ndarray, window: int, best) -> np.ndarray:
@@ -75,85 +77,105 @@ def anchors(g: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(_slide(np.concatenate([ends, least, ends]), window, np.maximum) == g)
 
 
-def paragraphs(tokens: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the paragraphs, and the shingle hashes of each (a row of SIZE - K + 1)."""
-    if len(tokens) < SIZE:
-        return np.empty(0, np.int64), np.empty((0, SIZE - K + 1), np.uint64)
-    g = grams(hashes.of(tokens), K)
-    at = anchors(g[: len(tokens) - SIZE + 1], WINDOW)
+def anchored(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and keys of the anchored paragraphs of a text of n words with shingle hashes g."""
+    if n < SIZE:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = anchors(g[: n - SIZE + 1], WINDOW)
     rows = g[at[:, None] + np.arange(SIZE - K + 1)]
     fresh = np.ones(len(at), bool)  # one word over and over: equal paragraphs that overlap count once
     fresh[1:] = (rows[1:] != rows[:-1]).any(1) | (np.diff(at) >= SIZE)
-    return at[fresh], rows[fresh]
-
-
-def _keys(rows: np.ndarray) -> np.ndarray:
-    code = np.zeros(len(rows), np.uint64)
+    code = np.zeros(int(fresh.sum()), np.uint64)
     for c in range(rows.shape[1]):
-        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + rows[:, c])
+        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + rows[fresh, c])
+    return at[fresh], code.view(np.int64)
+
+
+def natural(g: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words, sizes in words, keys of the lines of LINE words at least, and which shingles lie in each (as begins and ends)."""
+    begins = np.flatnonzero(np.diff(lines, prepend=-1))
+    sizes = np.diff(np.append(begins, len(lines)))
+    begins, sizes = begins[sizes >= LINE], sizes[sizes >= LINE]
+    ends = begins + sizes - K + 1
+    if not len(begins):
+        return begins, sizes, np.empty(0, np.int64), ends
+    inside = _inside(begins, ends)
+    place = np.arange(len(inside)) - np.repeat(np.cumsum(ends - begins) - (ends - begins), ends - begins)
+    code = mix(g[inside] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return begins, sizes, np.add.reduceat(code, np.cumsum(ends - begins) - (ends - begins)).view(np.int64), ends
+
+
+def _inside(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n = ends - begins
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins, n)
+
+
+def _bands(g: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Band hashes of the shingles [begins, ends): a row of BANDS for each."""
+    n = ends - begins
+    own = g[_inside(begins, ends)]
+    least = np.minimum.reduceat((own[:, None] * _ODD) >> np.uint64(32), np.cumsum(n) - n, axis=0)
+    code = np.tile(np.arange(BANDS, dtype=np.uint64), (len(n), 1))
+    for r in range(ROWS):
+        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + least[:, r * BANDS : (r + 1) * BANDS])
     return code.view(np.int64)
 
 
-def _bands(rows: np.ndarray) -> list[np.ndarray]:
-    least = ((rows[:, :, None] * _ODD) >> np.uint64(48)).min(1) if len(rows) else np.empty((0, BANDS * ROWS), np.uint64)
-    out = []
-    for b in range(BANDS):
-        code = np.full(len(rows), b, np.uint64)
-        for r in range(ROWS):
-            code = (code << np.uint64(16)) | least[:, b * ROWS + r]
-        out.append(code.view(np.int64))
-    return out
-
-
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = Hashes()
+    hashes, names = Hashes(), [x.split()[0] for x in _MARK.split(", ")]
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             cut = batch.slice(lo, 500)
-            counts, places, rows = [], [], []
-            for text in cut.column(2):
-                own, begins, ends = placed_words(text.as_py() or "")
-                at, g = paragraphs(own, hashes)
-                counts.append(len(at))
-                if len(at):
-                    places.append(np.stack([at, begins[at], ends[at + SIZE - 1]]))
-                    rows.append(g)
-            if rows:
-                g, (word, start, end) = np.concatenate(rows), np.concatenate(places, axis=1).astype(np.int32)
-                owner = pa.array(np.repeat(np.arange(len(counts)), counts))
-                names = [x.split()[0] for x in _MARK.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(g)), cut.column(0).take(owner), cut.column(1).take(owner), *map(pa.array, (word, start, end)), *map(pa.array, _bands(g))], names=names)
+            owner, keys, places, banded = [], [], [], []
+            for k, text in enumerate(cut.column(2)):
+                tokens, begins, ends, lines = placed_words(text.as_py() or "")
+                if len(tokens) < SIZE:
+                    continue
+                g = grams(hashes.of(tokens), K)
+                at, key = anchored(g, len(tokens))
+                first, size, line_key, stop = natural(g, lines)
+                owner += [k] * (len(at) + len(first))
+                keys += [key, line_key]
+                places += [np.stack([at, begins[at], ends[at + SIZE - 1]]), np.stack([first, begins[first], ends[first + size - 1]])]
+                banded += [(len(at), None), (len(first), _bands(g, first, stop) if len(first) else None)]
+            if owner:
+                word, start, end = np.concatenate(places, axis=1).astype(np.int32)
+                sizes = np.concatenate([np.full(n, 0 if b is None else BANDS) for n, b in banded])
+                flat = [b.ravel() for _, b in banded if b is not None]
+                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), cut.column(0).take(rows), cut.column(1).take(rows), pa.array(word), pa.array(start), pa.array(end), lists], names=names)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-5) -> DataFrame:
-    """Every occurrence of a repeated paragraph: doc_id, id, start, end (code points), class_id, kept (the first occurrence)."""
+    """Every occurrence of a repeated paragraph: doc_id, id, start, end (code points), class_id, kept (it stays in this document)."""
     spark = docs.sparkSession
     texts = docs.select(ident(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = stored(texts.mapInArrow(_marked, _MARK), "paragraphs")
 
-    own = [f"b{i}" for i in range(BANDS)]
-    in_bands = marks.groupBy("key", *own).agg(F.lit(1).alias("one")).select("key", F.explode(F.array(*own)).alias("band"))
+    in_bands = marks.where(F.size("bands") > 0).select("key", F.explode("bands").alias("band")).distinct()
     hubs = in_bands.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    links = in_bands.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    near = components(links)
+    near = components(in_bands.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
 
     few = near.count() <= BROADCAST_ROWS
     sent = F.broadcast(near) if few else near
-    members = marks.join(sent, marks.key == near.node).groupBy("root", "key").agg(F.min(F.struct("id", "word")).alias("p"), F.count("*").alias("copies"))
-    members = stored(members.select("root", "key", "copies", "p.id", "p.word"), "paragraph-members")
-    wanted = members.groupBy("id").agg(F.collect_list(F.struct("word", "key", "root", "copies")).alias("wanted"))  # paragraphs of one document
+    held = marks.where(F.size("bands") > 0).select("key", "id", "word").join(sent, marks.key == near.node)
+    members = stored(held.groupBy("root", "key").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "paragraph-members")
+    wanted = members.groupBy("id").agg(F.collect_list(F.struct("key", "root", "copies")).alias("wanted"))  # lines of one document
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
             out = []
             for text, asked in zip(batch.column(0), batch.column(1), strict=True):
-                at, rows = paragraphs(placed_words(text.as_py() or "")[0], hashes)
-                found = {(int(a), int(k)): r for a, k, r in zip(at, _keys(rows), rows, strict=True)}
+                tokens, _, _, lines = placed_words(text.as_py() or "")
+                g = grams(hashes.of(tokens), K)
+                first, _, keys, stop = natural(g, lines)
+                found = {int(k): (a, b) for k, a, b in zip(keys, first, stop, strict=True)}
                 for w in asked.as_py():
-                    row = found.get((w["word"], w["key"]))
-                    if row is not None:  # else another row with the same id has it
-                        u = np.unique(row)
+                    if w["key"] in found:  # else another row with the same id has it
+                        a, b = found[w["key"]]
+                        u = np.unique(g[a:b])
                         out.append((w["root"], w["key"], w["copies"], signature(minhash(u)), u.tobytes()))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64()] * 3 + [pa.binary()] * 2
@@ -164,13 +186,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     checked = verified(found, members.select("root"), threshold, tolerance)
     final = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
-    first = F.min(F.struct("id", "word")).alias("first")
-    by_key = marks.groupBy("key").agg(first, F.max("id").alias("last"))
-    named = by_key.join(final, by_key.key == final.node, "left").select("key", "first", "last", F.coalesce("root", "key").alias("class_id"))
-    several = named.groupBy("class_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where(F.col("last") > F.col("keeper.id"))
-    repeated = named.select("key", "class_id").join(several.select("class_id", "keeper"), "class_id")
-    out = marks.select("key", "doc_id", "id", "word", "start", "end").join(repeated, "key")
-    return out.select("doc_id", "id", "start", "end", "class_id", (F.struct("id", "word") == F.col("keeper")).alias("kept"))
+    by_key = marks.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    alone = by_key.join(final, by_key.key == final.node, "left_anti").where("first < last").select("key", F.col("key").alias("class_id"), F.col("first").alias("keeper"))
+    linked = by_key.join(final, by_key.key == final.node).select("key", F.col("root").alias("class_id"), "first", "last")
+    several = linked.groupBy("class_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last").select("class_id", "keeper")
+    repeated = alone.unionByName(linked.select("key", "class_id").join(several, "class_id"))
+    out = marks.select("key", "doc_id", "id", "start", "end").join(repeated, "key")
+    return out.select("doc_id", "id", "start", "end", "class_id", (F.col("id") == F.col("keeper")).alias("kept"))
 
 
 def removals(passages: DataFrame) -> DataFrame:
