@@ -6,7 +6,8 @@ the host, so their number does not slow the scan. Every URL is judged in one pas
 
 A null URL or one without `://` has an empty host and path; it can't fit a rule with a host and is judged by the
 classifier alone. A host fits a rule if equal or a subdomain; the URL's path must start with the rule's path; of
-several the longest rule (host and path together, then the text itself) wins. Repeated rows are judged alike.
+several the longest rule (host and path together, then the text itself) wins. Repeated rows are judged alike. A column
+named as `result_col` is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 BITS, MAX_LABELLED, MAX_RULES, ORDERS = 15, 20_000, 100_000, (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICT = "struct<rule: string, verdict: string, p_block: double>"
@@ -27,19 +30,21 @@ VERDICT = "struct<rule: string, verdict: string, p_block: double>"
 BAD = "adult casino bets poker pills spam porn xxx viagra ads track malware phish warez lottery jackpot escort betting slots nude cam crack keygen scam".split()
 BAD_TAIL = "win farm cheap free x online bonus click".split()
 GOOD = "news docs wiki library university museum weather recipes science garden travel history music code school city books maps forum journal".split()
-SYLLABLES = "th er on an re ed nd ti st es or in ly ou ha en he at ble al is ne to ma".split()
+SYLLABLES = "th er on an re ed nd ti st es or in ly ou ha en ble he at".split()
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for block): blocked hosts join a bad word and a tail; good hosts are good words or joined syllables."""
-    out, before = [], ("", "www.", "m.", "blog.")
-    ends, langs = ("com", "net", "org"), ("en", "de", "fr", "es")
-    for i, (bad, tail) in enumerate(product(BAD, BAD_TAIL)):
-        host = f"{bad}-{tail}" if i % 2 else f"{tail}-{bad}"
-        out.append((f"http://{before[i % 4]}{host}.example.{ends[i % 3]}/{langs[i // 3 % 4]}/{i * 37}", 1))
-    goods = GOOD * 4 + [lead + a + b for a, b in product(SYLLABLES, SYLLABLES) for lead in ("", "th", "in")]
-    for i, word in enumerate(goods):
-        out.append((f"https://{before[i % 4]}{word}.example.{ends[i % 3]}/{langs[i // 3 % 4]}/{i * 41}{('', '.html', '/')[i % 3]}", 0))
+    """(url, 1 for block): blocked hosts join a bad word and a tail, or stand alone; good hosts are good words or joined syllables.
+
+    Both classes go through the same leads, domains, languages, numbers and endings, so that only words tell them apart.
+    """
+    heads = [f"{bad}-{tail}" if i % 2 else f"{tail}-{bad}" for i, (bad, tail) in enumerate(product(BAD, BAD_TAIL))] + BAD + [f"{a}{b}" for a, b in zip(BAD, BAD[5:] + BAD[:5], strict=True)]
+    goods = GOOD * 4 + [a + "-" + b for a, b in product(GOOD, GOOD[::4])] + [lead + a + b for a, b in product(SYLLABLES, SYLLABLES) for lead in ("", "th", "in")]
+    out = []
+    for label, hosts in ((1, heads), (0, goods)):
+        for i, host in enumerate(hosts):
+            lead, end, lang = ("", "www.", "m.", "blog.")[i % 4], ("com", "net", "org")[i % 3], ("en", "de", "fr", "es")[i // 3 % 4]
+            out.append((f"http://{lead}{host}.example.{end}/{lang}/{i * 37 % 90001}{('', '.html', '/', '')[i // 2 % 4]}", label))
     return out
 
 
@@ -75,8 +80,10 @@ def _features(hosts: Sequence[bytes], paths: Sequence[bytes]) -> tuple[np.ndarra
     return np.concatenate(buckets), np.concatenate(rows)
 
 
-def _values(rows: np.ndarray, n: int) -> np.ndarray:
-    return (1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1)))[rows]
+def _values(buckets: np.ndarray, rows: np.ndarray, n: int, rarity: np.ndarray) -> np.ndarray:
+    """Each n-gram's rarity, over the length of its row's vector."""
+    x = rarity[buckets]
+    return x / np.sqrt(np.maximum(np.bincount(rows, x * x, n), 1e-9))[rows]
 
 
 def _parts(url: str | None) -> tuple[bytes, bytes]:
@@ -87,36 +94,48 @@ def _parts(url: str | None) -> tuple[bytes, bytes]:
     return host.encode("utf-8", "replace").lower(), (slash + path).encode("utf-8", "replace")
 
 
-def train(labelled: Sequence[tuple[str, int]], rounds: int = 800, rate: float = 8.0, l2: float = 1e-4) -> np.ndarray:
-    """Weights by full-batch gradient steps; the same table always gives the same weights."""
+def train(labelled: Sequence[tuple[str, int]], rounds: int = 800, rate: float = 20.0, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, rarity of n-grams): full-batch gradient steps; the same table always gives the same model.
+
+    An n-gram's rarity is the log of how many rows there are for each that has it, 0 if none has; so what all hosts share counts little.
+    """
     if len(labelled) > MAX_LABELLED:
         raise ValueError(f"the labelled table has over {MAX_LABELLED} rows")
     if not labelled:
-        return np.zeros(1 << BITS)
+        return np.zeros(1 << BITS), np.zeros(1 << BITS)
     hosts, paths = zip(*(_parts(u) for u, _ in labelled), strict=True)
     y = np.array([v for _, v in labelled], float)
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both classes weigh alike
     buckets, rows = _features(hosts, paths)
-    x, w = _values(rows, len(y)), np.zeros(1 << BITS)
+    held = np.bincount(np.unique(buckets * len(y) + rows) // len(y), minlength=1 << BITS)
+    rarity = np.where(held > 0, np.log((len(y) + 1) / np.maximum(held, 1)), 0.0)
+    rarity[0] = max(rarity[0], 1.0)  # the bias
+    x, w = _values(buckets, rows, len(y), rarity), np.zeros(1 << BITS)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.bincount(rows, w[buckets] * x, len(y))))
         w -= rate * (np.bincount(buckets, ((p - y) * share)[rows] * x, len(w)) + l2 * w)
-    return w
+    return w, rarity
+
+
+def probabilities(hosts: Sequence[bytes], paths: Sequence[bytes], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    buckets, rows = _features(hosts, paths)
+    return 1 / (1 + np.exp(-np.bincount(rows, model[0][buckets] * _values(buckets, rows, len(hosts), model[1]), len(hosts))))
+
 
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: Sequence[tuple[str, int]] | None = None, url_col: str = "url", cut: float = 0.4, result_col: str = "judged") -> DataFrame:
+    """Adds struct `result_col` of host, path, rule, verdict and p_block. rules: (block or allow, host followed by path).
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: Sequence[tuple[str, int]] | None = None, url_col: str = "url", cut: float = 0.5, result_col: str = "judged") -> DataFrame:
-    """Adds struct `result_col` of host, path, rule, verdict and p_block. rules: (block or allow, host followed by path)."""
+    Without a fitting rule a URL is blocked from a probability of `cut` on.
+    """
     if len(rules) > MAX_RULES:
         raise ValueError(f"over {MAX_RULES} rules")
-    if result_col in pages.columns:
-        raise ValueError(f"there is a column {result_col} already")
     by_host: dict[str, list[tuple[int, str, str, str]]] = {}
     for verdict, rule in rules:
         host, slash, path = rule.partition("/")
         by_host.setdefault(host.lower(), []).append((len(rule), rule, slash + path, verdict))
     for own in by_host.values():
         own.sort(reverse=True)
-    weights = train(labelled_urls() if labelled is None else labelled).astype(np.float32)
+    model = train(labelled_urls() if labelled is None else labelled)
 
     def fitting(host: str, path: str) -> tuple[str, str] | None:
         best, at = None, 0
@@ -136,15 +155,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: Sequence
             out = []
             for lo in range(0, len(hosts), 2000):
                 h, p = hosts[lo : lo + 2000].to_pylist(), paths[lo : lo + 2000].to_pylist()
-                buckets, rows = _features([x.encode() for x in h], [x.encode() for x in p])
-                score = 1 / (1 + np.exp(-np.bincount(rows, weights[buckets] * _values(rows, len(h)), len(h))))
+                score = probabilities([x.encode() for x in h], [x.encode() for x in p], model)
                 for host, path, s in zip(h, p, score.tolist(), strict=True):
                     found = fitting(host, path)
                     out.append({"rule": found and found[0], "verdict": found[1] if found else "block" if s >= cut else "allow", "p_block": s})
             yield pa.array(out, pa.struct([("rule", pa.string()), ("verdict", pa.string()), ("p_block", pa.float64())]))
 
     host, path = split_url(F.col(url_col))
+    verdict_col = free(pages, f"{result_col}_")
     inner = pages.withColumn(result_col, F.struct(host.alias("host"), path.alias("path")))
     parts = F.col(result_col)
     found = verdicts(parts["host"], parts["path"])
-    return inner.withColumn(f"{result_col}_", found).withColumn(result_col, F.struct(parts["host"].alias("host"), parts["path"].alias("path"), F.col(f"{result_col}_.*"))).drop(f"{result_col}_")
+    return inner.withColumn(verdict_col, found).withColumn(result_col, F.struct(parts["host"].alias("host"), parts["path"].alias("path"), F.col(f"`{verdict_col}`.*"))).drop(verdict_col)

@@ -1,6 +1,5 @@
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from atelier.llm import pii
@@ -68,5 +67,6 @@ def test_sanitised_text_holds_no_base_value(spark):
 def test_empty_and_clash(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(none).count() == 0
-    with pytest.raises(ValueError):
-        pii.find(none.withColumn("pii", F.lit(1)))
+    clash = spark.createDataFrame([(1, "a@b.de", "x", "y")], "doc_id long, text string, pii string, row string")
+    got = pii.find(clash).first()
+    assert got["row"] == "y" and [s["kind"] for s in got["pii"]] == ["email"]

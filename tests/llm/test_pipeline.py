@@ -64,6 +64,17 @@ def test_stages_against_brute_force(spark, folder):
     assert sorted(whole) == sorted(was)
 
 
+def test_clashing_columns_pass(spark, folder):
+    path, rows, _ = folder
+    extra = [(*r, 1, "x", 2.0, None) for r in rows[:12]]
+    docs = spark.createDataFrame(extra, SCHEMA + ", _id int, _pii string, _language double, `found.x` string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, path), "t")
+        assert docs.columns[5:] == ["_id", "_pii", "_language", "found.x"] and docs.count() > 0, name
+        assert {r["_pii"] for r in docs.collect()} == {"x"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() > 0
+
+
 def test_empty(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
