@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -11,42 +9,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop_scratch, scratch, shared_dir, stored  # noqa: F401
+
 #: Bytes that separate words: all of ASCII but digits and letters (texts are lower-cased first).
 SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _TO_SPACE = bytes(32 if b in SEPARATORS else b for b in range(256))
-_TABLES: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (local mode, tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="atelier-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _TABLES.append(path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes every scratch table of this process; results that were not written before can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):
@@ -107,6 +74,14 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,7 +90,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """Connected components of edges (a, b: long): rows (node, root), root the least node of the component.
 
     Alternates large-star and small-star steps; each is a grouped minimum joined back, written to the shared
-    folder. Links stay distributed, a hub's links are split by the skew join, and each round at least halves paths.
+    folder, so that both sides of the joins are plain shuffles and a hub's links can be split by the skew join.
     Null ends and loops are ignored. An empty input gives an empty result.
     """
     edges = stored(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -124,9 +99,9 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), "down")
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down).distinct()
         edges = stored(small.where("a <> b"), "edges")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()

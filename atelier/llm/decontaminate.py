@@ -9,8 +9,8 @@ The benchmark is cut into blocks of about `block_words` words by a hash of its r
 block as a bitmap, so any size of benchmark gives exact results in bounded memory without a shuffle of documents.
 
 Nulls: a null text has no words; an item with a null id marks words but is not listed. Repeated rows are judged alike and
-a repeated item_id is listed once. Empty tables give empty results or no hits. All columns of docs are kept; a column
-named as `result_col` is an error.
+a repeated item_id is listed once. Empty tables give empty results or no hits. All columns of docs are kept, but one named as
+`result_col` is replaced.
 """
 
 from __future__ import annotations
@@ -133,8 +133,6 @@ def _search(sent: Broadcast, window: int, gram: int):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = 20, block_words: int = 1_000_000, result_col: str = "found") -> DataFrame:
     """Adds struct `result_col`: n_words, n_hit, items (ids, ascending), contaminated (one word in `one_in` is hit, and one at least), hits (a bit for each word)."""
-    if result_col in docs.columns:
-        raise ValueError(f"there is a column {result_col} already")
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0

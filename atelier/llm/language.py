@@ -10,7 +10,7 @@ languages through a text's words maximises the sum of word scores less `penalty`
 is the one with most bytes of words on the path (ties: the first in alphabetical order), its score their share.
 
 Nulls and texts without a letter are `und` with score 0. Rows whose label or text is null teach nothing. Without any
-labelled rows all is `und`. Repeated rows are judged alike. All columns of docs are kept; one named as `result_col` is an error.
+labelled rows all is `und`. Repeated rows are judged alike. All columns of docs are kept, but one named as `result_col` is replaced.
 """
 
 from __future__ import annotations
@@ -196,15 +196,11 @@ def _judge(docs: DataFrame, model: dict, text: Column, penalty: float, result_co
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = 12.0, result_col: str = "language") -> DataFrame:
     """Adds struct `result_col` of lang and score."""
-    if result_col in docs.columns:
-        raise ValueError(f"there is a column {result_col} already")
     return _judge(docs, model, F.col(text_col), penalty, result_col)
 
 
 def label_spans(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = 12.0, result_col: str = "spans") -> DataFrame:
     """Adds array `result_col` of spans: first and last word (from 0) and language; empty for `und`."""
-    if result_col in docs.columns:
-        raise ValueError(f"there is a column {result_col} already")
     sent = _sent(docs, model)
 
     @F.arrow_udf(SPANS)

@@ -15,7 +15,7 @@ Every count is a grouped sum over all documents with partial sums before the shu
 joined. A document's own spans stay in its row, no group of documents is ever gathered.
 
 Nulls: a null text is empty and has no spans. Repeated rows are judged alike. Empty tables give empty results. All columns
-of docs are kept; one named as `result_col` is an error.
+of docs are kept, but one named as `result_col` is replaced.
 """
 
 from __future__ import annotations
@@ -125,10 +125,8 @@ def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True, reach:
 
     `reach`: code points on either side of an entity in which terms are looked for. keep_text=False leaves the text out.
     """
-    if result_col in docs.columns:
-        raise ValueError(f"there is a column {result_col} already")
-    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns) if keep_text or c != text_col]
-    names = [c for c in docs.columns if keep_text or c != text_col]
+    names = [c for c in docs.columns if c.lower() != result_col.lower() and (keep_text or c != text_col)]
+    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]
     rows = docs.select(*kept, _text(text_col).alias("text")).withColumn("spans", base_spans(F.col("text")))
     rows = rows.withColumn("contexts", F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"), reach)))
     rows = stored(rows.drop("text").withColumn("row", F.monotonically_increasing_id()), "pii-rows")
@@ -150,7 +148,7 @@ def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True, reach:
     base = F.concat(F.filter(plain, lambda s: s["kind"] != NUMBER), F.array_sort(F.filter(plain, lambda s: s["kind"] == NUMBER)))
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
     whole = rows.drop("contexts").join(extra, "row", "left").select("*", F.concat(base, F.coalesce("extra", none)).alias("pii"))
-    return whole.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns) if c in names), F.col("pii").alias(result_col))
+    return whole.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), F.col("pii").alias(result_col))
 
 
 def sanitise(text: Column, spans: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atelier.llm import decontaminate, jaccard_join, language, packing, pii
-from atelier.llm.common import stored
+from atelier.llm.common import free, stored
 from atelier.llm.queries import language_model, tokenizer
 
 #: A document goes if less than this share of its words (by length) is in its language, or if it has no letter.
@@ -24,33 +24,37 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_model(docs)
     if not model["langs"]:
         return docs
-    found = language.identify(docs, model, result_col="_language")
-    return found.where((F.col("_language.lang") != language.UND) & (F.col("_language.score") >= LEAST_SHARE)).select(*docs.columns)
+    name = free(docs, "_language")
+    found = language.identify(docs, model, result_col=name)
+    judged = F.col(f"`{name}`")
+    return found.where((judged["lang"] != language.UND) & (judged["score"] >= LEAST_SHARE)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the row with the least doc_id stays (nulls last), of repeated rows one."""
-    kept = jaccard_join.near_duplicates(docs).where(F.col("id") == F.col("keeper")).select(F.col("id").alias("_id")).distinct()
-    rows = docs.withColumn("_id", jaccard_join.row_id("doc_id", "text")).join(kept, "_id", "left_semi")
-    return rows.dropDuplicates(["_id"]).select(*docs.columns)
+    name = free(docs, "_id")
+    kept = jaccard_join.near_duplicates(docs).where(F.col("id") == F.col("keeper")).select(F.col("id").alias(name)).distinct()
+    rows = docs.withColumn(name, jaccard_join.row_id("doc_id", "text")).join(kept, name, "left_semi")
+    return rows.dropDuplicates([name]).drop(name)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which one word in twenty lies in windows of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.decontaminate(docs, benchmark, result_col="_found")
-    return found.where(~F.col("_found.contaminated")).select(*docs.columns)
+    name = free(docs, "_found")
+    found = decontaminate.decontaminate(docs, benchmark, result_col=name)
+    return found.where(~F.col(f"`{name}`")["contaminated"]).drop(name)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and revealing terms are replaced in the text; n_chars follows. What a mask sets free is masked in turn."""
-    found = pii.find(docs, result_col="_pii")
-    once = pii.sanitise(F.coalesce("text", F.lit("")), F.col("_pii"))
-    masked = found.withColumn("_once", once).withColumn("_more", F.when(F.size("_pii") > 0, pii.base_spans(F.col("_once"))))
-    clean = F.when(F.size("_more") > 0, pii.sanitise(F.col("_once"), F.col("_more"))).otherwise(F.col("_once"))
-    text = F.when(F.size("_pii") > 0, clean).otherwise(F.col("text"))
-    n = F.when(F.size("_pii") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return masked.select(*(text.alias("text") if c == "text" else n.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    spans, once, more = (free(docs, name) for name in ("_pii", "_once", "_more"))
+    masked = pii.find(docs, result_col=spans).withColumn(once, pii.sanitise(F.coalesce("text", F.lit("")), F.col(spans)))
+    masked = masked.withColumn(more, F.when(F.size(spans) > 0, pii.base_spans(F.col(once))))
+    clean = F.when(F.size(more) > 0, pii.sanitise(F.col(once), F.col(more))).otherwise(F.col(once))
+    text = F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))
+    n = F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return masked.select(*(text.alias("text") if c == "text" else n.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
