@@ -34,7 +34,7 @@ from .common import stored
 
 FREQUENT, RARE, DIM, HOT = 1000, 63, 16, 200_000
 CLASSES = 1 + FREQUENT + RARE  # class 0: the end of a text, and what stands before it
-NOISE, BATCH = 32, 8192
+NOISE, BATCH = 128, 2048
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -97,7 +97,7 @@ def _scatter(index: np.ndarray, grad: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(index, grad[:, d], CLASSES) for d in range(grad.shape[1])], 1).astype(np.float32)
 
 
-def nce_steps(p: dict[str, np.ndarray], state: dict[str, np.ndarray], two: np.ndarray, one: np.ndarray, nxt: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, rate: float = 0.1) -> None:
+def nce_steps(p: dict[str, np.ndarray], state: dict[str, np.ndarray], two: np.ndarray, one: np.ndarray, nxt: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, rate: float = 0.05) -> None:
     """Ascends the noise-contrastive objective over batches, in place; steps are scaled by AdaGrad sums in `state`."""
     offset = np.log(NOISE * unigram).astype(np.float32)
     for lo in range(0, len(nxt), BATCH):
