@@ -3,12 +3,12 @@
 PIVOTS vectors, chosen far apart in a bounded sample (`SAMPLE` in expectation), order every vector: it is represented by its
 NEAREST pivots in order. Inverted files, one array a pivot, post each vector's weight there (NEAREST for its first pivot down
 to 1, 0 where it is not posted). The footrule distance of two orders is a constant less twice the sum of the lesser
-weights over shared pivots, so a query sums over the files of its own pivots. The `share` of a block that is nearest by
+weights over shared pivots, so a query sums over the files of its own pivots. The `share` of a block (16 k rows at least) that is nearest by
 footrule, and all ties with the last of it, is reranked by the exact inner product in double precision.
 
 Every row is indexed, in blocks of about `block_rows` by a hash of vec_id. Queries are sent in blocks of at most
 `query_rows` against all index blocks; each gives its best k, and the best k of those are a grouped sort of k rows a block.
-Recall is measured against brute force in tests/llm/test_permutation_index.py (and README.md): over 0.95 at these parameters.
+Recall is measured against brute force in tests/llm/test_permutation_index.py (and README.md): 0.95 and more at these parameters.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows
 with a null vec_id. Repeated rows count once; of several vectors with one vec_id the least array counts. Ties go to the
@@ -74,7 +74,7 @@ class Block:
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, vec_ids, scores) of each query's k best of the block."""
-        most = max(4 * k, int(share * len(self.ids)))
+        most = max(16 * k, int(share * len(self.ids)))
         for own, vector, posted in zip(ids.tolist(), q, weights(q, self.pivots), strict=True):
             at = np.flatnonzero(posted)
             shared = np.minimum(self.files[at], posted[at, None]).sum(0, dtype=np.uint16)
@@ -85,7 +85,7 @@ class Block:
             yield own, self.ids[near[best]], score[best]
 
 
-def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, share: float = 0.08, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, query_rows: int = 50_000) -> DataFrame:
+def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, share: float = 0.1, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, query_rows: int = 50_000) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row that fits `queries`, its own row left out."""
     rows = valid(vectors, id_col, vector_col)
     spark, n = vectors.sparkSession, rows.count()
