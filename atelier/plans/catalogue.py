@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import geometry as geo
 from ..functions import scalars
-from ..operators import binding, curation, evidence, graph, islands, matching, metrics, pixels, quality
+from ..operators import binding, curation, evidence, graph, islands, matching, metrics, pixels, quality, topology
 from .derived import sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -722,3 +722,113 @@ def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "segments")
     length = geo.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return s.groupBy("image").agg(F.count("*").alias("segments"), F.sum(length).alias("total_length"), F.count_if("horizontal").alias("horizontal"))
+
+
+# --- topology ----------------------------------------------------------------------------------------------------------
+
+@query(f"""WITH RECURSIVE ends AS (SELECT image, id, angle, a AS node FROM {_GRID} UNION ALL SELECT image, id, angle, b FROM {_GRID}), two AS (SELECT image, node FROM ends GROUP BY ALL HAVING count(*) = 2),
+  link AS (SELECT u.image, u.id AS u, v.id AS v FROM ends u JOIN ends v USING (image, node) JOIN two USING (image, node) WHERE u.id <> v.id AND abs(u.angle - v.angle) <= 8),
+  r(image, id, other) AS (SELECT image, id, id FROM {_GRID} UNION SELECT r.image, r.id, l.v FROM r JOIN link l ON l.image = r.image AND l.u = r.other), c AS (SELECT image, id, min(other) AS chain FROM r GROUP BY ALL)
+  SELECT c.image, chain, count(*) AS n, sum(length) AS length, sum(length * (g.id % 6)) / sum(length) AS thickness FROM c JOIN {_GRID} g USING (id) GROUP BY c.image, chain""")
+def contracted_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = read(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "o_orderkey AS id", "o_orderkey % 12 AS a", "(o_orderkey + 1 + o_orderkey % 2) % 12 AS b", "CASE WHEN o_orderkey % 4 = 3 THEN 90.0D ELSE 3.0D END AS angle", "CAST(5 + o_orderkey % 9 AS DOUBLE) AS length", "CAST(o_orderkey % 6 AS DOUBLE) AS thickness")
+    return topology.contracted(seg)
+
+
+@query(f"""SELECT n.image, n.id, CASE WHEN count(a.id) = 1 THEN min(a.pos) ELSE n.pos END AS pos, CASE count(a.id) WHEN 0 THEN 'free' WHEN 1 THEN 'snapped' ELSE 'ambiguous' END AS status
+  FROM (SELECT image, id, cx AS pos FROM {sql("openings")}) n LEFT JOIN (SELECT image, id, pos FROM {_W} WHERE id % 2 = 0) a ON a.image = n.image AND abs(n.pos - a.pos) <= 3.5 GROUP BY n.image, n.id, n.pos""")
+def snapped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "openings").select("image", "id", F.col("cx").alias("pos"))
+    return topology.snapped_to_axes(nodes, table(spark, sf_dir, "windows").where("id % 2 = 0"))
+
+
+_GAPS = "(SELECT o_custkey % 40 AS image, o_orderkey AS id, CAST(o_orderkey % 3 AS DOUBLE) AS pos, CAST(o_orderkey * 37 % 200 AS DOUBLE) AS low, CAST(o_orderkey * 37 % 200 + 20 + o_orderkey % 30 AS DOUBLE) AS high FROM orders WHERE o_orderkey % 4 = 0)"
+_PIECES = "(SELECT o_custkey % 40 AS image, o_orderkey AS id, CASE WHEN o_orderkey % 8 = 1 THEN 'opening' ELSE 'solid' END AS kind, CAST(o_orderkey % 3 AS DOUBLE) AS pos, CAST(o_orderkey * 53 % 220 AS DOUBLE) AS low, CAST(o_orderkey * 53 % 220 + 1 + o_orderkey % 4 AS DOUBLE) AS high FROM orders WHERE o_orderkey % 4 = 1)"
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = read(spark, sf_dir, "orders")
+    line = ["o_custkey % 40 AS image", "o_orderkey AS id", "CAST(o_orderkey % 3 AS DOUBLE) AS pos"]
+    gaps = o.where("o_orderkey % 4 = 0").selectExpr(*line, "CAST(o_orderkey * 37 % 200 AS DOUBLE) AS low", "CAST(o_orderkey * 37 % 200 + 20 + o_orderkey % 30 AS DOUBLE) AS high")
+    pieces = o.where("o_orderkey % 4 = 1").selectExpr(*line, "CASE WHEN o_orderkey % 8 = 1 THEN 'opening' ELSE 'solid' END AS kind", "CAST(o_orderkey * 53 % 220 AS DOUBLE) AS low", "CAST(o_orderkey * 53 % 220 + 1 + o_orderkey % 4 AS DOUBLE) AS high")
+    return gaps, pieces
+
+
+_UNITS = f"(SELECT g.image, g.id, g.high - g.low AS length, u.k AS unit, count(*) FILTER (p.kind = 'solid') > 0 AS s, count(*) FILTER (p.kind = 'opening') > 0 AS o FROM {_GAPS} g, LATERAL (SELECT unnest(range(CAST(g.low AS BIGINT), CAST(g.high AS BIGINT))) AS k) u LEFT JOIN {_PIECES} p ON p.image = g.image AND p.pos = g.pos AND p.low <= u.k AND u.k < p.high GROUP BY ALL)"
+
+
+@query(f"""SELECT image, id, length, CAST(count(*) FILTER (s) AS DOUBLE) AS solid, CAST(count(*) FILTER (o) AS DOUBLE) AS opening, greatest(0.0e0, length - count(*) FILTER (s) - count(*) FILTER (o)) AS uncovered FROM {_UNITS} GROUP BY image, id, length""")
+def covered_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.covered_lengths(*_gaps(spark, sf_dir))
+
+
+@query(f"""WITH f AS (SELECT image, id, unit - row_number() OVER (PARTITION BY id ORDER BY unit) AS g FROM {_UNITS} WHERE NOT s AND NOT o), m AS (SELECT id, max(n) AS free FROM (SELECT id, g, count(*) AS n FROM f GROUP BY ALL) GROUP BY id)
+  SELECT g.image, g.id, CAST(coalesce(free, 0) AS DOUBLE) AS free, coalesce(free, 0) >= greatest(12, 0.6e0 * (high - low)) AS passable FROM {_GAPS} g LEFT JOIN m USING (id)""")
+def passable_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.longest_free(*_gaps(spark, sf_dir), least=12.0)
+
+
+@query(f"""WITH p AS (SELECT image, id AS opening, s AS side, cx + d AS x, cy + CASE WHEN s = 0 THEN -9 ELSE 9 END AS y FROM {sql("openings")}, (VALUES (0), (1)) AS a(s), (VALUES (-4), (0), (4)) AS b(d)),
+  h AS (SELECT opening, side, count(*) FILTER (EXISTS (SELECT 1 FROM {sql("rooms")} r WHERE r.image = p.image AND p.x >= r.x1 AND p.x < r.x2 AND p.y >= r.y1 AND p.y < r.y2)) AS n FROM p GROUP BY ALL), k AS (SELECT opening, count(*) FILTER (2 * n > 3) AS sides FROM h GROUP BY ALL)
+  SELECT o.image, opening, CASE sides WHEN 2 THEN 'interior' WHEN 1 THEN 'exterior' ELSE 'unknown' END AS status FROM k JOIN {sql("openings")} o ON o.id = opening""")
+def probed_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three probes on each side of an opening tell whether it is inside, on the facade, or unknown."""
+    o = table(spark, sf_dir, "openings").select("image", F.col("id").alias("opening"), "cx", "cy", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.lit(float(d)).alias("d")) for s in (0, 1) for d in (-4, 0, 4)))).alias("p"))
+    probes = o.select("image", "opening", "p.side", (F.col("cx") + F.col("p.d")).alias("x"), (F.col("cy") + F.when(F.col("p.side") == 0, -9.0).otherwise(9.0)).alias("y"))
+    return topology.probe_sides(probes, table(spark, sf_dir, "rooms"))
+
+
+@query("""WITH a AS (SELECT l_suppkey AS image, l_linenumber AS n, [l_orderkey % 10 < 8, l_orderkey % 7 < 6, l_orderkey % 5 > 0, l_orderkey % 3 > 0, l_orderkey % 11 < 9, l_partkey % 4 > 0, l_partkey % 3 > 0, l_partkey % 7 < 5, l_partkey % 2 = 0] AS h FROM lineitem)
+  SELECT image, count(*) FILTER (len(list_filter(h, lambda x: x)) >= 7 AND list_bool_or(h[1:3]) AND list_bool_or(h[4:6]) AND list_bool_or(h[7:9])) AS supported FROM a GROUP BY image""")
+def supported_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine samples of an arc: seven hits, and one in each third."""
+    hits = F.array(*(F.expr(e) for e in ("l_orderkey % 10 < 8", "l_orderkey % 7 < 6", "l_orderkey % 5 > 0", "l_orderkey % 3 > 0", "l_orderkey % 11 < 9", "l_partkey % 4 > 0", "l_partkey % 3 > 0", "l_partkey % 7 < 5", "l_partkey % 2 = 0")))
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image")).agg(F.count_if(topology.arc_supported(hits)).alias("supported"))
+
+
+@query("""SELECT c_custkey AS image, CASE WHEN c_custkey % 7 < 2 THEN 'rooms_lost' WHEN c_custkey % 5 = 0 THEN 'area_lost' WHEN (c_custkey % 10) / 100.0e0 <= 0.02 THEN 'no_gain' ELSE 'accepted' END AS reason FROM customer""")
+def accepted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topology passes that are kept, or the first rule that stops them."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image"))
+    k = F.col("image")
+    before = c.select("image", F.lit(5).alias("rooms"), ((k % 10) / F.lit(100.0)).alias("leak"), F.lit(100.0).alias("area"))
+    after = c.select("image", F.when(k % 7 < 2, 4).otherwise(5).alias("rooms"), F.lit(0.0).alias("leak"), F.when(k % 5 == 0, 97.0).otherwise(99.0).alias("area"))
+    return topology.accepted_pass(before, after)
+
+
+@query(f"""WITH s AS (SELECT a.image, a.id, max(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1))) AS best FROM {sql("rooms")} a LEFT JOIN {sql("found_rooms")} b ON a.image = b.image GROUP BY ALL) SELECT image, bool_and(coalesce(best, 0) >= 0.8) AS preserved FROM s GROUP BY image""")
+def preserved_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.rooms_preserved(table(spark, sf_dir, "rooms"), table(spark, sf_dir, "found_rooms"), 0.8)
+
+
+@query("SELECT l_suppkey AS image, l_linenumber AS segment, count(*) AS n, CASE WHEN max(l_quantity + 200) <= 1.2 * min(l_quantity + 200) THEN min(l_quantity + 200) END AS thickness FROM lineitem GROUP BY 1, 2")
+def facade_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.facade_votes(read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_linenumber").alias("segment"), (F.col("l_quantity") + 200).alias("vote")))
+
+
+@query(f"SELECT image, least(a, b) AS lo, greatest(a, b) AS hi, min(a % 6) AS room FROM {_EDGES} GROUP BY image, least(a, b), greatest(a, b) HAVING count(DISTINCT a % 6) = 1")
+def facade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.boundary_edges(_edges(spark, sf_dir).withColumn("room", F.col("a") % 6))
+
+
+@query("""SELECT o_custkey AS image, o_orderkey AS opening, o_orderkey % 50 AS wall, round(greatest(30.0e0, o_orderkey % 90 + 0.5e0), 3) AS width, round(100 * (o_orderkey % 64) / 256.0e0, 6) AS position FROM orders WHERE o_orderkey % 50 < 40""")
+def exported_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows on known walls as elements; walls of every plan are 0 to 39, 256 long."""
+    o = read(spark, sf_dir, "orders")
+    b = o.selectExpr("o_custkey AS image", "o_orderkey AS opening", "o_orderkey % 50 AS wall", "o_orderkey % 90 + 0.5D AS width", "o_orderkey % 64 AS along")
+    walls = o.select(F.col("o_custkey").alias("image")).distinct().select("image", F.explode(F.array(*(F.lit(k).cast("long") for k in range(40)))).alias("wall"), F.lit(256.0).alias("length"))
+    return topology.exported_windows(b, walls)
+
+
+@query("""WITH s AS (SELECT c_nationkey AS k, c_custkey AS n, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS v FROM customer)
+  SELECT a.k, a.n, coalesce((SELECT arg_min(b.v, b.n) FROM s b WHERE b.k = a.k AND b.n >= a.n AND b.v IS NOT NULL), (SELECT arg_min(b.v, b.n) FROM s b WHERE b.k = a.k AND b.v IS NOT NULL)) AS used FROM s a""")
+def substituted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample that can't be loaded is replaced by the next one that can, around the end."""
+    s = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("n"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("v"))
+    return topology.circular_fallback(s, ["k"], "n", "v").select("k", "n", "used")
+
+
+@query(f"""SELECT o.image, o.id AS point, r.id AS box FROM {sql("openings")} o JOIN {sql("rooms")} r ON r.image = o.image AND o.cx BETWEEN r.x1 AND r.x2 AND o.cy BETWEEN r.y1 AND r.y2""")
+def grid_points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "openings").select("image", "id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return topology.grid_join(points, table(spark, sf_dir, "rooms"), 16.0)
