@@ -66,7 +66,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2).drop("ids")
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2, with_ids=False).drop("ids")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +129,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 """
 
+OP3_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(5, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+link AS MATERIALIZED (SELECT x, y FROM half UNION SELECT y, x FROM half),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
+SELECT x AS doc_id, min(y) AS class_id, (SELECT count(*) FROM link l WHERE l.x = reach.x) AS n_links FROM reach GROUP BY x
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": OP3_SQL,
     "op7_decontaminate": OP7_SQL,
 }
