@@ -140,13 +140,18 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def dealt(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
-    """Adds long columns bi, bj: rows of a key with more than `block` rows go to each pair of its blocks that they are in."""
-    hot = rows.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > block).select(key, F.ceil(F.col("m") / block).alias("g"))
-    few = rows.join(hot, key, "left_anti").select("*", F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("bj"))
-    own = F.pmod(F.xxhash64(member), F.col("g"))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.struct(F.least(o, own).alias("bi"), F.greatest(o, own).alias("bj")))
-    many = rows.join(hot, key).select(*rows.columns, F.explode(pair).alias("p")).select(*rows.columns, "p.bi", "p.bj")
-    return few.union(many)
+    """Adds long columns bi, bj, block: rows of a key with more than `block` rows go to each pair of its blocks that they are in.
+
+    The keys that need it are counted first, from key columns alone; there is one for `block` rows at most. They are
+    broadcast up to BROADCAST_ROWS, else joined by a shuffle.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > block).select(F.col(key).alias("hot"), F.ceil(F.col("m") / block).alias("g"))
+    hot = stored(hot, "hot-keys")
+    whole = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, F.col(key) == F.col("hot"), "left")
+    g = F.coalesce("g", F.lit(1).cast("long"))
+    own = F.pmod(F.xxhash64(member), g)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda o: F.struct(F.least(o, own).alias("bi"), F.greatest(o, own).alias("bj"), own.alias("block")))
+    return whole.select(*rows.columns, F.explode(pair).alias("p")).select(*rows.columns, "p.bi", "p.bj", "p.block")
 
 
 def row_id(id_col: str, text_col: str) -> Column:
@@ -266,16 +271,12 @@ def _verified_links(least: tuple[int, ...], threshold: float):
     return _grouped(3, work)
 
 
-def verified(found: DataFrame, roots: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Exact links within candidate components. found: root, rep, copies, sig, set of each member; roots: a row a member.
+def verified(found: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Exact links within candidate components. found: root, rep, copies, sig, set of each member.
 
     Returns rows (rep, links, root): in each block pair a member's links, weighted by copies, and its least linked member.
     """
-    hot = roots.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > VERIFY_BLOCK).select(F.col("root").alias("hot"), F.ceil(F.col("m") / VERIFY_BLOCK).alias("g"))
-    g = F.coalesce("g", F.lit(1).cast("long"))
-    own = F.pmod(F.xxhash64("rep"), g)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda o: F.struct(F.least(o, own).alias("bi"), F.greatest(o, own).alias("bj"), own.alias("block")))
-    cut = found.join(hot, found.root == hot.hot, "left").select("root", "rep", "copies", "sig", "set", F.explode(pair).alias("p")).select("root", "p.bi", "p.bj", "rep", "copies", "sig", "set", "p.block")
+    cut = dealt(stored(found, "sets"), "root", "rep", VERIFY_BLOCK).select("root", "bi", "bj", "rep", "copies", "sig", "set", "block")
     grouped = cut.repartition(partitions(found.sparkSession), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
     return stored(grouped.mapInArrow(_verified_links(fewest(threshold, tolerance), threshold), "rep long, links long, root long"), "links")
 
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(own, pa.binary())], names=["root", "rep", "copies", "sig", "set"]).filter(kept)
 
     found = texts.join(known, "id").select("root", F.col("id").alias("rep"), "copies", "sig", "text", "key").mapInArrow(sets, "root long, rep long, copies long, sig binary, set binary")
-    checked = verified(found, members.select("root"), threshold, tolerance)
+    checked = verified(found, threshold, tolerance)
     final = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     told = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     rooted = classes.select("key", "rep", "copies", "first").join(final, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))

@@ -183,7 +183,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     asked = texts.select("id", "text").join(F.broadcast(wanted) if few else wanted, "id").select("text", "wanted")
     found = asked.mapInArrow(sets, "root long, rep long, copies long, sig binary, set binary")
-    checked = verified(found, members.select("root"), threshold, tolerance)
+    checked = verified(found, threshold, tolerance)
     final = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
     by_key = marks.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
