@@ -39,26 +39,35 @@ def without(samples: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     return samples.join(excluded.select(key).distinct(), key, "left_anti")
 
 
-def round_robin(rows: DataFrame, bucket: str, id_col: str, n: int, seed: int = 0) -> DataFrame:
+def round_robin(rows: DataFrame, bucket: str, id_col: str, n: int, seed: int = 0, parts: int = 64) -> DataFrame:
     """n rows taken in turn from the buckets in name order, each bucket in hash order.
 
-    A row's place in its bucket is its round; (round, bucket) orders the picks, so only n rows a bucket can matter.
+    A row's place in its bucket is its round; (round, bucket) orders the picks, so only n rows a bucket can matter. Those are
+    among the first n of each of `parts` parts of the bucket, so a bucket with most of the rows is ranked in parts first.
     """
-    order = Window.partitionBy(bucket).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col)), 256), id_col)
-    placed = rows.withColumn("round", F.row_number().over(order)).where(F.col("round") <= n)
+    order = [F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col)), 256), F.col(id_col)]
+    part = F.pmod(F.xxhash64(id_col), F.lit(parts))
+    few = rows.withColumn("round", F.row_number().over(Window.partitionBy(bucket, part).orderBy(*order))).where(F.col("round") <= n)
+    placed = few.withColumn("round", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).where(F.col("round") <= n)
     return placed.orderBy("round", bucket, id_col).limit(n)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 5000) -> DataFrame:
     """The k base rows with the greatest inner product for each query (ties: smaller id). Columns: id, v (array of double).
 
-    queries must be few (they are broadcast); partial bests per partition come from a grouped top-k.
+    Queries go against all base rows in blocks of about `block`, each broadcast. Bests of parts of the base are ranked
+    first, so no query's rows meet in one task.
     """
-    q = F.broadcast(queries.select(F.col("id").alias("query"), F.col("v").alias("q")))
+    n = max(1, -(-queries.count() // block))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = base.select("id", "v").join(q, F.col("id") != F.col("query")).select("query", "id", dot.alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order, out = [F.desc("score"), F.col("id")], None
+    for b in range(n):
+        q = F.broadcast(queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).select(F.col("id").alias("query"), F.col("v").alias("q")))
+        scored = base.select("id", "v").join(q, F.col("id") != F.col("query")).select("query", "id", dot.alias("score"))
+        part = Window.partitionBy("query", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy(*order)
+        few = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
+        out = few if out is None else out.union(few)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def apply_answers(items: DataFrame, answers: DataFrame) -> DataFrame:

@@ -321,15 +321,15 @@ def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.best_so_far(read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"], "value").drop("ts")
 
 
-@query("""WITH RECURSIVE s AS (SELECT c_nationkey AS line, c_custkey, round(c_acctbal) AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+@query("""WITH RECURSIVE s AS (SELECT c_custkey // 40 AS line, c_custkey, round(c_acctbal) AS v, row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) AS k FROM customer),
   walk(line, k, kept, own, v) AS (SELECT DISTINCT line, CAST(0 AS BIGINT), CAST([] AS DOUBLE[]), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM s UNION ALL
-    SELECT s.line, s.k, CASE WHEN len(list_filter(kept, lambda x: abs(x - s.v) <= 50)) = 0 THEN list_append(kept, s.v) ELSE kept END, coalesce(list_filter(kept, lambda x: abs(x - s.v) <= 50)[1], s.v), s.v FROM walk w JOIN s ON s.line = w.line AND s.k = w.k + 1)
+    SELECT s.line, s.k, CASE WHEN len(list_filter(kept, lambda x: abs(x - s.v) <= 200)) = 0 THEN list_append(kept, s.v) ELSE kept END, coalesce(list_filter(kept, lambda x: abs(x - s.v) <= 200)[1], s.v), s.v FROM walk w JOIN s ON s.line = w.line AND s.k = w.k + 1)
   SELECT line, k, v, own AS snapped FROM walk WHERE k > 0""")
 def snap_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balances of a nation's customers, in order, snapped to the first kept one within 50."""
-    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("line"), F.struct("c_custkey", F.round("c_acctbal").alias("v")).alias("p"))
+    """Balances of forty customers, in order, snapped to the first kept one within 200; a line's values are one row."""
+    rows = read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 40).alias("line"), F.struct("c_custkey", F.round("c_acctbal").alias("v")).alias("p"))
     folded = rows.groupBy("line").agg(F.array_sort(F.collect_list("p")).alias("p")).withColumn("values", F.transform("p", lambda x: x["v"]))
-    out = folded.select("line", F.posexplode(F.arrays_zip(F.col("values").alias("v"), islands.snap_in_order(F.col("values"), 50.0).alias("snapped"))).alias("k", "z"))
+    out = folded.select("line", F.posexplode(F.arrays_zip(F.col("values").alias("v"), islands.snap_in_order(F.col("values"), 200.0).alias("snapped"))).alias("k", "z"))
     return out.select("line", (F.col("k") + 1).cast("long").alias("k"), "z.v", "z.snapped")
 
 
