@@ -2,7 +2,7 @@
 
 A model holds, for each language that occurs in the labelled rows, log probabilities of hashed byte trigrams of words
 and the share of each script among its letters. It is counted on a bounded sample of the labelled documents
-(`sample_docs` in expectation, picked by a hash of the row, whole texts), in parallel; only bucket sums reach the
+(`sample_docs` in expectation, picked by a hash of the row's place, whole texts), in parallel; only bucket sums reach the
 driver (languages x 2**BITS at most).
 
 A word's candidates are the languages that use the script of its first letter; if none does, all stay. The path of
@@ -69,7 +69,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """{langs, logp (languages x buckets), scripts (languages x scripts): whether it uses the script}."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     share = min(1.0, sample_docs / max(1, rows.select("lang").count()))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))  # by row, so that copies don't come together
+    rows = rows.where(picked < int(share * (1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
