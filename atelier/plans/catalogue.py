@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import geometry as geo
 from ..functions import scalars
-from ..operators import binding, curation, evidence, graph, islands, matching, metrics, pixels, quality, topology
+from ..operators import binding, curation, evidence, graph, islands, matching, metrics, pixels, quality, rules, topology
 from .derived import sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -832,3 +832,87 @@ def substituted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "openings").select("image", "id", F.col("cx").alias("x"), F.col("cy").alias("y"))
     return topology.grid_join(points, table(spark, sf_dir, "rooms"), 16.0)
+
+
+# --- rules and rollups -------------------------------------------------------------------------------------------------
+
+@query(f"""WITH r AS (SELECT *, thickness > 10 AS thick, high - low < 15 AS short FROM {_W} WHERE id % 3 = 0) SELECT image, id FROM r WHERE thick AND NOT short AND NOT EXISTS (SELECT 1 FROM {_W} k WHERE k.id % 3 = 1 AND k.image = r.image AND k.pos = r.pos AND greatest(0, least(k.high, r.high) - greatest(k.low, r.low)) / (r.high - r.low) > 0.2)""")
+def recoverable_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "windows")
+    reasons = F.array_compact(F.array(F.when(F.col("thickness") > 10, "too_thick"), F.when(F.col("high") - F.col("low") < 15, "too_short")))
+    return rules.recoverable(w.where("id % 3 = 0").withColumn("reasons", reasons), w.where("id % 3 = 1")).select("image", "id")
+
+
+@query(f"SELECT image, count(*) FILTER ((x2 - x1 - 9) / (x2 - x1) < 0.9) AS n, count(*) AS polygons FROM {sql('rooms')} GROUP BY image")
+def non_rectangular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "rooms").select("image", ((F.col("x2") - F.col("x1") - 9) * (F.col("y2") - F.col("y1"))).alias("area"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("box_area"))
+    return rules.non_rectangular(r)
+
+
+@query("SELECT o_custkey AS image, o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'door' ELSE 'passage' END AS kind FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 2 = 0 AND o_orderkey % 5 > 0")
+def confirmed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "o_orderkey AS id", "o_orderkey % 2 = 0 AS interior", "o_orderkey % 5 > 0 AS confirmed")
+    return rules.confirmed_passages(o.where("id % 3 = 0"), o.where("id % 3 = 1")).select("image", "id", "kind")
+
+
+@query("""SELECT c_custkey AS answer, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 6 = 5 THEN 'id_keys' ELSE 'choice' END AS error FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 6 = 5 OR (c_custkey % 3 = 1 AND c_custkey % 4 > 1) OR (c_custkey % 3 = 2 AND c_custkey % 4 < 2)""")
+def answer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with one id key each and a choice that fits it, or what is wrong."""
+    k = F.col("c_custkey")
+    a = read(spark, sf_dir, "customer").select(k.alias("answer"), F.when((k % 3 == 1) | (k % 6 == 5), k).alias("opening_id"), F.when(k % 3 == 2, k).alias("room_id"), F.element_at(F.array(*map(F.lit, ("door", "window", "keep", "merge"))), (k % 4 + 1).cast("int")).alias("choice"))
+    return rules.answer_errors(a, ["opening_id", "room_id"], {"opening_id": ["door", "window"], "room_id": ["keep", "merge"]})
+
+
+@query("""SELECT o_custkey % 20 AS run, count(*) AS cases, count(*) FILTER (o_orderkey % 3 > 0) AS annotated, count(*) FILTER (o_orderkey % 3 > 0 AND o_orderkey % 7 = o_orderkey % 5) AS exact, coalesce(sum(least(o_orderkey % 7, o_orderkey % 5)) FILTER (o_orderkey % 3 > 0), 0)::BIGINT AS tp,
+  coalesce(sum(greatest(0, o_orderkey % 5 - o_orderkey % 7)) FILTER (o_orderkey % 3 > 0), 0)::BIGINT AS fp, coalesce(sum(greatest(0, o_orderkey % 7 - o_orderkey % 5)) FILTER (o_orderkey % 3 > 0), 0)::BIGINT AS fn FROM orders GROUP BY 1""")
+def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = read(spark, sf_dir, "orders").selectExpr("o_custkey % 20 AS run", "CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 7 END AS expected", "o_orderkey % 5 AS predicted", "least(o_orderkey % 7, o_orderkey % 5) AS tp", "greatest(0, o_orderkey % 5 - o_orderkey % 7) AS fp", "greatest(0, o_orderkey % 7 - o_orderkey % 5) AS fn")
+    return rules.run_rollup(cases)
+
+
+@query(f"""WITH a AS (SELECT * FROM {_DOTS} WHERE x % 3 > 0), b AS (SELECT * FROM {_DOTS} WHERE x % 4 > 0), bx AS (SELECT i AS image, k AS id, 7 * k AS x1, 5 * k AS y1, 7 * k + 9 AS x2, 5 * k + 8 AS y2 FROM range(10) AS r(i), range(6) AS s(k))
+  SELECT bx.image, bx.id, (SELECT count(*) FROM b WHERE b.image = bx.image AND b.x BETWEEN x1 AND x2 AND b.y BETWEEN y1 AND y2 AND b.x % 3 = 0) AS gained, (SELECT count(*) FROM a WHERE a.image = bx.image AND a.x BETWEEN x1 AND x2 AND a.y BETWEEN y1 AND y2 AND a.x % 4 = 0) AS lost FROM bx""")
+def changed_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _dots(spark, sf_dir)
+    boxes = spark.createDataFrame([(i, k, 7 * k, 5 * k, 7 * k + 9, 5 * k + 8) for i in range(10) for k in range(6)], "image long, id long, x1 long, y1 long, x2 long, y2 long")
+    return rules.changed_area(d.where("x % 3 > 0"), d.where("x % 4 > 0"), boxes)
+
+
+@query(f"""WITH f AS (SELECT * FROM (SELECT image, id, length, cx AS mid, row_number() OVER (PARTITION BY image ORDER BY length, id) AS k FROM {sql("openings")}) WHERE k <= 24) SELECT image, id FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.image = f.image AND o.k < f.k AND abs(o.mid - f.mid) <= 5)""")
+def ranked_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 24 shortest candidates of a plan, the operator's own number, without those near a shorter one."""
+    return rules.ranked_apart(table(spark, sf_dir, "openings").select("image", "id", "length", F.col("cx").alias("mid"))).select("image", "id")
+
+
+@query("""SELECT image, opening, id FROM (SELECT o_custkey AS image, o_orderkey % 4 AS opening, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderkey * 7 % 10 DESC, o_orderkey * 3 % 17, o_orderkey) AS k FROM orders) WHERE k = 1""")
+def best_hinge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.best_hinge(read(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "o_orderkey % 4 AS opening", "o_orderkey AS id", "o_orderkey * 7 % 10 AS hits", "o_orderkey * 3 % 17 AS distance"))
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) AS leaks FROM documents WHERE doc_id % 3 = 0 GROUP BY lang")
+def selected_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pilot selection (every third document) against a reserved list (labels of low quality)."""
+    return rules.selected_buckets(read(spark, sf_dir, "documents").where("doc_id % 3 = 0"), read(spark, sf_dir, "labels").where("quality = 0"), "lang", "doc_id")
+
+
+@query("SELECT l_suppkey AS image, count(*) FILTER (c = 'supported') AS supported, count(*) FILTER (c = 'probable') AS probable, count(*) FILTER (c = 'partial') AS partial, count(*) FILTER (c = 'unsupported') AS unsupported FROM (SELECT l_suppkey, CASE WHEN l_linenumber % 2 = 0 AND l_quantity / 50 >= 0.55 THEN 'supported' WHEN l_linenumber % 2 = 0 AND l_quantity / 50 >= 0.5 THEN 'probable' WHEN l_quantity / 50 >= 0.15 THEN 'partial' ELSE 'unsupported' END AS c FROM lineitem) GROUP BY 1")
+def boundary_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = rules.boundary_class(F.col("l_quantity") / 50, F.col("l_linenumber") % 2 == 0)
+    names = ["supported", "probable", "partial", "unsupported"]
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), kind.alias("c")).groupBy("image").pivot("c", names).count().na.fill(0)
+
+
+@query("""WITH b AS (SELECT DISTINCT l_suppkey AS image, l_linenumber % 2 AS id, l_linenumber % 4 AS side, l_partkey % 50 AS pos FROM lineitem), o AS (SELECT *, pos % 7 > 2 AS "on", row_number() OVER (PARTITION BY image, id, side ORDER BY pos) AS n FROM b),
+  g AS (SELECT image, id, side, n - row_number() OVER (PARTITION BY image, id, side ORDER BY pos) AS k FROM o WHERE NOT "on"), l AS (SELECT image, id, side, max(c) AS longest FROM (SELECT image, id, side, k, count(*) AS c FROM g GROUP BY ALL) GROUP BY ALL)
+  SELECT o.image, o.id, o.side, count(*) FILTER ("on") / count(*) AS support, coalesce(max(longest), 0) AS longest_gap FROM o LEFT JOIN l ON l.image = o.image AND l.id = o.id AND l.side = o.side GROUP BY o.image, o.id, o.side""")
+def side_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS image", "l_linenumber % 2 AS id", "l_linenumber % 4 AS side", "l_partkey % 50 AS pos").distinct()
+    return rules.side_support(b.withColumn("on", F.col("pos") % 7 > 2))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 50 % 4 = 0 THEN 'bytes' WHEN c_nationkey % 3 = 0 THEN 'pixels' ELSE 'default' END AS profile FROM customer""")
+def image_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.sha2((F.col("c_custkey") % 50).cast("string").cast("binary"), 256).alias("byte_hash"), F.sha2(F.col("c_nationkey").cast("string").cast("binary"), 256).alias("pixel_hash"))
+    sha = lambda ks: spark.createDataFrame([(str(k),) for k in ks], "k string").select(F.sha2(F.col("k").cast("binary"), 256).alias("h"))
+    exact = sha(range(0, 50, 4)).select(F.col("h").alias("byte_hash"), F.lit("bytes").alias("profile"))
+    return rules.profile_of(images, exact, sha(range(0, 25, 3)).select(F.col("h").alias("pixel_hash"), F.lit("pixels").alias("profile")))
