@@ -836,10 +836,10 @@ def grid_points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rules and rollups -------------------------------------------------------------------------------------------------
 
-@query(f"""WITH r AS (SELECT *, thickness > 10 AS thick, high - low < 15 AS short FROM {_W} WHERE id % 3 = 0) SELECT image, id FROM r WHERE thick AND NOT short AND NOT EXISTS (SELECT 1 FROM {_W} k WHERE k.id % 3 = 1 AND k.image = r.image AND k.pos = r.pos AND greatest(0, least(k.high, r.high) - greatest(k.low, r.low)) / (r.high - r.low) > 0.2)""")
+@query(f"""WITH r AS (SELECT *, thickness > 8 AS thick, high - low < 15 AS short FROM {_W} WHERE id % 3 = 0) SELECT image, id FROM r WHERE thick AND NOT short AND NOT EXISTS (SELECT 1 FROM {_W} k WHERE k.id % 3 = 1 AND k.image = r.image AND k.pos = r.pos AND greatest(0, least(k.high, r.high) - greatest(k.low, r.low)) / (r.high - r.low) > 0.2)""")
 def recoverable_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "windows")
-    reasons = F.array_compact(F.array(F.when(F.col("thickness") > 10, "too_thick"), F.when(F.col("high") - F.col("low") < 15, "too_short")))
+    reasons = F.array_compact(F.array(F.when(F.col("thickness") > 8, "too_thick"), F.when(F.col("high") - F.col("low") < 15, "too_short")))
     return rules.recoverable(w.where("id % 3 = 0").withColumn("reasons", reasons), w.where("id % 3 = 1")).select("image", "id")
 
 
