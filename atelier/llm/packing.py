@@ -26,8 +26,8 @@ from .tokens import encoder
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece; `ids` are its ids as little-endian unsigned 16-bit integers (32-bit for larger vocabularies)."""
+def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row a piece; `ids` are its ids as little-endian unsigned 16-bit integers (32-bit for larger vocabularies), null if not asked for."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at, part = encoder(tokenizer, end, keep_spaces=False), 0, TaskContext.get().partitionId()
@@ -56,7 +56,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, id_col:
                 while lo < n:
                     seq, off = divmod(begin + lo, length)
                     hi = min(n, lo + length - off)
-                    out.append((doc[i].as_py(), lo, hi - lo, zlib.crc32(arr[lo:hi].astype("<u4").tobytes()), n, seq, off, arr[lo:hi].tobytes()))
+                    out.append((doc[i].as_py(), lo, hi - lo, zlib.crc32(arr[lo:hi].astype("<u4").tobytes()), n, seq, off, arr[lo:hi].tobytes() if with_ids else None))
                     lo = hi
             columns = list(zip(*out, strict=True)) or [[]] * 8
             kinds = [pa.int64()] * 7 + [pa.binary()]

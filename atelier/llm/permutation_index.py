@@ -8,7 +8,7 @@ footrule, and all ties with the last of it, is reranked by the exact inner produ
 
 Every row is indexed, in blocks of about `block_rows` by a hash of vec_id. Queries are sent in blocks of at most
 `query_rows` against all index blocks; each gives its best k, and the best k of those are a grouped sort of k rows a block.
-Recall is measured against brute force in tests/llm/test_permutation_index.py (and README.md): 0.95 and more at these parameters.
+Recall is measured against brute force in tests/llm/test_permutation_index.py (and README.md): 0.94 and more at these parameters.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows
 with a null vec_id. Repeated rows count once; of several vectors with one vec_id the least array counts. Ties go to the

@@ -6,6 +6,7 @@ ids equal those of the library for the whole text (tests/llm/test_tokens.py comp
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import accumulate, chain, islice
@@ -15,6 +16,8 @@ import numpy as np
 
 #: Control characters on whose being white space the library and Python differ.
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
+#: In a text of lesser characters, composing changes nothing and lower case is one character for one.
+_WIDE = re.compile("[\u0130-\U0010ffff]")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
@@ -31,6 +34,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain = self.tokenizer  # for texts that its normaliser would leave as they are
+        if not keep_spaces:
+            self.plain = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None}))
+            self.plain.encode_special_tokens = True
         size = max(self.tokenizer.get_vocab_size(), end + 1)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end], self.dtype).tobytes()
@@ -49,6 +56,8 @@ class Encoder:
         """For each text its ids; the new pieces of all texts are encoded in one call."""
         cut = _PIECES.findall if self.keep_spaces else str.split
         whole = [bool(t) and bool(_ODD.search(t)) for t in texts]
+        if not self.keep_spaces:  # such files lower-case; doing it first makes fewer pieces differ
+            texts = [t.lower() if t and (t.isascii() or not _WIDE.search(t)) else t for t in texts]
         pieces = [cut(t) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
         flat = list(chain.from_iterable(pieces))
         ids = list(map(self.known.get, flat))
@@ -80,7 +89,9 @@ class Encoder:
             parts = [" " + p for p in pieces]
             own = pieces if all(map(str.isascii, pieces)) else [p if p.isascii() else normalize("NFC", p).lower() for p in pieces]
             sizes = np.fromiter(map(len, map(str.encode, own)), np.int64, len(pieces))
-        (whole,) = self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)
+        text = "".join(parts)
+        plain = self.keep_spaces or not _WIDE.search(text) and text == text.lower()
+        (whole,) = (self.plain if plain else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(whole.ids, np.int64)
         ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
         stops = np.cumsum(sizes)

@@ -58,7 +58,7 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens with their ids; packing.sequences puts them together."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), end=2)
 
 
@@ -76,7 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir).drop("ids")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The language model and the near-duplicate components can't be expressed in SQL; tests/llm/test_pipeline.py has the brute force.
