@@ -335,11 +335,11 @@ def snap_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graphs ------------------------------------------------------------------------------------------------------------
 
-_EDGES = "(SELECT o_custkey % 50 AS image, o_orderkey % 400 AS a, (o_orderkey * 7 + 3) % 400 AS b FROM orders WHERE o_orderkey % 5 = 0)"
+_EDGES = "(SELECT o_custkey AS image, o_orderkey % 30 AS a, (o_orderkey * 7 + 3) % 30 AS b FROM orders)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr("o_custkey % 50 AS image", "o_orderkey % 400 AS a", "(o_orderkey * 7 + 3) % 400 AS b")
+    return read(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "o_orderkey % 30 AS a", "(o_orderkey * 7 + 3) % 30 AS b")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT image, a, b FROM {_EDGES} UNION SELECT image, b, a FROM {_EDGES}), r(image, node, other) AS (SELECT DISTINCT image, a, a FROM e UNION SELECT r.image, r.node, e.b FROM r JOIN e ON e.image = r.image AND e.a = r.other)
@@ -360,7 +360,7 @@ def collinear_chain_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.collinear_chains(seg)
 
 
-_TREE = "(SELECT DISTINCT o_custkey AS image, o_orderkey % 40 AS a, o_orderkey % 40 // 2 AS b FROM orders WHERE o_orderkey % 40 > 0)"
+_TREE = "(SELECT DISTINCT o_custkey AS image, 1 + o_orderkey % 39 AS a, (1 + o_orderkey % 39) // 2 AS b FROM orders)"
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT image, a, b FROM {_TREE} UNION SELECT image, b, a FROM {_TREE}), d AS (SELECT image, a AS node, count(*) AS deg FROM e GROUP BY ALL),
@@ -368,7 +368,7 @@ _TREE = "(SELECT DISTINCT o_custkey AS image, o_orderkey % 40 AS a, o_orderkey %
     UNION ALL SELECT w.image, w.tip, w.pos, e.b, w.n + 1 FROM w JOIN d ON d.image = w.image AND d.node = w.pos AND deg = 2 JOIN e ON e.image = w.image AND e.a = w.pos AND e.b <> w.before)
   SELECT w.image, w.tip, w.pos AS stop, w.n AS n_edges FROM w JOIN d ON d.image = w.image AND d.node = w.pos AND deg <> 2""")
 def dangling_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = read(spark, sf_dir, "orders").where("o_orderkey % 40 > 0").selectExpr("o_custkey AS image", "o_orderkey % 40 AS a", "o_orderkey % 40 div 2 AS b").distinct()
+    tree = read(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "1 + o_orderkey % 39 AS a", "(1 + o_orderkey % 39) div 2 AS b").distinct()
     return graph.dangling_paths(tree)
 
 
@@ -475,11 +475,11 @@ def near_duplicate_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.hash_neighbours(h, 3, 24)
 
 
-@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT query, id, rank FROM (SELECT q.id AS query, b.id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.v, b.v) DESC, b.id) AS rank FROM v q JOIN v b ON q.id <> b.id WHERE q.id < 20) WHERE rank <= 5""")
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT query, id, rank FROM (SELECT q.id AS query, b.id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.v, b.v) DESC, b.id) AS rank FROM v q JOIN v b ON q.id <> b.id WHERE q.id % 20 = 0) WHERE rank <= 5""")
 def nearest_k_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of all vectors for a local set of twenty."""
+    """The five nearest of all vectors for the queries, ids that 20 divides."""
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return curation.nearest(v.where("id < 20"), v, 5).select("query", "id", "rank")
+    return curation.nearest(v.where("id % 20 = 0"), v, 5).select("query", "id", "rank")
 
 
 @query("""SELECT doc_id, lang, round FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS round FROM documents) ORDER BY round, lang, doc_id LIMIT 100""")
@@ -523,11 +523,11 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- pixel tables ------------------------------------------------------------------------------------------------------
 
-_DOTS = "(SELECT DISTINCT l_suppkey % 10 AS image, l_partkey % 60 AS x, CAST(l_quantity AS BIGINT) AS y FROM lineitem WHERE l_orderkey % 5 = 0)"
+_DOTS = "(SELECT DISTINCT l_suppkey AS image, l_partkey % 60 AS x, CAST(l_quantity AS BIGINT) AS y FROM lineitem)"
 
 
 def _dots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").selectExpr("l_suppkey % 10 AS image", "l_partkey % 60 AS x", "CAST(l_quantity AS BIGINT) AS y").distinct()
+    return read(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS image", "l_partkey % 60 AS x", "CAST(l_quantity AS BIGINT) AS y").distinct()
 
 
 @query(f"SELECT DISTINCT image, x + dx AS x, y + dy AS y FROM {_DOTS}, (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy)")
@@ -549,8 +549,10 @@ def pixel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT d.image, d.x, d.y FROM {_DOTS} d WHERE (x BETWEEN 5 AND 20 AND y BETWEEN 5 AND 15) OR (x BETWEEN 15 AND 40 AND y BETWEEN 10 AND 12)")
 def exclusion_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = spark.createDataFrame([(i, *b) for i in range(10) for b in ((5, 5, 20, 15), (15, 10, 40, 12))], "image long, x1 long, y1 long, x2 long, y2 long")
-    return pixels.excluded(_dots(spark, sf_dir), boxes)
+    d = _dots(spark, sf_dir)
+    box = lambda *b: F.struct(*(F.lit(v).alias(n) for v, n in zip(b, ("x1", "y1", "x2", "y2"), strict=True)))
+    boxes = d.select("image").distinct().select("image", F.explode(F.array(box(5, 5, 20, 15), box(15, 10, 40, 12))).alias("b")).select("image", "b.*")
+    return pixels.excluded(d, boxes)
 
 
 @query("""WITH s AS (SELECT o_custkey AS image, CASE o_orderkey % 3 WHEN 0 THEN 'wall' WHEN 1 THEN 'door' ELSE 'window' END AS cls, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS k, o_orderkey % 30 AS x1, o_orderkey * 7 % 20 AS y1 FROM orders),
@@ -605,11 +607,11 @@ def fitted_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(s, "image").withColumn("fit", fit).where("fit is not null").select("image", "opening", "segment", "fit.low", "fit.high")
 
 
-@query("""WITH e AS (SELECT o_orderkey AS element, o_custkey AS wall, o_orderkey % 101 AS position, 10 + o_orderkey % 40 AS width FROM orders WHERE o_custkey % 4 <> 0)
+@query("""WITH e AS (SELECT o_orderkey AS element, o_custkey AS wall, o_orderkey % 101 AS position, 10 + o_orderkey % 40 AS width FROM orders)
   SELECT element, (s_suppkey * 10) + (300 + s_suppkey % 50) * position / 100.0e0 - width / 2.0e0 AS low, (s_suppkey * 10) + (300 + s_suppkey % 50) * position / 100.0e0 + width / 2.0e0 AS high FROM e JOIN supplier ON s_suppkey = wall""")
 def element_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements placed on their carrying segment by position in percent and width; those on unknown walls drop out."""
-    e = read(spark, sf_dir, "orders").where("o_custkey % 4 <> 0").selectExpr("o_orderkey AS element", "o_custkey AS wall", "o_orderkey % 101 AS position", "10 + o_orderkey % 40 AS width")
+    e = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS element", "o_custkey AS wall", "o_orderkey % 101 AS position", "10 + o_orderkey % 40 AS width")
     s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS wall", "s_suppkey * 10 AS x1", "s_suppkey * 10 + 300 + s_suppkey % 50 AS x2")
     mid = F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("position") / F.lit(100.0)
     return e.join(s, "wall").select("element", (mid - F.col("width") / F.lit(2.0)).alias("low"), (mid + F.col("width") / F.lit(2.0)).alias("high"))
@@ -736,21 +738,21 @@ def contracted_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT n.image, n.id, CASE WHEN count(a.id) = 1 THEN min(a.pos) ELSE n.pos END AS pos, CASE count(a.id) WHEN 0 THEN 'free' WHEN 1 THEN 'snapped' ELSE 'ambiguous' END AS status
-  FROM (SELECT image, id, cx AS pos FROM {sql("openings")}) n LEFT JOIN (SELECT image, id, pos FROM {_W} WHERE id % 2 = 0) a ON a.image = n.image AND abs(n.pos - a.pos) <= 3.5 GROUP BY n.image, n.id, n.pos""")
+  FROM (SELECT image, id, cx AS pos FROM {sql("openings")}) n LEFT JOIN (SELECT image, id, pos FROM {_W}) a ON a.image = n.image AND abs(n.pos - a.pos) <= 3.5 GROUP BY n.image, n.id, n.pos""")
 def snapped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "openings").select("image", "id", F.col("cx").alias("pos"))
-    return topology.snapped_to_axes(nodes, table(spark, sf_dir, "windows").where("id % 2 = 0"))
+    return topology.snapped_to_axes(nodes, table(spark, sf_dir, "windows"))
 
 
-_GAPS = "(SELECT o_custkey % 40 AS image, o_orderkey AS id, CAST(o_orderkey % 3 AS DOUBLE) AS pos, CAST(o_orderkey * 37 % 200 AS DOUBLE) AS low, CAST(o_orderkey * 37 % 200 + 20 + o_orderkey % 30 AS DOUBLE) AS high FROM orders WHERE o_orderkey % 4 = 0)"
-_PIECES = "(SELECT o_custkey % 40 AS image, o_orderkey AS id, CASE WHEN o_orderkey % 8 = 1 THEN 'opening' ELSE 'solid' END AS kind, CAST(o_orderkey % 3 AS DOUBLE) AS pos, CAST(o_orderkey * 53 % 220 AS DOUBLE) AS low, CAST(o_orderkey * 53 % 220 + 1 + o_orderkey % 4 AS DOUBLE) AS high FROM orders WHERE o_orderkey % 4 = 1)"
+_GAPS = "(SELECT o_custkey % 40 AS image, o_orderkey AS id, CAST(o_orderkey % 3 AS DOUBLE) AS pos, CAST(o_orderkey * 37 % 200 AS DOUBLE) AS low, CAST(o_orderkey * 37 % 200 + 20 + o_orderkey % 30 AS DOUBLE) AS high FROM orders WHERE o_orderkey % 2 = 0)"
+_PIECES = "(SELECT o_custkey % 40 AS image, o_orderkey AS id, CASE WHEN o_orderkey % 8 = 1 THEN 'opening' ELSE 'solid' END AS kind, CAST(o_orderkey % 3 AS DOUBLE) AS pos, CAST(o_orderkey * 53 % 220 AS DOUBLE) AS low, CAST(o_orderkey * 53 % 220 + 1 + o_orderkey % 4 AS DOUBLE) AS high FROM orders WHERE o_orderkey % 2 = 1)"
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = read(spark, sf_dir, "orders")
     line = ["o_custkey % 40 AS image", "o_orderkey AS id", "CAST(o_orderkey % 3 AS DOUBLE) AS pos"]
-    gaps = o.where("o_orderkey % 4 = 0").selectExpr(*line, "CAST(o_orderkey * 37 % 200 AS DOUBLE) AS low", "CAST(o_orderkey * 37 % 200 + 20 + o_orderkey % 30 AS DOUBLE) AS high")
-    pieces = o.where("o_orderkey % 4 = 1").selectExpr(*line, "CASE WHEN o_orderkey % 8 = 1 THEN 'opening' ELSE 'solid' END AS kind", "CAST(o_orderkey * 53 % 220 AS DOUBLE) AS low", "CAST(o_orderkey * 53 % 220 + 1 + o_orderkey % 4 AS DOUBLE) AS high")
+    gaps = o.where("o_orderkey % 2 = 0").selectExpr(*line, "CAST(o_orderkey * 37 % 200 AS DOUBLE) AS low", "CAST(o_orderkey * 37 % 200 + 20 + o_orderkey % 30 AS DOUBLE) AS high")
+    pieces = o.where("o_orderkey % 2 = 1").selectExpr(*line, "CASE WHEN o_orderkey % 8 = 1 THEN 'opening' ELSE 'solid' END AS kind", "CAST(o_orderkey * 53 % 220 AS DOUBLE) AS low", "CAST(o_orderkey * 53 % 220 + 1 + o_orderkey % 4 AS DOUBLE) AS high")
     return gaps, pieces
 
 
@@ -836,11 +838,11 @@ def grid_points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rules and rollups -------------------------------------------------------------------------------------------------
 
-@query(f"""WITH r AS (SELECT *, thickness > 8 AS thick, high - low < 15 AS short FROM {_W} WHERE id % 3 = 0) SELECT image, id FROM r WHERE thick AND NOT short AND NOT EXISTS (SELECT 1 FROM {_W} k WHERE k.id % 3 = 1 AND k.image = r.image AND k.pos = r.pos AND greatest(0, least(k.high, r.high) - greatest(k.low, r.low)) / (r.high - r.low) > 0.2)""")
+@query(f"""WITH r AS (SELECT *, thickness > 8 AS thick, high - low < 15 AS short FROM {_W} WHERE id % 3 = 0) SELECT image, id FROM r WHERE thick AND NOT short AND NOT EXISTS (SELECT 1 FROM {_W} k WHERE k.id % 3 <> 0 AND k.image = r.image AND k.pos = r.pos AND greatest(0, least(k.high, r.high) - greatest(k.low, r.low)) / (r.high - r.low) > 0.2)""")
 def recoverable_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "windows")
     reasons = F.array_compact(F.array(F.when(F.col("thickness") > 8, "too_thick"), F.when(F.col("high") - F.col("low") < 15, "too_short")))
-    return rules.recoverable(w.where("id % 3 = 0").withColumn("reasons", reasons), w.where("id % 3 = 1")).select("image", "id")
+    return rules.recoverable(w.where("id % 3 = 0").withColumn("reasons", reasons), w.where("id % 3 <> 0")).select("image", "id")
 
 
 @query(f"SELECT image, count(*) FILTER ((x2 - x1 - 9) / (x2 - x1) < 0.9) AS n, count(*) AS polygons FROM {sql('rooms')} GROUP BY image")
@@ -870,11 +872,11 @@ def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.run_rollup(cases)
 
 
-@query(f"""WITH a AS (SELECT * FROM {_DOTS} WHERE x % 3 > 0), b AS (SELECT * FROM {_DOTS} WHERE x % 4 > 0), bx AS (SELECT i AS image, k AS id, 7 * k AS x1, 5 * k AS y1, 7 * k + 9 AS x2, 5 * k + 8 AS y2 FROM range(10) AS r(i), range(6) AS s(k))
+@query(f"""WITH a AS (SELECT * FROM {_DOTS} WHERE x % 3 > 0), b AS (SELECT * FROM {_DOTS} WHERE x % 4 > 0), bx AS (SELECT i AS image, k AS id, 7 * k AS x1, 5 * k AS y1, 7 * k + 9 AS x2, 5 * k + 8 AS y2 FROM (SELECT DISTINCT image AS i FROM a) AS r, range(6) AS s(k))
   SELECT bx.image, bx.id, (SELECT count(*) FROM b WHERE b.image = bx.image AND b.x BETWEEN x1 AND x2 AND b.y BETWEEN y1 AND y2 AND b.x % 3 = 0) AS gained, (SELECT count(*) FROM a WHERE a.image = bx.image AND a.x BETWEEN x1 AND x2 AND a.y BETWEEN y1 AND y2 AND a.x % 4 = 0) AS lost FROM bx""")
 def changed_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _dots(spark, sf_dir)
-    boxes = spark.createDataFrame([(i, k, 7 * k, 5 * k, 7 * k + 9, 5 * k + 8) for i in range(10) for k in range(6)], "image long, id long, x1 long, y1 long, x2 long, y2 long")
+    boxes = d.where("x % 3 > 0").select("image").distinct().select("image", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("id")).selectExpr("image", "CAST(id AS BIGINT) AS id", "7 * id AS x1", "5 * id AS y1", "7 * id + 9 AS x2", "5 * id + 8 AS y2")
     return rules.changed_area(d.where("x % 3 > 0"), d.where("x % 4 > 0"), boxes)
 
 
@@ -889,10 +891,10 @@ def best_hinge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.best_hinge(read(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "o_orderkey % 4 AS opening", "o_orderkey AS id", "o_orderkey * 7 % 10 AS hits", "o_orderkey * 3 % 17 AS distance"))
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) AS leaks FROM documents WHERE doc_id % 3 = 0 GROUP BY lang")
+@query("SELECT lang, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) AS leaks FROM documents GROUP BY lang")
 def selected_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pilot selection (every third document) against a reserved list (labels of low quality)."""
-    return rules.selected_buckets(read(spark, sf_dir, "documents").where("doc_id % 3 = 0"), read(spark, sf_dir, "labels").where("quality = 0"), "lang", "doc_id")
+    """A selection (all documents) against a reserved list (labels of low quality)."""
+    return rules.selected_buckets(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 0"), "lang", "doc_id")
 
 
 @query("SELECT l_suppkey AS image, count(*) FILTER (c = 'supported') AS supported, count(*) FILTER (c = 'probable') AS probable, count(*) FILTER (c = 'partial') AS partial, count(*) FILTER (c = 'unsupported') AS unsupported FROM (SELECT l_suppkey, CASE WHEN l_linenumber % 2 = 0 AND l_quantity / 50 >= 0.55 THEN 'supported' WHEN l_linenumber % 2 = 0 AND l_quantity / 50 >= 0.5 THEN 'probable' WHEN l_quantity / 50 >= 0.15 THEN 'partial' ELSE 'unsupported' END AS c FROM lineitem) GROUP BY 1")
