@@ -147,7 +147,10 @@ def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True, reach:
     plain = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = F.concat(F.filter(plain, lambda s: s["kind"] != NUMBER), F.array_sort(F.filter(plain, lambda s: s["kind"] == NUMBER)))
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
-    whole = rows.drop("contexts").join(extra, "row", "left").select("*", F.concat(base, F.coalesce("extra", none)).alias("pii"))
+    found = F.concat(base, F.coalesce("extra", none)).alias("pii")
+    columns = [f"k{i}" for i in range(len(names))]
+    plain_rows = rows.where("contexts is null").withColumn("extra", F.lit(None).cast("array<struct<kind: string, start: bigint, end: bigint>>")).select(*columns, found)
+    whole = rows.where("contexts is not null").join(extra, "row", "left").select(*columns, found).union(plain_rows)  # texts without personal data are not shuffled
     return whole.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), F.col("pii").alias(result_col))
 
 
