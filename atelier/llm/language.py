@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import trim, words
 
 BITS, UND = 15, "und"
 RESULT = "struct<lang: string, score: double>"
@@ -120,7 +120,7 @@ class Scorer:
 
     def paths(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """For each text, the language (its place) of every word. All texts go forward together, longest first."""
-        if sum(map(len, texts)) + len(self.at) > 3 * self.bound or len(self.at) > self.bound:
+        if len(self.at) > self.bound:
             self.clear()
         if new := list({w for own in texts for w in own if w not in self.at}):
             self.learn(new)
@@ -154,17 +154,19 @@ class Scorer:
         return out
 
 
-def _groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[list[bytes]]]:
-    """Words of texts, in groups of about `most` words."""
-    group, n = [], 0
-    for text in texts:
+def _groups(texts: list[str | None], most: int = 400_000) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """Places and words of texts in groups of about `most` words, the longest texts first, so that few groups take many steps."""
+    at, group, n = [], [], 0
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")):
+        text = texts[i]
+        at.append(i)
         group.append(words(text) if text and any(map(str.isalpha, text)) else [])
         n += len(group[-1])
         if n >= most:
-            yield group
-            group, n = [], 0
+            yield at, group
+            at, group, n = [], [], 0
     if group:
-        yield group
+        yield at, group
 
 
 def _sent(docs: DataFrame, model: dict):
@@ -180,17 +182,17 @@ def _judge(docs: DataFrame, model: dict, text: Column, penalty: float, result_co
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value, penalty)
         for batch in batches:
-            out: list[dict] = []
-            for group in _groups(batch.to_pylist()):
-                paths = scorer.paths(group) if scorer.langs else [np.empty(0, np.uint8)] * len(group)
-                for own, path in zip(group, paths, strict=True):
+            out = [{"lang": UND, "score": 0.0}] * len(batch)
+            for at, group in _groups(batch.to_pylist()):
+                paths = scorer.paths(group) if scorer.langs else []
+                for i, own, path in zip(at, group, paths, strict=False):
                     if len(path):
                         bytes_of = np.bincount(path, np.fromiter(map(len, own), np.int64, len(own)), len(scorer.langs))
                         k = int(bytes_of.argmax())
-                        out.append({"lang": scorer.langs[k], "score": float(bytes_of[k] / bytes_of.sum())})
-                    else:
-                        out.append({"lang": UND, "score": 0.0})
+                        out[i] = {"lang": scorer.langs[k], "score": float(bytes_of[k] / bytes_of.sum())}
             yield pa.array(out, _RESULT)
+        del scorer
+        trim()
 
     return docs.withColumn(result_col, judge(text))
 
@@ -208,12 +210,12 @@ def label_spans(docs: DataFrame, model: dict, text_col: str = "text", penalty: f
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value, penalty)
         for batch in batches:
-            out = []
-            for group in _groups(batch.to_pylist()):
-                for path in scorer.paths(group) if scorer.langs else [np.empty(0, np.uint8)] * len(group):
+            out: list[list[dict]] = [[]] * len(batch)
+            for at, group in _groups(batch.to_pylist()):
+                for i, path in zip(at, scorer.paths(group) if scorer.langs else [], strict=False):
                     cuts = np.flatnonzero(np.diff(path)) + 1
                     ends = [0, *cuts.tolist(), len(path)] if len(path) else []
-                    out.append([{"first": a, "last": b - 1, "lang": scorer.langs[path[a]]} for a, b in zip(ends[:-1], ends[1:], strict=True)])
+                    out[i] = [{"first": a, "last": b - 1, "lang": scorer.langs[path[a]]} for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.array(out, _SPANS)
 
     return docs.withColumn(result_col, label(F.col(text_col)))
