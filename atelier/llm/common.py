@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +41,15 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE).split() if text else []
 
 
+def trim() -> None:
+    """Gives freed memory of a worker back to the system: workers live on after their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(lib := ctypes.CDLL(libc), "malloc_trim"):
+        lib.malloc_trim(0)
+
+
 class Hashes(dict):
     """Word -> signed 64-bit hash; forgets all when it holds `bound` words, so memory stays bounded."""
 

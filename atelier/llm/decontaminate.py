@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, grams, words
+from .common import Hashes, grams, trim, words
 
 WINDOW, GRAM = 13, 8
 FOUND = "struct<n_words: bigint, n_hit: bigint, hits: binary, items: array<bigint>>"
@@ -127,6 +127,8 @@ def _search(sent: Broadcast, window: int, gram: int):
                     listed |= index.mark(own, hashes.of(own), hits) - {None}
                 rows.append({"n_words": len(own), "n_hit": int(hits.sum()), "hits": np.packbits(hits).tobytes(), "items": sorted(listed)})
             yield pa.array(rows, _FOUND)
+        del index, hashes
+        trim()
 
     return search
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, components, grams, local_roots, mix, partitions, stored, words
+from .common import Hashes, components, grams, local_roots, mix, partitions, stored, trim, words
 
 K, THRESHOLD = 5, 0.8
 HASHES, STEP, BANDS, ROWS = 128, 32, 16, 4
@@ -176,6 +176,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             flat = pa.array(np.concatenate(banded) if banded else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(sigs, pa.binary())], names=["doc_id", "id", "key", "n", "bands", "sig"])
+        del hashes
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(make, "doc_id long, id long, key binary, n long, bands array<long>, sig binary")

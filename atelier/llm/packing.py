@@ -20,17 +20,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .tokens import encoder
+from .common import stored, trim
+from .tokens import KNOWN, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row a piece; `ids` are its ids as little-endian unsigned 16-bit integers (32-bit for larger vocabularies), null if not asked for."""
+def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, known: int = KNOWN) -> DataFrame:
+    """One row a piece; `ids` are its ids as little-endian unsigned 16-bit integers (32-bit for larger vocabularies), null if not asked for.
+
+    `known`: how many text pieces a worker keeps; fewer take less memory and more time.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at, part = encoder(tokenizer, end, keep_spaces=False), 0, TaskContext.get().partitionId()
+        trim()
+        own, at, part = encoder(tokenizer, end, keep_spaces=False, bound=known), 0, TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 cut = batch.slice(lo, 200)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 from itertools import accumulate, chain, islice
 from unicodedata import normalize
 
@@ -21,6 +22,15 @@ _WIDE = re.compile("[\u0130-\U0010ffff]")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
+#: Pieces that a process keeps, at some 200 bytes each.
+KNOWN = 1_200_000
+
+
+def _json(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class Encoder:
     """Text -> ids of the tokenizer file at `path` as bytes of `dtype`, plus one end id.
 
@@ -28,24 +38,32 @@ class Encoder:
     of special tokens in a text are ordinary text. At most `bound` pieces are kept.
     """
 
-    def __init__(self, path: str, end: int, keep_spaces: bool, bound: int = 1_200_000):
+    def __init__(self, path: str, end: int, keep_spaces: bool, bound: int = KNOWN):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.plain = self.tokenizer  # for texts that its normaliser would leave as they are
-        if not keep_spaces:
-            self.plain = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None}))
+        self.path = path
+        if keep_spaces:
+            self.plain = self.tokenizer
+        else:  # for texts that its normaliser would leave as they are; the whole one is made when a text needs it
+            self.plain = Tokenizer.from_str(json.dumps(_json(path) | {"normalizer": None}))
             self.plain.encode_special_tokens = True
-        size = max(self.tokenizer.get_vocab_size(), end + 1)
+        size = max(self.plain.get_vocab_size(), end + 1)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end], self.dtype).tobytes()
         self.sizes = np.zeros(size, np.int64)  # bytes that an id stands for
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+        for token, i in self.plain.get_vocab(with_added_tokens=False).items():
             self.sizes[i] = len(token) - (0 if keep_spaces or not token.endswith("</w>") else 4)
         self.keep_spaces, self.bound, self.known = keep_spaces, bound, {}
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = True
+        return whole
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -108,10 +126,10 @@ class Encoder:
 _KEPT: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, end: int, keep_spaces: bool) -> Encoder:
+def encoder(path: str, end: int, keep_spaces: bool, bound: int = KNOWN) -> Encoder:
     """The Encoder of this process: later tasks of a worker know the pieces of earlier ones."""
-    key = (path, end, keep_spaces)
+    key = (path, end, keep_spaces, bound)
     if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = Encoder(path, end, keep_spaces)
+        _KEPT[key] = Encoder(*key)
     return _KEPT[key]

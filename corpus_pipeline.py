@@ -17,6 +17,8 @@ from atelier.llm.queries import language_model, tokenizer
 
 #: A document goes if less than this share of its words (by length) is in its language, or if it has no letter.
 LEAST_SHARE = 0.5
+#: Of the tokenizer's pieces a worker keeps fewer here, as the executor's memory has grown in the stages before.
+KNOWN_PIECES = 400_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens with their ids; packing.sequences puts them together."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end=2)
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end=2, known=KNOWN_PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
