@@ -64,15 +64,22 @@ def count_words(texts: DataFrame, most: int = 400_000) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Classes:
-    """Word -> class, for words in a list."""
+class Classes(dict):
+    """Word -> class. Rare words are kept as they come, at most `bound` of all."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.known = {w: 1 + i for i, w in enumerate(frequent)}
+    def __init__(self, frequent: list[bytes], bound: int = 400_000):
+        self.frequent, self.bound = {w: 1 + i for i, w in enumerate(frequent)}, bound
+        super().__init__(self.frequent)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.bound:
+            self.clear()
+            self.update(self.frequent)
+        self[word] = k = rare_class(word)
+        return k
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        return np.fromiter([known.get(w) or rare_class(w) for w in words], np.int32, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def start(unigram: np.ndarray) -> dict[str, np.ndarray]:
@@ -164,7 +171,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     sums = {int(r["k"]): (r["n"], r["v"]) for r in rare.groupBy(crc.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     size = np.zeros(CLASSES)
     size[0] = n_docs
-    for w, k in own.known.items():
+    for w, k in own.frequent.items():
         size[k] = hot[w]
     for k, (n, _) in sums.items():
         size[k] = n
@@ -248,7 +255,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         table = {w: i for i, w in enumerate(m["hot"])}
         c = np.fromiter(m["hot"].values(), np.float64, len(table))
         base = np.append(np.log10((c + 0.5) / base_size), 0.0)
-        inner = np.append([0.0 if w in classes.known else np.log10((n + 0.5) / rare_size[rare_class(w)]) for w, n in m["hot"].items()], 0.0)
+        kind = np.append(classes.of(list(table)), 0)
+        inner = np.append([0.0 if k <= FREQUENT else np.log10((n + 0.5) / rare_size[k]) for k, n in zip(kind.tolist(), m["hot"].values(), strict=False)], 0.0)
         none, row = len(table), TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -257,16 +265,19 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 for k, text in enumerate(cut.column(1)):
                     own = tokens(text.as_py())
                     at = np.fromiter([table.get(w, none) for w in own], np.int64, len(own))
-                    streams.append(classes.of(own))
+                    cls = kind[at]
                     n.append(len(own) + 1)
                     known.append(int((at < none).sum()) + (m["n_docs"] > 0))
                     b.append(base[at].sum() + end)
                     s.append(inner[at].sum())
                     if (seldom := np.flatnonzero(at == none)).size:
-                        found = Counter([own[i] for i in seldom.tolist()])
+                        others = [own[i] for i in seldom.tolist()]
+                        cls[seldom] = [rare_class(w) for w in others]
+                        found = Counter(others)
                         rows += [row + k] * len(found)
                         words += found
                         times += found.values()
+                    streams.append(cls)
                 s = np.array(s) + scorer.log10(streams)
                 ids = row + np.arange(cut.num_rows)
                 row += cut.num_rows
