@@ -18,7 +18,7 @@ from atelier.llm.queries import language_model, tokenizer
 #: A document goes if less than this share of its words (by length) is in its language, or if it has no letter.
 LEAST_SHARE = 0.5
 #: Of the tokenizer's pieces a worker keeps fewer here, as the executor's memory has grown in the stages before.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 250_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
