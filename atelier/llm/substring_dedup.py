@@ -3,7 +3,10 @@
 Two kinds of paragraphs cover a text. Natural ones are its lines of LINE words at least. But a passage need not begin or end
 with a line, so others are anchored in the words: of every WINDOW consecutive places where one could begin, the place
 whose five-word shingle has the least hash begins a paragraph of SIZE words. Two texts that share WINDOW + SIZE - 1 = 50 words
-share an anchored paragraph for certain, wherever the passage stands.
+share an anchored paragraph for certain, wherever the passage stands. Anchored paragraphs are seeds: each that repeats is extended
+word by word on both sides, as far as an earlier document (for the kept one: any other) has the same words around it. Shared
+seeds are at most REACH = 32 words from each other and from the ends of a shared run, so with REACH words on either side the
+seeds of a run cover it whole. Occurrences of a seed are compared in blocks, and each pair of blocks is a group.
 
 Equal paragraphs form a class by their hash, counted with partial sums. Natural ones also have MinHash values in BANDS bands of
 ROWS, tuned for a recall of 0.98 at a similarity of 0.8: classes that collide in a band are linked to the band's least one, so
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _TO_SPACE, Hashes, components, grams, mix, stored
-from .jaccard_join import BROADCAST_ROWS, minhash, signature, verified
+from .common import _TO_SPACE, Hashes, components, grams, mix, partitions, stored
+from .jaccard_join import BROADCAST_ROWS, _grouped, minhash, signature, verified
 
 K, SIZE, WINDOW, LINE, THRESHOLD, ROWS = 5, 18, 33, 20, 0.8, 4
+REACH, SEED_BLOCK = WINDOW - 1, 16384
 _MARK = "key long, id long, doc_id long, word int, start int, end int, bands array<long>"
+_SEED = "key long, id long, doc_id long, word int, start int, end int, kept boolean, blocks long, around binary, gaps binary"
 
 
 def ident(id_col: str, text_col: str) -> Column:
@@ -82,13 +87,66 @@ def anchored(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     if n < SIZE:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     at = anchors(g[: n - SIZE + 1], WINDOW)
-    rows = g[at[:, None] + np.arange(SIZE - K + 1)]
-    fresh = np.ones(len(at), bool)  # one word over and over: equal paragraphs that overlap count once
-    fresh[1:] = (rows[1:] != rows[:-1]).any(1) | (np.diff(at) >= SIZE)
-    code = np.zeros(int(fresh.sum()), np.uint64)
-    for c in range(rows.shape[1]):
-        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + rows[fresh, c])
-    return at[fresh], code.view(np.int64)
+    code = _code(g, at)
+    same = code[1:] == code[:-1]  # short periods: of a chain of equal paragraphs its ends and one in every SIZE words
+    if same.any():
+        kept, last = np.ones(len(at), bool), int(at[0])
+        for i in range(1, len(at)):
+            if same[i - 1] and i < len(same) and same[i] and at[i] - last < SIZE:
+                kept[i] = False
+            else:
+                last = int(at[i])
+        at, code = at[kept], code[kept]
+    return at, code
+
+
+def _code(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of the paragraphs of SIZE words that begin at `at`."""
+    code = np.zeros(len(at), np.uint64)
+    for c in range(SIZE - K + 1):
+        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + g[at + c])
+    return code.view(np.int64)
+
+
+def surroundings(h: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For seeds at `at` the REACH words before, nearest first, then those after (as halves of their hashes), and the code points each adds.
+
+    Beyond the text's ends words are 0 and add nothing.
+    """
+    j, none = np.arange(REACH), np.zeros(REACH, np.uint32)
+    w = np.concatenate([none, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), none])
+    b, e = np.concatenate([np.full(REACH, begins[0]), begins]), np.concatenate([ends, np.full(REACH, ends[-1])])
+    before, after = at[:, None] + REACH - j, at[:, None] + SIZE + j
+    return np.hstack([w[before - 1], w[after + REACH]]), np.hstack([b[before] - b[before - 1], e[after] - e[after - 1]])
+
+
+def shared_reach(group: np.ndarray, ids: np.ndarray, kept: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """How many words of its row of `side` each seed shares with a seed of its group in an earlier document, a kept one in any other."""
+    out, at, code = np.zeros(len(ids), np.int64), np.arange(len(ids)), group.astype(np.uint64)
+    for j in range(side.shape[1]):
+        _, code = np.unique((code << np.uint64(32)) | side[at, j], return_inverse=True)
+        own, least, most = ids[at], np.full(int(code.max()) + 1, np.iinfo(np.int64).max), np.full(int(code.max()) + 1, np.iinfo(np.int64).min)
+        np.minimum.at(least, code, own)
+        np.maximum.at(most, code, own)
+        out[at[np.where(kept[at], most[code] > own, least[code] < own)]] = j + 1
+        alive = least[code] < most[code]  # who shares a prefix with no other document is of no use to others
+        at, code = at[alive], code[alive].astype(np.uint64)
+        if not len(at):
+            break
+    return out
+
+
+def _extended(columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
+    """Rows key, bi, bj, then _SEED's other columns, of whole groups: the same seeds with extended places."""
+    ids, kept = columns[3].to_numpy(), np.asarray(columns[8].to_pylist(), bool)
+    group = np.cumsum(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (c.to_numpy() for c in columns[:3])], axis=0)]))
+    around = np.frombuffer(b"".join(columns[10].to_pylist()), np.uint32).reshape(-1, 2 * REACH)
+    gaps = np.stack([np.frombuffer(x, np.uint8 if len(x) == 2 * REACH else np.uint32).astype(np.int64) for x in columns[11].to_pylist()])
+    sides = [slice(0, REACH), slice(REACH, 2 * REACH)]
+    left, right = (np.where(np.arange(REACH) < shared_reach(group, ids, kept, around[:, s])[:, None], gaps[:, s], 0).sum(1) for s in sides)
+    start, end = columns[6].to_numpy() - left, columns[7].to_numpy() + right
+    arrays = [columns[0], columns[3], columns[4], columns[5], pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), columns[8]]
+    yield from pa.table(arrays, names=["key", "id", "doc_id", "word", "start", "end", "kept"]).to_batches()
 
 
 def natural(g: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,13 +244,52 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     checked = verified(found, threshold, tolerance)
     final = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
-    by_key = marks.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    alone = by_key.join(final, by_key.key == final.node, "left_anti").where("first < last").select("key", F.col("key").alias("class_id"), F.col("first").alias("keeper"))
-    linked = by_key.join(final, by_key.key == final.node).select("key", F.col("root").alias("class_id"), "first", "last")
+    by_key = marks.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    alone = by_key.join(final, by_key.key == final.node, "left_anti").where("first < last").select("key", F.col("key").alias("class_id"), F.col("first").alias("keeper"), "n")
+    linked = by_key.join(final, by_key.key == final.node).select("key", F.col("root").alias("class_id"), "first", "last", "n")
     several = linked.groupBy("class_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last").select("class_id", "keeper")
-    repeated = alone.unionByName(linked.select("key", "class_id").join(several, "class_id"))
-    out = marks.select("key", "doc_id", "id", "start", "end").join(repeated, "key")
-    return out.select("doc_id", "id", "start", "end", "class_id", (F.col("id") == F.col("keeper")).alias("kept"))
+    repeated = stored(alone.unionByName(linked.select("key", "class_id", "n").join(several, "class_id")), "repeated-paragraphs")
+    lines = marks.where(F.size("bands") > 0).select("key", "doc_id", "id", "start", "end").join(repeated, "key")
+    lines = lines.select("doc_id", "id", "start", "end", "class_id", (F.col("id") == F.col("keeper")).alias("kept"))
+
+    seed = F.struct("key", "word", (F.col("id") == F.col("keeper")).alias("kept"), F.ceil(F.col("n") / SEED_BLOCK).alias("blocks"))
+    hits = marks.where(F.size("bands") == 0).select("key", "id", "word").join(repeated, "key").select("id", seed.alias("seed"))
+    hits = hits.groupBy("id").agg(F.collect_set("seed").alias("seeds"))  # seeds of one document
+
+    names = [x.split()[0] for x in _SEED.split(", ")]
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                cut = batch.slice(lo, 500)
+                out: list[list] = [[] for _ in names]
+                for id_, doc_id, text, asked in zip(*(c.to_pylist() for c in cut.columns), strict=True):
+                    tokens, begins, ends, _ = placed_words(text or "")
+                    at, key, kept, blocks = (np.array([s[c] for s in asked]) for c in ("word", "key", "kept", "blocks"))
+                    here = at <= len(tokens) - SIZE  # else another row with the same id has it
+                    h = hashes.of(tokens)
+                    if here.any():
+                        here[here] = _code(grams(h, K), at[here]) == key[here]
+                    at, key, kept, blocks = at[here], key[here], kept[here], blocks[here]
+                    if not len(at):
+                        continue
+                    around, gaps = surroundings(h, begins, ends, at)
+                    small = gaps.max(1) < 256
+                    rows = key.tolist(), [id_] * len(at), [doc_id] * len(at), at.tolist(), begins[at].tolist(), ends[at + SIZE - 1].tolist(), kept.tolist(), blocks.tolist()
+                    for column, values in zip(out, (*rows, [x.tobytes() for x in around], [x.astype(np.uint8 if s else np.uint32).tobytes() for x, s in zip(gaps, small, strict=True)]), strict=True):
+                        column += values
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    held = texts.join(hits, "id").select("id", "doc_id", "text", "seeds").mapInArrow(seeds, _SEED)
+    own = F.pmod(F.xxhash64("id"), "blocks")
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("bi"), F.greatest(o, own).alias("bj")))
+    cut = held.withColumn("p", F.explode(pair)).select("key", "p.bi", "p.bj", *names[1:])
+    grouped = cut.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    whole = grouped.mapInArrow(_grouped(3, _extended), "key long, id long, doc_id long, word int, start int, end int, kept boolean")
+    whole = whole.groupBy("key", "id", "doc_id", "word", "kept").agg(F.min("start").alias("start"), F.max("end").alias("end"))  # over pairs of blocks
+    return lines.unionByName(whole.select("doc_id", "id", "start", "end", F.col("key").alias("class_id"), "kept"))
 
 
 def removals(passages: DataFrame) -> DataFrame:

@@ -83,3 +83,38 @@ def test_fifty_shared_words_share_a_paragraph(seed, left, right):
     a, b = new(left) + passage + new(right), new(right) + passage + new(left)
     keys = [set(sd.anchored(grams(Hashes().of(t), sd.K), len(t))[1].tolist()) for t in (a, b)]
     assert keys[0] & keys[1]
+
+
+def test_whole_passages_are_cut(spark):
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"n{next(fresh)}" for _ in range(n)]
+    texts, wanted = [], {}
+    for i, n in enumerate([50, 51, 60, 75, 100, 200] * 2):
+        passage = new(n)
+        for j in range(2):
+            before = new(rng.randint(0, 70))
+            texts.append((10 * i + j, rng.choice([" ", "\n", " ,\t"]).join([*before, *passage, *new(rng.randint(0, 70))])))
+        wanted[10 * i + 1] = passage
+    a, b = new(30), new(70)  # the first document shares b alone, so what the third loses of a + b is held against the second
+    texts += [(500, " ".join([*new(9), *b])), (501, " ".join([*new(40), *a, *b])), (502, "\n".join([*a, *b, *new(9)]))]
+    wanted |= {501: b, 502: [*a, *b]}
+    texts += [(600, "so it goes " * 20), (601, " ".join([*new(20), *("so it goes " * 300).split(), *new(20)]))]  # 60 words of a period of 3
+    wanted[601] = ("so it goes " * 300).split()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    lost = {}
+    for r in sd.removals(sd.repeated_passages(docs)).collect():
+        lost.setdefault(r["id"], []).append((r["start"], r["end"]))
+    by = dict(texts)
+    got = {i: [w.decode() for x, y in sorted(spans) for w in sd.placed_words(by[i][x:y])[0]] for i, spans in lost.items()}
+    assert got == wanted
+
+
+def test_blocks_of_a_common_seed(spark, monkeypatch):
+    texts = [(i, " ".join([*(f"a{i}x{j}" for j in range(20)), *(f"p{j}" for j in range(60)), *(f"b{i}x{j}" for j in range(20))])) for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = {tuple(r) for r in sd.repeated_passages(docs).collect()}
+    monkeypatch.setattr(sd, "SEED_BLOCK", 7)
+    assert {tuple(r) for r in sd.repeated_passages(docs).collect()} == whole
+    by = dict(texts)
+    assert {tuple(w.decode() for w in sd.placed_words(by[r["id"]][r["start"] : r["end"]])[0]) for r in sd.removals(sd.repeated_passages(docs)).collect()} == {tuple(f"p{j}" for j in range(60))}
