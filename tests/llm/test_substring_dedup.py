@@ -118,3 +118,7 @@ def test_blocks_of_a_common_seed(spark, monkeypatch):
     assert {tuple(r) for r in sd.repeated_passages(docs).collect()} == whole
     by = dict(texts)
     assert {tuple(w.decode() for w in sd.placed_words(by[r["id"]][r["start"] : r["end"]])[0]) for r in sd.removals(sd.repeated_passages(docs)).collect()} == {tuple(f"p{j}" for j in range(60))}
+
+
+def test_bands_miss_no_more_than_the_document_join():
+    assert (1 - sd.THRESHOLD**sd.ROWS) ** sd.BANDS <= 2.5e-4
