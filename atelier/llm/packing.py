@@ -6,7 +6,8 @@ that it touches. A window that crosses documents or partitions is put together f
 Only the last sequence is not full; it is padded, unless its length is a power of two.
 
 Nulls: a null text is empty and yields its end id alone; a null doc_id is kept as it is. Repeated rows are packed as
-often as they occur. Empty input gives no pieces. Columns other than the two named are ignored.
+often as they occur, ties in their order of the scan. A very long text is encoded whole and gives a piece for each sequence that it
+touches; 200 texts are held at a time. Empty input gives no pieces. Columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .tokens import KNOWN, encoder
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, known: int = KNOWN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, known: int = KNOWN, special_as_text: bool = False) -> DataFrame:
     """One row a piece; `ids` are its ids as little-endian unsigned 16-bit integers (32-bit for larger vocabularies), null if not asked for.
 
     `known`: how many text pieces a worker keeps; fewer take less memory and more time.
@@ -34,7 +35,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, id_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        own, at, part = encoder(tokenizer, end, keep_spaces=False, bound=known), 0, TaskContext.get().partitionId()
+        own, at, part = encoder(tokenizer, end, keep_spaces=False, bound=known, special_as_text=special_as_text), 0, TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 cut = batch.slice(lo, 200)

@@ -1,7 +1,9 @@
 """Ids of public tokenizers, fast: a text is cut at white space into pieces that encode alone, and ids of pieces are kept.
 
-The tokenizers library encodes every new piece of a task once, many in one call; a text with odd separators goes to the library whole. The
-ids equal those of the library for the whole text (tests/llm/test_tokens.py compares them).
+The tokenizers library encodes every new piece of a task once, many in one call; a text with odd separators or with the string of an added
+token (such as `<|endoftext|>`) goes to the library whole. The ids equal those of the library for the whole text
+(tests/llm/test_tokens.py compares them): the string of a special token becomes that token, as the library has it, unless
+`special_as_text` is set.
 """
 
 from __future__ import annotations
@@ -34,20 +36,20 @@ def _json(path: str) -> dict:
 class Encoder:
     """Text -> ids of the tokenizer file at `path` as bytes of `dtype`, plus one end id.
 
-    `keep_spaces`: a piece carries the one blank before it (byte-level files); else white space is dropped. Strings
-    of special tokens in a text are ordinary text. At most `bound` pieces are kept.
+    `keep_spaces`: a piece carries the one blank before it (byte-level files); else white space is dropped.
+    `special_as_text`: strings of special tokens in a text are encoded as ordinary text. At most `bound` pieces are kept.
     """
 
-    def __init__(self, path: str, end: int, keep_spaces: bool, bound: int = KNOWN):
+    def __init__(self, path: str, end: int, keep_spaces: bool, bound: int = KNOWN, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.path = path
+        self.path, self.special_as_text = path, special_as_text
         if keep_spaces:
             self.plain = self.tokenizer
         else:  # for texts that its normaliser would leave as they are; the whole one is made when a text needs it
             self.plain = Tokenizer.from_str(json.dumps(_json(path) | {"normalizer": None}))
-            self.plain.encode_special_tokens = True
+            self.plain.encode_special_tokens = special_as_text
         size = max(self.plain.get_vocab_size(), end + 1)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end], self.dtype).tobytes()
@@ -55,13 +57,15 @@ class Encoder:
         for token, i in self.plain.get_vocab(with_added_tokens=False).items():
             self.sizes[i] = len(token) - (0 if keep_spaces or not token.endswith("</w>") else 4)
         self.keep_spaces, self.bound, self.known = keep_spaces, bound, {}
+        added = [t.content for t in self.plain.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
 
     @cached_property
     def tokenizer(self):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(self.path)
-        whole.encode_special_tokens = True
+        whole.encode_special_tokens = self.special_as_text
         return whole
 
     def _ids(self, text: str) -> bytes:
@@ -73,7 +77,8 @@ class Encoder:
     def many(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids; the new pieces of all texts are encoded in one call."""
         cut = _PIECES.findall if self.keep_spaces else str.split
-        whole = [bool(t) and bool(_ODD.search(t)) for t in texts]
+        whole = [bool(t) and bool(_ODD.search(t) or self.added.search(t)) for t in texts]
+        given = texts
         if not self.keep_spaces:  # such files lower-case; doing it first makes fewer pieces differ
             texts = [t.lower() if t and (t.isascii() or not _WIDE.search(t)) else t for t in texts]
         pieces = [cut(t) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
@@ -88,7 +93,7 @@ class Encoder:
                 self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
             self.known.update((p, x) for p, x in own.items() if len(p) <= 64)
         ends = list(accumulate(map(len, pieces), initial=0))
-        return [(self._ids(t) if w else b"".join(ids[a:b])) + self.end for t, w, a, b in zip(texts, whole, ends, ends[1:], strict=False)]
+        return [(self._ids(t) if w else b"".join(ids[a:b])) + self.end for t, w, a, b in zip(given, whole, ends, ends[1:], strict=False)]
 
     def _apart(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
@@ -126,9 +131,9 @@ class Encoder:
 _KEPT: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, end: int, keep_spaces: bool, bound: int = KNOWN) -> Encoder:
+def encoder(path: str, end: int, keep_spaces: bool, bound: int = KNOWN, special_as_text: bool = False) -> Encoder:
     """The Encoder of this process: later tasks of a worker know the pieces of earlier ones."""
-    key = (path, end, keep_spaces, bound)
+    key = (path, end, keep_spaces, bound, special_as_text)
     if key not in _KEPT:
         _KEPT.clear()
         _KEPT[key] = Encoder(*key)

@@ -10,16 +10,14 @@ from atelier.llm.common import scratch
 from atelier.llm.queries import tokenizer
 from atelier.llm.tokens import Encoder
 
-pieces = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\x1f", "\x85", " ", " ", "​", "　", "it's", "Don't", "é", "é", "Ünï", "12", "3.4", "!!", "###", "ﬁ", "中文", "<|endoftext|>", "İ", "Σ", "\x00", "😀"])
+pieces = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\x1f", "\x85", " ", " ", "​", "　", "it's", "Don't", "é", "é", "Ünï", "12", "3.4", "!!", "###", "ﬁ", "中文", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "a<|endoftext|>b", "İ", "Σ", "\x00", "😀"])
 FILES = (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))
 
 
 def plain(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer(name))
 
 
 @pytest.mark.parametrize("name,keep", FILES)
@@ -35,7 +33,28 @@ def test_equals_the_library(name, keep):
     same()
 
 
-ROWS = [(5, "Hello there, world", "x"), (1, None, "y"), (None, "no id", None), (3, "", ""), (5, "Hello there, world", "x"), (5, "other text", "x"), (2, "a b " * 5000, None)]
+@pytest.mark.parametrize("name,keep", FILES)
+def test_special_tokens_as_text(name, keep):
+    whole = plain(name)
+    whole.encode_special_tokens = True
+    for text in ("a <|endoftext|> b", "  <|endoftext|>", "<|startoftext|>x"):
+        own = Encoder(tokenizer(name), 0, keep, special_as_text=True)
+        assert np.frombuffer(own(text), own.dtype).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_files_read_by_ranges(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, start string")
+    uri = scratch(spark, "t")
+    monkeypatch.setattr(token_files, "SHARD", 2000)
+    manifest = token_files.write_tokens(docs, uri, tokenizer("byte_bpe_50k.json"))
+    mapped = [token_files.map_shard(uri, s) for s in manifest["shards"]]
+    monkeypatch.setattr(token_files, "mounted", lambda uri: None)
+    for s, arrays in zip(manifest["shards"], mapped, strict=True):
+        for a, b in zip(arrays, token_files.map_shard(uri, s), strict=True):
+            assert len(a) == len(b) and (a[:] == b[:]).all() and (a[1:3] == b[1:3]).all()
+
+
+ROWS = [(5, "Hello there, world", "x"), (1, None, "y"), (None, "no id", None), (3, "", ""), (5, "Hello there, world", "x"), (5, "other text", "x"), (2, "a b " * 5000, None), (4, "a <|endoftext|> b", None)]
 
 
 def test_token_files_round_trip(spark):
@@ -44,8 +63,8 @@ def test_token_files_round_trip(spark):
     manifest = token_files.write_tokens(docs, uri, tokenizer("byte_bpe_50k.json"))
     got = sorted(token_files.read_tokens(spark, uri).collect(), key=lambda r: r["start"])
     t, at = plain("byte_bpe_50k.json"), 0
-    assert [r["doc_id"] for r in got] == [None, 1, 2, 3, 5, 5, 5]
-    texts = {1: [""], None: ["no id"], 3: [""], 2: ["a b " * 5000], 5: ["Hello there, world"] * 2 + ["other text"]}
+    assert [r["doc_id"] for r in got] == [None, 1, 2, 3, 4, 5, 5, 5]
+    texts = {1: [""], None: ["no id"], 3: [""], 2: ["a b " * 5000], 4: ["a <|endoftext|> b"], 5: ["Hello there, world"] * 2 + ["other text"]}
     left = {k: sorted(zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for x in v) for k, v in texts.items()}
     for r in got:
         assert r["start"] == at
