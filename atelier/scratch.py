@@ -11,9 +11,12 @@ _TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (local mode, tests)."""
+    """The folder that all executors see, as spark.checkpoint.dir names it. In local mode (tests) a temporary one may stand in."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="atelier-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,12 +34,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` has returned and that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path in _TABLES:
+            _TABLES.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes every scratch table of this process; results that were not written before can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
     while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _TABLES.pop())
