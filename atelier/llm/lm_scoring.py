@@ -8,12 +8,13 @@ included, sum to one.
 
 Counting covers all training texts: partial counts of each partition, then a grouped sum. Training covers them too: every
 partition runs noise-contrastive steps in numpy over its texts from the same start, and the parameters are averaged by
-token counts as grouped sums. The driver holds parameters of a fixed size and at most HOT counts; the counts of all other words
-stay a table, joined to the words that need them. Normalisers are batched matrix products, one for each pair of context
+token counts as grouped sums. The driver holds parameters of a fixed size and a cache of the most common words' counts, those whose count is
+above the one where HOT words are reached (HOT is the cache's bound, it changes no result); the counts of all other words stay a table, joined to the words that need them. Normalisers are batched matrix products, one for each pair of context
 classes, kept by the process.
 
 Nulls: a null text is empty, its only token is the end. Rows whose training flag is null don't teach. Repeated rows teach
-and are scored as often as they occur. Without training rows N and V are 0 and the base score is 0.
+and are scored as often as they occur. Ties: of words with equal counts the lesser in byte order gets a class of its own. A very long text is
+scored whole; 500 texts are held at a time. Without training rows N and V are 0 and the base score is 0.
 Empty tables give empty results.
 """
 
@@ -104,29 +105,34 @@ def _scatter(index: np.ndarray, grad: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(index, grad[:, d], CLASSES) for d in range(grad.shape[1])], 1).astype(np.float32)
 
 
+def nce_gradient(p: dict[str, np.ndarray], h2: np.ndarray, h1: np.ndarray, w: np.ndarray, noise: np.ndarray, offset: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the noise-contrastive objective, the sum over words of log P(true) and over words and noise of log P(noise)."""
+    q1, q2 = p["Q"][h1], p["Q"][h2]
+    h = q1 * p["C"][0] + q2 * p["C"][1]
+    true = 1 / (1 + np.exp(offset[w] - p["b"][w] - np.einsum("ij,ij->i", h, p["R"][w])))
+    false = 1 / (1 + np.exp(offset[noise] - p["b"][noise] - h @ p["R"][noise].T))
+    up = (1 - true)[:, None]
+    to_h = up * p["R"][w] - false @ p["R"][noise]
+    grad = {
+        "R": _scatter(w, up * h),
+        "b": np.bincount(w, 1 - true, CLASSES).astype(np.float32),
+        "Q": _scatter(h1, to_h * p["C"][0]) + _scatter(h2, to_h * p["C"][1]),
+        "C": np.stack([(to_h * q1).sum(0), (to_h * q2).sum(0)]),
+    }
+    np.subtract.at(grad["R"], noise, false.T @ h)
+    np.subtract.at(grad["b"], noise, false.sum(0))
+    return grad
+
+
 def nce_steps(p: dict[str, np.ndarray], state: dict[str, np.ndarray], two: np.ndarray, one: np.ndarray, nxt: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, rate: float = 0.05) -> None:
     """Ascends the noise-contrastive objective over batches, in place; steps are scaled by AdaGrad sums in `state`."""
     offset = np.log(NOISE * unigram).astype(np.float32)
+    upto = np.cumsum(unigram)
     for lo in range(0, len(nxt), BATCH):
         h2, h1, w = two[lo : lo + BATCH], one[lo : lo + BATCH], nxt[lo : lo + BATCH]
-        noise = np.searchsorted(np.cumsum(unigram), rng.random(NOISE) * (1 - 1e-9)).clip(0, CLASSES - 1)
-        q1, q2 = p["Q"][h1], p["Q"][h2]
-        h = q1 * p["C"][0] + q2 * p["C"][1]
-        true = 1 / (1 + np.exp(offset[w] - p["b"][w] - np.einsum("ij,ij->i", h, p["R"][w])))
-        false = 1 / (1 + np.exp(offset[noise] - p["b"][noise] - h @ p["R"][noise].T))
-        up = (1 - true)[:, None]
-        to_h = up * p["R"][w] - false @ p["R"][noise]
-        n = len(w)
-        grad = {
-            "R": _scatter(w, up * h),
-            "b": np.bincount(w, 1 - true, CLASSES).astype(np.float32),
-            "Q": _scatter(h1, to_h * p["C"][0]) + _scatter(h2, to_h * p["C"][1]),
-            "C": np.stack([(to_h * q1).sum(0), (to_h * q2).sum(0)]),
-        }
-        np.subtract.at(grad["R"], noise, false.T @ h)
-        np.subtract.at(grad["b"], noise, false.sum(0))
-        for k, g in grad.items():
-            g /= n
+        noise = np.searchsorted(upto, rng.random(NOISE) * (1 - 1e-9)).clip(0, CLASSES - 1)
+        for k, g in nce_gradient(p, h2, h1, w, noise, offset).items():
+            g /= len(w)
             state[k] += g * g
             p[k] += rate * g / np.sqrt(state[k] + 1e-10)
 
@@ -151,19 +157,16 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     total = counts.agg(F.sum("c"), F.count("*")).first()
     n_words, n_kinds = total[0] or 0, total[1]
 
-    def cut(most: int) -> int:
-        """The least count that at most `most` words reach."""
-        left, low = most, 1 << 62
-        for c, kinds in sorted(by_count, reverse=True):
-            left -= kinds
-            if left < 0:
-                break
-            low = c
-        return low
-
-    by_count = [tuple(r) for r in counts.groupBy("c").agg(F.count("*")).collect()]  # as many rows as there are different counts
-    hot = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= cut(HOT)).toArrow().to_pylist()}
-    frequent = sorted(sorted(hot, key=lambda w: (-hot[w], w))[:FREQUENT])
+    left, least = HOT, 1 << 62  # the least count that the cache has room for
+    for c, kinds in sorted((tuple(r) for r in counts.groupBy("c").agg(F.count("*")).collect()), reverse=True):  # as many rows as there are different counts
+        left -= kinds
+        if left < 0:
+            break
+        least = c
+    hot = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= least).toArrow().to_pylist()}
+    common = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow().to_pylist()}  # ties in order of the words
+    hot |= common
+    frequent = sorted(common)
     own = Classes(frequent)
 
     crc = F.crc32(F.expr("substring(word, -2, 2)")) % RARE + 1 + FREQUENT

@@ -73,3 +73,38 @@ def test_empty_training(spark):
     got = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
     assert (got[1]["n_tokens"], got[1]["n_known"], got[1]["base_score"]) == (3, 0, 0.0) and got[None]["n_tokens"] == 1
     assert lm.score(docs.limit(0), model).count() == 0
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(4)
+    unigram = rng.random(lm.CLASSES) + 0.1
+    unigram /= unigram.sum()
+    p = {k: v.astype(np.float64) for k, v in lm.start(unigram).items()}
+    h2, h1, w, noise = (rng.integers(0, 7, 50) for _ in range(4))
+    offset = np.log(lm.NOISE * unigram)
+
+    def objective():
+        h = p["Q"][h1] * p["C"][0] + p["Q"][h2] * p["C"][1]
+        s = (h @ p["R"].T + p["b"]) - offset
+        return -np.log1p(np.exp(-s[np.arange(len(w)), w])).sum() - np.log1p(np.exp(s[:, noise])).sum()
+
+    grad = lm.nce_gradient(p, h2, h1, w, noise, offset)
+    for k, at in [("R", (3, 2)), ("b", (5,)), ("Q", (1, 4)), ("C", (0, 3)), ("C", (1, 1))]:
+        was, step = p[k][at], 1e-5
+        p[k][at] = was + step
+        up = objective()
+        p[k][at] = was - step
+        down = objective()
+        p[k][at] = was
+        assert grad[k][at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-4)
+
+
+def test_ties_at_the_caches_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g " * 2000), (2, "a b c d e f g")], "doc_id long, text string")
+    whole = lm.train(docs)
+    monkeypatch.setattr(lm, "HOT", 3)
+    few = lm.train(docs)
+    assert few["frequent"] == whole["frequent"] == [b"a", b"b", b"c", b"d", b"e", b"f", b"g"]
+    one, other = ({(r["doc_id"], r["n_tokens"]): r for r in lm.score(docs, m).collect()} for m in (whole, few))
+    for k, r in one.items():
+        assert other[k]["base_score"] == pytest.approx(r["base_score"]) and other[k]["n_known"] == r["n_known"] == r["n_tokens"]
