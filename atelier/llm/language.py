@@ -1,16 +1,17 @@
 """Language identification: script ranges narrow the candidates, then Viterbi over per-word scores labels spans.
 
 A model holds, for each language that occurs in the labelled rows, log probabilities of hashed byte trigrams of words
-and the share of each script among its letters. It is counted on a bounded sample of the labelled documents
-(`sample_docs` in expectation, picked by a hash of the row's place, whole texts), in parallel; only bucket sums reach the
-driver (languages x 2**BITS at most).
+and the share of each script among its letters. It is counted on a bounded sample of the labelled documents: of each language all
+rows up to `sample_docs`, beyond that as many in expectation (picked by a hash of the row's place, whole texts), so a rare language is
+learnt at any size. Counting runs in parallel; only bucket sums reach the driver (languages x 2**BITS at most).
 
 A word's candidates are the languages that use the script of its first letter; if none does, all stay. The path of
 languages through a text's words maximises the sum of word scores less `penalty` for each change. The text's language
 is the one with most bytes of words on the path (ties: the first in alphabetical order), its score their share.
 
 Nulls and texts without a letter are `und` with score 0. Rows whose label or text is null teach nothing. Without any
-labelled rows all is `und`. Repeated rows are judged alike. All columns of docs are kept, but one named as `result_col` is replaced.
+labelled rows all is `und`. Empty tables give empty results. Up to 65,536 languages fit. Very long texts are labelled whole: a group of texts holds about 400,000 words
+or one text. Repeated rows are judged alike. All columns of docs are kept, but one named as `result_col` is replaced.
 """
 
 from __future__ import annotations
@@ -65,12 +66,14 @@ def _trigrams(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.cumsum(sizes) - sizes
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 20_000) -> dict:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 6_000) -> dict:
     """{langs, logp (languages x buckets), scripts (languages x scripts): whether it uses the script}."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    share = min(1.0, sample_docs / max(1, rows.select("lang").count()))
+    many = rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > sample_docs).collect()  # a line for each common language
     picked = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))  # by row, so that copies don't come together
-    rows = rows.where(picked < int(share * (1 << 30)))
+    if many:
+        most = F.create_map(*(F.lit(x) for r in many for x in (r["lang"], int(sample_docs / r["n"] * (1 << 30)))))
+        rows = rows.where(picked < F.coalesce(most[F.col("lang")], F.lit(1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -101,6 +104,7 @@ class Scorer:
 
     def __init__(self, model: dict, penalty: float, bound: int = 400_000):
         self.langs, self.penalty, self.bound = model["langs"], np.float32(penalty), bound
+        self.kind = np.uint8 if len(self.langs) < 256 else np.uint16
         self.table, self.scripts = np.ascontiguousarray(model["logp"].T), model["scripts"]
         self.clear()
 
@@ -133,22 +137,22 @@ class Scorer:
         flat = np.empty(begins[-1], np.int32)  # word t of all texts that have one, then word t + 1
         for k, own in enumerate(ids):
             flat[begins[: len(own)] + k] = own
-        best, back = np.zeros((len(texts), len(self.langs)), np.float32), np.empty((begins[-1], len(self.langs)), np.uint8)
-        stay = np.arange(len(self.langs), dtype=np.uint8)
+        best, back = np.zeros((len(texts), len(self.langs)), np.float32), np.empty((begins[-1], len(self.langs)), self.kind)
+        stay = np.arange(len(self.langs), dtype=self.kind)
         for t in range(steps):
             n = alive[t]
             v = best[:n]
             top = v.argmax(1)
             jump = v[np.arange(n), top][:, None] - self.penalty
             take = jump > v
-            back[begins[t] : begins[t + 1]] = np.where(take, top[:, None].astype(np.uint8), stay)
+            back[begins[t] : begins[t + 1]] = np.where(take, top[:, None].astype(self.kind), stay)
             best[:n] = np.where(take, jump, v) + self.scores[flat[begins[t] : begins[t + 1]]]
-        state, path = best.argmax(1), np.empty(begins[-1], np.uint8)
+        state, path = best.argmax(1), np.empty(begins[-1], self.kind)
         for t in range(steps - 1, -1, -1):
             n = alive[t]
             path[begins[t] : begins[t + 1]] = state[:n]
             state[:n] = back[begins[t] + np.arange(n), state[:n]]
-        out: list[np.ndarray] = [np.empty(0, np.uint8)] * len(texts)
+        out: list[np.ndarray] = [np.empty(0, self.kind)] * len(texts)
         for k, i in enumerate(order.tolist()):
             out[i] = path[begins[: sizes[k]] + k]
         return out
@@ -170,8 +174,8 @@ def _groups(texts: list[str | None], most: int = 400_000) -> Iterator[tuple[list
 
 
 def _sent(docs: DataFrame, model: dict):
-    if len(model["langs"]) > 255:
-        raise ValueError("over 255 languages")
+    if len(model["langs"]) > 1 << 16:
+        raise ValueError("more languages than 16 bits can name")
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
@@ -213,7 +217,7 @@ def label_spans(docs: DataFrame, model: dict, text_col: str = "text", penalty: f
             out: list[list[dict]] = [[]] * len(batch)
             for at, group in _groups(batch.to_pylist()):
                 for i, path in zip(at, scorer.paths(group) if scorer.langs else [], strict=False):
-                    cuts = np.flatnonzero(np.diff(path)) + 1
+                    cuts = np.flatnonzero(path[1:] != path[:-1]) + 1
                     ends = [0, *cuts.tolist(), len(path)] if len(path) else []
                     out[i] = [{"first": a, "last": b - 1, "lang": scorer.langs[path[a]]} for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.array(out, _SPANS)

@@ -48,3 +48,36 @@ def test_empty(spark):
     model = language.train(none)
     assert language.identify(none, model).count() == 0
     assert [r["language"]["lang"] for r in language.identify(spark.createDataFrame([("abc",)], "text string"), model).collect()] == ["und"]
+
+
+def test_more_languages_than_a_byte_names(spark):
+    """300 languages with a word each; a language with one row is learnt beside one with many."""
+    name = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}q" * 3
+    rows = [(f"l{i:03d}", f"{name(i)} " * 20) for i in range(300)] + [("l000", f"{name(0)} " * 20)] * 500
+    model = language.train(spark.createDataFrame(rows, "lang string, text string"), sample_docs=20)
+    assert len(model["langs"]) == 300
+    asked = spark.createDataFrame([(f"l{i:03d}", f"{name(i)} " * 10) for i in range(300)], "want string, text string")
+    got = language.identify(asked, model).collect()
+    assert sum(r["language"]["lang"] == r["want"] for r in got) >= 295
+
+
+def test_trigram_scores_against_brute_force(spark):
+    model = language.train(labelled(spark), sample_docs=10_000)
+    bucket = lambda t: ((t[0] << 16 | t[1] << 8 | t[2]) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - language.BITS)
+    grams = lambda w: [bucket((b"\x02" + w + b"\x03")[i : i + 3]) for i in range(len(w))]
+    seen = {k: np.full(1 << language.BITS, 0.5) for k in model["langs"]}
+    for r in labelled(spark).collect():
+        if r["lang"] and r["text"]:
+            for w in r["text"].lower().encode().split():
+                if w != b"...":
+                    for b in grams(w):
+                        seen[r["lang"]][b] += 1
+    scorer = language.Scorer(model, 3.0)
+    for word in ("wasser", "house", "licht"):
+        scorer.learn([word.encode()])
+        got = scorer.scores[scorer.at[word.encode()]]
+        for k, lang in enumerate(model["langs"]):
+            if lang != "ru":
+                assert abs(got[k] - sum(np.log(seen[lang][b] / seen[lang].sum()) for b in grams(word.encode()))) < 1e-2
+            else:
+                assert got[k] == language.Scorer.EXCLUDED
