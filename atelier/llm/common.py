@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import drop_scratch, scratch, shared_dir, stored  # noqa: F401
+from ..scratch import drop_scratch, forget, scratch, shared_dir, stored  # noqa: F401
 
 #: Bytes that separate words: all of ASCII but digits and letters (texts are lower-cased first).
 SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
@@ -99,7 +99,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b: long): rows (node, root), root the least node of the component.
 
     Alternates large-star and small-star steps; each is a grouped minimum joined back, written to the shared
@@ -110,19 +110,20 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
-    for _ in range(rounds):
+    while True:  # each round shortens every chain by a constant factor, so rounds grow with the logarithm of its length
+        steps: list[DataFrame] = []
+        keep = lambda df, name: steps.append(stored(df, name)) or steps[-1]  # noqa: E731, B023
         both = edges.union(edges.select("b", "a"))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), "down")
+        least = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = keep(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        down = keep(large.groupBy("a").agg(F.min("b").alias("m")), "down")
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down).distinct()
-        edges = stored(small.where("a <> b"), "edges")
+        last, edges = edges, stored(small.where("a <> b"), "edges")
+        forget(last, *steps)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
