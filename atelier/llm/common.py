@@ -17,6 +17,8 @@ from ..scratch import drop_scratch, forget, scratch, shared_dir, stored  # noqa:
 
 #: Bytes that separate words: all of ASCII but digits and letters (texts are lower-cased first).
 SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
+#: Rows of a table of words (or row numbers) up to which it is broadcast; beyond, both sides are shuffled.
+BROADCAST_TERMS = 200_000
 _TO_SPACE = bytes(32 if b in SEPARATORS else b for b in range(256))
 
 

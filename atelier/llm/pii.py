@@ -4,18 +4,20 @@ Base spans are the leftmost matches of four kinds, found natively: the gaps betw
 every span's code points. Matches that fail their check are dropped; one with more digits than its kind may have becomes
 a `number`, as it may hide a card or phone that stands next to other digits.
 
-The method: a protected entity e is a base value; its context in a document is `reach` code points on either side, within
-the line. Over all documents, p(e) is the share of documents that hold e, and p(e|t) the share of those with term t that
-hold it in a context of e. A term reveals log2(p(e|t) / p(e)) of the -log2 p(e) bits that name the entity; where that part
-reaches `threshold`, in `support` different contexts at least, knowing the term nearly gives the entity away. Such a term
-in a context of e becomes a span of kind `term`, and `sanitise` generalises it to a class of words. Copies of a context
-count once towards `support`, so copying a text does not make its words telling.
-
-Every count is a grouped sum over all documents with partial sums before the shuffle; only terms that lie in contexts are
-joined. A document's own spans stay in its row, no group of documents is ever gathered.
-
-Nulls: a null text is empty and has no spans. Repeated rows are judged alike. Empty tables give empty results. All columns
-of docs are kept, but one named as `result_col` is replaced.
+The method: a protected entity e is a base value, or what base values share (an address's domain, a network, a card's issuer, a phone's
+area), so that values seen once share evidence; entities are known by hashes. Texts are cut into windows of `window`
+words, over line breaks, entities as one word each. Over all windows of all documents n_e, n_t and n_et count those that hold e,
+the term t, and both. Of the -log2(n_e / N) bits that name the entity a term reveals log2(n_et N / (n_e n_t)); where that part reaches
+`threshold`, in `support` windows with different words at least, knowing the term nearly gives the entity away. Such a term becomes a span of kind
+`term` wherever it stands, in any document, and `sanitise` generalises it to a class of words. Copies of a window count
+once towards `support`, so copying a text does not make its words telling.
+
+Every count is a grouped sum over all documents with partial sums before the shuffle. A window has at most `window` words, so
+pairs grow with the text; only counts of terms that stand with an entity are kept. Work on one text grows with its length to the power 1.5 at most,
+whatever it holds (prefix sums and cuts go by blocks).
+
+Nulls: a null text is empty and has no spans. Repeated rows are judged alike. Ties: a term that meets the threshold exactly is a span. Very
+long texts are searched whole. Empty tables give empty results. All columns of docs are kept, but one named as `result_col` is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BROADCAST_TERMS, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Possessive and anchored at a run's begin, which changes no match but keeps long runs linear.
@@ -48,19 +50,48 @@ def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
-def _places(text: Column, pattern: str, shift: Column | None = None) -> Column:
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(values: Column) -> Column:
+    """An array of about sqrt(n) arrays of consecutive values; one at least."""
+    width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / w).cast("int") - 1, F.lit(0))), lambda i: F.slice(values, i * w + 1, w)))
+
+
+def _folded(values: Column, first: Column, step) -> Column:
+    """(at, out): the fold of all values, and the folds before each."""
+    begin = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(values, begin, lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+
+def _running(values: Column, step) -> Column:
+    """For each value (longs) the fold by `step` (sum or greatest) of 0 and the values before it: an array one longer than `values`.
+
+    Goes by blocks, as appending to an array copies it.
+    """
+    zero = F.lit(0).cast("long")
+
+    def by(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, zero, step))
+        inner = lambda bases: F.concat(F.flatten(F.zip_with(blocks, bases["out"], lambda block, at: _folded(block, at, step)["out"])), F.array(bases["at"]))
+        return _let(_folded(sums, zero, step), inner)
+
+    return _let(_blocks(values), by)
+
+
+def _places(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of all matches: code points, end exclusive."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start: bigint, end: bigint, value: string>>")
-    begin = F.struct((F.lit(0).cast("long") if shift is None else shift.cast("long")).alias("at"), none.alias("out"))
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
+    def of(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, value: (F.length(gap) + F.length(value)).cast("long"))
+        out = lambda ends: F.zip_with(F.slice(ends, 2, F.size(found)), found, lambda end, value: F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")))
+        return F.when(F.size(found) > 0, _let(_running(steps, lambda x, y: x + y), out)).otherwise(none)
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, add, lambda s: s["out"])).otherwise(none)
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 def _luhn(digits: Column) -> Column:
@@ -102,72 +133,131 @@ def _spans_of(kind: str, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(HINTS[kind])), own).otherwise(none) if HINTS[kind] else own
 
 
-def _contexts(text: Column, spans: Column, reach: int) -> Column:
-    """For each span its entity, a hash of its context, and the terms there with their places, those of other spans left out."""
-    clear = lambda t: ~F.exists(spans, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
+def _replaced(text: Column, spans: Column, mask, every: bool = False) -> Column:
+    """The text with mask(span, its code points not yet replaced) in place of each span; what lies in a span before it is skipped, or with `every` masked too.
+
+    Spans go in blocks of about sqrt(n), each of which cuts its own part of the text first.
+    """
+
+    def block(own: Column) -> Column:
+        base, end = own[0]["at"], F.element_at(own, -1)["s"]["start"]
+
+        def cut(part: Column) -> Column:
+            gap = lambda x: F.substring(part, (x["at"] - base + 1).cast("int"), F.greatest(x["s"]["start"] - x["at"], F.lit(0)).cast("int"))
+            return F.array_join(F.transform(own, lambda x: F.concat(gap(x), mask(x["s"], F.greatest(x["s"]["end"] - F.greatest(x["at"], x["s"]["start"]), F.lit(0)).cast("int")))), "")
+
+        return _let(F.substring(text, (base + 1).cast("int"), F.greatest(end - base, F.lit(0)).cast("int")), cut)
 
-    def of(s: Column) -> Column:
-        left_at = F.greatest(s["start"] - reach, F.lit(0))
-        left = F.element_at(F.split(F.substring(text, (left_at + 1).cast("int"), (s["start"] - left_at).cast("int")), "\n"), -1)
-        right = F.element_at(F.split(F.substring(text, (s["end"] + 1).cast("int"), F.lit(reach)), "\n"), 1)
-        terms = F.concat(_places(left, WORD, s["start"] - F.length(left)), _places(right, WORD, s["end"]))
-        kept = F.filter(terms, lambda t: (F.length(t["value"]) >= 4) & t["value"].rlike("[^0-9]") & clear(t))
-        named = F.transform(kept, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.translate(t["value"], UPPER, LOWER).alias("term")))
-        entity = F.concat_ws(":", s["kind"], F.when(s["kind"].isin("card", "phone"), F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.translate(s["value"], UPPER, LOWER)))
-        return F.struct(entity.alias("entity"), F.xxhash64(F.transform(named, lambda t: t["term"])).alias("context"), named.alias("terms"))
+    def ordered(order: Column) -> Column:
+        def placed(reach: Column) -> Column:
+            both = F.zip_with(order, F.slice(reach, 1, F.size(order)), lambda s, at: F.struct(s.alias("s"), at.alias("at")))
+            both = both if every else F.filter(both, lambda x: x["s"]["start"] >= x["at"])
+            rest = F.substring(text, (F.element_at(reach, -1) + 1).cast("int"), F.length(text))
+            return F.concat(F.array_join(F.transform(_let(both, _blocks), block), ""), rest)
+
+        return _let(_running(F.transform(order, lambda s: s["end"].cast("long")), lambda x, y: F.greatest(x, y)), placed)
+
+    order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], F.sign(a["start"] - b["start"]).cast("int")).otherwise(F.sign(b["end"] - a["end"]).cast("int")))
+    return F.when(F.size(spans) > 0, _let(order, ordered)).otherwise(text)
 
-    return F.transform(F.filter(spans, lambda s: s["kind"] != NUMBER), of)
 
+#: Begins and ends an entity's number in the words of a window; a text's own characters of this kind count as blanks.
+_SIGN = "\ue000"
+_SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
-def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True, reach: int = 100, threshold: float = 0.9, support: int = 3, result_col: str = "pii") -> DataFrame:
+
+def _entities(span: Column) -> Column:
+    """Hashes of the value and of what it shares with others of its kind."""
+    kind, value = span["kind"], F.translate(span["value"], UPPER, LOWER)
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    own = F.when(kind.isin("card", "phone"), digits).otherwise(value)
+    shared = (
+        F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(value, "@", -1)))
+        .when(kind == "ip", F.concat(F.substring_index(value, ".", 3), F.lit(".")))
+        .when(kind == "card", F.substring(digits, 1, 6))
+        .otherwise(F.substring(digits, F.lit(1), F.length(digits) - 7))
+    )
+    return F.array(F.xxhash64(kind, F.lit("value"), own), F.xxhash64(kind, F.lit("shared"), shared))
+
+
+def _windows(text: Column, spans: Column, window: int) -> Column:
+    """Array of arrays of `window` words; entity i of `spans` is the word _SIGN i _SIGN."""
+    numbered = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i")))
+    blank = F.translate(text, _SIGN, " ")
+    marked = F.when(F.size(spans) > 0, _replaced(blank, numbered, lambda s, _: F.concat(F.lit(f" {_SIGN}"), s["i"].cast("string"), F.lit(f"{_SIGN} ")), every=True)).otherwise(blank)
+    words = F.filter(F.split(F.translate(marked, UPPER, LOWER), _SEPARATORS), lambda w: w != "")
+    return _let(words, lambda all: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(all) - 1) / window).cast("int"), F.lit(0))), lambda i: F.slice(all, i * window + 1, window)))
+
+
+def _is_entity(word: Column) -> Column:
+    return word.startswith(_SIGN)
+
+
+def told(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """From rows of text and spans: (entity, term, n_et, n_contexts) and (entity, n_e), stored."""
+    w = F.col("w")
+    holding = rows.where(F.exists("spans", lambda s: s["kind"] != NUMBER)).select("spans", F.explode(_windows(F.col("text"), F.col("spans"), window)).alias("w"))
+    named = F.transform(F.filter(w, _is_entity), lambda x: F.element_at("spans", F.regexp_replace(x, _SIGN, "").cast("int") + 1))
+    entities = F.array_distinct(F.flatten(F.transform(F.filter(named, lambda s: s["kind"] != NUMBER), _entities)))
+    plain = F.filter(w, lambda x: ~_is_entity(x))
+    own = holding.select(entities.alias("entities"), F.xxhash64(plain).alias("context"), F.array_distinct(plain).alias("terms")).where(F.size("entities") > 0)
+    own = stored(own, "pii-windows")
+    pairs = own.select("context", F.explode("entities").alias("entity"), "terms").select("context", "entity", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("n_contexts"))
+    return pairs, own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+
+
+def telling(rows: DataFrame, window: int, threshold: float, support: int) -> DataFrame:
+    """(entity, term, n_et, n_e, n_t, n, bits, worth) of the terms that reveal an entity; rows have text and spans."""
+    pairs, held = told(rows, window)
+    pairs = stored(pairs.where(F.col("n_contexts") >= support).join(held, "entity"), "pii-pairs")
+    asked = stored(pairs.select("term").union(pairs.sparkSession.createDataFrame([("",)], "term string")).distinct(), "pii-terms")  # the empty term stands for the window itself
+    few = asked.count() <= BROADCAST_TERMS
+    own = F.flatten(F.transform(_windows(F.col("text"), F.col("spans"), window), lambda w: F.concat(F.array(F.lit("")), F.array_distinct(w))))
+    counted = rows.select(F.explode(own).alias("term")).join(F.broadcast(asked) if few else asked, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = stored(counted, "pii-counts")
+    n = (counted.where("term = ''").first() or [0, 0])[1]
+    bits = F.log2(F.col("n_et") * float(n) / (F.col("n_e") * F.col("n_t").cast("double")))
+    worth = -F.log2(F.col("n_e") / F.lit(float(n or 1)))
+    found = pairs.join(counted, "term").select("entity", "term", "n_et", "n_e", "n_t", F.lit(n).alias("n"), bits.alias("bits"), worth.alias("worth"))
+    return found.where((F.col("worth") > 0) & (F.col("bits") >= threshold * F.col("worth") - 1e-9))
+
+
+def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True, window: int = 128, threshold: float = 0.9, support: int = 2, result_col: str = "pii") -> DataFrame:
     """Adds array `result_col` of spans (kind, start, end): base ones by kind and start, then by start long
     numbers (kind `number`) and revealing terms (kind `term`).
 
-    `reach`: code points on either side of an entity in which terms are looked for. keep_text=False leaves the text out.
+    `window`: words in which an entity and a term count as one another's context. keep_text=False leaves the text out.
     """
-    names = [c for c in docs.columns if c.lower() != result_col.lower() and (keep_text or c != text_col)]
+    names = [c for c in docs.columns if c.lower() != result_col.lower() and c != text_col]
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]
-    rows = docs.select(*kept, _text(text_col).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    rows = rows.withColumn("contexts", F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"), reach)))
-    rows = stored(rows.drop("text").withColumn("row", F.monotonically_increasing_id()), "pii-rows")
-
-    near = rows.where("contexts is not null").select("row", F.explode("contexts").alias("c")).select("row", "c.entity", "c.context", F.explode("c.terms").alias("t")).select("row", "entity", "context", "t.*")
-    held = rows.where("contexts is not null").select("row", F.explode("contexts").alias("c")).select("row", "c.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    by_context = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
-    by_doc = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    pairs = stored(by_context.where(F.col("n_contexts") >= support).join(by_doc, ["entity", "term"]).join(held, "entity"), "pii-pairs")
-
-    n_docs = rows.count()
-    told = docs.select(F.explode(F.array_distinct(F.split(F.translate(_text(text_col), UPPER, LOWER), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"))).alias("term"))
-    held_by = told.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term") if not pairs.isEmpty() else pairs.select("term", F.col("n_et").alias("n_t"))
-    bits = F.log2(F.col("n_et") * float(n_docs) / (F.col("n_e") * F.col("n_t").cast("double")))
-    worth = -F.log2(F.col("n_e") / F.lit(float(n_docs or 1)))
-    telling = pairs.join(held_by, "term").where((worth > 0) & (bits >= threshold * worth)).select("entity", "term")
-    extra = near.join(telling, ["entity", "term"]).select("row", "start", "end").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit(TERM).alias("kind"), "start", "end"))).alias("extra"))  # a document's own
+    rows = docs.select(*kept, F.col(text_col).alias("given"), base_spans(_text(text_col)).alias("spans"))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pii-rows").withColumn("text", _text("given"))
+
+    terms = stored(telling(rows, window, threshold, support).select("term").distinct(), "pii-telling")
+    few = terms.count() <= BROADCAST_TERMS
+    own = F.array_distinct(F.flatten(_windows(F.col("text"), F.col("spans"), window)))
+    hit = rows.select("row", F.explode(own).alias("term")).join(F.broadcast(terms) if few else terms, "term").groupBy("row").agg(F.collect_set("term").alias("terms"))  # a document's own words
+    blank = _replaced(F.col("text"), F.col("spans"), lambda _, n: F.repeat(F.lit(" "), n))
+    places = F.filter(_places(F.col("blank"), WORD), lambda t: F.array_contains("terms", t["value"]))
+    extra = rows.join(hit, "row").select("row", "terms", F.translate(blank, UPPER, LOWER).alias("blank")).select("row", F.transform(places, lambda t: F.struct(F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end"))).alias("extra"))
+    extra = stored(extra, "pii-term-spans")
+
     plain = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = F.concat(F.filter(plain, lambda s: s["kind"] != NUMBER), F.array_sort(F.filter(plain, lambda s: s["kind"] == NUMBER)))
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
-    found = F.concat(base, F.coalesce("extra", none)).alias("pii")
-    columns = [f"k{i}" for i in range(len(names))]
-    plain_rows = rows.where("contexts is null").withColumn("extra", F.lit(None).cast("array<struct<kind: string, start: bigint, end: bigint>>")).select(*columns, found)
-    whole = rows.where("contexts is not null").join(extra, "row", "left").select(*columns, found).union(plain_rows)  # texts without personal data are not shuffled
-    return whole.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), F.col("pii").alias(result_col))
+    whole = rows.join(F.broadcast(extra.select("row")) if few and extra.count() <= BROADCAST_TERMS else extra.select("row"), "row", "left_anti").withColumn("extra", none)
+    whole = whole.unionByName(rows.join(extra, "row"))
+    back = [F.col(f"k{names.index(c)}").alias(c) if c != text_col else F.col("given").alias(c) for c in docs.columns if c in names or (keep_text and c == text_col and c.lower() != result_col.lower())]
+    return whole.select(*back, F.concat(base, "extra").alias(result_col))
 
 
 def sanitise(text: Column, spans: Column) -> Column:
     """The text with each base span replaced by its kind in brackets and each term by a class of words; overlapping spans go as one."""
-    mask = lambda s, was: F.when(s["kind"] != TERM, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(was.rlike("[0-9]"), "[CODE]").when(was.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        more = F.concat(state["out"], cut(state["at"], s["start"]), mask(s, cut(s["start"], s["end"])))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(state["out"]).alias("out"))
-
-    order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], F.sign(a["start"] - b["start"]).cast("int")).otherwise(F.sign(b["end"] - a["end"]).cast("int")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(order, begin, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, clean).otherwise(text)
+    order = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    word = lambda s: F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    mask = lambda s, _: F.when(s["kind"] != TERM, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(word(s).rlike("[0-9]"), "[CODE]").when(word(s).rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    return _replaced(text, order, mask)
 
 
 def digest(spans: Column) -> Column:
