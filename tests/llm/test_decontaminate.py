@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from atelier.llm import decontaminate as module
 from atelier.llm.decontaminate import decontaminate
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -40,15 +43,18 @@ def cases():
     return items, texts + texts[:9]
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     items, texts = cases()
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block_words in (10**6, 10):
-        got = decontaminate(docs, bench, block_words=block_words).collect()
-        assert len(got) == len(texts)
+    for words, group in ((10**6, 200), (0, 200), (0, 2)):  # broadcast; by shuffles; by shuffles, with candidates in several groups
+        monkeypatch.setattr(module, "ITEMS", group)
+        got = decontaminate(docs, bench, broadcast_words=words).collect()
+        assert len(got) == len(texts) and all(r["n_words"] == "clash" for r in got)
         for r in got:
             f = r["found"]
+            bits = np.unpackbits(np.frombuffer(f["hits"], np.uint8), count=f["n_words"])
+            assert bits.sum() == f["n_hit"] and len(f["hits"]) == -(-f["n_words"] // 8)
             assert (f["n_words"], f["n_hit"], f["items"], f["contaminated"]) == brute(r["text"], items), r["text"]
 
 
@@ -57,3 +63,6 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).collect()[0]["found"]["n_hit"] == 0
     assert decontaminate(docs.limit(0), none).count() == 0
+    some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate(docs.limit(0), some, broadcast_words=0).count() == 0
+    assert decontaminate(docs, some, broadcast_words=0).collect()[0]["found"]["n_hit"] == 3
