@@ -205,7 +205,7 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, gram:
     result = F.struct(F.col("n_words"), F.coalesce("f.n_hit", F.lit(0)).alias("n_hit"), F.coalesce("f.hits", none).alias("hits"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
     told = told.select(F.col("row").alias(row), result.alias(free(docs, "_result")))
     whole = docs.join(told, row)
-    return whole.withColumn(result_col, F.col(free(docs, "_result"))).select(*[c for c in docs.columns if c != row and c.lower() != result_col.lower()], result_col)
+    return whole.withColumn(result_col, F.col(free(docs, "_result"))).select(*[F.col(f"`{c}`") for c in docs.columns if c != row and c.lower() != result_col.lower()], result_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = 20, broadcast_words: int = 1_000_000, result_col: str = "found") -> DataFrame:

@@ -10,13 +10,14 @@
    Every verified link is counted for both ends (weighted by copies); links to least members go on.
 4. Components of the verified links are the final classes.
 
-A bucket or component above its block size is cut into blocks, and each pair of blocks is a task's group, so no group is
-unbounded and no pair is lost. Buckets miss a pair at the threshold with probability (1 - t^ROWS)^BANDS = 2e-4 at 0.8.
+A bucket or component above its block size, in rows or in bytes of sets, is cut into blocks, and each pair of blocks is a task's group, so no group is
+unbounded and no pair is lost. Counting every link of m different near copies takes all their pairs: that work, and the sets sent for it (m / 1024 times each),
+grows with m squared; copies of equal sets cost nothing. Buckets miss a pair at the threshold with probability (1 - t^ROWS)^BANDS = 2e-4 at 0.8.
 
 Nulls, empty texts and texts without words have no shingles: each is a class alone. A text of fewer than k words is one
-shingle. Rows take part under a hash of doc_id and text, so a null doc_id or one
-doc_id with several texts does no harm. Repeated rows are copies of each other. An empty
-table gives an empty result.
+shingle; a very long one is a set like others, a group of blocks holds 64 MB of sets or one set. Every row takes part under a number
+of its own, so a null doc_id or one doc_id with several texts does no harm; sets are known by 128 bits. Repeated rows are copies of each other. Ties: the
+least doc_id names the class, then the least row number. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,9 @@ from .common import Hashes, components, grams, local_roots, mix, partitions, sto
 
 K, THRESHOLD = 5, 0.8
 HASHES, STEP, BANDS, ROWS = 128, 32, 16, 4
-BUCKET_BLOCK, VERIFY_BLOCK = 4096, 1024
-#: Members of candidate components (40 bytes each) up to which they are broadcast to the texts; beyond, both are shuffled.
-BROADCAST_ROWS = 400_000
+BUCKET_BLOCK, VERIFY_BLOCK, BLOCK_BYTES = 4096, 1024, 32 << 20
+#: Members of candidate components (some 250 bytes each with key and signature) up to which they are broadcast to the texts; beyond, both are shuffled.
+BROADCAST_ROWS = 100_000
 _ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -139,13 +141,15 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def dealt(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
-    """Adds long columns bi, bj, block: rows of a key with more than `block` rows go to each pair of its blocks that they are in.
+def dealt(rows: DataFrame, key: str, member: str, block: int, size: Column | None = None) -> DataFrame:
+    """Adds long columns bi, bj, block: rows of a key with more than `block` rows, or over BLOCK_BYTES by `size`, go to each pair of its blocks that they are in.
 
-    The keys that need it are counted first, from key columns alone; there is one for `block` rows at most. They are
+    The keys that need it are counted first; there is one for `block` rows (or so many bytes) at most. They are
     broadcast up to BROADCAST_ROWS, else joined by a shuffle.
     """
-    hot = rows.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > block).select(F.col(key).alias("hot"), F.ceil(F.col("m") / block).alias("g"))
+    size = F.lit(0) if size is None else size
+    g = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(size) / BLOCK_BYTES))
+    hot = rows.groupBy(F.col(key).alias("hot")).agg(g.alias("g")).where("g > 1")
     hot = stored(hot, "hot-keys")
     whole = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, F.col(key) == F.col("hot"), "left")
     g = F.coalesce("g", F.lit(1).cast("long"))
@@ -154,16 +158,17 @@ def dealt(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
     return whole.select(*rows.columns, F.explode(pair).alias("p")).select(*rows.columns, "p.bi", "p.bj", "p.block")
 
 
-def row_id(id_col: str, text_col: str) -> Column:
-    """The same for repeated rows, never null; rows with one doc_id and different texts differ."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+def text_hash(text_col: str) -> Column:
+    """With doc_id it leads back from a row's number to its text; rows that agree in both are repeated rows."""
+    return F.xxhash64(F.col(text_col))
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """doc_id, id (row_id), key (of the shingle set), n (its size), bands, sig."""
+    """doc_id, h (text_hash), id (the row's number), key (of the shingle set), n (its size), bands, sig."""
+    names = ["doc_id", "h", "id", "key", "n", "bands", "sig"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, row = Hashes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             keys, sizes, banded, sigs = [], [], [], []
             for text in batch.column(2):
@@ -175,12 +180,13 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                 sigs.append(signature(least))
             flat = pa.array(np.concatenate(banded) if banded else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(sigs, pa.binary())], names=["doc_id", "id", "key", "n", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.arange(row, row + len(keys))), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(sigs, pa.binary())], names=names)
+            row += len(keys)
         del hashes
         trim()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(make, "doc_id long, id long, key binary, n long, bands array<long>, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(make, "doc_id long, h long, id long, key binary, n long, bands array<long>, sig binary")
 
 
 def _candidate_links(least: tuple[int, ...], threshold: float):
@@ -188,7 +194,7 @@ def _candidate_links(least: tuple[int, ...], threshold: float):
         ids = [columns[c].to_numpy() for c in range(3)]
         reps, sizes, sig = columns[3].to_numpy(), columns[4].to_numpy(), _signatures(columns[5])
         group = np.cumsum(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in ids], axis=0)]))
-        left, right, at, d = [], [], np.arange(len(reps)), 1
+        left, right, at, d, pending, root = [], [], np.arange(len(reps)), 1, 0, np.arange(len(reps))
         while True:  # pairs d rows apart in one group; those positions only shrink
             at = at[at + d < len(reps)]
             at = at[group[at] == group[at + d]]
@@ -198,9 +204,13 @@ def _candidate_links(least: tuple[int, ...], threshold: float):
             i, j = prune(sig, near, near + d, least)
             left.append(i)
             right.append(j)
+            pending += len(i)
+            if pending > 1 << 20:  # links join components as they come, so that few are held
+                root = local_roots(len(reps), np.concatenate([*left, np.arange(len(reps))]), np.concatenate([*right, root]))
+                left, right, pending = [], [], 0
             d += 1
-        if left:
-            root = local_roots(len(reps), np.concatenate(left), np.concatenate(right))
+        root = local_roots(len(reps), np.concatenate([*left, np.arange(len(reps))]), np.concatenate([*right, root]))
+        if len(reps):
             low = reps[root]
             own = np.flatnonzero(reps != low)
             if len(own):
@@ -278,31 +288,30 @@ def verified(found: DataFrame, threshold: float, tolerance: float) -> DataFrame:
 
     Returns rows (rep, links, root): in each block pair a member's links, weighted by copies, and its least linked member.
     """
-    cut = dealt(stored(found, "sets"), "root", "rep", VERIFY_BLOCK).select("root", "bi", "bj", "rep", "copies", "sig", "set", "block")
+    cut = dealt(stored(found, "sets"), "root", "rep", VERIFY_BLOCK, F.length("set")).select("root", "bi", "bj", "rep", "copies", "sig", "set", "block")
     grouped = cut.repartition(partitions(found.sparkSession), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
     return stored(grouped.mapInArrow(_verified_links(fewest(threshold, tolerance), threshold), "rep long, links long, root long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, tolerance: float = 1e-5) -> DataFrame:
-    """doc_id, id (row_id), class_id (least doc_id of the documents joined by links), n_links and keeper.
+    """doc_id, h (text_hash), id (row number), class_id (least doc_id of the documents joined by links), n_links and keeper.
 
     n_links counts the other documents whose similarity to this one reaches the threshold, copies included. keeper is the
-    id of the class's row with the least doc_id (nulls last). A class of null doc_ids alone has a hash as its class_id.
+    id of the class's row with the least doc_id (nulls last). A class of null doc_ids alone has a text's hash as its class_id.
     """
     least, spark = fewest(threshold, tolerance), docs.sparkSession
     feats = stored(features(docs, id_col, text_col, k), "shingles")
-    classes = stored(feats.where("n > 0").groupBy("key", "n", "bands", "sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "id")).alias("first")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "id", "h")).alias("first")
+    classes = stored(feats.where("n > 0").groupBy("key", "n", "bands", "sig").agg(F.min(F.struct("id", "doc_id", "h")).alias("r"), F.count("*").alias("copies"), first).withColumn("rep", F.col("r.id")), "classes")
 
     in_bands = classes.select(F.explode("bands").alias("band"), "rep", "n", "sig")
     buckets = dealt(in_bands, "band", "rep", BUCKET_BLOCK).select("band", "bi", "bj", "rep", "n", "sig")
     links = buckets.repartition(partitions(spark), "band", "bi", "bj").sortWithinPartitions("band", "bi", "bj").mapInArrow(_candidate_links(least, threshold), "a long, b long")
     near = components(links)
 
-    members = stored(near.join(classes, near.node == classes.rep).select("root", "rep", "key", "copies", "sig"), "members")
-    texts = docs.select(row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
-    known = members.select(F.col("rep").alias("id"), "root", "key", "copies", "sig")
-    if members.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
+    members = stored(near.join(classes, near.node == classes.rep).select("root", "rep", "key", "copies", "sig", F.col("r.doc_id").alias("d"), F.col("r.h").alias("t")), "members")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
+    known = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -311,14 +320,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept = pa.array([xxhash.xxh3_128_digest(u) == key.as_py() for u, key in zip(own, batch.column(5), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(own, pa.binary())], names=["root", "rep", "copies", "sig", "set"]).filter(kept)
 
-    found = texts.join(known, "id").select("root", F.col("id").alias("rep"), "copies", "sig", "text", "key").mapInArrow(sets, "root long, rep long, copies long, sig binary, set binary")
+    held = texts.join(known, (F.col("h") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    found = held.select("root", "rep", "copies", "sig", "text", "key").mapInArrow(sets, "root long, rep long, copies long, sig binary, set binary")
     checked = verified(found, threshold, tolerance)
     final = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     told = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     rooted = classes.select("key", "rep", "copies", "first").join(final, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
     by_class = rooted.drop("first").join(told, "rep", "left").join(firsts, "root")
-    by_class = by_class.select("key", F.coalesce("first.doc_id", "root").alias("class"), F.col("first.id").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("others"))
-    whole = feats.select("doc_id", "id", "key", "n").join(by_class, "key", "left")
+    by_class = by_class.select("key", F.coalesce("first.doc_id", "first.h").alias("class"), F.col("first.id").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("others"))
+    whole = feats.select("doc_id", "h", "id", "key", "n").join(by_class, "key", "left")
     own = lambda c, alone: F.when(F.col("n") > 0, F.col(c)).otherwise(alone)
-    return whole.select("doc_id", "id", own("class", F.coalesce("doc_id", "id")).alias("class_id"), own("others", F.lit(0)).cast("long").alias("n_links"), own("keeper", F.col("id")).alias("keeper"))
+    return whole.select("doc_id", "h", "id", own("class", F.coalesce("doc_id", "h")).alias("class_id"), own("others", F.lit(0)).cast("long").alias("n_links"), own("keeper", F.col("id")).alias("keeper"))

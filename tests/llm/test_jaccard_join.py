@@ -53,6 +53,9 @@ def cases():
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "VERIFY_BLOCK", block)
     monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 4 * block)
+    if block == 7:
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 6000)
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     texts = cases()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
     links, classes = brute(texts)
@@ -102,3 +105,11 @@ def test_components(spark):
                     todo += near[x]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in want.items() if near[k] != {k}}
+
+
+def test_long_chain_of_links_settles(spark):
+    """A path of 5,000 links, whose ends meet after more rounds than were once allowed for."""
+    order = list(range(5001))
+    random.Random(3).shuffle(order)
+    got = components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")).collect()
+    assert len(got) == 5001 and {r["root"] for r in got} == {0}
