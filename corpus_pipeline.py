@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's docs.
 
-Every stage but the last returns the columns of documents; nulls, repeated rows and empty tables pass as each operator's
-docstring says. Repeated rows are one document from the near-duplicate stage on.
+Every stage but the last returns the columns of documents; nulls, repeated rows, very long texts, ties and empty tables pass as each
+operator's docstring says. Repeated rows are one document from the near-duplicate stage on; of rows that agree in doc_id and text but
+not in other columns the one whose columns have the least hash stays, whatever the order of the scan.
 """
 
 from __future__ import annotations
@@ -34,10 +35,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the row with the least doc_id stays (nulls last), of repeated rows one."""
-    name = free(docs, "_id")
-    kept = jaccard_join.near_duplicates(docs).where(F.col("id") == F.col("keeper")).select(F.col("id").alias(name)).distinct()
-    rows = docs.withColumn(name, jaccard_join.row_id("doc_id", "text")).join(kept, name, "left_semi")
-    return rows.dropDuplicates([name]).drop(name)
+    kept = jaccard_join.near_duplicates(docs).where(F.col("id") == F.col("keeper")).select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h")).distinct()
+    h, row = free(docs, "_h"), free(docs, "_row")
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(h) == F.col("kept_h"))
+    rows = docs.withColumn(h, jaccard_join.text_hash("text")).join(kept, same, "left_semi")
+    order = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")))
+    one = rows.groupBy("doc_id", h).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias(row))
+    return one.select(*(F.col(row)[c].alias(c) for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
