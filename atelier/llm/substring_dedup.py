@@ -1,22 +1,24 @@
 """Repeated passages across documents, found as near-duplicate paragraphs.
 
-Two kinds of paragraphs cover a text. Natural ones are its lines of LINE words at least. But a passage need not begin or end
-with a line, so others are anchored in the words: of every WINDOW consecutive places where one could begin, the place
+Two kinds of paragraphs cover a text. Natural ones are made of its lines: each line of LINE words at least, and each run of shorter lines,
+cut at line ends into pieces of LINE words at least; what is left of a run is completed to LINE words by those after it (at
+the text's end by those before it), so that every word of every text is in a natural paragraph. A text of fewer than LINE words is one. But a passage
+need not begin or end with a line, so others are anchored in the words: of every WINDOW consecutive places where one could begin, the place
 whose five-word shingle has the least hash begins a paragraph of SIZE words. Two texts that share WINDOW + SIZE - 1 = 50 words
 share an anchored paragraph for certain, wherever the passage stands. Anchored paragraphs are seeds: each that repeats is extended
 word by word on both sides, as far as an earlier document (for the kept one: any other) has the same words around it. Shared
 seeds are at most REACH = 32 words from each other and from the ends of a shared run, so with REACH words on either side the
 seeds of a run cover it whole. Occurrences of a seed are compared in blocks, and each pair of blocks is a group.
 
-Equal paragraphs form a class by their hash, counted with partial sums. Natural ones also have MinHash values in BANDS bands of
+Equal paragraphs form a class by 96 bits of hashes, counted with partial sums. Natural ones also have MinHash values in BANDS bands of
 ROWS, tuned to miss at most 2.5e-4 of the pairs at a similarity of 0.8: classes that collide in a band are linked to the band's least one, so
 links stay linear; in the components of these links all pairs are verified on exact Jaccard in blocks
 (jaccard_join.verified), and components of verified links cluster the removals. Each cluster that occurs in two
 documents at least stays in its least document and is removed from the others.
 
-Nulls, empty texts and texts of fewer than SIZE words have no paragraphs. A null doc_id takes part under a negative id
-made from its text. Rows with one id are one document: repeated rows alone don't repeat a passage. Empty tables give
-empty results.
+Nulls, empty texts and texts of fewer than K = 5 words, which have no shingle, have no paragraphs. A null doc_id takes part under a negative id
+made from its text. Rows with one id are one document: repeated rows alone don't repeat a passage. Ties: of documents with a
+passage the least id keeps it. Very long texts are searched whole; a task holds 500 texts. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .jaccard_join import BROADCAST_ROWS, _grouped, minhash, signature, verified
 
 K, SIZE, WINDOW, LINE, THRESHOLD, ROWS = 5, 18, 33, 20, 0.8, 4
 REACH, SEED_BLOCK = WINDOW - 1, 16384
-_MARK = "key long, id long, doc_id long, word int, start int, end int, bands array<long>"
+_MARK = "key long, more int, id long, doc_id long, word int, start int, end int, bands array<long>"
 _SEED = "key long, id long, doc_id long, word int, start int, end int, kept boolean, blocks long, around binary, gaps binary"
 
 
@@ -50,7 +52,8 @@ def tuned(threshold: float, rows: int, recall: float) -> int:
 
 
 BANDS = tuned(THRESHOLD, ROWS, 1 - 2.5e-4)  # as many as jaccard_join has
-_ODD = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_MIXED = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ODD, _TURN = _MIXED.astype(np.uint32) | np.uint32(1), (_MIXED >> np.uint64(32)).astype(np.uint32)  # of hashes (x ^ turn) * odd in 32 bits
 
 
 def placed_words(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -85,10 +88,10 @@ def anchors(g: np.ndarray, window: int) -> np.ndarray:
 def anchored(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and keys of the anchored paragraphs of a text of n words with shingle hashes g."""
     if n < SIZE:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty((0, 2), np.int64)
     at = anchors(g[: n - SIZE + 1], WINDOW)
     code = _code(g, at)
-    same = code[1:] == code[:-1]  # short periods: of a chain of equal paragraphs its ends and one in every SIZE words
+    same = code[1:, 0] == code[:-1, 0]  # short periods: of a chain of equal paragraphs its ends and one in every SIZE words
     if same.any():
         kept, last = np.ones(len(at), bool), int(at[0])
         for i in range(1, len(at)):
@@ -101,11 +104,17 @@ def anchored(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _code(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Keys of the paragraphs of SIZE words that begin at `at`."""
-    code = np.zeros(len(at), np.uint64)
+    """Keys of the paragraphs of SIZE words that begin at `at`: two columns of independent hashes."""
+    code, more = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for c in range(SIZE - K + 1):
         code = mix(code * np.uint64(0x9E3779B97F4A7C15) + g[at + c])
-    return code.view(np.int64)
+        more = (more + g[at + c]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return _both(code, more)
+
+
+def _both(code: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A key, and 32 bits of another hash."""
+    return np.stack([code.view(np.int64), (more >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64)], 1)
 
 
 def surroundings(h: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,18 +158,40 @@ def _extended(columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
     yield from pa.table(arrays, names=["key", "id", "doc_id", "word", "start", "end", "kept"]).to_batches()
 
 
+def units(sizes: list[int], n: int) -> list[tuple[int, int]]:
+    """First word and end of the natural paragraphs of a text of n words in lines of `sizes` words."""
+    out, at, begin, words = [], 0, 0, 0
+    for size in sizes:
+        if size >= LINE:
+            if words:  # the rest of a run of short lines
+                out.append((begin, min(n, begin + LINE)))
+            out.append((at, at + size))
+            words = 0
+        else:
+            begin = begin if words else at
+            words += size
+            if words >= LINE:
+                out.append((begin, at + size))
+                words = 0
+        at += size
+    if words:
+        out.append((max(0, min(begin, n - LINE)), n))
+    return out
+
+
 def natural(g: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First words, sizes in words, keys of the lines of LINE words at least, and which shingles lie in each (as begins and ends)."""
-    begins = np.flatnonzero(np.diff(lines, prepend=-1))
-    sizes = np.diff(np.append(begins, len(lines)))
-    begins, sizes = begins[sizes >= LINE], sizes[sizes >= LINE]
+    """First words, sizes in words and keys of the natural paragraphs, and which shingles lie in each (as begins and ends)."""
+    sizes = np.diff(np.append(np.flatnonzero(np.diff(lines, prepend=-1)), len(lines))).tolist()
+    cuts = np.array(units(sizes, len(lines)) if len(lines) >= K else [], np.int64).reshape(-1, 2)
+    begins, sizes = cuts[:, 0], cuts[:, 1] - cuts[:, 0]
     ends = begins + sizes - K + 1
     if not len(begins):
-        return begins, sizes, np.empty(0, np.int64), ends
-    inside = _inside(begins, ends)
-    place = np.arange(len(inside)) - np.repeat(np.cumsum(ends - begins) - (ends - begins), ends - begins)
+        return begins, sizes, np.empty((0, 2), np.int64), ends
+    inside, first = _inside(begins, ends), np.cumsum(ends - begins) - (ends - begins)
+    place = np.arange(len(inside)) - np.repeat(first, ends - begins)
     code = mix(g[inside] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return begins, sizes, np.add.reduceat(code, np.cumsum(ends - begins) - (ends - begins)).view(np.int64), ends
+    other = (g[inside] ^ (code >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return begins, sizes, _both(np.add.reduceat(code, first), np.add.reduceat(other, first)), ends
 
 
 def _inside(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -171,8 +202,8 @@ def _inside(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _bands(g: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Band hashes of the shingles [begins, ends): a row of BANDS for each."""
     n = ends - begins
-    own = g[_inside(begins, ends)]
-    least = np.minimum.reduceat((own[:, None] * _ODD) >> np.uint64(32), np.cumsum(n) - n, axis=0)
+    own = (g[_inside(begins, ends)] >> np.uint64(32)).astype(np.uint32)
+    least = np.minimum.reduceat((own[:, None] ^ _TURN) * _ODD, np.cumsum(n) - n, axis=0).astype(np.uint64)
     code = np.tile(np.arange(BANDS, dtype=np.uint64), (len(n), 1))
     for r in range(ROWS):
         code = mix(code * np.uint64(0x9E3779B97F4A7C15) + least[:, r * BANDS : (r + 1) * BANDS])
@@ -187,14 +218,14 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, keys, places, banded = [], [], [], []
             for k, text in enumerate(cut.column(2)):
                 tokens, begins, ends, lines = placed_words(text.as_py() or "")
-                if len(tokens) < SIZE:
+                if len(tokens) < K:
                     continue
                 g = grams(hashes.of(tokens), K)
                 at, key = anchored(g, len(tokens))
                 first, size, line_key, stop = natural(g, lines)
                 owner += [k] * (len(at) + len(first))
                 keys += [key, line_key]
-                places += [np.stack([at, begins[at], ends[at + SIZE - 1]]), np.stack([first, begins[first], ends[first + size - 1]])]
+                places += [np.stack([at, begins[at], ends[at + SIZE - 1]]) if len(at) else np.empty((3, 0), np.int64), np.stack([first, begins[first], ends[first + size - 1]])]
                 banded += [(len(at), None), (len(first), _bands(g, first, stop) if len(first) else None)]
             if owner:
                 word, start, end = np.concatenate(places, axis=1).astype(np.int32)
@@ -202,7 +233,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat = [b.ravel() for _, b in banded if b is not None]
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
                 rows = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), cut.column(0).take(rows), cut.column(1).take(rows), pa.array(word), pa.array(start), pa.array(end), lists], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)[:, 0]), pa.array(np.concatenate(keys)[:, 1].astype(np.int32)), cut.column(0).take(rows), cut.column(1).take(rows), pa.array(word), pa.array(start), pa.array(end), lists], names=names)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-5) -> DataFrame:
@@ -217,9 +248,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     few = near.count() <= BROADCAST_ROWS
     sent = F.broadcast(near) if few else near
-    held = marks.where(F.size("bands") > 0).select("key", "id", "word").join(sent, marks.key == near.node)
-    members = stored(held.groupBy("root", "key").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "paragraph-members")
-    wanted = members.groupBy("id").agg(F.collect_list(F.struct("key", "root", "copies")).alias("wanted"))  # lines of one document
+    held = marks.where(F.size("bands") > 0).select("key", "more", "id").join(sent, marks.key == near.node)
+    members = stored(held.groupBy("root", "key", "more").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "paragraph-members")
+    wanted = members.groupBy("id").agg(F.collect_list(F.struct("key", "more", "root", "copies")).alias("wanted"))  # lines of one document
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -229,10 +260,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 tokens, _, _, lines = placed_words(text.as_py() or "")
                 g = grams(hashes.of(tokens), K)
                 first, _, keys, stop = natural(g, lines)
-                found = {int(k): (a, b) for k, a, b in zip(keys, first, stop, strict=True)}
+                found = {(k, m): (a, b) for (k, m), a, b in zip(keys.tolist(), first, stop, strict=True)}
                 for w in asked.as_py():
-                    if w["key"] in found:  # else another row with the same id has it
-                        a, b = found[w["key"]]
+                    if (w["key"], w["more"]) in found:  # else another row with the same id has it
+                        a, b = found[w["key"], w["more"]]
                         u = np.unique(g[a:b])
                         out.append((w["root"], w["key"], w["copies"], signature(minhash(u)), u.tobytes()))
             columns = list(zip(*out, strict=True)) or [[]] * 5
@@ -244,16 +275,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     checked = verified(found, threshold, tolerance)
     final = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
-    by_key = marks.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-    alone = by_key.join(final, by_key.key == final.node, "left_anti").where("first < last").select("key", F.col("key").alias("class_id"), F.col("first").alias("keeper"), "n")
-    linked = by_key.join(final, by_key.key == final.node).select("key", F.col("root").alias("class_id"), "first", "last", "n")
+    by_key = marks.groupBy("key", "more").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    alone = by_key.join(final, by_key.key == final.node, "left_anti").where("first < last").select("key", "more", F.col("key").alias("class_id"), F.col("first").alias("keeper"), "n")
+    linked = by_key.join(final, by_key.key == final.node).select("key", "more", F.col("root").alias("class_id"), "first", "last", "n")
     several = linked.groupBy("class_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last").select("class_id", "keeper")
-    repeated = stored(alone.unionByName(linked.select("key", "class_id", "n").join(several, "class_id")), "repeated-paragraphs")
-    lines = marks.where(F.size("bands") > 0).select("key", "doc_id", "id", "start", "end").join(repeated, "key")
+    repeated = stored(alone.unionByName(linked.select("key", "more", "class_id", "n").join(several, "class_id")), "repeated-paragraphs")
+    lines = marks.where(F.size("bands") > 0).select("key", "more", "doc_id", "id", "start", "end").join(repeated, ["key", "more"])
     lines = lines.select("doc_id", "id", "start", "end", "class_id", (F.col("id") == F.col("keeper")).alias("kept"))
 
     seed = F.struct("key", "word", (F.col("id") == F.col("keeper")).alias("kept"), F.ceil(F.col("n") / SEED_BLOCK).alias("blocks"))
-    hits = marks.where(F.size("bands") == 0).select("key", "id", "word").join(repeated, "key").select("id", seed.alias("seed"))
+    hits = marks.where(F.size("bands") == 0).select("key", "more", "id", "word").join(repeated, ["key", "more"]).select("id", seed.alias("seed"))
     hits = hits.groupBy("id").agg(F.collect_set("seed").alias("seeds"))  # seeds of one document
 
     names = [x.split()[0] for x in _SEED.split(", ")]
@@ -270,7 +301,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     here = at <= len(tokens) - SIZE  # else another row with the same id has it
                     h = hashes.of(tokens)
                     if here.any():
-                        here[here] = _code(grams(h, K), at[here]) == key[here]
+                        here[here] = _code(grams(h, K), at[here])[:, 0] == key[here]
                     at, key, kept, blocks = at[here], key[here], kept[here], blocks[here]
                     if not len(at):
                         continue

@@ -9,10 +9,12 @@ from atelier.llm.common import Hashes, grams
 
 
 def brute(texts):
-    """Documents that share a run of 18 words with another one."""
+    """Documents that share a run of 18 words, or a whole shorter text, with another one."""
     seen = {}
     for i, t in texts:
         w = sd.placed_words(t or "")[0]
+        if sd.K <= len(w) < sd.SIZE:
+            seen.setdefault(tuple(w), set()).add(i)
         for p in range(len(w) - sd.SIZE + 1):
             seen.setdefault(tuple(w[p : p + sd.SIZE]), set()).add(i)
     return {i for ids in seen.values() if len(ids) > 1 for i in ids}
@@ -45,7 +47,7 @@ def test_planted_passages(spark):
     found = {r["doc_id"] for r in rows}
     assert planted <= found <= brute(texts) | {90, 91}
     by = dict(texts)
-    assert all(len(sd.placed_words(by[r["doc_id"]][r["start"] : r["end"]])[0]) >= sd.SIZE for r in rows)
+    assert all(len(sd.placed_words(by[r["doc_id"]][r["start"] : r["end"]])[0]) >= min(sd.SIZE, len(sd.placed_words(by[r["doc_id"]])[0])) for r in rows)
     kept = {}
     for r in rows:
         kept.setdefault(r["class_id"], []).append(r)
@@ -81,7 +83,7 @@ def test_fifty_shared_words_share_a_paragraph(seed, left, right):
     new = lambda n: [b"%d" % x for x in rng.integers(0, 50, n)]
     passage = new(sd.WINDOW + sd.SIZE - 1)
     a, b = new(left) + passage + new(right), new(right) + passage + new(left)
-    keys = [set(sd.anchored(grams(Hashes().of(t), sd.K), len(t))[1].tolist()) for t in (a, b)]
+    keys = [set(map(tuple, sd.anchored(grams(Hashes().of(t), sd.K), len(t))[1].tolist())) for t in (a, b)]
     assert keys[0] & keys[1]
 
 
@@ -122,3 +124,44 @@ def test_blocks_of_a_common_seed(spark, monkeypatch):
 
 def test_bands_miss_no_more_than_the_document_join():
     assert (1 - sd.THRESHOLD**sd.ROWS) ** sd.BANDS <= 2.5e-4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=30))
+def test_every_word_is_in_a_natural_paragraph(sizes):
+    n = sum(sizes)
+    got = sd.units(sizes, n)
+    assert set().union(*(range(a, b) for a, b in got)) == set(range(n))
+    assert all(b - a >= min(sd.LINE, n) for a, b in got) and sum(b - a for a, b in got) <= 2 * n + sd.LINE
+
+
+def test_short_lines(spark):
+    """Near copies of a list of lines of 3 to 8 words, of a short text, and of a heading with the line after it."""
+    rng = random.Random(5)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"n{next(fresh)}" for _ in range(n)]
+    lines = [new(rng.randint(3, 8)) for _ in range(12)]
+    edited = [list(x) for x in lines]
+    edited[1][1] = "other"
+    text = lambda own: "\n".join(" ".join(x) for x in own)
+    short = " ".join(new(12))
+    head = [new(6), new(70)]
+    docs = [(1, text([new(50), *lines, new(30)])), (2, text([new(40), *edited, new(25)])), (3, short), (4, short.upper()), (5, text([new(30), *head])), (6, text([new(45), *head, new(3)])), (7, text([new(4), new(3)]))]
+    rows = sd.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == {1, 2, 3, 4, 5, 6}
+    assert (4, 0, len(short), False) in {(r["doc_id"], r["start"], r["end"], r["kept"]) for r in rows}
+
+
+def test_bands_find_what_they_are_tuned_for():
+    """Of pairs of paragraphs at a similarity of about 0.8 nearly all collide in a band; of pairs at 0.3 few do."""
+    rng = np.random.default_rng(2)
+    found = {0.8: 0, 0.3: 0}
+    for level in found:
+        for _ in range(400):
+            n = 60
+            shared = round(2 * n * level / (1 + level))
+            common = rng.integers(0, 2**63, shared).astype(np.uint64)
+            pair = [np.concatenate([common, rng.integers(0, 2**63, n - shared).astype(np.uint64)]) for _ in range(2)]
+            a, b = (sd._bands(x * np.uint64(2) + np.uint64(1), np.array([0]), np.array([n]))[0] for x in pair)
+            found[level] += bool((a == b).any())
+    assert found[0.8] >= 396 and found[0.3] <= 100
