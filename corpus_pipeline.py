@@ -16,21 +16,18 @@ from atelier.llm import decontaminate, jaccard_join, language, packing, pii
 from atelier.llm.common import free, stored
 from atelier.llm.queries import language_model, tokenizer
 
-#: A document goes if less than this share of its words (by length) is in its language, or if it has no letter.
-LEAST_SHARE = 0.5
 #: Of the tokenizer's pieces a worker keeps fewer here, as the executor's memory has grown in the stages before.
 KNOWN_PIECES = 250_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a predicted language on at least half of their words; `und` goes. Without labelled rows all stay."""
+    """Keeps documents in one or several languages; those without a letter (`und`) go. Without labelled rows all stay."""
     model = language_model(docs)
     if not model["langs"]:
         return docs
     name = free(docs, "_language")
     found = language.identify(docs, model, result_col=name)
-    judged = F.col(f"`{name}`")
-    return found.where((judged["lang"] != language.UND) & (judged["score"] >= LEAST_SHARE)).drop(name)
+    return found.where(F.col(f"`{name}`")["lang"] != language.UND).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
