@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import geometry as geo
 from ..functions import scalars
-from ..operators import binding, curation, evidence, graph, islands, matching, metrics, pixels, quality, rules, topology
+from ..operators import binding, curation, evidence, gate, graph, islands, matching, metrics, pixels, quality, rules, topology
+from . import gate_cases
 from .derived import sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,6 +264,20 @@ def referential_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
+@query(gate_cases.issues_sql())
+def gate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules of the export gate over JSON documents with one planted fault a plan."""
+    return gate.gate_issues(gate_cases.plans(spark, sf_dir), gate_cases.verified(spark, sf_dir))
+
+
+@query(f"""WITH n AS (SELECT image, count(*) FILTER (severity = 'error') AS e, count(DISTINCT code) FILTER (severity = 'warning') AS w FROM ({gate_cases.issues_sql()}) GROUP BY image)
+  SELECT image, e AS n_errors, w AS n_warnings, CASE WHEN e > 0 THEN 'invalid' WHEN w > 0 THEN 'review' ELSE 'good' END AS status, CASE WHEN e > 0 THEN 0.0e0 ELSE greatest(0.1e0, round(1 - 0.08e0 * w, 2)) END AS quality, e = 0 AS export_allowed FROM n""")
+def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export gate's verdict on each plan; infos lower nothing."""
+    plans = gate_cases.plans(spark, sf_dir)
+    return quality.status(plans, gate.gate_issues(plans, gate_cases.verified(spark, sf_dir)))
+
+
 @query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY id) AS k, count(*) OVER (PARTITION BY image) AS m FROM {sql("segments")}),
   nxt AS (SELECT a.image, a.id AS a, b.id AS b FROM n a JOIN n b ON a.image = b.image AND b.k = CASE WHEN a.k = a.m THEN 1 ELSE a.k + 1 END)
   SELECT DISTINCT image, 'unclosed_area' AS code, 'error' AS severity, CAST(image AS VARCHAR) AS subject FROM nxt WHERE (a + b) % 9 = 0""")
