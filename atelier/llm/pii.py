@@ -79,7 +79,7 @@ def _running(values: Column, step) -> Column:
         inner = lambda bases: F.concat(F.flatten(F.zip_with(blocks, bases["out"], lambda block, at: _folded(block, at, step)["out"])), F.array(bases["at"]))
         return _let(_folded(sums, zero, step), inner)
 
-    return _let(_blocks(values), by)
+    return _let(values, lambda v: _let(_blocks(v), by))
 
 
 def _places(text: Column, pattern: str) -> Column:
@@ -238,16 +238,18 @@ def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True, window
     few = terms.count() <= BROADCAST_TERMS
     own = F.array_distinct(F.flatten(_windows(F.col("text"), F.col("spans"), window)))
     hit = rows.select("row", F.explode(own).alias("term")).join(F.broadcast(terms) if few else terms, "term").groupBy("row").agg(F.collect_set("term").alias("terms"))  # a document's own words
+    hit = stored(hit, "pii-hit")
+    small = (hit.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_TERMS
     blank = _replaced(F.col("text"), F.col("spans"), lambda _, n: F.repeat(F.lit(" "), n))
     places = F.filter(_places(F.col("blank"), WORD), lambda t: F.array_contains("terms", t["value"]))
-    extra = rows.join(hit, "row").select("row", "terms", F.translate(blank, UPPER, LOWER).alias("blank")).select("row", F.transform(places, lambda t: F.struct(F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end"))).alias("extra"))
+    extra = rows.join(F.broadcast(hit) if small else hit, "row").select("row", "terms", F.translate(blank, UPPER, LOWER).alias("blank")).select("row", F.transform(places, lambda t: F.struct(F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end"))).alias("extra"))
     extra = stored(extra, "pii-term-spans")
 
     plain = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = F.concat(F.filter(plain, lambda s: s["kind"] != NUMBER), F.array_sort(F.filter(plain, lambda s: s["kind"] == NUMBER)))
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
-    whole = rows.join(F.broadcast(extra.select("row")) if few and extra.count() <= BROADCAST_TERMS else extra.select("row"), "row", "left_anti").withColumn("extra", none)
-    whole = whole.unionByName(rows.join(extra, "row"))
+    whole = rows.join(F.broadcast(extra.select("row")) if small else extra.select("row"), "row", "left_anti").withColumn("extra", none)
+    whole = whole.unionByName(rows.join(F.broadcast(extra) if small else extra, "row"))
     back = [F.col(f"k{names.index(c)}").alias(c) if c != text_col else F.col("given").alias(c) for c in docs.columns if c in names or (keep_text and c == text_col and c.lower() != result_col.lower())]
     return whole.select(*back, F.concat(base, "extra").alias(result_col))
 
