@@ -52,22 +52,38 @@ def skeleton(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def _removable() -> np.ndarray:
+    """For both steps of thinning and each pattern of eight neighbours (bits, around from above) whether the pixel may go."""
+    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    changes = ((bits == 0) & (np.roll(bits, -1, axis=1) == 1)).sum(1)
+    border = (bits.sum(1) >= 2) & (bits.sum(1) <= 6) & (changes == 1)
+    above, right, below, left = bits[:, 0], bits[:, 2], bits[:, 4], bits[:, 6]
+    first = (above * right * below == 0) & (right * below * left == 0)
+    second = (above * right * left == 0) & (above * below * left == 0)
+    return np.stack([border & first, border & second])
+
+
+_REMOVABLE = _removable()
+_AROUND = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
 def thin(mask: np.ndarray) -> np.ndarray:
-    """Two-step thinning: border pixels with 2 to 6 neighbours and one change around go, in turn from two sides."""
-    m = np.pad(mask.astype(bool), 1)
-    while True:
-        gone = 0
-        for step in (0, 1):
-            n, ne, e, se, s, sw, w, nw = (shifted(m, dy, dx) for dy, dx in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1)))
-            ring = [n, ne, e, se, s, sw, w, nw]
-            count = sum(x.astype(int) for x in ring)
-            turns = sum((~a & b).astype(int) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
-            free = ~(n & e & s) & ~(e & s & w) if step == 0 else ~(n & e & w) & ~(n & s & w)
-            drop = m & (count >= 2) & (count <= 6) & (turns == 1) & free
-            m &= ~drop
-            gone += int(drop.sum())
-        if not gone:
-            return m[1:-1, 1:-1]
+    """Two-step thinning: border pixels with 2 to 6 neighbours and one change around go, in turn from two sides, until none can.
+
+    A pixel's neighbours are a number of eight bits, looked up in a table; only pixels still set are looked at.
+    """
+    h, w = mask.shape
+    padded = np.pad(mask.astype(np.uint8), 1).ravel()
+    offsets = np.array([dy * (w + 2) + dx for dy, dx in _AROUND])
+    alive = np.flatnonzero(padded)
+    idle, step = 0, 0
+    while idle < 2 and len(alive):
+        pattern = padded[alive[:, None] + offsets] @ (1 << np.arange(8))
+        going = _REMOVABLE[step][pattern]
+        padded[alive[going]] = 0
+        alive = alive[~going]
+        idle, step = (0 if going.any() else idle + 1), 1 - step
+    return padded.reshape(h + 2, w + 2)[1:-1, 1:-1].astype(bool)
 
 
 def label(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
@@ -159,21 +175,56 @@ def distance_transform(mask: np.ndarray) -> np.ndarray:
     return np.where(out >= far, np.inf, np.sqrt(out))
 
 
+def _lanczos_weights(size: int, to: int, lobes: int = 3) -> np.ndarray:
+    """Weights (to x size) of a windowed sinc, widened by the scale where it shrinks."""
+    scale = size / to
+    wide = max(scale, 1.0)
+    centers = (np.arange(to) + 0.5) * scale
+    first = np.maximum((centers - lobes * wide + 0.5).astype(int), 0)
+    last = np.minimum((centers + lobes * wide + 0.5).astype(int), size)
+    at = np.arange(size)
+    x = (at[None, :] - centers[:, None] + 0.5) / wide
+    w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+    w[(at[None, :] < first[:, None]) | (at[None, :] >= last[:, None])] = 0
+    return w / w.sum(1, keepdims=True)
+
+
+def resample(gray: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """A grey image (0 to 255) resized by Lanczos weights, across then down, rounded to whole levels after each."""
+    level = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    across = level(gray.astype(float) @ _lanczos_weights(gray.shape[1], cols).T)
+    return level(_lanczos_weights(gray.shape[0], rows) @ across)
+
+
+def _number(bits: np.ndarray) -> int:
+    return int("".join("1" if b else "0" for b in bits.ravel()), 2)
+
+
 def difference_hash(gray: np.ndarray) -> int:
-    """64 bits: whether each cell of a 9 x 8 mean grid is brighter than its right neighbour."""
-    grid = block_mean(gray, 8, 9)
-    bits = (grid[:, :-1] > grid[:, 1:]).ravel()
-    return int("".join("1" if b else "0" for b in bits), 2)
+    """64 bits: whether each cell of a 9 x 8 miniature is darker than its right neighbour."""
+    small = resample(gray, 8, 9)
+    return _number(small[:, 1:] > small[:, :-1])
 
 
 def perceptual_hash(gray: np.ndarray) -> int:
-    """63 bits: the low 8 x 8 cosine terms of a 32 x 32 mean grid, the constant one left out, against their median."""
-    n = 32
-    grid = block_mean(gray, n, n)
-    k = np.arange(n)
-    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:8, None] / (2 * n))
-    low = (basis @ grid @ basis.T).ravel()[1:]
-    return int("".join("1" if b else "0" for b in low > np.median(low)), 2)
+    """63 bits: the low 8 x 8 cosine terms of a 32 x 32 miniature, the constant one left out, against their median."""
+    k = np.arange(32)
+    basis = np.cos(np.pi * np.arange(8)[:, None] * (2 * k + 1) / 64)
+    basis[0] /= np.sqrt(2)
+    low = (basis @ resample(gray, 32, 32) @ basis.T).ravel()[1:]
+    return _number(low > np.median(low))
+
+
+def trimmed(gray: np.ndarray, ink: int = 220) -> np.ndarray:
+    """The image without the margin that has no level under `ink`; as it is if nothing has."""
+    y, x = np.nonzero(gray < ink)
+    return gray[y.min() : y.max() + 1, x.min() : x.max() + 1] if len(y) else gray
+
+
+def signatures(gray: np.ndarray) -> list[tuple[int, int]]:
+    """Both hashes of the trimmed image, turned by 0, 90, 180 and 270 degrees against the clock."""
+    own = trimmed(gray)
+    return [(difference_hash(x), perceptual_hash(x)) for x in (np.rot90(own, k) for k in range(4))]
 
 
 def block_mean(gray: np.ndarray, rows: int, cols: int) -> np.ndarray:

@@ -51,8 +51,10 @@ def offset_time(v: Column) -> Column:
     return F.when(v.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(v))
 
 
-def shown_time(t: Column, offset: str = "+03:00") -> Column:
-    return F.date_format(F.from_utc_timestamp(t, offset), "dd.MM.yyyy HH:mm")
+def shown_time(t: Column, hours: int = 3, zone: str = "МСК", unknown: str = "не указана") -> Column:
+    """An instant as `dd.mm.yyyy hh:mm zone` in a zone of fixed offset, whatever the session's; a text for a missing one."""
+    local = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.floor(F.unix_micros(t) / 1_000_000) + hours * 3600)).cast("string")
+    return F.coalesce(F.concat(F.regexp_replace(local, r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}:\d{2}).*$", "$3.$2.$1 $4"), F.lit(f" {zone}")), F.lit(unknown))
 
 
 def connector_number(name: Column) -> Column:
@@ -60,19 +62,25 @@ def connector_number(name: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, r"^c(-?\d+)$", 1).try_cast("int"), F.lit(0))
 
 
-def door_width(swing: Column, measured: Column, span: Column) -> Column:
-    """The swing radius caps the width; else what was measured; else 1.12 times the span, 40 at least."""
-    return F.when(swing.isNotNull(), F.least(swing, F.coalesce(measured, swing))).when(measured.isNotNull(), measured).otherwise(F.greatest(F.lit(40.0), 1.12 * span))
+def door_width(width: Column, source_class: Column, radius: Column, length: Column, confirmed: Column) -> Column:
+    """Leaf width of a recognised width: scaled by the swing's radius over the opening's length where a swing was measured (never up);
+    as it is for outlined, surveyed and confirmed interior openings; else 1.12 times it, 40 at least."""
+    as_is = source_class.isin("outlined_wall_frame", "surveyed_door") | ((source_class == "unmarked_interior_gap") & F.coalesce(confirmed, F.lit(False)))
+    return F.when(source_class == "measured_swing", width * F.least(F.lit(1.0), radius / length)).when(F.coalesce(as_is, F.lit(False)), width).otherwise(F.greatest(F.lit(40.0), width * 1.12))
 
 
-def fit_span(low: Column, high: Column, seg_low: Column, seg_high: Column, thickness: Column) -> Column:
-    """(low, high) moved and shrunk into the segment; null if it fits already, would lose over a quarter, or move over half the thickness."""
-    size = high - low
-    new_low, new_high = F.greatest(low, seg_low), F.least(high, seg_high)
-    fits = (low >= seg_low) & (high <= seg_high)
-    moved = F.abs((new_low + new_high) / 2 - (low + high) / 2)
-    ok = ~fits & (new_high - new_low >= 0.75 * size) & (moved <= thickness / 2)
-    return F.when(ok, F.struct(new_low.alias("low"), new_high.alias("high")))
+def fit_opening(width: Column, position: Column, length: Column, thickness: Column, minimum: Column, left: float = -0.5, right: float = 0.5) -> Column:
+    """Struct (width, position) of an opening that a small overrun moves and shrinks into its wall, else null.
+
+    position is in percent of the wall's length; left and right are the hole's limits per unit of width. Null if it fits already, would be under
+    `minimum` or three quarters of its width, or would move by over half the thickness.
+    """
+    center = length * position / 100
+    fits = (center + left * width >= 0) & (center + right * width <= length)
+    fitted = F.least(width, length / (right - left))
+    to = F.least(F.greatest(center, -left * fitted), length - right * fitted)
+    ok = F.lit(left < 0 < right) & (length > 0) & ~fits & (fitted >= F.greatest(minimum, 0.75 * width)) & (F.abs(to - center) <= thickness / 2)
+    return F.when(ok, F.struct(fitted.alias("width"), (100 * to / length).alias("position")))
 
 
 def failed_stage(log: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import overlap, segment_distance
+from ..functions.geometry import distance, overlap, segment_distance
 from ..scratch import stored
 
 
@@ -13,28 +13,42 @@ def _prefixed(df: DataFrame, p: str, key: str = "image") -> DataFrame:
     return df.select(*(F.col(c) if c == key else F.col(c).alias(f"{p}_{c}") for c in df.columns))
 
 
-def bind_nearest(openings: DataFrame, segments: DataFrame, most_overhang: float = 5.0) -> DataFrame:
-    """image, opening, segment, distance, status of the segment that carries each opening.
+def bind_nearest(openings: DataFrame, segments: DataFrame) -> DataFrame:
+    """image, opening, segment, distance, overhang, status, reasons: the segment that carries each opening.
 
-    The nearest segment is taken if it runs along the opening and the opening overhangs by `most_overhang` at most (status `nearest`);
-    else a single other segment that does both and is no farther than twice the opening's thickness (`rebound`); else the
-    nearest is kept as `ambiguous`. Openings without segments get `unbound`. Ties go to the smaller id. Partial
-    aggregates pick nearest and single ones; no list of candidates is gathered.
+    A segment is aligned if it departs from the opening's direction by a slope of 0.27 at most; the overhang is what of the opening (its length
+    about the nearest point of the segment) lies beyond an end. The nearest segment is taken if it is aligned with an overhang of 5
+    at most. Else those are feasible that are aligned, with an overhang of 1 at most, no farther than the nearest by over
+    max(3, 5 % of the length), and within max(20, 1.5 x their thickness): a single one is taken (`span_aware`), with several the nearest stays as
+    `ambiguous`, with none as `nearest`. Without segments the status is null. reasons say why the choice must be rejected:
+    no_wall_segments, perpendicular_wall (a slope over 3.7 the other way), far_from_wall (over twice max(20, 1.5 x thickness)), exceeds_segment (overhang over
+    max(20, a quarter of the length)). A null thickness is 20. Ties go to the smaller id. Grouped minima and counts; no list of candidates is gathered.
     """
-    o, s = _prefixed(openings.select("image", "id", "cx", "cy", "length", "thickness", "horizontal"), "o"), _prefixed(segments.select("image", "id", "x1", "y1", "x2", "y2", "horizontal"), "s")
-    near = o.join(s, "image").withColumn("distance", segment_distance(*(F.col(c) for c in ("o_cx", "o_cy", "s_x1", "s_y1", "s_x2", "s_y2"))))
-    low = F.when(F.col("s_horizontal"), F.least("s_x1", "s_x2")).otherwise(F.least("s_y1", "s_y2"))
-    high = F.when(F.col("s_horizontal"), F.greatest("s_x1", "s_x2")).otherwise(F.greatest("s_y1", "s_y2"))
-    mid = F.when(F.col("s_horizontal"), F.col("o_cx")).otherwise(F.col("o_cy"))
-    over = F.greatest(F.lit(0.0), low - (mid - F.col("o_length") / 2), (mid + F.col("o_length") / 2) - high)
-    fits = (F.col("o_horizontal") == F.col("s_horizontal")) & (over <= most_overhang)
-    near = near.withColumn("fits", fits).withColumn("feasible", fits & (F.col("distance") <= 2 * F.col("o_thickness")))
-    pick = F.struct("distance", F.col("s_id").alias("segment"), "fits")
-    found = near.groupBy("image", "o_id").agg(F.min(pick).alias("n"), F.count_if("feasible").alias("feasible"), F.min(F.when(F.col("feasible"), pick)).alias("f"))
-    status = F.when(F.col("n").isNull(), "unbound").when(F.col("n.fits"), "nearest").when(F.col("feasible") == 1, "rebound").otherwise("ambiguous")
-    whole = o.select("image", "o_id").join(found, ["image", "o_id"], "left").withColumn("status", status)
-    use = F.when(F.col("status") == "rebound", F.col("f")).otherwise(F.col("n"))
-    return whole.select("image", F.col("o_id").alias("opening"), use["segment"].alias("segment"), use["distance"].alias("distance"), "status")
+    o = _prefixed(openings.select("image", "id", "cx", "cy", "length", "horizontal"), "o")
+    s = _prefixed(segments.select("image", "id", "x1", "y1", "x2", "y2", F.coalesce("thickness", F.lit(20.0)).alias("thickness")), "s")
+    x1, y1, x2, y2, cx, cy = (F.col(c) for c in ("s_x1", "s_y1", "s_x2", "s_y2", "o_cx", "o_cy"))
+    dx, dy, size, half = F.abs(x2 - x1), F.abs(y2 - y1), distance(x1, y1, x2, y2), F.col("o_length") / 2
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((cx - x1) * (x2 - x1) + (cy - y1) * (y2 - y1)) / F.when(size > 0, size * size)))).otherwise(0.0)
+    flat = F.col("o_horizontal")
+    near = o.join(s, "image").select(
+        "image", "o_id", "o_length", F.col("s_id").alias("segment"), F.col("s_thickness").alias("thickness"), segment_distance(cx, cy, x1, y1, x2, y2).alias("distance"),
+        F.greatest(F.lit(0.0), half - t * size, t * size + half - size).alias("overhang"), F.when(flat, dy <= 0.27 * dx).otherwise(dx <= 0.27 * dy).alias("aligned"), F.when(flat, dy > 3.7 * dx).otherwise(dx > 3.7 * dy).alias("across"),
+    )
+    pick = F.struct(F.round("distance", 9).alias("d"), "segment", "distance", "overhang", "aligned", "across", "thickness")
+    first = near.groupBy("image", "o_id").agg(F.min(pick).alias("n"))
+    first = first.withColumn("good", F.col("n.aligned") & (F.col("n.overhang") <= 5))
+    reach = F.least(F.col("n.distance") + F.greatest(F.lit(3.0), 0.05 * F.col("o_length")), F.greatest(F.lit(20.0), 1.5 * F.col("thickness")))
+    others = near.join(first.where("not good"), ["image", "o_id"]).where(F.col("aligned") & (F.col("overhang") <= 1) & (F.col("distance") <= reach))
+    feasible = others.groupBy("image", "o_id").agg(F.count("*").alias("feasible"), F.min(pick).alias("f"))
+    whole = o.select("image", "o_id", "o_length").join(first, ["image", "o_id"], "left").join(feasible, ["image", "o_id"], "left")
+    status = F.when(F.col("n").isNull(), None).when(F.col("feasible") == 1, "span_aware").when(F.col("feasible") > 1, "ambiguous").otherwise("nearest")
+    whole = whole.withColumn("status", status).withColumn("use", F.when(F.col("status") == "span_aware", F.col("f")).otherwise(F.col("n")))
+    limit = F.greatest(F.lit(20.0), 1.5 * F.col("use.thickness"))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("n").isNull(), "no_wall_segments"), F.when(F.col("use.across"), "perpendicular_wall"), F.when(F.col("use.distance") > 2 * limit, "far_from_wall"),
+        F.when(F.col("use.overhang") > F.greatest(F.lit(20.0), 0.25 * F.col("o_length")), "exceeds_segment"),
+    ))
+    return whole.select("image", F.col("o_id").alias("opening"), "use.segment", "use.distance", "use.overhang", "status", reasons.alias("reasons"))
 
 
 def unique_carrier(cuts: DataFrame, edges: DataFrame, reach: float = 2.0) -> DataFrame:
@@ -99,7 +113,7 @@ def door_window_pairs(doors: DataFrame, windows: DataFrame, gap: float = 15.0) -
     return d.join(w, "image").where(fits).groupBy("image", F.col("d_id").alias("door")).agg(best).select("image", "door", "b.window", "b.gap", "b.offset")
 
 
-def priority_dedup(layers: DataFrame, same: Column, order: list[str], rounds: int = 200) -> DataFrame:
+def priority_dedup(layers: DataFrame, same: Column, order: list[str]) -> DataFrame:
     """Rows that a pass in `order` keeps, where a kept row removes every later row that is the `same` (of columns a_, b_) in its image.
 
     A row is kept as soon as no undecided row before it is the same, and removed once a kept one is; each round decides all such rows at once.
@@ -109,7 +123,7 @@ def priority_dedup(layers: DataFrame, same: Column, order: list[str], rounds: in
     before = F.struct(*(f"a_{c}" for c in order)) < F.struct(*(f"b_{c}" for c in order))
     conflicts = stored(a.join(b, "image").where(before & same).select("image", F.col("a_id").alias("keeper"), F.col("b_id").alias("id")), "conflicts")
     left, kept = whole.select("image", "id"), None
-    for _ in range(rounds):
+    while True:
         now = left.join(conflicts, ["image", "id"], "left_anti")
         kept = stored(now if kept is None else kept.union(now), "kept")
         lost = conflicts.join(kept.select("image", F.col("id").alias("keeper")), ["image", "keeper"], "left_semi").select("image", "id").distinct()
@@ -118,7 +132,6 @@ def priority_dedup(layers: DataFrame, same: Column, order: list[str], rounds: in
             return whole.join(kept, ["image", "id"], "left_semi")
         alive = kept.union(left).select("image", F.col("id").alias("keeper"))
         conflicts = stored(conflicts.join(left, ["image", "id"], "left_semi").join(alive, ["image", "keeper"], "left_semi").join(kept.select("image", F.col("id").alias("keeper")), ["image", "keeper"], "left_anti"), "conflicts")
-    raise RuntimeError(f"priorities did not settle in {rounds} rounds")
 
 
 def hole_overlaps(holes: DataFrame, tolerance: float = 0.0) -> DataFrame:

@@ -21,18 +21,31 @@ def leakage_report(samples: DataFrame, key: str, split: str) -> DataFrame:
     return named[0].union(named[1]).union(named[2])
 
 
-def hash_neighbours(hashes: DataFrame, most: int = 3, bits: int = 64) -> DataFrame:
-    """a < b with at most `most` different bits between their hashes, and how many.
+def related_images(images: DataFrame, most: int = 12) -> DataFrame:
+    """Pairs a < b of images that may show one plan: a, b, exact, same_group, d_bits, p_bits, rotation (degrees of b).
 
-    Equal hashes form one class, whose members are joined only by id; different hashes within `most` bits agree on one of
-    most + 1 bands, which buckets them, and bit_count decides. Columns: id, h (long).
+    images: id, sha, group_id, signatures: four structs (d, p: long hashes of 64 and 63 bits) of its rotations by 0, 90, 180 and 270 degrees. A pair is
+    related if its content is equal, its group is the same and not null, or if in the rotation of b with the least (p_bits, d_bits) both are at most
+    `most`. Hash candidates are exact: of seven parts of nine bits of p, one differs in one bit at most, so parts and their neighbours
+    are buckets of an equi-join, and each pair is judged once on its hashes.
     """
-    width = -(-bits // (most + 1))
-    mask = lambda b: F.shiftrightunsigned("h", b * width).bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1))
-    kinds = hashes.select("h").distinct().select("h", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), mask(b).alias("part")) for b in range(most + 1)))).alias("k")).select("h", "k.*")
-    other = kinds.select(F.col("h").alias("g"), "band", "part")
-    near = kinds.join(other, ["band", "part"]).where("h < g").select("h", "g", F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).alias("bits")).where(F.col("bits") <= most).distinct()
-    return near
+    if most >= 14:
+        raise ValueError("seven parts cover fewer than 14 different bits")
+    part = lambda p: F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(p, 9 * k).bitwiseAND(F.lit(511)).alias("x")) for k in range(7)))
+    flips = F.array(F.lit(0), *(F.lit(1 << i) for i in range(9)))
+    first = F.col("signatures")[0]["p"]
+    left = images.select(F.col("id").alias("a"), F.explode(part(first)).alias("q")).select("a", "q.k", F.explode(F.transform(flips, lambda f: F.col("q.x").bitwiseXOR(f))).alias("x"))
+    right = images.select(F.col("id").alias("b"), F.explode("signatures").alias("s")).select("b", F.explode(part(F.col("s.p"))).alias("q")).select("b", "q.*").distinct()
+    alike = left.join(right, ["k", "x"]).where("a < b").select("a", "b")
+    same = lambda c: images.where(F.col(c).isNotNull()).select(c, F.col("id").alias("a")).join(images.select(c, F.col("id").alias("b")), c).where("a < b").select("a", "b")
+    pairs = alike.union(same("sha")).union(same("group_id")).distinct()
+    own = lambda p: images.select(F.col("id").alias(p), F.col("sha").alias(f"{p}_sha"), F.col("group_id").alias(f"{p}_group"), F.col("signatures").alias(f"{p}_s"))
+    told = pairs.join(own("a"), "a").join(own("b"), "b")
+    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    turns = F.transform("b_s", lambda s, k: F.struct(bits(F.col("a_s")[0]["p"], s["p"]).alias("p_bits"), bits(F.col("a_s")[0]["d"], s["d"]).alias("d_bits"), (k * 90).alias("rotation")))
+    told = told.withColumn("m", F.array_min(turns)).withColumn("exact", F.coalesce(F.col("a_sha") == F.col("b_sha"), F.lit(False))).withColumn("same_group", F.coalesce(F.col("a_group") == F.col("b_group"), F.lit(False)))
+    near = (F.col("m.p_bits") <= most) & (F.col("m.d_bits") <= most)
+    return told.where(F.col("exact") | F.col("same_group") | near).select("a", "b", "exact", "same_group", "m.d_bits", "m.p_bits", "m.rotation")
 
 
 def without(samples: DataFrame, excluded: DataFrame, key: str) -> DataFrame:

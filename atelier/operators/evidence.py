@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance
+from ..functions.geometry import distance, segment_distance
 
 
 def nearest_thickness(edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    """image, edge, thickness of the evidence row nearest to each edge's middle (ties: least ordinal). A grouped minimum, no list."""
-    e, v = edges.select("image", F.col("id").alias("edge"), "cx", "cy"), evidence.select("image", "ordinal", F.col("x").alias("vx"), F.col("y").alias("vy"), "thickness")
-    best = F.min(F.struct(distance(F.col("cx"), F.col("cy"), F.col("vx"), F.col("vy")).alias("d"), "ordinal", "thickness")).alias("m")
+    """image, edge, thickness of the evidence axis (ordinal, x1, y1, x2, y2, thickness) nearest to each edge's middle (cx, cy).
+
+    The distance is to the axis's segment, not to its line; ties go to the least ordinal. A grouped minimum, no list.
+    """
+    e, v = edges.select("image", F.col("id").alias("edge"), "cx", "cy"), evidence.select("image", "ordinal", "x1", "y1", "x2", "y2", "thickness")
+    d = segment_distance(*(F.col(c) for c in ("cx", "cy", "x1", "y1", "x2", "y2")))
+    best = F.min(F.struct(F.round(d, 9).alias("d"), "ordinal", "thickness")).alias("m")
     return e.join(v, "image").groupBy("image", "edge").agg(best).select("image", "edge", F.col("m.thickness").alias("thickness"))
 
 

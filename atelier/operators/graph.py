@@ -9,7 +9,7 @@ from ..functions.geometry import axial_difference
 from ..scratch import stored
 
 
-def components(edges: DataFrame, key: str = "image", a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, key: str = "image", a: str = "a", b: str = "b") -> DataFrame:
     """key, node, root: the least node of each node's component within its key, for nodes that have an edge.
 
     Each round a node takes the least label among its neighbours' and its label's own label, which shortens long chains.
@@ -17,7 +17,7 @@ def components(edges: DataFrame, key: str = "image", a: str = "a", b: str = "b",
     pairs = edges.select(key, F.col(a).alias("a"), F.col(b).alias("b"))
     both = stored(pairs.union(pairs.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy(key, F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(key, F.col("node").alias("b"), "root"), [key, "b"]).groupBy(key, F.col("a").alias("node")).agg(F.min("root").alias("near"))
         closer = labels.join(near, [key, "node"]).select(key, "node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = labels.select(key, F.col("node").alias("root"), F.col("root").alias("up"))
@@ -25,7 +25,6 @@ def components(edges: DataFrame, key: str = "image", a: str = "a", b: str = "b",
         labels = nxt.drop("was")
         if nxt.where("was <> root").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def collinear_chains(segments: DataFrame, turn: float = 5.0) -> DataFrame:
@@ -43,22 +42,34 @@ def collinear_chains(segments: DataFrame, turn: float = 5.0) -> DataFrame:
     return named.join(total, ["image", "chain"]).select("image", "id", "chain", "chain_length")
 
 
-def dangling_paths(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """image, tip, stop, n_edges: from each node of degree one the path to the first node whose degree is not two."""
-    both = stored(edges.select("image", "a", "b").union(edges.select("image", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    degree = both.groupBy("image", "a").agg(F.count("*").alias("degree"))
-    through = stored(both.join(degree, ["image", "a"]).where("degree = 2").select("image", F.col("a").alias("at"), F.col("b").alias("next")), "through")
-    walk = stored(both.join(degree, ["image", "a"]).where("degree = 1").select("image", F.col("a").alias("tip"), F.col("a").alias("last"), F.col("b").alias("at"), F.lit(1).cast("long").alias("n_edges")), "walk")
-    done = None
-    for _ in range(rounds):
-        step = walk.join(through, ["image", "at"], "left").where("next is null or next <> last")
-        ended = step.where("next is null").select("image", "tip", F.col("at").alias("stop"), "n_edges")
-        step = stored(step.where("next is not null").select("image", "tip", F.col("at").alias("last"), F.col("next").alias("at"), (F.col("n_edges") + 1).alias("n_edges")), "walk")
-        done = stored(ended if done is None else done.union(ended), "paths")
-        if step.isEmpty():
-            return done
-        walk = step
-    raise RuntimeError(f"a path has over {rounds} edges")
+def dangling_paths(edges: DataFrame) -> DataFrame:
+    """image, tip, stop, n_edges: from each node of degree one the path to the first node whose degree is not two.
+
+    Directed steps through nodes of degree two are joined with themselves, so a step's length doubles each round: rounds grow with the
+    logarithm of the longest path. A ring without an end has no tip and is left out.
+    """
+    both = stored(edges.select("image", "a", "b").where("a <> b").union(edges.where("a <> b").select("image", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    degree = stored(both.groupBy("image", "a").agg(F.count("*").alias("degree")), "degrees")
+    inner = degree.where("degree = 2").select("image", F.col("a").alias("b"), F.lit(True).alias("through"))
+    # a step a -> b goes on at b if b has degree two; its state is the last directed edge (p, b) that it has taken
+    steps = stored(both.join(inner, ["image", "b"], "left").select("image", F.col("a").alias("p0"), F.col("b").alias("q0"), F.col("a").alias("p"), F.col("b").alias("q"), F.lit(1).cast("long").alias("n"), F.coalesce("through", F.lit(False)).alias("open")), "steps")
+    follow = both.select("image", F.col("a").alias("q"), F.col("b").alias("r"))
+    steps = stored(  # each open edge and the one after it
+        steps.where("open").join(follow, ["image", "q"]).where("r <> p").join(inner.select("image", F.col("b").alias("r"), "through"), ["image", "r"], "left")
+        .select("image", "p0", "q0", F.col("q").alias("p"), F.col("r").alias("q"), F.lit(2).cast("long").alias("n"), F.coalesce("through", F.lit(False)).alias("open"))
+        .union(steps.where("not open").select("image", "p0", "q0", "p", "q", "n", "open")), "steps",
+    )
+    size = -1
+    while True:
+        left = steps.where("open").count()
+        if left in (0, size):  # what stays open is a ring
+            break
+        size = left
+        jump = steps.select("image", F.col("p0").alias("p"), F.col("q0").alias("q"), F.col("p").alias("np"), F.col("q").alias("nq"), F.col("n").alias("m"), F.col("open").alias("still"))
+        longer = steps.where("open").join(jump, ["image", "p", "q"]).select("image", "p0", "q0", F.col("np").alias("p"), F.col("nq").alias("q"), (F.col("n") + F.col("m") - 1).alias("n"), F.col("still").alias("open"))
+        steps = stored(longer.union(steps.where("not open")), "steps")
+    tips = degree.where("degree = 1").select("image", F.col("a").alias("p0"))
+    return steps.where("not open").join(tips, ["image", "p0"]).select("image", F.col("p0").alias("tip"), F.col("q").alias("stop"), F.col("n").alias("n_edges"))
 
 
 def atomic_edges(sides: DataFrame, least: float = 1.0) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.geometry import axial_difference, box_iou, distance, ratio
 from ..scratch import stored
 
 
-def greedy_match(pairs: DataFrame, key: str = "image", left: str = "i", right: str = "j", score: str = "score", rounds: int = 200) -> DataFrame:
+def greedy_match(pairs: DataFrame, key: str = "image", left: str = "i", right: str = "j", score: str = "score") -> DataFrame:
     """The pairs that a greedy pass over (score, i, j) descending accepts, each left and right once within its key.
 
     A pair that is first for both its ends would be accepted by the sequential pass too, whatever stands elsewhere. All
@@ -19,14 +19,13 @@ def greedy_match(pairs: DataFrame, key: str = "image", left: str = "i", right: s
     order = [F.desc(score), F.desc(left), F.desc(right)]
     first = lambda end: F.row_number().over(Window.partitionBy(key, end).orderBy(*order)) == 1
     left_over, taken = stored(pairs.select(key, left, right, score), "pairs"), None
-    for _ in range(rounds):
+    while True:
         marked = stored(left_over.withColumn("l1", first(left)).withColumn("r1", first(right)), "pairs")
         now = marked.where("l1 and r1").select(key, left, right, score)
         if now.isEmpty():
             return taken if taken is not None else now
         taken = now if taken is None else taken.union(now)
         left_over = marked.select(key, left, right, score).join(now.select(key, left), [key, left], "left_anti").join(now.select(key, right), [key, right], "left_anti")
-    raise RuntimeError(f"matching did not end in {rounds} rounds")
 
 
 def opening_pairs(truth: DataFrame, found: DataFrame) -> DataFrame:

@@ -113,16 +113,21 @@ def wall_area_prf_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- binding -----------------------------------------------------------------------------------------------------------
 
-_BIND = f"""SELECT o.image, o.id AS opening, s.id AS segment, o.horizontal = s.horizontal AND greatest(0, lo - (mid - o.length/2), mid + o.length/2 - hi) <= 5 AS fits, o.thickness AS th, sqrt((cx-qx)*(cx-qx) + (cy-qy)*(cy-qy)) AS d
-  FROM {sql("openings")} o JOIN {sql("segments")} s USING (image), LATERAL (SELECT CASE WHEN s.horizontal THEN s.x1 ELSE s.y1 END AS lo, CASE WHEN s.horizontal THEN s.x2 ELSE s.y2 END AS hi, CASE WHEN s.horizontal THEN cx ELSE cy END AS mid,
-    CASE WHEN s.horizontal THEN least(greatest(cx, s.x1), s.x2) ELSE s.x1 END AS qx, CASE WHEN s.horizontal THEN s.y1 ELSE least(greatest(cy, s.y1), s.y2) END AS qy)"""
+_BIND = f"""SELECT image, opening, w, segment, th, d, over, CASE WHEN flat THEN dy <= 0.27 * dx ELSE dx <= 0.27 * dy END AS aligned, CASE WHEN flat THEN dy > 3.7 * dx ELSE dx > 3.7 * dy END AS across
+  FROM (SELECT *, round(sqrt((cx-x1-t*(x2-x1))*(cx-x1-t*(x2-x1)) + (cy-y1-t*(y2-y1))*(cy-y1-t*(y2-y1))), 9) AS d, greatest(0.0e0, w/2 - t*n, t*n + w/2 - n) AS over
+  FROM (SELECT *, least(1.0e0, greatest(0.0e0, ((cx-x1)*(x2-x1) + (cy-y1)*(y2-y1)) / (n*n))) AS t
+  FROM (SELECT o.image, o.id AS opening, o.length AS w, o.horizontal AS flat, cx, cy, s.id AS segment, s.thickness AS th, x1, y1, x2, y2, abs(x2-x1) AS dx, abs(y2-y1) AS dy, sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1)) AS n FROM {sql("openings")} o JOIN {sql("segments")} s ON s.image = o.image)))"""
 
 
-@query(f"""WITH c AS ({_BIND}), n AS (SELECT *, row_number() OVER (PARTITION BY opening ORDER BY round(d, 9), segment) AS k FROM c),
-  f AS (SELECT opening, count(*) AS n_f, min(segment) AS only_one FROM c WHERE fits AND d <= 2 * th GROUP BY opening)
-  SELECT n.image, n.opening, CASE WHEN NOT fits AND n_f = 1 THEN only_one ELSE segment END AS segment, CASE WHEN fits THEN 'nearest' WHEN n_f = 1 THEN 'rebound' ELSE 'ambiguous' END AS status FROM n LEFT JOIN f USING (opening) WHERE k = 1""")
+@query(f"""WITH c AS ({_BIND}), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY opening ORDER BY d, segment) AS k FROM c) WHERE k = 1),
+  f AS (SELECT c.opening, count(*) AS feasible, arg_min(c.segment, (c.d, c.segment)) AS segment FROM c JOIN n USING (opening) WHERE NOT (n.aligned AND n.over <= 5) AND c.aligned AND c.over <= 1 AND c.d <= n.d + greatest(3, 0.05 * c.w) AND c.d <= greatest(20, 1.5 * c.th) GROUP BY c.opening),
+  u AS (SELECT n.opening, CASE WHEN feasible = 1 THEN f.segment ELSE n.segment END AS segment, CASE WHEN feasible = 1 THEN 'span_aware' WHEN feasible > 1 THEN 'ambiguous' ELSE 'nearest' END AS status FROM n LEFT JOIN f USING (opening))
+  SELECT o.image, o.id AS opening, u.segment, round(c.d, 6) AS distance, u.status, concat_ws(',', CASE WHEN u.segment IS NULL THEN 'no_wall_segments' END, CASE WHEN across THEN 'perpendicular_wall' END, CASE WHEN d > 2 * greatest(20, 1.5 * th) THEN 'far_from_wall' END,
+    CASE WHEN over > greatest(20, 0.25 * w) THEN 'exceeds_segment' END) AS reasons FROM {sql("openings")} o LEFT JOIN u ON u.opening = o.id LEFT JOIN c ON c.opening = u.opening AND c.segment = u.segment""")
 def bind_nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.bind_nearest(table(spark, sf_dir, "openings"), table(spark, sf_dir, "segments")).select("image", "opening", "segment", "status")
+    """Each opening's wall, how it was chosen, and why the choice must be rejected."""
+    found = binding.bind_nearest(table(spark, sf_dir, "openings"), table(spark, sf_dir, "segments"))
+    return found.select("image", "opening", "segment", F.round("distance", 6).alias("distance"), "status", F.array_join("reasons", ",").alias("reasons"))
 
 
 def _axis(segments: DataFrame) -> DataFrame:
@@ -144,13 +149,13 @@ def gaps_without_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.gaps_without_bridge(s, bridges).select("image", "id")
 
 
-_W = sql("windows")
+_W, _L = sql("windows"), sql("layers")
 
 
-@query(f"""SELECT a.image, a.id AS strip, min(b.id) AS parent FROM {_W} a JOIN {_W} b ON a.image = b.image AND a.id <> b.id AND a.horizontal = b.horizontal WHERE a.thickness <= 0.4 * b.thickness AND a.high - a.low <= 1.05 * (b.high - b.low)
+@query(f"""SELECT a.image, a.id AS strip, min(b.id) AS parent FROM {_L} a JOIN {_L} b ON a.image = b.image AND a.id <> b.id AND a.horizontal = b.horizontal WHERE a.thickness <= 0.4 * b.thickness AND a.high - a.low <= 1.05 * (b.high - b.low)
   AND least(a.high, b.high) - greatest(a.low, b.low) >= 0.9 * (a.high - a.low) AND abs(a.pos - b.pos) <= b.thickness / 2 + 2 GROUP BY ALL""")
 def window_strip_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.strips_in_windows(table(spark, sf_dir, "windows"))
+    return binding.strips_in_windows(table(spark, sf_dir, "layers"))
 
 
 @query(f"""SELECT a.image, a.id AS "window", b.id AS partner FROM {_W} a JOIN {_W} b ON a.image = b.image AND a.id <> b.id AND a.horizontal = b.horizontal WHERE abs(a.pos - b.pos) <= 20 AND greatest(0, least(a.high, b.high) - greatest(a.low, b.low)) >= 0.75 * least(a.high - a.low, b.high - b.low)""")
@@ -445,19 +450,25 @@ def band_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.votes(read(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_orderkey"), ["l_suppkey"], "l_quantity", "l_orderkey", 10)
 
 
-@query("""SELECT o_custkey AS image, CASE WHEN bool_or(o_orderkey % 97 = 0) THEN NULL ELSE max(abs(o_totalprice - o_orderkey / 2.0e0)) END AS worst_error, count(*) AS n_lines FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey AS image, o_orderkey AS line, CASE WHEN NOT bool_or(o_orderkey % 97 = 0) OVER (PARTITION BY o_custkey) THEN abs(o_totalprice - o_orderkey / 2.0e0) END AS error FROM orders""")
 def scale_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image"), F.col("o_totalprice").alias("pixels"), F.col("o_orderkey").alias("length"), F.when(F.col("o_orderkey") % 97 == 0, 0.0).otherwise(2.0).alias("scale"))
+    """Orders as dimension lines at a scale of 2; every 97th has none, which leaves its customer's lines unjudged."""
+    o = read(spark, sf_dir, "orders")
+    lines = o.select(F.col("o_custkey").alias("image"), F.col("o_orderkey").alias("line"), F.col("o_totalprice").alias("pixels"), F.col("o_orderkey").alias("length"), F.when(F.col("o_orderkey") % 97 == 0, 0.0).otherwise(2.0).alias("scale"))
     return metrics.scale_errors(lines)
 
 
-@query("""WITH p AS (SELECT l_suppkey AS image, l_tax * 12 AS w0, l_discount * 10 AS w1, l_quantity / 50 AS o0, l_discount * 5 + l_tax * 6 AS o1, l_suppkey % 2 = 0 AS gate FROM lineitem),
-  r AS (SELECT image, CASE WHEN gate AND w1 >= 0.72 AND w0 >= 0.18 AND greatest(w0, w1) >= 0.80 THEN greatest(w0, w1 * 0.92) ELSE w0 END AS w, CASE WHEN gate AND o1 >= 0.75 AND o0 >= 0.25 THEN greatest(o0, o1 * 0.90) ELSE o0 END AS o FROM p)
-  SELECT image, count(*) FILTER (w >= 0.5 AND w >= o) AS walls, count(*) FILTER (NOT (w >= 0.5 AND w >= o) AND o >= 0.5) AS openings FROM r GROUP BY image""")
+@query("""WITH p AS (SELECT l_suppkey AS image, [0.1e0, l_tax * 11.0e0, l_discount * 9.0e0, l_quantity / 55.0e0] AS o, [l_quantity / 52.0e0, l_discount * 4.0e0, 0.1e0, l_tax * 2.0e0] AS n FROM lineitem),
+  c AS (SELECT *, list_position(o, list_max(o)) - 1 AS oc, list_position(n, list_max(n)) - 1 AS nc FROM p),
+  g AS (SELECT *, count(*) FILTER (oc = 1) OVER w * 20 >= greatest(count(*) FILTER (nc = 1) OVER w, 1) * 9 AND nc = 0 AS gate FROM c WINDOW w AS (PARTITION BY image)),
+  f AS (SELECT image, nc, [n[1], CASE WHEN gate AND oc = 1 AND o[2] >= 0.72 AND n[2] >= 0.18 AND n[1] < 0.80 THEN greatest(n[2], o[2] * 0.92) ELSE n[2] END, CASE WHEN gate AND oc = 2 AND o[3] >= 0.75 AND n[2] + n[3] + n[4] >= 0.25 THEN greatest(n[3], o[3] * 0.90) ELSE n[3] END,
+    CASE WHEN gate AND oc = 3 AND o[4] >= 0.75 AND n[2] + n[3] + n[4] >= 0.25 THEN greatest(n[4], o[4] * 0.90) ELSE n[4] END] AS q FROM g)
+  SELECT image, CAST(list_position(q, list_max(q)) - 1 AS INTEGER) AS "class", count(*) AS n, round(sum(q[2]), 6) AS wall FROM f GROUP BY ALL""")
 def fuse_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "lineitem")
-    cls = metrics.fuse(F.col("l_tax") * 12, F.col("l_discount") * 10, F.col("l_quantity") / 50, F.col("l_discount") * 5 + F.col("l_tax") * 6, F.col("l_suppkey") % 2 == 0)
-    return p.select(F.col("l_suppkey").alias("image"), cls.alias("c")).groupBy("image").agg(F.count_if(F.col("c") == 1).alias("walls"), F.count_if(F.col("c") == 2).alias("openings"))
+    """Two passes over the pixels of an image (a supplier), fused."""
+    t, d, q = F.col("l_tax"), F.col("l_discount"), F.col("l_quantity")
+    px = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pixel"), F.array(F.lit(0.1), t * 11.0, d * 9.0, q / 55.0).alias("original"), F.array(q / 52.0, d * 4.0, F.lit(0.1), t * 2.0).alias("normalized"))
+    return metrics.fuse_passes(px).groupBy("image", "class").agg(F.count("*").alias("n"), F.round(F.sum(F.col("probabilities")[1]), 6).alias("wall"))
 
 
 # --- curation ----------------------------------------------------------------------------------------------------------
@@ -480,14 +491,25 @@ def train_minus_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.without(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
 
 
-_HASH = "(SELECT DISTINCT ((c_custkey * 2654435761) % 4294967296) & 16777215 AS h FROM customer)"
+def _plan_hash(k: str, r: str, salt: int) -> tuple[str, str]:
+    """A plan's hash in rotation r: four customers share one but for a few bits, the third is turned, the fourth differs in 14 bits."""
+    turned = f"(({r}) + CASE WHEN {k} % 4 = 2 THEN 1 ELSE 0 END) % 4"
+    base = f"((({k} - {k} % 4) * 7919 + {turned} * 104729 + {salt}) * 2654435761) % 4611686018427387903"
+    return base, f"CASE {k} % 4 WHEN 0 THEN 0 WHEN 1 THEN 33 WHEN 2 THEN 1025 ELSE 524256 END"
+
+
+_SIGNATURES = ", ".join(f"{{'p': xor({_plan_hash('c_custkey', str(r), 5)[0]}, {_plan_hash('c_custkey', str(r), 5)[1]}), 'd': xor({_plan_hash('c_custkey', str(r), 99)[0]}, {_plan_hash('c_custkey', str(r), 99)[1]}), 'r': {90 * r}}}" for r in range(4))
 
 
-@query(f"SELECT a.h AS h, b.h AS g, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS bits FROM {_HASH} a JOIN {_HASH} b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 3")
+@query(f"""WITH i AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 < 2 THEN c_custkey // 20 ELSE -c_custkey END AS sha, CASE WHEN c_custkey % 7 < 2 THEN c_custkey // 14 END AS grp, [{_SIGNATURES}] AS s FROM customer),
+  p AS (SELECT a.id AS a, b.id AS b, a.sha = b.sha AS exact, coalesce(a.grp = b.grp, false) AS same_group, list_min(list_transform(b.s, lambda x: {{'p': CAST(bit_count(xor(a.s[1].p, x.p)) AS INTEGER), 'd': CAST(bit_count(xor(a.s[1].d, x.d)) AS INTEGER), 'r': x.r}})) AS m FROM i a JOIN i b ON a.id < b.id)
+  SELECT a, b, exact, same_group, m.d AS d_bits, m.p AS p_bits, m.r AS rotation FROM p WHERE exact OR same_group OR (m.p <= 12 AND m.d <= 12)""")
 def near_duplicate_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """24-bit hashes at most three bits apart."""
-    h = read(spark, sf_dir, "customer").select(((F.col("c_custkey") * 2654435761) % 4294967296).bitwiseAND(F.lit(16777215)).cast("long").alias("h"))
-    return curation.hash_neighbours(h, 3, 24)
+    """Images (customers) that may show one plan, by content, group, or hashes of any rotation."""
+    hashed = lambda r, salt: "({}) ^ ({})".format(*_plan_hash("c_custkey", str(r), salt))
+    turns = ", ".join(f"struct({hashed(r, 99)} AS d, {hashed(r, 5)} AS p)" for r in range(4))
+    images = read(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 10 < 2 THEN c_custkey div 20 ELSE -c_custkey END AS sha", "CASE WHEN c_custkey % 7 < 2 THEN c_custkey div 14 END AS group_id", f"array({turns}) AS signatures")
+    return curation.related_images(images)
 
 
 @query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT query, id, rank FROM (SELECT q.id AS query, b.id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.v, b.v) DESC, b.id) AS rank FROM v q JOIN v b ON q.id <> b.id WHERE q.id % 20 = 0) WHERE rank <= 5""")
@@ -605,21 +627,22 @@ def not_yet_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.not_yet_done(d, d.where("doc_id % 3 = 0"), ["sha"]).select("doc_id")
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN least(c_custkey % 90, c_acctbal) WHEN c_custkey % 3 = 1 THEN c_acctbal ELSE greatest(40.0e0, 1.12 * (c_custkey % 70)) END AS width FROM customer""")
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN c_custkey % 97 * least(1.0e0, c_custkey % 50 / 40.0e0) WHEN 1 THEN c_custkey % 97 WHEN 2 THEN CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 97 ELSE greatest(40.0e0, c_custkey % 97 * 1.12e0) END ELSE greatest(40.0e0, c_custkey % 97 * 1.12e0) END AS width FROM customer""")
 def door_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    width = scalars.door_width(F.when(k % 3 == 0, (k % 90).cast("double")), F.when(k % 3 != 2, F.col("c_acctbal")), (k % 70).cast("double"))
-    return c.select(k.alias("id"), width.alias("width"))
+    source = F.element_at(F.array(F.lit("measured_swing"), F.lit("surveyed_door"), F.lit("unmarked_interior_gap"), F.lit("door")), (k % 4 + 1).cast("int"))
+    width = scalars.door_width((k % 97).cast("double"), source, (k % 50).cast("double"), F.lit(40.0), k % 3 == 0)
+    return read(spark, sf_dir, "customer").select(k.alias("id"), width.alias("width"))
 
 
-@query(f"""WITH p AS (SELECT o.image, o.id AS opening, s.id AS segment, o.cx - o.length/2 AS lo, o.cx + o.length/2 AS hi, s.x1, s.x2, o.thickness AS t, o.length AS n FROM {sql("openings")} o JOIN {sql("segments")} s USING (image) WHERE s.horizontal AND o.horizontal)
-  SELECT image, opening, segment, greatest(lo, x1) AS low, least(hi, x2) AS high FROM p WHERE NOT (lo >= x1 AND hi <= x2) AND least(hi, x2) - greatest(lo, x1) >= 0.75 * n AND abs((greatest(lo, x1) + least(hi, x2)) / 2 - (lo + hi) / 2) <= t / 2""")
+@query(f"""WITH p AS (SELECT o.image, o.id AS opening, s.id AS segment, o.length AS w, s.x2 - s.x1 AS n, (o.cx - s.x1) * 100 / (s.x2 - s.x1) AS pos, 2 * o.thickness AS th FROM {sql("openings")} o JOIN {sql("segments")} s ON s.image = o.image WHERE s.horizontal AND o.horizontal),
+  q AS (SELECT *, n * pos / 100 AS c, least(w, n) AS f FROM p), r AS (SELECT *, least(greatest(c, f / 2), n - f / 2) AS moved FROM q)
+  SELECT image, opening, segment, f AS width, round(100 * moved / n, 6) AS position FROM r WHERE NOT (c - w / 2 >= 0 AND c + w / 2 <= n) AND f >= greatest(12, 0.75 * w) AND abs(moved - c) <= th / 2""")
 def fitted_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "openings").where("horizontal").select("image", F.col("id").alias("opening"), "cx", "length", "thickness")
-    s = table(spark, sf_dir, "segments").where("horizontal").select("image", F.col("id").alias("segment"), "x1", "x2")
-    fit = scalars.fit_span(F.col("cx") - F.col("length") / 2, F.col("cx") + F.col("length") / 2, F.col("x1"), F.col("x2"), F.col("thickness"))
-    return o.join(s, "image").withColumn("fit", fit).where("fit is not null").select("image", "opening", "segment", "fit.low", "fit.high")
+    s = table(spark, sf_dir, "segments").where("horizontal").select("image", F.col("id").alias("segment"), "x1", (F.col("x2") - F.col("x1")).alias("n"))
+    fit = scalars.fit_opening(F.col("length"), (F.col("cx") - F.col("x1")) * 100 / F.col("n"), F.col("n"), 2 * F.col("thickness"), F.lit(12.0))
+    return o.join(s, "image").withColumn("fit", fit).where("fit is not null").select("image", "opening", "segment", F.col("fit.width").alias("width"), F.round("fit.position", 6).alias("position"))
 
 
 @query("""WITH e AS (SELECT o_orderkey AS element, o_custkey AS wall, o_orderkey % 101 AS position, 10 + o_orderkey % 40 AS width FROM orders)
@@ -646,15 +669,17 @@ def previous_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Follows each document's `previous` while it was replaced (ids that 3 divides), up to where the chain ends."""
     spark_docs = read(spark, sf_dir, "customer").select("c_custkey")
     step = lambda s: F.when((s["cur"] % 3 == 0) & (s["cur"] > 0), F.struct((s["depth"] + 1).alias("depth"), F.floor(s["cur"] / 3).alias("cur"))).otherwise(s)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0).alias("depth"), F.col("c_custkey").alias("cur")), lambda s, _: step(s))
+    most = F.ceil(F.log(3.0, F.greatest("c_custkey", F.lit(3)))).cast("int") + 1  # no chain is longer
+    walk = F.aggregate(F.sequence(F.lit(1), most), F.struct(F.lit(0).alias("depth"), F.col("c_custkey").alias("cur")), lambda s, _: step(s))
     return spark_docs.withColumn("w", walk).select(F.col("c_custkey").alias("doc"), "w.depth", F.col("w.cur").alias("origin"))
 
 
 # --- evidence ----------------------------------------------------------------------------------------------------------
 
-@query(f"""SELECT image, edge, thickness FROM (SELECT o.image, o.id AS edge, s.id % 17 AS thickness, row_number() OVER (PARTITION BY o.id ORDER BY round(sqrt((o.cx-s.x1)*(o.cx-s.x1)+(o.cy-s.y1)*(o.cy-s.y1)), 9), s.id) AS k FROM {sql("openings")} o JOIN {sql("segments")} s USING (image)) WHERE k = 1""")
+@query(f"""SELECT image, edge, thickness FROM (SELECT o.image, o.id AS edge, s.id % 17 AS thickness, row_number() OVER (PARTITION BY o.id ORDER BY round(sqrt((o.cx-qx)*(o.cx-qx)+(o.cy-qy)*(o.cy-qy)), 9), s.id) AS k FROM {sql("openings")} o JOIN {sql("segments")} s ON s.image = o.image,
+  LATERAL (SELECT least(greatest(o.cx, s.x1), s.x2) AS qx, least(greatest(o.cy, s.y1), s.y2) AS qy)) WHERE k = 1""")
 def nearest_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "segments").select("image", F.col("id").alias("ordinal"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("id") % 17).alias("thickness"))
+    s = table(spark, sf_dir, "segments").select("image", F.col("id").alias("ordinal"), "x1", "y1", "x2", "y2", (F.col("id") % 17).alias("thickness"))
     return evidence.nearest_thickness(table(spark, sf_dir, "openings"), s)
 
 

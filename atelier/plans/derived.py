@@ -34,7 +34,7 @@ TABLES: dict[str, tuple[str, str, str]] = {
     "found_junctions": ("orders", "o_custkey AS image, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE 'T' END AS type, o_orderkey AS id, CAST((o_orderkey * 37) % 60 + o_orderkey % 13 AS DOUBLE) AS x, CAST((o_orderkey * 91) % 50 AS DOUBLE) AS y", "o_orderkey % 6 <> 1"),
     "segments": (
         "orders",
-        "o_custkey AS image, o_orderkey AS id, o_orderkey % 4 < 2 AS horizontal, CAST((o_orderkey * 53) % 100 AS DOUBLE) AS x1, CAST((o_orderkey * 29) % 90 AS DOUBLE) AS y1, CAST((o_orderkey * 53) % 100 + CASE WHEN o_orderkey % 4 < 2 THEN 30 + o_orderkey % 70 ELSE 0 END AS DOUBLE) AS x2, CAST((o_orderkey * 29) % 90 + CASE WHEN o_orderkey % 4 < 2 THEN 0 ELSE 30 + o_orderkey % 70 END AS DOUBLE) AS y2",
+        "o_custkey AS image, o_orderkey AS id, o_orderkey % 4 < 2 AS horizontal, CAST((o_orderkey * 53) % 100 AS DOUBLE) AS x1, CAST((o_orderkey * 29) % 90 AS DOUBLE) AS y1, CAST((o_orderkey * 53) % 100 + CASE WHEN o_orderkey % 4 < 2 THEN 30 + o_orderkey % 70 ELSE 0 END AS DOUBLE) AS x2, CAST((o_orderkey * 29) % 90 + CASE WHEN o_orderkey % 4 < 2 THEN 0 ELSE 30 + o_orderkey % 70 END AS DOUBLE) AS y2, CAST(4 + o_orderkey % 13 AS DOUBLE) AS thickness",
         "true",
     ),
     "openings": (
@@ -47,6 +47,11 @@ TABLES: dict[str, tuple[str, str, str]] = {
         "o_custkey AS image, o_orderkey AS id, o_orderkey % 2 = 0 AS horizontal, CAST((o_orderkey * 19) % 40 AS DOUBLE) AS pos, CAST((o_orderkey * 37) % 60 AS DOUBLE) AS low, CAST((o_orderkey * 37) % 60 + 10 + (o_orderkey * 13) % 50 AS DOUBLE) AS high, CAST(2 + (o_orderkey * 7) % 14 AS DOUBLE) AS thickness",
         "true",
     ),
+    "layers": (
+        "orders",
+        "o_custkey AS image, o_orderkey AS id, o_custkey % 2 = 0 AS horizontal, CAST((o_custkey * 19) % 40 + o_orderkey % 3 AS DOUBLE) AS pos, CAST((o_custkey * 37) % 60 + o_orderkey % 2 * 3 AS DOUBLE) AS low, CAST((o_custkey * 37) % 60 + 45 - o_orderkey % 5 * 2 AS DOUBLE) AS high, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 12 ELSE 3 + o_orderkey % 4 END AS DOUBLE) AS thickness",
+        "true",
+    ),
     "pixels": ("lineitem", "l_suppkey AS image, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS t0, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS region, CASE WHEN l_tax > 0.075 THEN 255 WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS truth, (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END + CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) % 3 AS pred", "true"),
 }
 

@@ -52,31 +52,46 @@ def svg_size(content: Column) -> Column:
     return F.when((w > 0) & (h > 0), F.struct(w.alias("width"), h.alias("height")))
 
 
+_HIDDEN = {"display": "none", "visibility": "hidden"}
+
+
+def _drawn(attributes: dict[str, str]) -> bool:
+    """Whether neither the attributes nor the declarations of `style` hide an element."""
+    style = attributes.get("style", "").replace(" ", "")
+    return not any(attributes.get(k) == v or f"{k}:{v}" in style for k, v in _HIDDEN.items())
+
+
+def _outline(tag: str, attributes: dict[str, str]) -> list[tuple[float, float]]:
+    """Corners of a polygon or rectangle, none for other elements."""
+    if tag == "polygon":
+        numbers = iter(map(float, attributes.get("points", "").replace(",", " ").split()))
+        return list(zip(numbers, numbers, strict=False))
+    if tag != "rect":
+        return []
+    left, top, wide, high = (float(attributes.get(k, 0)) for k in ("x", "y", "width", "height"))
+    return [(left + wide * i, top + high * j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))]
+
+
 def flatten_svg(content: str) -> list[tuple[str, list[tuple[float, float]]]]:
-    """(class, points) of the polygons and rectangles of an SVG; class tokens are inherited, hidden subtrees dropped."""
-    out: list[tuple[str, list[tuple[float, float]]]] = []
-
-    def walk(node: ET.Element, tokens: frozenset[str]) -> None:
-        style = (node.get("style") or "").replace(" ", "")
-        if node.get("display") == "none" or "display:none" in style or node.get("visibility") == "hidden":
-            return
-        tokens |= frozenset((node.get("class") or "").split())
-        name = next((c for c in SHAPE_CLASSES if c in tokens), None)
-        tag = node.tag.rpartition("}")[2]
-        if name and tag == "polygon":
-            values = [float(v) for v in (node.get("points") or "").replace(",", " ").split()]
-            points = list(zip(values[::2], values[1::2], strict=False))
-        elif name and tag == "rect":
-            x, y, w, h = (float(node.get(k) or 0) for k in ("x", "y", "width", "height"))
-            points = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
-        else:
-            points = []
-        if len(points) > 2:
-            out.append((name, points))
-        for child in node:
-            walk(child, tokens)
-
-    walk(ET.fromstring(content), frozenset())
+    """(class, points) of the polygons and rectangles of an SVG; class tokens are inherited, hidden subtrees dropped.
+
+    A pull parser in one pass: a stack holds, for each open element, the class of shapes in it, or None below a hidden one.
+    """
+    parser, out = ET.XMLPullParser(("start", "end")), []
+    parser.feed(content)
+    parser.close()
+    open_elements: list[frozenset[str] | None] = [frozenset()]
+    for event, element in parser.read_events():
+        if event == "end":
+            open_elements.pop()
+            continue
+        above = open_elements[-1]
+        below = None if above is None or not _drawn(element.attrib) else above.union(element.get("class", "").split())
+        open_elements.append(below)
+        names = [c for c in SHAPE_CLASSES if below and c in below]
+        corners = _outline(element.tag.rpartition("}")[2], element.attrib) if names else []
+        if len(corners) > 2:
+            out.append((names[0], corners))
     return out
 
 
