@@ -1,9 +1,10 @@
 """Repeated passages across documents, found as near-duplicate paragraphs.
 
 Two kinds of paragraphs cover a text. Natural ones are made of its lines: each line of LINE words at least, and each run of shorter lines,
-cut at line ends into pieces of LINE words at least; what is left of a run is completed to LINE words by those after it (at
-the text's end by those before it), so that every word of every text is in a natural paragraph. A text of fewer than LINE words is one. But a passage
-need not begin or end with a line, so others are anchored in the words: of every WINDOW consecutive places where one could begin, the place
+cut at line ends into pieces of LINE words at least. A text of fewer than LINE words is one. What is left of a run, fewer than LINE words between
+longer lines, is in anchored paragraphs only; a similarity of 0.8 on five-word shingles leaves room for an edited word amid a paragraph from 49 words
+on, so for what is shorter bands would find little that shared runs don't. A passage
+need not begin or end with a line, so other paragraphs are anchored in the words: of every WINDOW consecutive places where one could begin, the place
 whose five-word shingle has the least hash begins a paragraph of SIZE words. Two texts that share WINDOW + SIZE - 1 = 50 words
 share an anchored paragraph for certain, wherever the passage stands. Anchored paragraphs are seeds: each that repeats is extended
 word by word on both sides, as far as an earlier document (for the kept one: any other) has the same words around it. Shared
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import _TO_SPACE, Hashes, components, grams, mix, partitions, stored
 from .jaccard_join import BROADCAST_ROWS, _grouped, minhash, signature, verified
 
-K, SIZE, WINDOW, LINE, THRESHOLD, ROWS = 5, 18, 33, 20, 0.8, 4
+K, SIZE, WINDOW, LINE, THRESHOLD, ROWS = 5, 18, 33, 20, 0.8, 3
+#: Bands' least paragraphs (16 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
+HUBS = 1_000_000
 REACH, SEED_BLOCK = WINDOW - 1, 16384
 _MARK = "key long, more int, id long, doc_id long, word int, start int, end int, bands array<long>"
 _SEED = "key long, id long, doc_id long, word int, start int, end int, kept boolean, blocks long, around binary, gaps binary"
@@ -51,7 +54,7 @@ def tuned(threshold: float, rows: int, recall: float) -> int:
     return bands
 
 
-BANDS = tuned(THRESHOLD, ROWS, 1 - 2.5e-4)  # as many as jaccard_join has
+BANDS = tuned(THRESHOLD, ROWS, 1 - 2.5e-4)  # misses as few as jaccard_join does
 _MIXED = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD, _TURN = _MIXED.astype(np.uint32) | np.uint32(1), (_MIXED >> np.uint64(32)).astype(np.uint32)  # of hashes (x ^ turn) * odd in 32 bits
 
@@ -160,11 +163,11 @@ def _extended(columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
 
 def units(sizes: list[int], n: int) -> list[tuple[int, int]]:
     """First word and end of the natural paragraphs of a text of n words in lines of `sizes` words."""
+    if n < LINE:
+        return [(0, n)]
     out, at, begin, words = [], 0, 0, 0
     for size in sizes:
         if size >= LINE:
-            if words:  # the rest of a run of short lines
-                out.append((begin, min(n, begin + LINE)))
             out.append((at, at + size))
             words = 0
         else:
@@ -174,8 +177,6 @@ def units(sizes: list[int], n: int) -> list[tuple[int, int]]:
                 out.append((begin, at + size))
                 words = 0
         at += size
-    if words:
-        out.append((max(0, min(begin, n - LINE)), n))
     return out
 
 
@@ -242,9 +243,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(ident(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = stored(texts.mapInArrow(_marked, _MARK), "paragraphs")
 
-    in_bands = marks.where(F.size("bands") > 0).select("key", F.explode("bands").alias("band")).distinct()
-    hubs = in_bands.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    near = components(in_bands.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    in_bands = marks.where(F.size("bands") > 0).select("key", F.explode("bands").alias("band"))
+    hubs = in_bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub < top").select("band", "hub")  # partial minima first
+    hubs = stored(hubs, "band-hubs")
+    linked = in_bands.join(F.broadcast(hubs) if hubs.count() <= HUBS else hubs, "band").where("key <> hub")
+    near = components(linked.select(F.col("key").alias("a"), F.col("hub").alias("b")))
 
     few = near.count() <= BROADCAST_ROWS
     sent = F.broadcast(near) if few else near
