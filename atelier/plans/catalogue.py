@@ -119,11 +119,15 @@ _BIND = f"""SELECT image, opening, w, segment, th, d, over, CASE WHEN flat THEN
   FROM (SELECT o.image, o.id AS opening, o.length AS w, o.horizontal AS flat, cx, cy, s.id AS segment, s.thickness AS th, x1, y1, x2, y2, abs(x2-x1) AS dx, abs(y2-y1) AS dy, sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1)) AS n FROM {sql("openings")} o JOIN {sql("segments")} s ON s.image = o.image)))"""
 
 
-@query(f"""WITH c AS ({_BIND}), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY opening ORDER BY d, segment) AS k FROM c) WHERE k = 1),
+#: Common tables c (candidates) and bound (image, opening, segment, status, reasons).
+BOUND_SQL = f"""c AS ({_BIND}), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY opening ORDER BY d, segment) AS k FROM c) WHERE k = 1),
   f AS (SELECT c.opening, count(*) AS feasible, arg_min(c.segment, (c.d, c.segment)) AS segment FROM c JOIN n USING (opening) WHERE NOT (n.aligned AND n.over <= 5) AND c.aligned AND c.over <= 1 AND c.d <= n.d + greatest(3, 0.05 * c.w) AND c.d <= greatest(20, 1.5 * c.th) GROUP BY c.opening),
-  u AS (SELECT n.opening, CASE WHEN feasible = 1 THEN f.segment ELSE n.segment END AS segment, CASE WHEN feasible = 1 THEN 'span_aware' WHEN feasible > 1 THEN 'ambiguous' ELSE 'nearest' END AS status FROM n LEFT JOIN f USING (opening))
-  SELECT o.image, o.id AS opening, u.segment, round(c.d, 6) AS distance, u.status, concat_ws(',', CASE WHEN u.segment IS NULL THEN 'no_wall_segments' END, CASE WHEN across THEN 'perpendicular_wall' END, CASE WHEN d > 2 * greatest(20, 1.5 * th) THEN 'far_from_wall' END,
-    CASE WHEN over > greatest(20, 0.25 * w) THEN 'exceeds_segment' END) AS reasons FROM {sql("openings")} o LEFT JOIN u ON u.opening = o.id LEFT JOIN c ON c.opening = u.opening AND c.segment = u.segment""")
+  u AS (SELECT n.opening, CASE WHEN feasible = 1 THEN f.segment ELSE n.segment END AS segment, CASE WHEN feasible = 1 THEN 'span_aware' WHEN feasible > 1 THEN 'ambiguous' ELSE 'nearest' END AS status FROM n LEFT JOIN f USING (opening)),
+  bound AS (SELECT o.image, o.id AS opening, u.segment, round(c.d, 6) AS distance, u.status, concat_ws(',', CASE WHEN u.segment IS NULL THEN 'no_wall_segments' END, CASE WHEN across THEN 'perpendicular_wall' END, CASE WHEN d > 2 * greatest(20, 1.5 * th) THEN 'far_from_wall' END,
+    CASE WHEN over > greatest(20, 0.25 * w) THEN 'exceeds_segment' END) AS reasons FROM {sql("openings")} o LEFT JOIN u ON u.opening = o.id LEFT JOIN c ON c.opening = u.opening AND c.segment = u.segment)"""
+
+
+@query(f"WITH {BOUND_SQL} SELECT * FROM bound")
 def bind_nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each opening's wall, how it was chosen, and why the choice must be rejected."""
     found = binding.bind_nearest(table(spark, sf_dir, "openings"), table(spark, sf_dir, "segments"))
@@ -958,3 +962,6 @@ def image_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda ks: spark.createDataFrame([(str(k),) for k in ks], "k string").select(F.sha2(F.col("k").cast("binary"), 256).alias("h"))
     exact = sha(range(0, 50, 4)).select(F.col("h").alias("byte_hash"), F.lit("bytes").alias("profile"))
     return rules.profile_of(images, exact, sha(range(0, 25, 3)).select(F.col("h").alias("pixel_hash"), F.lit("pixels").alias("profile")))
+
+
+from . import exports  # noqa: E402, F401
