@@ -88,7 +88,7 @@ def length_in_strip(ax: Column, ay: Column, bx: Column, by: Column, x1: Column,
 
     s, d = inside(along(ax, ay), along(bx, by), F.lit(0.0), size), inside(across(ax, ay), across(bx, by), -half, half)
     part = F.least(F.lit(1.0), s[1], d[1]) - F.greatest(F.lit(0.0), s[0], d[0])
-    return F.coalesce(F.greatest(F.lit(0.0), part) * distance(ax, ay, bx, by), F.lit(0.0))
+    return F.when(size.isNotNull(), F.greatest(F.lit(0.0), part) * distance(ax, ay, bx, by)).otherwise(0.0)  # a span without length has no strip
 
 
 def on_existing_carrier(openings: DataFrame, bridges: DataFrame) -> DataFrame:
