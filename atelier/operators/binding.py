@@ -113,6 +113,20 @@ def door_window_pairs(doors: DataFrame, windows: DataFrame, gap: float = 15.0) -
     return d.join(w, "image").where(fits).groupBy("image", F.col("d_id").alias("door")).agg(best).select("image", "door", "b.window", "b.gap", "b.offset")
 
 
+def same_layer() -> Column:
+    """Whether rows a_ and b_ (id, horizontal, pos, low, high, thickness) are layers of one window.
+
+    Both run one way, are 12 long at least and 0.3 times as thick at most; the shorter is 85 % of the longer and shares 90 % of its axis; the free space
+    between them is within max(4, half the lesser thickness), their middle lines within 1.75 x the greater thickness.
+    """
+    a, b = F.col("a_high") - F.col("a_low"), F.col("b_high") - F.col("b_low")
+    ta, tb, off = F.col("a_thickness"), F.col("b_thickness"), F.abs(F.col("a_pos") - F.col("b_pos"))
+    short, long = F.least(a, b), F.greatest(a, b)
+    shape = (F.col("a_horizontal") == F.col("b_horizontal")) & (short >= 12) & (ta <= 0.3 * a) & (tb <= 0.3 * b) & (short >= 0.85 * long)
+    along = overlap(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high")) >= 0.9 * short
+    return shape & along & (off - (ta + tb) / 2 <= F.greatest(F.lit(4.0), 0.5 * F.least(ta, tb))) & (off <= 1.75 * F.greatest(ta, tb))
+
+
 def priority_dedup(layers: DataFrame, same: Column, order: list[str]) -> DataFrame:
     """Rows that a pass in `order` keeps, where a kept row removes every later row that is the `same` (of columns a_, b_) in its image.
 

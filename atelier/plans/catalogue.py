@@ -180,15 +180,15 @@ def door_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.door_window_pairs(w.where("id % 3 = 0"), w.where("id % 3 <> 0"))
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY thickness, id) AS k FROM {_W}),
+@query(f"""WITH RECURSIVE s AS (SELECT *, high - low AS n, row_number() OVER (PARTITION BY image ORDER BY thickness, id) AS k FROM {_L}),
   walk(image, k, kept) AS (SELECT DISTINCT image, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM s UNION ALL
-    SELECT s.image, s.k, CASE WHEN EXISTS (SELECT 1 FROM s o WHERE o.image = s.image AND list_contains(kept, o.id) AND o.horizontal = s.horizontal AND abs(o.pos - s.pos) <= 8 AND least(o.high, s.high) - greatest(o.low, s.low) >= 0.5 * (s.high - s.low)) THEN kept ELSE list_append(kept, s.id) END
+    SELECT s.image, s.k, CASE WHEN EXISTS (SELECT 1 FROM s o WHERE o.image = s.image AND list_contains(kept, o.id) AND o.horizontal = s.horizontal AND least(o.n, s.n) >= 12 AND greatest(o.thickness / o.n, s.thickness / s.n) <= 0.3 AND least(o.n, s.n) >= 0.85 * greatest(o.n, s.n)
+      AND greatest(0, least(o.high, s.high) - greatest(o.low, s.low)) >= 0.9 * least(o.n, s.n) AND greatest(0, abs(o.pos - s.pos) - (o.thickness + s.thickness) / 2) <= greatest(4, 0.5 * least(o.thickness, s.thickness)) AND abs(o.pos - s.pos) <= 1.75 * greatest(o.thickness, s.thickness)) THEN kept ELSE list_append(kept, s.id) END
     FROM walk w JOIN s ON s.image = w.image AND s.k = w.k + 1)
   SELECT image, unnest(kept) AS id FROM (SELECT image, kept, row_number() OVER (PARTITION BY image ORDER BY k DESC) AS n FROM walk) WHERE n = 1""")
 def priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers in order of thickness; a kept one removes later ones on nearly the same line that it covers by half."""
-    same = (F.col("a_horizontal") == F.col("b_horizontal")) & (F.abs(F.col("a_pos") - F.col("b_pos")) <= 8) & (F.least("a_high", "b_high") - F.greatest("a_low", "b_low") >= 0.5 * (F.col("b_high") - F.col("b_low")))
-    return binding.priority_dedup(table(spark, sf_dir, "windows"), same, ["thickness", "id"]).select("image", "id")
+    """Layers in order of thickness; a kept one removes those after it that are layers of one window with it."""
+    return binding.priority_dedup(table(spark, sf_dir, "layers"), binding.same_layer(), ["thickness", "id"]).select("image", "id")
 
 
 @query(f"""SELECT a.image AS wall, a.id AS earlier, b.id AS hole, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS area FROM {sql("rooms")} a JOIN {sql("rooms")} b ON a.image = b.image AND a.id < b.id
@@ -279,6 +279,14 @@ def gate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.gate_issues(gate_cases.plans(spark, sf_dir), gate_cases.verified(spark, sf_dir))
 
 
+@query(f"""WITH p AS (SELECT c_custkey AS image, {gate_cases.column_sql("project")} FROM customer), e AS (SELECT *, coalesce(from_json(json_extract(project, '$.levels[0].elements'), '["JSON"]'), []) AS items FROM p)
+  SELECT image, {", ".join(f"CAST(coalesce(json_array_length(project, '$.levels[0].{k}'), 0) AS BIGINT) AS {n}" for n, k in (("rooms", "areas"), ("segments", "segments"), ("connectors", "connectors")))},
+    {", ".join(f"CAST(len(list_filter(items, lambda x: json_extract_string(x, '$.type') = '{k}')) AS BIGINT) AS {n}" for k, n, _ in gate.KINDS)} FROM e""")
+def project_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each project's first level."""
+    return gate.project_totals(gate_cases.plans(spark, sf_dir))
+
+
 @query(f"""WITH n AS (SELECT image, count(*) FILTER (severity = 'error') AS e, count(DISTINCT code) FILTER (severity = 'warning') AS w FROM ({gate_cases.issues_sql()}) GROUP BY image)
   SELECT image, e AS n_errors, w AS n_warnings, CASE WHEN e > 0 THEN 'invalid' WHEN w > 0 THEN 'review' ELSE 'good' END AS status, CASE WHEN e > 0 THEN 0.0e0 ELSE greatest(0.1e0, round(1 - 0.08e0 * w, 2)) END AS quality, e = 0 AS export_allowed FROM n""")
 def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
