@@ -97,4 +97,4 @@ def test_scalars(spark):
     assert scalars.canonical('{"b": 1e-7, "a": [true, "é"]}') == '{"a":[true,"é"],"b":1e-07}' and scalars.canonical("NaN") is None and scalars.canonical("{") is None
     df = spark.createDataFrame([("c12", "true", "2024-01-02T03:04:05Z"), ("x", "1.5", "2024-01-02T03:04:05"), ("c-3", "Infinity", None)], "n string, v string, t string")
     got = df.select(scalars.connector_number(F.col("n")).alias("n"), scalars.finite_number(F.col("v")).alias("v"), scalars.shown_time(scalars.offset_time(F.col("t"))).alias("t")).collect()
-    assert [tuple(r) for r in got] == [(12, None, "02.01.2024 06:04"), (0, 1.5, None), (-3, None, None)]
+    assert [tuple(r) for r in got] == [(12, None, "02.01.2024 06:04 МСК"), (0, 1.5, "не указана"), (-3, None, "не указана")]
