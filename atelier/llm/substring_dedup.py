@@ -35,8 +35,8 @@ from .common import _TO_SPACE, Hashes, components, grams, mix, partitions, store
 from .jaccard_join import BROADCAST_ROWS, _grouped, minhash, signature, verified
 
 K, SIZE, WINDOW, LINE, THRESHOLD, ROWS = 5, 18, 33, 20, 0.8, 3
-#: Bands' least paragraphs (16 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
-HUBS = 1_000_000
+#: Bands' least paragraphs (16 bytes each, so 64 MB) up to which they are broadcast; beyond, both sides are shuffled.
+HUBS = 4_000_000
 REACH, SEED_BLOCK = WINDOW - 1, 16384
 _MARK = "key long, more int, id long, doc_id long, word int, start int, end int, bands array<long>"
 _SEED = "key long, id long, doc_id long, word int, start int, end int, kept boolean, blocks long, around binary, gaps binary"
