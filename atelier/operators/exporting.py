@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance, overlap, ratio
+from ..functions.geometry import distance, overlap, ratio, ring_area
 from ..functions.polygons import ring_valid, rings_share
 from ..functions.scalars import fit_opening
 from .binding import bind_nearest
@@ -186,12 +186,14 @@ def polygon_pairs(truth: DataFrame, found: DataFrame, least: float = 0.5) -> Dat
 
     def boxed(df: DataFrame, s: str) -> DataFrame:
         xs, ys = F.transform("ring", lambda q: q["x"]), F.transform("ring", lambda q: q["y"])
-        return df.where(ring_valid("ring")).select("image", F.col("id").alias(s), F.col("ring").alias(f"{s}r"), F.array_min(xs).alias(f"{s}x1"), F.array_max(xs).alias(f"{s}x2"), F.array_min(ys).alias(f"{s}y1"), F.array_max(ys).alias(f"{s}y2"))
-
-    meet = (F.col("ix1") < F.col("jx2")) & (F.col("jx1") < F.col("ix2")) & (F.col("iy1") < F.col("jy2")) & (F.col("jy1") < F.col("iy2"))
-    pairs = boxed(truth, "i").join(boxed(found, "j"), "image").where(meet)
-    told = pairs.withColumn("both", rings_share("ir", "jr")).withColumn("own", rings_share("ir", "ir") + rings_share("jr", "jr"))
-    return told.select("image", "i", "j", ratio(F.col("both"), F.col("own") - F.col("both"), 0.0).alias("score")).where(F.col("score") >= least)
+        return df.where(ring_valid("ring")).select("image", F.col("id").alias(s), F.col("ring").alias(f"{s}r"), ring_area(F.col("ring")).alias(f"{s}a"), F.array_min(xs).alias(f"{s}x1"), F.array_max(xs).alias(f"{s}x2"), F.array_min(ys).alias(f"{s}y1"), F.array_max(ys).alias(f"{s}y2"))
+
+    pairs = boxed(truth, "i").join(boxed(found, "j"), "image")
+    boxes = overlap(F.col("ix1"), F.col("ix2"), F.col("jx1"), F.col("jx2")) * overlap(F.col("iy1"), F.col("iy2"), F.col("jy1"), F.col("jy2"))
+    most = F.least(boxes, F.col("ia"), F.col("ja"))  # what they can share at most, so that few pairs reach the kernel
+    likely = pairs.where((most > 0) & (most >= (least - 1e-9) * (F.col("ia") + F.col("ja") - most)))
+    told = likely.withColumn("both", rings_share("ir", "jr"))
+    return told.select("image", "i", "j", ratio(F.col("both"), F.col("ia") + F.col("ja") - F.col("both"), 0.0).alias("score")).where(F.col("score") >= least)
 
 
 def same_rooms(before: DataFrame, after: DataFrame, least: float = 0.98) -> DataFrame:

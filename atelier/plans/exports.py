@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import exporting, matching
-from .catalogue import BOUND_SQL, _greedy_sql, query, read
+from ..operators import exporting
+from .catalogue import BOUND_SQL, query, read
 from .derived import sql, table
 
 _CHOICES = "CASE WHEN c_custkey % 5 < 2 THEN 'door,open_passage,ignore' WHEN c_custkey % 5 = 2 THEN 'door,window,open_passage,ignore' ELSE 'door,window,ignore' END"
@@ -108,46 +108,7 @@ def graph_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exporting.graph_faults(nodes, edges).where("fault <> 'unnoded_crossing'")
 
 
-def _corner(cut: str) -> str:
-    """Coordinates of an L: a box without its upper right quarter, `cut` from its sides."""
-    return f"o_custkey AS image, o_orderkey AS id, (o_orderkey * 37) % 60 + {cut} AS x1, (o_orderkey * 91) % 40 AS y1, 20 + o_orderkey % 11 AS w, 16 + o_orderkey % 7 AS h"
-
-
-def _corners(spark: SparkSession, sf_dir: str, cut: str, keep: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").where(keep).selectExpr(*(f"CAST({e.rsplit(' AS ', 1)[0]} AS DOUBLE) AS {e.rsplit(' AS ', 1)[1]}" if e.rsplit(" AS ", 1)[1] not in ("image", "id") else e for e in _corner(cut).split(", ")))
-    x, y, w, h = (F.col(c) for c in ("x1", "y1", "w", "h"))
-    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-    return rows.select("image", "id", F.array(point(x, y), point(x + w, y), point(x + w, y + h / 2), point(x + w / 2, y + h / 2), point(x + w / 2, y + h), point(x, y + h)).alias("ring"))
-
-
-def _boxes(cut: str, keep: str) -> str:
-    """An L as two boxes that only touch: its lower half, and the left half of its upper half."""
-    own = f"(SELECT {_corner(cut)} FROM orders WHERE {keep})"
-    return f"""(SELECT image, id, 0.75e0 * w * h AS area, x1, x1 + w AS x2, y1, y1 + h / 2.0e0 AS y2, 0 AS part FROM {own} UNION ALL SELECT image, id, 0.75e0 * w * h, x1, x1 + w / 2.0e0, y1 + h / 2.0e0, y1 + h, 1 FROM {own})"""
-
-
-def _shared(a: str, b: str) -> str:
-    return f"""SELECT a.image, a.id AS i, b.id AS j, sum(greatest(0.0e0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0e0, least(a.y2, b.y2) - greatest(a.y1, b.y1))) AS both_area, min(a.area) + min(b.area) AS own FROM {a} a JOIN {b} b ON a.image = b.image GROUP BY ALL"""
-
-
-@query(f"""WITH RECURSIVE {_greedy_sql(f'''SELECT image, i, j, score FROM (SELECT image, i, j, round(both_area / (own - both_area), 9) AS score FROM ({_shared(_boxes("0", "true"), _boxes("o_orderkey % 4", "o_orderkey % 7 <> 0"))})) WHERE score >= 0.5''')} SELECT image, i, j FROM matched""")
-def eval_rooms_iou_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-shaped rooms, matched one to one by the intersection over union of their polygons."""
-    pairs = exporting.polygon_pairs(_corners(spark, sf_dir, "0", "true"), _corners(spark, sf_dir, "o_orderkey % 4", "o_orderkey % 7 <> 0"), 0.499).withColumn("score", F.round("score", 9)).where("score >= 0.5")
-    return matching.greedy_match(pairs).select("image", "i", "j")
-
-
-@query("""SELECT o_custkey AS image, count(*) FILTER (o_custkey % 3 = 0 AND o_orderkey % 2 = 0) = 0 AND count(*) FILTER (o_custkey % 5 = 0 AND o_orderkey % 3 = 0) = 0 AS same FROM orders GROUP BY o_custkey""")
-def same_room_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-shaped rooms far from one another; in every third plan those with even ids move by 2, in every fifth some go."""
-    def state(shift: str, keep: str) -> DataFrame:
-        s = _corners(spark, sf_dir, shift, keep)
-        return s.withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] + F.col("id") * 1000.0).alias("x"), p["y"].alias("y"))))
-
-    return exporting.same_rooms(state("0", "true"), state("CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 2 ELSE 0 END", "NOT (o_custkey % 5 = 0 AND o_orderkey % 3 = 0)"))
-
-
-_INK = "SELECT l_suppkey % 7 AS image, CASE WHEN l_quantity < 48 THEN 0 ELSE l_suppkey % 90 + 1 END AS component, CASE WHEN l_quantity < 48 THEN 1 + l_linenumber ELSE 1 + l_linenumber % 2 END AS radius, l_discount > 0.05 AS support FROM lineitem"
+_INK = "SELECT l_suppkey % 7 AS image, CASE WHEN l_quantity < 48 THEN 0 ELSE l_suppkey % 3 + 1 END AS component, CASE WHEN l_quantity < 48 THEN 1 + l_linenumber ELSE 1 + l_linenumber % 2 END AS radius, l_discount > 0.05 AS support FROM lineitem"
 
 
 @query(f"""WITH p AS ({_INK}), t AS (SELECT image, greatest(2.0e0, 2 * quantile_cont(radius, 0.75) FILTER (radius > 1)) AS th FROM p GROUP BY image), o AS (SELECT image, component, count(*) AS area, quantile_cont(radius, 0.9) AS radius FROM p GROUP BY ALL), m AS (SELECT *, max(area) OVER (PARTITION BY image) AS largest FROM o)
@@ -158,7 +119,7 @@ def detached_linework(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, main = read(spark, sf_dir, "lineitem"), F.col("l_quantity") < 48
-    return li.select((F.col("l_suppkey") % 7).alias("image"), F.when(main, 0).otherwise(F.col("l_suppkey") % 90 + 1).alias("component"), F.when(main, 1 + F.col("l_linenumber")).otherwise(1 + F.col("l_linenumber") % 2).alias("radius"), (F.col("l_discount") > 0.05).alias("support"))
+    return li.select((F.col("l_suppkey") % 7).alias("image"), F.when(main, 0).otherwise(F.col("l_suppkey") % 3 + 1).alias("component"), F.when(main, 1 + F.col("l_linenumber")).otherwise(1 + F.col("l_linenumber") % 2).alias("radius"), (F.col("l_discount") > 0.05).alias("support"))
 
 
 @query(f"SELECT image, component, count(*) AS area, count(*) FILTER (support) AS supported FROM ({_INK}) GROUP BY ALL HAVING count(*) >= 24 AND count(*) FILTER (support) >= 0.45 * count(*)")
