@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,22 +25,71 @@ def leakage_report(samples: DataFrame, key: str, split: str) -> DataFrame:
     return named[0].union(named[1]).union(named[2])
 
 
-def related_images(images: DataFrame, most: int = 12) -> DataFrame:
+def _hash_pairs(most: int, cells: int = 1 << 18):
+    """A mapInArrow function on rows g, side (0: left, 1: right), id, p (one hash on the left, all turns on the right) that lie sorted by g and side:
+    pairs a < b whose hash differs in `most` bits at most from any turn. Left rows go against the group's right ones in cuts of `cells` pairs."""
+
+    def hits(left: list[tuple], right: list[tuple]) -> Iterator[pa.RecordBatch]:
+        (a, p), (b, of, q) = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (left, right))
+        step = max(1, cells // len(q))
+        for at in range(0, len(a), step):
+            for to in range(0, len(q), cells):
+                near = np.bitwise_count(p[at : at + step, None] ^ q[None, to : to + cells]) <= most
+                i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+                i, j = a[at + i], b[of[to + j]]
+                pairs = np.unique(np.stack([i[i < j], j[i < j]], 1), axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, left, right = None, [], []
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if g[lo] != group:
+                    if left and right:
+                        yield from hits(left, right)
+                    group, left, right = g[lo], [], []
+                cut = batch.slice(lo, hi - lo)
+                mid = int(np.count_nonzero(cut.column(1).to_numpy() == 0))
+                ids, lists = cut.column(2).to_numpy(), cut.column(3)
+                sizes = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten().to_numpy().view(np.uint64)
+                ends = int(sizes[:mid].sum())
+                if mid:
+                    left.append((ids[:mid], flat[:ends]))
+                if mid < hi - lo:
+                    known = sum(len(x[0]) for x in right)
+                    right.append((ids[mid:], known + np.repeat(np.arange(hi - lo - mid), sizes[mid:]), flat[ends:]))
+        if left and right:
+            yield from hits(left, right)
+
+    return run
+
+
+def related_images(images: DataFrame, most: int = 12, block: int = 8192) -> DataFrame:
     """Pairs a < b of images that may show one plan: a, b, exact, same_group, d_bits, p_bits, rotation (degrees of b).
 
     images: id, sha, group_id, signatures: four structs (d, p: long hashes of 64 and 63 bits) of its rotations by 0, 90, 180 and 270 degrees. A pair is
     related if its content is equal, its group is the same and not null, or if in the rotation of b with the least (p_bits, d_bits) both are at most
-    `most`. Hash candidates are exact: of seven parts of nine bits of p, one differs in one bit at most, so parts and their neighbours
-    are buckets of an equi-join, and each pair is judged once on its hashes.
+    `most`. Hashes are compared whole, all with all, by counting bits in numpy: a task has a block of ids (long) against its own or a later one, so no
+    bucket of a part that many hashes share can grow. Found pairs are judged once on their hashes.
     """
-    if most >= 14:
-        raise ValueError("seven parts cover fewer than 14 different bits")
-    part = lambda p: F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(p, 9 * k).bitwiseAND(F.lit(511)).alias("x")) for k in range(7)))
-    flips = F.array(F.lit(0), *(F.lit(1 << i) for i in range(9)))
+    spark = images.sparkSession
+    n = max(1, -(-images.count() // block), round(spark.sparkContext.defaultParallelism ** 0.5))
+    images = images.where("id IS NOT NULL")
+    cuts = images.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
+    own = sum(((F.col("id").cast("double") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    turns = F.filter(F.transform("signatures", lambda s: s["p"]), lambda p: p.isNotNull())
     first = F.col("signatures")[0]["p"]
-    left = images.select(F.col("id").alias("a"), F.explode(part(first)).alias("q")).select("a", "q.k", F.explode(F.transform(flips, lambda f: F.col("q.x").bitwiseXOR(f))).alias("x"))
-    right = images.select(F.col("id").alias("b"), F.explode("signatures").alias("s")).select("b", F.explode(part(F.col("s.p"))).alias("q")).select("b", "q.*").distinct()
-    alike = left.join(right, ["k", "x"]).where("a < b").select("a", "b")
+    rows = images.select("id", own.alias("own"), F.when(first.isNotNull(), F.array(first)).alias("first"), turns.alias("turns"))
+    left = rows.where("first IS NOT NULL").select(F.explode(F.sequence("own", F.lit(n - 1))).alias("o"), "own", "id", F.col("first").alias("p")).select((F.col("own") * n + F.col("o")).alias("g"), F.lit(0).alias("side"), "id", "p")
+    right = rows.where("size(turns) > 0").select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("o"), "own", "id", F.col("turns").alias("p")).select((F.col("o") * n + F.col("own")).alias("g"), F.lit(1).alias("side"), "id", "p")
+    whole = left.union(right).select("g", "side", F.col("id").cast("long").alias("id"), "p").repartition(n * n, "g").sortWithinPartitions("g", "side")
+    alike = whole.mapInArrow(_hash_pairs(most), "a long, b long")
     same = lambda c: images.where(F.col(c).isNotNull()).select(c, F.col("id").alias("a")).join(images.select(c, F.col("id").alias("b")), c).where("a < b").select("a", "b")
     pairs = alike.union(same("sha")).union(same("group_id")).distinct()
     own = lambda p: images.select(F.col("id").alias(p), F.col("sha").alias(f"{p}_sha"), F.col("group_id").alias(f"{p}_group"), F.col("signatures").alias(f"{p}_s"))
