@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,20 +120,110 @@ def round_robin(rows: DataFrame, bucket: str, id_col: str, n: int, seed: int = 0
     return placed.orderBy("round", bucket, id_col).limit(n)
 
 
+def _vectors(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, ids and matrix of the vectors of each length that hold no null; last -1, the ids of the others and none. Null ids are left out."""
+    ids, lists = ids.filter(ids.is_valid()), lists.filter(ids.is_valid())
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    flat, ends, ids = lists.flatten(), np.cumsum(sizes), ids.to_numpy()
+    gaps = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+    whole = lists.is_valid().to_numpy(zero_copy_only=False) & (gaps[ends] == gaps[ends - sizes])
+    values = flat.to_numpy(zero_copy_only=False).astype(float)
+    for size in np.unique(sizes[whole]).tolist():
+        rows = np.flatnonzero(whole & (sizes == size))
+        yield size, ids[rows], values[(ends - sizes)[rows][:, None] + np.arange(size)]
+    yield -1, ids[~whole], np.empty((0, 0))
+
+
+def _dots(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component on."""
+    out = np.zeros(len(q))
+    for d in range(q.shape[1]):
+        out += q[:, d] * v[:, d]
+    return out
+
+
+class _Best:
+    """The k best rows so far of queries of one length. Scores of a matrix product choose with a margin for its rounding; exact ones decide."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, vectors, k
+        self.norms, self.bar = np.sqrt((vectors * vectors).sum(1)), np.full(len(ids), -np.inf)
+        self.at, self.score, self.found = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def add(self, ids: np.ndarray, v: np.ndarray, cells: int = 1 << 21) -> None:
+        step = max(1, cells // max(1, len(self.ids)))
+        for lo in range(0, len(ids), step):
+            own, w = ids[lo : lo + step], v[lo : lo + step]
+            near = self.q @ w.T
+            self_ = np.isin(own, self.ids)
+            same = (self.ids[:, None] == own[None, self_]).nonzero()
+            same = same[0], np.flatnonzero(self_)[same[1]]
+            near[same] = -np.inf
+            margin = 8 * (w.shape[1] + 1) * np.finfo(float).eps * self.norms * np.sqrt((w * w).sum(1)).max()
+            bar = self.bar
+            if np.isneginf(bar).any() and len(own) > self.k and np.isfinite(w).all() and np.isfinite(margin).all():
+                bar = np.maximum(bar, np.partition(near, -self.k, axis=1)[:, -self.k])
+            hit = ~(near < (bar - margin)[:, None])
+            hit[same] = False
+            at, to = hit.nonzero()
+            for c in range(0, len(at), 200_000):
+                self._take(at[c : c + 200_000], own, w, to[c : c + 200_000])
+
+    def _take(self, at: np.ndarray, own: np.ndarray, w: np.ndarray, to: np.ndarray) -> None:
+        at, score, found = np.concatenate([self.at, at]), np.concatenate([self.score, _dots(self.q[at], w[to])]), np.concatenate([self.found, own[to]])
+        order = np.lexsort((found, -score, ~np.isnan(score), at))
+        at, score, found = at[order], score[order], found[order]
+        new = np.flatnonzero(np.diff(at, prepend=-1))
+        rank = np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at))))
+        last = rank == self.k - 1
+        self.bar[at[last]] = np.where(np.isnan(score[last]), np.inf, score[last])
+        keep = rank < self.k
+        self.at, self.score, self.found = at[keep], score[keep], found[keep]
+
+
+def _nearest(queries: Broadcast, k: int):
+    """A mapInArrow function on rows id, v: the k best of its rows for each query as query, id, score. Without a common length the score is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = {n: (ids, _Best(ids, v, k) if n >= 0 else None) for n, ids, v in queries.value}
+        unlike = {n: np.empty(0, np.int64) for n in asked}  # the least ids that a length's queries have no score with, one more as it may be the query's own
+        for batch in batches:
+            for n, ids, v in _vectors(batch.column(0), batch.column(1)):
+                for m in asked:
+                    if m == n >= 0:
+                        asked[m][1].add(ids, v)
+                    else:
+                        unlike[m] = np.sort(np.concatenate([unlike[m], ids]))[: k + 1]
+        for n, (ids, best) in asked.items():
+            if best is not None and len(best.at):
+                yield _told(ids[best.at], best.found, pa.array(best.score))
+            for lo in range(0, len(ids) if len(unlike[n]) else 0, 10_000):
+                query, other = (x.ravel() for x in np.meshgrid(ids[lo : lo + 10_000], unlike[n], indexing="ij"))
+                apart = query != other
+                yield _told(query[apart], other[apart], pa.nulls(int(apart.sum()), pa.float64()))
+
+    return run
+
+
+def _told(query: np.ndarray, ids: np.ndarray, score: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), score], names=["query", "id", "score"])
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 5000) -> DataFrame:
-    """The k base rows with the greatest inner product for each query (ties: smaller id). Columns: id, v (array of double).
+    """The k base rows with the greatest inner product for each query (ties: smaller id). Columns: id (long), v (array of double).
 
-    Queries go against all base rows in blocks of about `block`, each broadcast. Bests of parts of the base are ranked
-    first, so no query's rows meet in one task.
+    Queries go against all base rows in blocks of about `block`, each broadcast, by matrix products. Each task keeps the bests
+    of its rows, and only those are ranked together.
     """
+    spark = base.sparkSession
     n = max(1, -(-queries.count() // block))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = base.select(F.col("id").cast("long").alias("id"), "v").repartition(tasks, "id")  # a short file would be one task
     order, out = [F.desc("score"), F.col("id")], None
     for b in range(n):
-        q = F.broadcast(queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).select(F.col("id").alias("query"), F.col("v").alias("q")))
-        scored = base.select("id", "v").join(q, F.col("id") != F.col("query")).select("query", "id", dot.alias("score"))
-        part = Window.partitionBy("query", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy(*order)
-        few = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
+        asked = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).select(F.col("id").cast("long").alias("id"), "v").toArrow().combine_chunks()
+        known = [x for c in asked.to_batches() for x in _vectors(c.column(0), c.column(1)) if len(x[1])]
+        few = rows.mapInArrow(_nearest(spark.sparkContext.broadcast(known), k), "query long, id long, score double")
         out = few if out is None else out.union(few)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
 
