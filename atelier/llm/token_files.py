@@ -3,8 +3,8 @@
 Rows are range-partitioned by doc_id into shards of about SHARD characters (as many as there are shuffle partitions at least);
 each streams its ids into `tokens-N.bin`, the offsets of its documents into `offsets-N.idx` (int64, one more than
 documents, from 0) and their ids into `docs-N.idx` (int64). The manifest holds one line per shard; its bases are prefix sums
-of the shards' totals, so a document's global start is its shard's base plus its offset there. A task holds 200 documents at a time:
-a very long text needs its own memory, but no group of texts is gathered.
+of the shards' totals, so a document's global start is its shard's base plus its offset there. A task holds some CHUNK bytes of text at a time
+or one document: a very long text needs its own memory, but no group of texts is gathered.
 
 Nulls: a null text is empty (its only id is the end id); rows with a null doc_id come first, flagged in the shard's
 manifest line by their count. Ties: repeated doc_ids follow one another in order of a hash of their text, so equal rows give equal files
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 #: Characters of text that a shard is meant to hold.
 SHARD = 256_000_000
+#: Bytes of text that are encoded in one call.
+CHUNK = 4 << 20
 _KINDS = ("tokens", "offsets", "docs")
 
 
@@ -55,6 +58,16 @@ class _Files:
             self.fs.move(attempt, name)
 
 
+def chunks(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold `most` (CHUNK) bytes together, or one text."""
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while lo < len(ends):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + (most or CHUNK), "right")))
+        yield lo, hi
+        lo = hi
+
+
 def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> dict:
     """Writes the token files of docs to the folder `uri` (shared by all executors) and returns the manifest."""
     spark = docs.sparkSession
@@ -66,12 +79,12 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end: int = 0, id_col
         files, at, n_docs, nulls = _Files(uri, k), 0, 0, 0
         files.write(b"", np.int64(0).astype("<i8").tobytes(), b"")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                ids, texts = (batch.column(c).slice(lo, 200) for c in range(2))
-                chunks = encode.many(texts.to_pylist())
-                ends = at + np.cumsum([len(c) // encode.dtype.itemsize for c in chunks])
-                files.write(b"".join(chunks), ends.astype("<i8").tobytes(), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                at, n_docs, nulls = int(ends[-1]), n_docs + len(chunks), nulls + ids.null_count
+            for lo, hi in chunks(batch.column(1)):
+                ids, texts = (batch.column(c).slice(lo, hi - lo) for c in range(2))
+                encoded = encode.many(texts.to_pylist())
+                ends = at + np.cumsum([len(c) // encode.dtype.itemsize for c in encoded])
+                files.write(b"".join(encoded), ends.astype("<i8").tobytes(), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                at, n_docs, nulls = int(ends[-1]), n_docs + len(encoded), nulls + ids.null_count
         files.close()
         yield pa.RecordBatch.from_pydict({"shard": [k], "n_docs": [n_docs], "n_tokens": [at], "n_null": [nulls], "width": [encode.dtype.itemsize]})
 

@@ -16,12 +16,16 @@ from itertools import accumulate, chain, islice
 from unicodedata import normalize
 
 import numpy as np
+import pyarrow as pa
 
 #: Control characters on whose being white space the library and Python differ.
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 #: In a text of lesser characters, composing changes nothing and lower case is one character for one.
 _WIDE = re.compile("[\u0130-\U0010ffff]")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: White space of several bytes, and bytes that are white space alone.
+_FAR = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 #: Pieces that a process keeps, at some 200 bytes each.
@@ -33,6 +37,32 @@ def _json(path: str) -> dict:
         return json.load(f)
 
 
+def pieces_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts as _PIECES cuts them, and before which of them each text begins (and the last one ends)."""
+    held = pa.array(texts, pa.large_string())
+    edges = np.frombuffer(held.buffers()[1], np.int64)[: len(texts) + 1]
+    if not edges[-1]:
+        return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(held.buffers()[2], np.uint8)[: edges[-1]]
+    space, mark = _SPACE[data], np.zeros(len(data) + 1, bool)
+    mark[1:-1] = space[1:] & ~space[:-1]
+    words = space[:-1] & ~space[1:]  # between a word and white space before it
+    begins = edges[:-1][np.diff(edges) > 0]
+    words[begins[1:] - 1] = False
+    mark[:-2] |= words  # of white space the last character stands apart, or with the word if it is a blank
+    mark[1:-1] |= words & (data[:-1] != 32)
+    mark[begins] = True
+    for i, t in enumerate(texts):
+        if not t.isascii() and _FAR.search(t):
+            mark[edges[i] : edges[i + 1]] = False
+            sizes = np.fromiter((len(p.encode()) for p in _PIECES.findall(t)), np.int64)
+            mark[edges[i] + np.cumsum(sizes) - sizes] = True
+    mark[-1] = True
+    starts = np.flatnonzero(mark)
+    cuts = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), held.buffers()[2]])
+    return cuts, np.searchsorted(starts, edges)
+
+
 class Encoder:
     """Text -> ids of the tokenizer file at `path` as bytes of `dtype`, plus one end id.
 
@@ -76,13 +106,23 @@ class Encoder:
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids; the new pieces of all texts are encoded in one call."""
-        cut = _PIECES.findall if self.keep_spaces else str.split
         whole = [bool(t) and bool(_ODD.search(t) or self.added.search(t)) for t in texts]
-        given = texts
-        if not self.keep_spaces:  # such files lower-case; doing it first makes fewer pieces differ
-            texts = [t.lower() if t and (t.isascii() or not _WIDE.search(t)) else t for t in texts]
-        pieces = [cut(t) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
-        flat = list(chain.from_iterable(pieces))
+        given, kept = texts, ["" if w else t or "" for t, w in zip(texts, whole, strict=True)]
+        if self.keep_spaces:
+            cuts, ends = pieces_of(kept)
+            coded = cuts.dictionary_encode()  # a piece is looked up once a call, however often it stands there
+            flat = pa.array(self._found(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+            at, raw = (np.frombuffer(b or b"\0" * 8, np.int64 if i == 1 else np.uint8) for i, b in enumerate(flat.buffers()) if i)
+            out = [raw[a:b].tobytes() for a, b in zip(at[ends].tolist(), at[ends[1:]].tolist(), strict=False)]
+        else:  # such files lower-case; doing it first makes fewer pieces differ
+            pieces = [(t.lower() if t.isascii() or not _WIDE.search(t) else t).split() for t in kept]
+            ids = self._found(list(chain.from_iterable(pieces)))
+            stops = list(accumulate(map(len, pieces), initial=0))
+            out = [b"".join(ids[a:b]) for a, b in zip(stops, stops[1:], strict=False)]
+        return [(self._ids(t) if w else x) + self.end for t, w, x in zip(given, whole, out, strict=True)]
+
+    def _found(self, flat: list[str]) -> list[bytes]:
+        """The ids of each piece; those not known are encoded together."""
         ids = list(map(self.known.get, flat))
         if missing := [i for i, x in enumerate(ids) if x is None]:
             new = list({flat[i] for i in missing})
@@ -92,8 +132,7 @@ class Encoder:
             if len(self.known) + len(own) > self.bound:  # the newer half stays
                 self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
             self.known.update((p, x) for p, x in own.items() if len(p) <= 64)
-        ends = list(accumulate(map(len, pieces), initial=0))
-        return [(self._ids(t) if w else b"".join(ids[a:b])) + self.end for t, w, a, b in zip(given, whole, ends, ends[1:], strict=False)]
+        return ids
 
     def _apart(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]

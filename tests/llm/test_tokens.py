@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from atelier.llm import packing, token_files
 from atelier.llm.common import scratch
 from atelier.llm.queries import tokenizer
-from atelier.llm.tokens import Encoder
+from atelier.llm.tokens import _PIECES, Encoder, pieces_of
 
 pieces = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\x1f", "\x85", " ", " ", "​", "　", "it's", "Don't", "é", "é", "Ünï", "12", "3.4", "!!", "###", "ﬁ", "中文", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "a<|endoftext|>b", "İ", "Σ", "\x00", "😀"])
 FILES = (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))
@@ -33,6 +34,35 @@ def test_equals_the_library(name, keep):
     same()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t\r\x0b\x0cab\u00a0\u2009\u3000é中x"), max_size=12), max_size=6))
+def test_pieces_of_many_texts(texts):
+    pieces, ends = pieces_of(texts)
+    flat = pieces.to_pylist()
+    assert [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)] == [_PIECES.findall(t) for t in texts]
+
+
+def test_a_piece_is_looked_up_once_a_call():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    own, whole = Encoder(tokenizer("byte_bpe_50k.json"), 0, True), plain("byte_bpe_50k.json")
+    own.known, texts = Counted(), ["a b " * 5000, None, "", "b a\u00a0b\n a  b", "a <|endoftext|> b", "b " * 3000]
+    got = [np.frombuffer(x, own.dtype).tolist() for x in own.many(texts)]
+    assert got == [[*whole.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert own.known.asked < 20
+
+
+def test_chunks_of_texts():
+    texts = pa.array(["aaa", None, "", "é", "b" * 50, "c"])
+    assert list(token_files.chunks(texts, 5)) == [(0, 4), (4, 5), (5, 6)]
+    assert list(token_files.chunks(texts.slice(1, 3), 1)) == [(0, 2), (2, 3)] and list(token_files.chunks(texts[:0])) == []
+
+
 @pytest.mark.parametrize("name,keep", FILES)
 def test_special_tokens_as_text(name, keep):
     whole = plain(name)
