@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import drop_scratch, forget, scratch, shared_dir, stored  # noqa: F401
+from ..scratch import drop_scratch, forget, scratch, shared_dir, stored, tidy  # noqa: F401
 
 #: Bytes that separate words: all of ASCII but digits and letters (texts are lower-cased first).
 SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))

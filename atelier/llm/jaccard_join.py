@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, components, grams, local_roots, mix, partitions, stored, trim, words
+from .common import Hashes, components, forget, grams, local_roots, mix, partitions, stored, trim, words
 
 K, THRESHOLD = 5, 0.8
 HASHES, STEP, BANDS, ROWS = 128, 32, 16, 4
@@ -288,9 +288,12 @@ def verified(found: DataFrame, threshold: float, tolerance: float) -> DataFrame:
 
     Returns rows (rep, links, root): in each block pair a member's links, weighted by copies, and its least linked member.
     """
-    cut = dealt(stored(found, "sets"), "root", "rep", VERIFY_BLOCK, F.length("set")).select("root", "bi", "bj", "rep", "copies", "sig", "set", "block")
+    sets = stored(found, "sets")
+    cut = dealt(sets, "root", "rep", VERIFY_BLOCK, F.length("set")).select("root", "bi", "bj", "rep", "copies", "sig", "set", "block")
     grouped = cut.repartition(partitions(found.sparkSession), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    return stored(grouped.mapInArrow(_verified_links(fewest(threshold, tolerance), threshold), "rep long, links long, root long"), "links")
+    links = stored(grouped.mapInArrow(_verified_links(fewest(threshold, tolerance), threshold), "rep long, links long, root long"), "links")
+    forget(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, tolerance: float = 1e-5) -> DataFrame:

@@ -17,6 +17,9 @@ links stay linear; in the components of these links all pairs are verified on ex
 (jaccard_join.verified), and components of verified links cluster the removals. Each cluster that occurs in two
 documents at least stays in its least document and is removed from the others.
 
+Texts are never shuffled: a paragraph carries its task's number and its row there, what later steps ask of a text is written in a file for each
+such task, and the task that reads the same texts again reads its file. Texts that no plain scan gives are stored first, so that they come in the same order.
+
 Nulls, empty texts and texts of fewer than K = 5 words, which have no shingle, have no paragraphs. A null doc_id takes part under a negative id
 made from its text. Rows with one id are one document: repeated rows alone don't repeat a passage. Ties: of documents with a
 passage the least id keeps it. Very long texts are searched whole; a task holds 500 texts. Empty tables give empty results.
@@ -28,17 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.dataset import dataset
+from pyarrow.fs import FileType
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _TO_SPACE, Hashes, components, grams, mix, partitions, stored
+from .common import _TO_SPACE, Hashes, components, filesystem, forget, grams, mix, partitions, scratch, stored, tidy
 from .jaccard_join import BROADCAST_ROWS, _grouped, minhash, signature, verified
 
 K, SIZE, WINDOW, LINE, THRESHOLD, ROWS = 5, 18, 33, 20, 0.8, 3
 #: Bands' least paragraphs (16 bytes each, so 64 MB) up to which they are broadcast; beyond, both sides are shuffled.
 HUBS = 4_000_000
 REACH, SEED_BLOCK = WINDOW - 1, 16384
-_MARK = "key long, more int, id long, doc_id long, word int, start int, end int, bands array<long>"
+_MARK = "key long, more int, id long, doc_id long, part int, row int, word int, start int, end int, bands array<long>"
 _SEED = "key long, id long, doc_id long, word int, start int, end int, kept boolean, blocks long, around binary, gaps binary"
 
 
@@ -213,6 +219,7 @@ def _bands(g: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, names = Hashes(), [x.split()[0] for x in _MARK.split(", ")]
+    part, seen = TaskContext.get().partitionId(), 0
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             cut = batch.slice(lo, 500)
@@ -234,13 +241,66 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat = [b.ravel() for _, b in banded if b is not None]
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
                 rows = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)[:, 0]), pa.array(np.concatenate(keys)[:, 1].astype(np.int32)), cut.column(0).take(rows), cut.column(1).take(rows), pa.array(word), pa.array(start), pa.array(end), lists], names=names)
+                place = [pa.array(np.full(len(owner), part, np.int32)), pa.array(np.array(owner, np.int32) + np.int32(seen + lo))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)[:, 0]), pa.array(np.concatenate(keys)[:, 1].astype(np.int32)), cut.column(0).take(rows), cut.column(1).take(rows), *place, pa.array(word), pa.array(start), pa.array(end), lists], names=names)
+        seen += batch.num_rows
+
+
+def _fixed(docs: DataFrame) -> DataFrame:
+    """docs, if each run of them gives every partition the same rows in the same order, as scans of files and of given rows do; else a stored copy."""
+    nodes, todo = set(), [docs._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        nodes.add(node.nodeName().split(" ")[0])
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return docs if nodes <= {"Scan", "LocalTableScan", "Project", "Filter"} else stored(docs, "texts")
+
+
+def _sorted_out(asks: DataFrame) -> str:
+    """Writes asks (part, row, ...) into the shared folder, a file for each part of the texts in order of its rows, and returns the folder."""
+    spark = asks.sparkSession
+    uri = scratch(spark, "asks")
+    asks.repartition(partitions(spark), "part").sortWithinPartitions("part", "row").write.option("compression", "zstd").partitionBy("part").parquet(uri)
+    return uri
+
+
+def _asked(uri: str, columns: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows that are asked for in this task's part of the texts, ascending, and the other columns."""
+    fs, folder = filesystem(uri)
+    own = f"{folder}/part={TaskContext.get().partitionId()}"
+    if fs.get_file_info(own).type == FileType.NotFound:
+        return np.empty(0, np.int64), [np.empty(0, np.int64) for _ in columns]
+    table = dataset(own, filesystem=fs, format="parquet").to_table(columns=["row", *columns])
+    row, *rest = (c.to_numpy().astype(np.int64) for c in table.columns)
+    order = np.argsort(row, kind="stable")
+    return row[order], [c[order] for c in rest]
+
+
+def _answered(uri: str, columns: list[str], work):
+    """A mapInArrow function for the texts: `work` gets a batch and (its row, columns) for each row that is asked for; rows that don't come are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = Hashes(), 0
+        rows, values = _asked(uri, columns)
+        for batch in batches:
+            a, b = np.searchsorted(rows, [seen, seen + batch.num_rows])
+            own, first = np.unique(rows[a:b], return_index=True)
+            ends = np.append(first, b - a)[1:]
+            asked = [(int(r) - seen, [v[a + lo : a + hi] for v in values]) for r, lo, hi in zip(own, first, ends, strict=True)]
+            for lo in range(0, len(asked), 500):
+                yield work(batch, asked[lo : lo + 500], hashes)
+            seen += batch.num_rows
+        if len(rows) and rows[-1] >= seen:
+            raise RuntimeError("the texts have not come in the partitions that they had before")
+
+    return run
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-5) -> DataFrame:
     """Every occurrence of a repeated paragraph: doc_id, id, start, end (code points), class_id, kept (it stays in this document)."""
     spark = docs.sparkSession
     texts = docs.select(ident(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = _fixed(texts)
     marks = stored(texts.mapInArrow(_marked, _MARK), "paragraphs")
 
     in_bands = marks.where(F.size("bands") > 0).select("key", F.explode("bands").alias("band"))
@@ -248,75 +308,66 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hubs = stored(hubs, "band-hubs")
     linked = in_bands.join(F.broadcast(hubs) if hubs.count() <= HUBS else hubs, "band").where("key <> hub")
     near = components(linked.select(F.col("key").alias("a"), F.col("hub").alias("b")))
-
-    few = near.count() <= BROADCAST_ROWS
-    sent = F.broadcast(near) if few else near
-    held = marks.where(F.size("bands") > 0).select("key", "more", "id").join(sent, marks.key == near.node)
-    members = stored(held.groupBy("root", "key", "more").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "paragraph-members")
-    wanted = members.groupBy("id").agg(F.collect_list(F.struct("key", "more", "root", "copies")).alias("wanted"))  # lines of one document
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            out = []
-            for text, asked in zip(batch.column(0), batch.column(1), strict=True):
-                tokens, _, _, lines = placed_words(text.as_py() or "")
-                g = grams(hashes.of(tokens), K)
-                first, _, keys, stop = natural(g, lines)
-                found = {(k, m): (a, b) for (k, m), a, b in zip(keys.tolist(), first, stop, strict=True)}
-                for w in asked.as_py():
-                    if (w["key"], w["more"]) in found:  # else another row with the same id has it
-                        a, b = found[w["key"], w["more"]]
-                        u = np.unique(g[a:b])
-                        out.append((w["root"], w["key"], w["copies"], signature(minhash(u)), u.tobytes()))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["root", "rep", "copies", "sig", "set"])
-
-    asked = texts.select("id", "text").join(F.broadcast(wanted) if few else wanted, "id").select("text", "wanted")
-    found = asked.mapInArrow(sets, "root long, rep long, copies long, sig binary, set binary")
+    forget(hubs)
+    tidy(spark)
+
+    sent = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    held = marks.where(F.size("bands") > 0).select("key", "more", "id", "part", "row").join(sent, marks.key == near.node)
+    at = F.min(F.struct("id", "part", "row")).alias("at")
+    members = stored(held.groupBy("root", "key", "more").agg(at, F.max("id").alias("last"), F.count("*").alias("copies")), "paragraph-members")
+    wanted = _sorted_out(members.select("at.part", "at.row", "key", "more", "root", "copies"))
+
+    def sets(batch: pa.RecordBatch, asked: list, hashes: Hashes) -> pa.RecordBatch:
+        out = []
+        for i, wanted in asked:
+            tokens, _, _, lines = placed_words(batch.column(2)[i].as_py() or "")
+            g = grams(hashes.of(tokens), K)
+            first, _, keys, stop = natural(g, lines)
+            found = {(k, m): (a, b) for (k, m), a, b in zip(keys.tolist(), first, stop, strict=True)}
+            for key, more, root, copies in zip(*(x.tolist() for x in wanted), strict=True):
+                a, b = found[key, more]
+                u = np.unique(g[a:b])
+                out.append((root, key, copies, signature(minhash(u)), u.tobytes()))
+        columns = list(zip(*out, strict=True))
+        kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["root", "rep", "copies", "sig", "set"])
+
+    found = texts.mapInArrow(_answered(wanted, ["key", "more", "root", "copies"], sets), "root long, rep long, copies long, sig binary, set binary")
     checked = verified(found, threshold, tolerance)
     final = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    forget(checked)
+    tidy(spark)
 
-    by_key = marks.groupBy("key", "more").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-    alone = by_key.join(final, by_key.key == final.node, "left_anti").where("first < last").select("key", "more", F.col("key").alias("class_id"), F.col("first").alias("keeper"), "n")
-    linked = by_key.join(final, by_key.key == final.node).select("key", "more", F.col("root").alias("class_id"), "first", "last", "n")
+    by_key = marks.groupBy("key", "more").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last")
+    alone = by_key.join(final, by_key.key == final.node, "left_anti").select("key", "more", F.col("key").alias("class_id"), F.col("first").alias("keeper"), "n")
+    linked = members.join(final, members.key == final.node).select("key", "more", final.root.alias("class_id"), F.col("at.id").alias("first"), "last", F.col("copies").alias("n"))
     several = linked.groupBy("class_id").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last").select("class_id", "keeper")
     repeated = stored(alone.unionByName(linked.select("key", "more", "class_id", "n").join(several, "class_id")), "repeated-paragraphs")
+    forget(members)
+    tidy(spark)
     lines = marks.where(F.size("bands") > 0).select("key", "more", "doc_id", "id", "start", "end").join(repeated, ["key", "more"])
-    lines = lines.select("doc_id", "id", "start", "end", "class_id", (F.col("id") == F.col("keeper")).alias("kept"))
-
-    seed = F.struct("key", "word", (F.col("id") == F.col("keeper")).alias("kept"), F.ceil(F.col("n") / SEED_BLOCK).alias("blocks"))
-    hits = marks.where(F.size("bands") == 0).select("key", "more", "id", "word").join(repeated, ["key", "more"]).select("id", seed.alias("seed"))
-    hits = hits.groupBy("id").agg(F.collect_set("seed").alias("seeds"))  # seeds of one document
+    lines = stored(lines.select("doc_id", "id", "start", "end", "class_id", (F.col("id") == F.col("keeper")).alias("kept")), "repeated-lines")
+    hits = marks.where(F.size("bands") == 0).select("key", "more", "part", "row", "word").join(repeated, ["key", "more"])
+    hits = _sorted_out(hits.select("part", "row", "word", "key", "keeper", F.ceil(F.col("n") / SEED_BLOCK).alias("blocks")))
+    forget(marks, repeated)
+    tidy(spark)
 
     names = [x.split()[0] for x in _SEED.split(", ")]
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                cut = batch.slice(lo, 500)
-                out: list[list] = [[] for _ in names]
-                for id_, doc_id, text, asked in zip(*(c.to_pylist() for c in cut.columns), strict=True):
-                    tokens, begins, ends, _ = placed_words(text or "")
-                    at, key, kept, blocks = (np.array([s[c] for s in asked]) for c in ("word", "key", "kept", "blocks"))
-                    here = at <= len(tokens) - SIZE  # else another row with the same id has it
-                    h = hashes.of(tokens)
-                    if here.any():
-                        here[here] = _code(grams(h, K), at[here])[:, 0] == key[here]
-                    at, key, kept, blocks = at[here], key[here], kept[here], blocks[here]
-                    if not len(at):
-                        continue
-                    around, gaps = surroundings(h, begins, ends, at)
-                    small = gaps.max(1) < 256
-                    rows = key.tolist(), [id_] * len(at), [doc_id] * len(at), at.tolist(), begins[at].tolist(), ends[at + SIZE - 1].tolist(), kept.tolist(), blocks.tolist()
-                    for column, values in zip(out, (*rows, [x.tobytes() for x in around], [x.astype(np.uint8 if s else np.uint32).tobytes() for x, s in zip(gaps, small, strict=True)]), strict=True):
-                        column += values
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-
-    held = texts.join(hits, "id").select("id", "doc_id", "text", "seeds").mapInArrow(seeds, _SEED)
+    def seeds(batch: pa.RecordBatch, asked: list, hashes: Hashes) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in names]
+        for i, (at, key, keeper, blocks) in asked:
+            id_, doc_id, text = (c[i].as_py() for c in batch.columns)
+            tokens, begins, ends, _ = placed_words(text)
+            around, gaps = surroundings(hashes.of(tokens), begins, ends, at)
+            small = gaps.max(1) < 256
+            rows = key.tolist(), [id_] * len(at), [doc_id] * len(at), at.tolist(), begins[at].tolist(), ends[at + SIZE - 1].tolist(), (keeper == id_).tolist(), blocks.tolist()
+            for column, values in zip(out, (*rows, [x.tobytes() for x in around], [x.astype(np.uint8 if s else np.uint32).tobytes() for x, s in zip(gaps, small, strict=True)]), strict=True):
+                column += values
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    held = texts.mapInArrow(_answered(hits, ["word", "key", "keeper", "blocks"], seeds), _SEED)
     own = F.pmod(F.xxhash64("id"), "blocks")
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("bi"), F.greatest(o, own).alias("bj")))
     cut = held.withColumn("p", F.explode(pair)).select("key", "p.bi", "p.bj", *names[1:])

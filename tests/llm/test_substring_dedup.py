@@ -175,3 +175,15 @@ def test_bands_find_what_they_are_tuned_for():
             a, b = (sd._bands(x * np.uint64(2) + np.uint64(1), np.array([0]), np.array([n]))[0] for x in pair)
             found[level] += bool((a == b).any())
     assert found[0.8] >= 396 and found[0.3] <= 160
+
+
+def test_texts_are_not_shuffled(spark):
+    """No join brings texts and what is asked of them together; texts that a plain scan doesn't give are stored and give the same rows."""
+    passage = " ".join(f"p{j}" for j in range(60))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} {passage} c{i}") for i in range(9)] + [(20, None)], "doc_id long, text string")
+    rows = sd.repeated_passages(docs)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sd._fixed(docs.where("doc_id > 3").select("text")).inputFiles() == [] and sd._fixed(docs.repartition(3)).inputFiles()
+    want = {tuple(r) for r in rows.collect()}
+    assert {r[0] for r in want} == set(range(9))
+    assert {tuple(r) for r in sd.repeated_passages(docs.repartition(3)).collect()} == want
