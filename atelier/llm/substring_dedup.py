@@ -22,7 +22,8 @@ such task, and the task that reads the same texts again reads its file. Texts th
 
 Nulls, empty texts and texts of fewer than K = 5 words, which have no shingle, have no paragraphs. A null doc_id takes part under a negative id
 made from its text. Rows with one id are one document: repeated rows alone don't repeat a passage. Ties: of documents with a
-passage the least id keeps it. Very long texts are searched whole; a task holds 500 texts. Empty tables give empty results.
+passage the least id keeps it. Very long texts are searched whole; a task works on
+500 texts or 2 MB of text at once, a longer text alone. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.compute import binary_length
 from pyarrow.dataset import dataset
 from pyarrow.fs import FileType
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import _TO_SPACE, Hashes, components, filesystem, forget, grams, mix, partitions, scratch, stored, tidy
+from .common import _TO_SPACE, components, filesystem, forget, grams, mix, partitions, scratch, stored, tidy
 from .jaccard_join import BROADCAST_ROWS, _grouped, minhash, signature, verified
 
 K, SIZE, WINDOW, LINE, THRESHOLD, ROWS = 5, 18, 33, 20, 0.8, 3
@@ -60,19 +63,55 @@ def tuned(threshold: float, rows: int, recall: float) -> int:
     return bands
 
 
+#: Texts, and bytes of text, that are worked on at once; a longer text is worked on alone.
+TEXTS, TEXT_BYTES = 500, 2 << 20
 BANDS = tuned(THRESHOLD, ROWS, 1 - 2.5e-4)  # misses as few as jaccard_join does
 _MIXED = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD, _TURN = _MIXED.astype(np.uint32) | np.uint32(1), (_MIXED >> np.uint64(32)).astype(np.uint32)  # of hashes (x ^ turn) * odd in 32 bits
 
 
-def placed_words(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their begins and ends in code points, and the line that each is in."""
-    raw = text.encode("utf-8", "surrogatepass")
+def _placed(raws: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 texts, one after another: the lower-cased bytes, sizes of words in bytes, their begins and ends in code points of their own text, the line that each is in, and words of each text."""
+    raw = b"\n".join(raws)  # so that no word or line goes from one text into the next
     a = np.frombuffer(raw, np.uint8)
     low = raw.lower().translate(_TO_SPACE)
     edges = np.flatnonzero(np.diff(np.frombuffer(low, np.uint8) == 32, prepend=True, append=True))
-    points = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
-    return low.split(), points[edges[::2]], points[edges[1::2]], np.searchsorted(np.flatnonzero(a == 10), edges[::2])
+    heads = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    counts = np.diff(np.searchsorted(edges[::2], heads))
+    tails = np.flatnonzero((a & 0xC0) == 0x80)  # bytes that begin no code point
+    points = edges - np.searchsorted(tails, edges)
+    own = np.repeat(heads[:-1] - np.searchsorted(tails, heads[:-1]), counts)
+    return low, edges[1::2] - edges[::2], points[::2] - own, points[1::2] - own, np.searchsorted(np.flatnonzero(a == 10), edges[::2]), counts
+
+
+def placed_words(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their begins and ends in code points, and the line that each is in."""
+    low, _, begins, ends, lines, _ = _placed([text.encode("utf-8", "surrogatepass")])
+    return low.split(), begins, ends, lines
+
+
+def hashed(low: bytes, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the words of `low`, as those of common.Hashes; each different word is hashed once."""
+    if not len(sizes):
+        return np.empty(0, np.uint64)
+    offsets = np.append(0, np.cumsum(sizes))
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(low.translate(None, b" "))]).dictionary_encode()
+    different = words.dictionary.to_pylist()
+    return (np.fromiter(map(xxh3_64_intdigest, different), np.uint64, len(different)) ^ np.uint64(1 << 63))[words.indices.to_numpy()]
+
+
+def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts texts of so many bytes into runs of TEXTS texts and about TEXT_BYTES at most, one text at least."""
+    lo, ends = 0, np.cumsum(sizes)
+    while lo < len(sizes):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TEXT_BYTES, "right"))
+        hi = min(max(hi, lo + 1), lo + TEXTS, len(sizes))
+        yield lo, hi
+        lo = hi
+
+
+def _raw(column: pa.Array) -> pa.Array:
+    return column.cast(pa.binary()).fill_null(b"")
 
 
 def _slide(x: np.ndarray, window: int, best) -> np.ndarray:
@@ -85,29 +124,45 @@ def _slide(x: np.ndarray, window: int, best) -> np.ndarray:
     return x
 
 
-def anchors(g: np.ndarray, window: int) -> np.ndarray:
-    """Places of the values that are the least of some `window` consecutive ones; the least of all if there are fewer."""
-    if len(g) <= window:
-        return np.flatnonzero(g == g.min())[:1] if len(g) else np.empty(0, np.int64)
-    least = _slide(g, window, np.minimum)
-    ends = np.zeros(window - 1, np.uint64)
-    return np.flatnonzero(_slide(np.concatenate([ends, least, ends]), window, np.maximum) == g)
-
-
-def anchored(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and keys of the anchored paragraphs of a text of n words with shingle hashes g."""
-    if n < SIZE:
+def anchors(g: np.ndarray, first: np.ndarray, room: np.ndarray, window: int) -> np.ndarray:
+    """Of the `room` values from each `first` on: places of those that are the least of some `window` consecutive ones; of the least of all, if there are no more."""
+    wide, out = room > window, []
+    if wide.any():
+        least, at = np.zeros(len(g), np.uint64), _inside(first[wide], (first + room)[wide] - window + 1)
+        least[at] = _slide(g, window, np.minimum)[at]
+        places = _inside(first[wide], (first + room)[wide])
+        most = _slide(np.concatenate([np.zeros(window - 1, np.uint64), least]), window, np.maximum)
+        out.append(places[most[places] == g[places]])
+    if not wide.all():
+        n = room[~wide]
+        places, begins = _inside(first[~wide], first[~wide] + n), np.cumsum(n) - n
+        equal = g[places] == np.repeat(np.minimum.reduceat(g[places], begins), n)
+        at = places[equal]
+        out.append(at[np.searchsorted(at, first[~wide])])
+    return np.sort(np.concatenate(out))
+
+
+def anchored(g: np.ndarray, sizes: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and keys of the anchored paragraphs of texts of so many words, one after another, with shingle hashes g."""
+    sizes = np.atleast_1d(sizes)
+    first, room = np.cumsum(sizes) - sizes, sizes - SIZE + 1
+    first, room = first[room > 0], room[room > 0]
+    if not len(first):
         return np.empty(0, np.int64), np.empty((0, 2), np.int64)
-    at = anchors(g[: n - SIZE + 1], WINDOW)
-    code = _code(g, at)
-    same = code[1:, 0] == code[:-1, 0]  # short periods: of a chain of equal paragraphs its ends and one in every SIZE words
-    if same.any():
-        kept, last = np.ones(len(at), bool), int(at[0])
-        for i in range(1, len(at)):
-            if same[i - 1] and i < len(same) and same[i] and at[i] - last < SIZE:
+    at = anchors(g, first, room, WINDOW)
+    code, text = _code(g, at), np.searchsorted(first, at, "right")
+    same = (code[1:, 0] == code[:-1, 0]) & (text[1:] == text[:-1])  # short periods: of a chain of equal paragraphs its ends and one in every SIZE words
+    amid = (np.flatnonzero(same[:-1] & same[1:]) + 1).tolist()
+    if amid:
+        kept, last, before = np.ones(len(at), bool), 0, -1
+        for i in amid:
+            if i - 1 != before:
+                last = int(at[i - 1])
+            if at[i] - last < SIZE:
                 kept[i] = False
             else:
                 last = int(at[i])
+            before = i
         at, code = at[kept], code[kept]
     return at, code
 
@@ -126,16 +181,29 @@ def _both(code: np.ndarray, more: np.ndarray) -> np.ndarray:
     return np.stack([code.view(np.int64), (more >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64)], 1)
 
 
-def surroundings(h: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def surroundings(h: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For seeds at `at` the REACH words before, nearest first, then those after (as halves of their hashes), and the code points each adds.
 
-    Beyond the text's ends words are 0 and add nothing.
+    Beyond the words [first, stop) of the seed's text words are 0 and add nothing.
     """
-    j, none = np.arange(REACH), np.zeros(REACH, np.uint32)
-    w = np.concatenate([none, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), none])
-    b, e = np.concatenate([np.full(REACH, begins[0]), begins]), np.concatenate([ends, np.full(REACH, ends[-1])])
-    before, after = at[:, None] + REACH - j, at[:, None] + SIZE + j
-    return np.hstack([w[before - 1], w[after + REACH]]), np.hstack([b[before] - b[before - 1], e[after] - e[after - 1]])
+    j, w = np.arange(REACH), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    before, after = at[:, None] - 1 - j, at[:, None] + SIZE + j
+    left, right = before >= first[:, None], after < stop[:, None]
+    before, after = np.where(left, before, at[:, None]), np.where(right, after, at[:, None])
+    return np.hstack([np.where(left, w[before], 0), np.where(right, w[after], 0)]), np.hstack([np.where(left, begins[before + 1] - begins[before], 0), np.where(right, ends[after] - ends[after - 1], 0)])
+
+
+def _rows(x: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _gap_rows(gaps: np.ndarray) -> pa.Array:
+    """The bytes of each row, as 8 bits a value if all of the row's fit, else as 32."""
+    small = gaps.max(1) < 256
+    if small.all():
+        return _rows(gaps.astype(np.uint8))
+    return pa.array([x.astype(np.uint8 if s else np.uint32).tobytes() for x, s in zip(gaps, small, strict=True)], pa.binary())
 
 
 def shared_reach(group: np.ndarray, ids: np.ndarray, kept: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -156,10 +224,14 @@ def shared_reach(group: np.ndarray, ids: np.ndarray, kept: np.ndarray, side: np.
 
 def _extended(columns: list[pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
     """Rows key, bi, bj, then _SEED's other columns, of whole groups: the same seeds with extended places."""
-    ids, kept = columns[3].to_numpy(), np.asarray(columns[8].to_pylist(), bool)
+    ids, kept = columns[3].to_numpy(), columns[8].to_numpy()
     group = np.cumsum(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (c.to_numpy() for c in columns[:3])], axis=0)]))
     around = np.frombuffer(b"".join(columns[10].to_pylist()), np.uint32).reshape(-1, 2 * REACH)
-    gaps = np.stack([np.frombuffer(x, np.uint8 if len(x) == 2 * REACH else np.uint32).astype(np.int64) for x in columns[11].to_pylist()])
+    gaps = columns[11].to_pylist()
+    if all(len(x) == 2 * REACH for x in gaps):
+        gaps = np.frombuffer(b"".join(gaps), np.uint8).reshape(-1, 2 * REACH).astype(np.int64)
+    else:
+        gaps = np.stack([np.frombuffer(x, np.uint8 if len(x) == 2 * REACH else np.uint32).astype(np.int64) for x in gaps])
     sides = [slice(0, REACH), slice(REACH, 2 * REACH)]
     left, right = (np.where(np.arange(REACH) < shared_reach(group, ids, kept, around[:, s])[:, None], gaps[:, s], 0).sum(1) for s in sides)
     start, end = columns[6].to_numpy() - left, columns[7].to_numpy() + right
@@ -186,10 +258,14 @@ def units(sizes: list[int], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def natural(g: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First words, sizes in words and keys of the natural paragraphs, and which shingles lie in each (as begins and ends)."""
-    sizes = np.diff(np.append(np.flatnonzero(np.diff(lines, prepend=-1)), len(lines))).tolist()
-    cuts = np.array(units(sizes, len(lines)) if len(lines) >= K else [], np.int64).reshape(-1, 2)
+def natural(g: np.ndarray, lines: np.ndarray, counts: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words, sizes in words and keys of the natural paragraphs of texts of so many words, and which shingles lie in each (as begins and ends)."""
+    starts = np.flatnonzero(np.diff(lines, prepend=-1))
+    sizes, counts = np.diff(np.append(starts, len(lines))).tolist(), np.atleast_1d(counts)
+    heads = np.append(0, np.cumsum(counts))
+    held = np.searchsorted(starts, heads).tolist()
+    cuts = [(a + x, a + y) for a, n, lo, hi in zip(heads.tolist(), counts.tolist(), held, held[1:], strict=False) if n >= K for x, y in units(sizes[lo:hi], n)]
+    cuts = np.array(cuts, np.int64).reshape(-1, 2)
     begins, sizes = cuts[:, 0], cuts[:, 1] - cuts[:, 0]
     ends = begins + sizes - K + 1
     if not len(begins):
@@ -209,40 +285,34 @@ def _inside(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _bands(g: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Band hashes of the shingles [begins, ends): a row of BANDS for each."""
     n = ends - begins
-    own = (g[_inside(begins, ends)] >> np.uint64(32)).astype(np.uint32)
-    least = np.minimum.reduceat((own[:, None] ^ _TURN) * _ODD, np.cumsum(n) - n, axis=0).astype(np.uint64)
+    own, first = (g[_inside(begins, ends)] >> np.uint64(32)).astype(np.uint32), np.cumsum(n) - n
     code = np.tile(np.arange(BANDS, dtype=np.uint64), (len(n), 1))
     for r in range(ROWS):
-        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + least[:, r * BANDS : (r + 1) * BANDS])
+        least = [np.minimum.reduceat((own ^ turn) * odd, first) for turn, odd in zip(_TURN[r * BANDS : (r + 1) * BANDS], _ODD[r * BANDS : (r + 1) * BANDS], strict=True)]
+        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + np.stack(least, 1))
     return code.view(np.int64)
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, names = Hashes(), [x.split()[0] for x in _MARK.split(", ")]
+    names = [x.split()[0] for x in _MARK.split(", ")]
     part, seen = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            cut = batch.slice(lo, 500)
-            owner, keys, places, banded = [], [], [], []
-            for k, text in enumerate(cut.column(2)):
-                tokens, begins, ends, lines = placed_words(text.as_py() or "")
-                if len(tokens) < K:
-                    continue
-                g = grams(hashes.of(tokens), K)
-                at, key = anchored(g, len(tokens))
-                first, size, line_key, stop = natural(g, lines)
-                owner += [k] * (len(at) + len(first))
-                keys += [key, line_key]
-                places += [np.stack([at, begins[at], ends[at + SIZE - 1]]) if len(at) else np.empty((3, 0), np.int64), np.stack([first, begins[first], ends[first + size - 1]])]
-                banded += [(len(at), None), (len(first), _bands(g, first, stop) if len(first) else None)]
-            if owner:
-                word, start, end = np.concatenate(places, axis=1).astype(np.int32)
-                sizes = np.concatenate([np.full(n, 0 if b is None else BANDS) for n, b in banded])
-                flat = [b.ravel() for _, b in banded if b is not None]
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-                rows = pa.array(owner)
-                place = [pa.array(np.full(len(owner), part, np.int32)), pa.array(np.array(owner, np.int32) + np.int32(seen + lo))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)[:, 0]), pa.array(np.concatenate(keys)[:, 1].astype(np.int32)), cut.column(0).take(rows), cut.column(1).take(rows), *place, pa.array(word), pa.array(start), pa.array(end), lists], names=names)
+        raws = _raw(batch.column(2))
+        for lo, hi in _cuts(binary_length(raws).to_numpy()):
+            low, sizes, begins, ends, lines, counts = _placed(raws[lo:hi].to_pylist())
+            g = grams(hashed(low, sizes), K)
+            at, key = anchored(g, counts)
+            first, n, line_key, stop = natural(g, lines, counts)
+            word, last = np.concatenate([at, first]), np.concatenate([at + SIZE, first + n]) - 1
+            if not len(word):
+                continue
+            heads = np.cumsum(counts) - counts
+            owner = np.searchsorted(heads, word, "right") - 1  # a text without words has the head of the next one
+            keys, flat = np.concatenate([key, line_key]), _bands(g, first, stop).ravel() if len(first) else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.repeat([0, BANDS], [len(at), len(first)]))).astype(np.int32), pa.array(flat))
+            rows = pa.array(owner + lo)
+            place = [np.full(len(owner), part), owner + seen + lo, word - heads[owner], begins[word], ends[last]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1].astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in place), lists], names=names)
         seen += batch.num_rows
 
 
@@ -277,18 +347,19 @@ def _asked(uri: str, columns: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _answered(uri: str, columns: list[str], work):
-    """A mapInArrow function for the texts: `work` gets a batch and (its row, columns) for each row that is asked for; rows that don't come are an error."""
+    """A mapInArrow function for the texts: for rows that are asked for, several at once, `work` gets the batch, their rows in it, their texts, and, for each
+    thing asked, which of these texts it is asked of and its columns. Rows that don't come are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), 0
+        seen = 0
         rows, values = _asked(uri, columns)
         for batch in batches:
             a, b = np.searchsorted(rows, [seen, seen + batch.num_rows])
-            own, first = np.unique(rows[a:b], return_index=True)
-            ends = np.append(first, b - a)[1:]
-            asked = [(int(r) - seen, [v[a + lo : a + hi] for v in values]) for r, lo, hi in zip(own, first, ends, strict=True)]
-            for lo in range(0, len(asked), 500):
-                yield work(batch, asked[lo : lo + 500], hashes)
+            own, of = np.unique(rows[a:b] - seen, return_inverse=True)
+            raws = _raw(batch.column(2).take(pa.array(own)))
+            for lo, hi in _cuts(binary_length(raws).to_numpy()):
+                c, d = np.searchsorted(of, [lo, hi])
+                yield work(batch, own[lo:hi], raws[lo:hi].to_pylist(), of[c:d] - lo, [v[a + c : a + d] for v in values])
             seen += batch.num_rows
         if len(rows) and rows[-1] >= seen:
             raise RuntimeError("the texts have not come in the partitions that they had before")
@@ -317,20 +388,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members = stored(held.groupBy("root", "key", "more").agg(at, F.max("id").alias("last"), F.count("*").alias("copies")), "paragraph-members")
     wanted = _sorted_out(members.select("at.part", "at.row", "key", "more", "root", "copies"))
 
-    def sets(batch: pa.RecordBatch, asked: list, hashes: Hashes) -> pa.RecordBatch:
-        out = []
-        for i, wanted in asked:
-            tokens, _, _, lines = placed_words(batch.column(2)[i].as_py() or "")
-            g = grams(hashes.of(tokens), K)
-            first, _, keys, stop = natural(g, lines)
-            found = {(k, m): (a, b) for (k, m), a, b in zip(keys.tolist(), first, stop, strict=True)}
-            for key, more, root, copies in zip(*(x.tolist() for x in wanted), strict=True):
-                a, b = found[key, more]
-                u = np.unique(g[a:b])
-                out.append((root, key, copies, signature(minhash(u)), u.tobytes()))
-        columns = list(zip(*out, strict=True))
-        kinds = [pa.int64()] * 3 + [pa.binary()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["root", "rep", "copies", "sig", "set"])
+    def sets(batch: pa.RecordBatch, rows: np.ndarray, raws: list[bytes], of: np.ndarray, asked: list[np.ndarray]) -> pa.RecordBatch:
+        low, sizes, _, _, lines, counts = _placed(raws)
+        g = grams(hashed(low, sizes), K)
+        first, _, keys, stop = natural(g, lines, counts)
+        text = np.searchsorted(np.cumsum(counts), first, "right")
+        found = dict(zip(zip(text.tolist(), *keys.T.tolist(), strict=True), zip(first.tolist(), stop.tolist(), strict=True), strict=True))
+        key, more, root, copies = asked
+        held = [np.unique(g[slice(*found[x])]) for x in zip(of.tolist(), key.tolist(), more.tolist(), strict=True)]
+        arrays = [pa.array(root), pa.array(key), pa.array(copies), pa.array([signature(minhash(u)) for u in held], pa.binary()), pa.array([u.tobytes() for u in held], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["root", "rep", "copies", "sig", "set"])
 
     found = texts.mapInArrow(_answered(wanted, ["key", "more", "root", "copies"], sets), "root long, rep long, copies long, sig binary, set binary")
     checked = verified(found, threshold, tolerance)
@@ -354,18 +421,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     names = [x.split()[0] for x in _SEED.split(", ")]
 
-    def seeds(batch: pa.RecordBatch, asked: list, hashes: Hashes) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in names]
-        for i, (at, key, keeper, blocks) in asked:
-            id_, doc_id, text = (c[i].as_py() for c in batch.columns)
-            tokens, begins, ends, _ = placed_words(text)
-            around, gaps = surroundings(hashes.of(tokens), begins, ends, at)
-            small = gaps.max(1) < 256
-            rows = key.tolist(), [id_] * len(at), [doc_id] * len(at), at.tolist(), begins[at].tolist(), ends[at + SIZE - 1].tolist(), (keeper == id_).tolist(), blocks.tolist()
-            for column, values in zip(out, (*rows, [x.tobytes() for x in around], [x.astype(np.uint8 if s else np.uint32).tobytes() for x, s in zip(gaps, small, strict=True)]), strict=True):
-                column += values
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+    def seeds(batch: pa.RecordBatch, rows: np.ndarray, raws: list[bytes], of: np.ndarray, asked: list[np.ndarray]) -> pa.RecordBatch:
+        low, sizes, begins, ends, _, counts = _placed(raws)
+        word, key, keeper, blocks = asked
+        stop = np.cumsum(counts)[of]
+        first = stop - counts[of]
+        at = word + first
+        around, gaps = surroundings(hashed(low, sizes), begins, ends, at, first, stop)
+        id_, doc_id = (batch.column(c).take(pa.array(rows[of])) for c in range(2))
+        places = [pa.array(x.astype(np.int32)) for x in (word, begins[at], ends[at + SIZE - 1])]
+        return pa.RecordBatch.from_arrays([pa.array(key), id_, doc_id, *places, pa.array(keeper == id_.to_numpy()), pa.array(blocks), _rows(around), _gap_rows(gaps)], names=names)
 
     held = texts.mapInArrow(_answered(hits, ["word", "key", "keeper", "blocks"], seeds), _SEED)
     own = F.pmod(F.xxhash64("id"), "blocks")
