@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 
 def cross_split_duplicates(samples: DataFrame, content: Column, split: str) -> DataFrame:
     """sha, n and n_splits of contents that occur in more than one split."""
@@ -27,21 +30,91 @@ def leakage_report(samples: DataFrame, key: str, split: str) -> DataFrame:
     return named[0].union(named[1]).union(named[2])
 
 
-def _hash_pairs(most: int, cells: int = 1 << 18):
+def _dealt(bits: list[int], most: int, m: int) -> list[tuple[list[int], int]]:
+    """Bits dealt in turn to m parts, with a bound for each part, none below 0. The bounds' sum is most - m + 1: hashes beyond it in all parts differ
+    in most + 1 bits at least, so those that differ in `most` at most are within it in one."""
+    return [(bits[k::m], (most - k) // m) for k in range(m) if most >= k]
+
+
+def _parts(p: np.ndarray, q: np.ndarray, most: int, sample: int = 512) -> list[tuple[list[int], int]]:
+    """The cheapest way to compare all p with all q: none (each with each), or parts of the bits that differ anywhere. Costs, in nanoseconds, are told
+    from pairs of a sample."""
+    differ = int(np.bitwise_or(np.bitwise_or.reduce(p), np.bitwise_or.reduce(q)) ^ np.bitwise_and(np.bitwise_and.reduce(p), np.bitwise_and.reduce(q)))
+    bits = [b for b in range(64) if differ >> b & 1]
+    few = p[:: -(-len(p) // sample), None] ^ q[None, :: -(-len(q) // sample)]
+    best, least = [], len(p) * len(q)
+    for m in range(4, 8):
+        parts, cost = _dealt(bits, most, m), 0
+        for own, bound in parts:
+            share = float((np.bitwise_count(few & np.uint64(sum(1 << b for b in own))) <= bound).mean())
+            cost += share * len(p) * len(q) + min(len(p), 1 << len(own)) * (10_000 + 20 * sum(comb(len(own), x) for x in range(bound + 1)) + 5 * share * len(q))
+        if cost < least:
+            best, least = parts, cost
+    return best
+
+
+def _close(p: np.ndarray, q: np.ndarray, most: int, cells: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices i, j of all p[i] and q[j] that differ in `most` bits at most, each once; hashes are compared in cuts of `cells` pairs."""
+
+    def compare(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, cells // max(1, len(y)))
+        for at in range(0, len(x), step):
+            for to in range(0, len(y), cells):
+                near = np.bitwise_count(x[at : at + step, None] ^ y[None, to : to + cells]) <= most
+                i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+                if len(i):
+                    yield at + i, to + j
+
+    if not len(p) or not len(q):
+        return
+    parts, earlier = _parts(p, q, most), []
+    if not parts:
+        yield from compare(p, q)
+    for own, bound in parts:
+        key = lambda h, own=own: sum(((h >> np.uint64(b) & np.uint64(1)) << np.uint64(k) for k, b in enumerate(own)), np.zeros(len(h), np.uint64)).astype(np.int64)
+        left, right = key(p), key(q)
+        rows, cols = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+        x, y, left = p[rows], q[cols], left[rows]
+        sizes = np.bincount(right, minlength=1 << len(own))
+        starts = np.cumsum(sizes) - sizes
+        turned = np.arange(1 << len(own))
+        turned = turned[np.bitwise_count(turned) <= bound]
+        cuts = [0, *(np.flatnonzero(np.diff(left)) + 1).tolist(), len(left)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            with_ = left[lo] ^ turned
+            n = sizes[with_]
+            at = np.repeat(starts[with_] - (np.cumsum(n) - n), n)
+            at += np.arange(len(at))
+            for i, j in compare(x[lo:hi], y[at]):
+                i, j = rows[lo + i], cols[at[j]]
+                new = np.ones(len(i), bool)
+                for mask, within in earlier:
+                    new &= np.bitwise_count((p[i] ^ q[j]) & mask) > within
+                yield i[new], j[new]
+        earlier.append((np.uint64(sum(1 << b for b in own)), bound))
+
+
+def _hash_pairs(most: int, full: int = 1 << 18):
     """A mapInArrow function on rows g, side (0: left, 1: right), id, p (one hash on the left, all turns on the right) that lie sorted by g and side:
-    pairs a < b whose hash differs in `most` bits at most from any turn. Left rows go against the group's right ones in cuts of `cells` pairs."""
+    pairs a < b whose hash differs in `most` bits at most from any turn, each once for about `full` that are found."""
+
+    def told(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def hits(left: list[tuple], right: list[tuple]) -> Iterator[pa.RecordBatch]:
         (a, p), (b, of, q) = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (left, right))
-        step = max(1, cells // len(q))
-        for at in range(0, len(a), step):
-            for to in range(0, len(q), cells):
-                near = np.bitwise_count(p[at : at + step, None] ^ q[None, to : to + cells]) <= most
-                i, j = np.divmod(np.flatnonzero(near), near.shape[1])
-                i, j = a[at + i], b[of[to + j]]
-                pairs = np.unique(np.stack([i[i < j], j[i < j]], 1), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        found, n = [], 0
+        for i, j in _close(p, q, most):
+            i, j = a[i], b[of[j]]
+            up = i < j
+            found.append((i[up], j[up]))
+            n += int(up.sum())
+            if n >= full:
+                yield told(found)
+                found, n = [], 0
+        if n:
+            yield told(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, left, right = None, [], []
@@ -72,15 +145,17 @@ def _hash_pairs(most: int, cells: int = 1 << 18):
     return run
 
 
-def related_images(images: DataFrame, most: int = 12, block: int = 8192) -> DataFrame:
+def related_images(images: DataFrame, most: int = 12, block: int = 1 << 16) -> DataFrame:
     """Pairs a < b of images that may show one plan: a, b, exact, same_group, d_bits, p_bits, rotation (degrees of b).
 
     images: id, sha, group_id, signatures: four structs (d, p: long hashes of 64 and 63 bits) of its rotations by 0, 90, 180 and 270 degrees. A pair is
     related if its content is equal, its group is the same and not null, or if in the rotation of b with the least (p_bits, d_bits) both are at most
-    `most`. Hashes are compared whole, all with all, by counting bits in numpy: a task has a block of ids (long) against its own or a later one, so no
-    bucket of a part that many hashes share can grow. Found pairs are judged once on their hashes.
+    `most`. A task has a block of ids (long) against its own or a later one and counts bits in numpy. Where that is cheaper, only hashes that are alike
+    in one of several parts of their bits are compared, which loses no pair; a part that many hashes share is cut, never collected. Found pairs are judged
+    once on their hashes.
     """
     spark = images.sparkSession
+    images = stored(images.select("id", "sha", "group_id", "signatures"), "images")  # hashed once, read many times
     n = max(1, -(-images.count() // block), round(spark.sparkContext.defaultParallelism ** 0.5))
     images = images.where("id IS NOT NULL")
     cuts = images.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
